@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def split_list(cell: Column) -> Column:
     """Comma list to trimmed items."""
-    return F.transform(F.split(cell, ","), F.trim)
+    return F.transform(F.split(cell, ","), lambda item: F.trim(item))
 
 
 def append_when_absent(cell: Column, *, item: str, only: str, without: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.draws import hash_share, poisson_weight
 from seriesmill.operators.ordered import row_index
 from seriesmill.operators.quantiles import quantiles
-from seriesmill.session import as_list
+from seriesmill.session import as_list, join_null_safe
 
 EPS = 2.220446049250313e-16
 
@@ -35,12 +35,13 @@ def _sum_metrics(weight: Column) -> dict[str, Column]:
     """Base metrics that need only weighted sums over columns ``__e`` (error) and ``__y`` (centred target)."""
     n = F.sum(weight)
     squares = F.sum(weight * F.col("__e") * F.col("__e"))
-    mean_error = F.sum(weight * F.col("__e")) / n
-    spread = F.sum(weight * F.col("__y") * F.col("__y")) - F.sum(weight * F.col("__y")) * F.sum(weight * F.col("__y")) / n
+    mean_error = F.try_divide(F.sum(weight * F.col("__e")), n)
+    total = F.sum(weight * F.col("__y"))
+    spread = F.sum(weight * F.col("__y") * F.col("__y")) - F.try_divide(total * total, n)
     return {
-        "mse": squares / n,
-        "rmse": F.sqrt(squares / n),
-        "mae": F.sum(weight * F.abs("__e")) / n,
+        "mse": F.try_divide(squares, n),
+        "rmse": F.sqrt(F.try_divide(squares, n)),
+        "mae": F.try_divide(F.sum(weight * F.abs("__e")), n),
         "me": mean_error,
         "ame": F.abs(mean_error),
         "r2": F.greatest(F.lit(0.0), F.lit(1.0) - squares / (F.greatest(spread, F.lit(0.0)) + EPS)),
@@ -64,14 +65,19 @@ def _errors(df: DataFrame, keys: Sequence[str], y: str, y_hat: str) -> DataFrame
 def _metric_table(rows: DataFrame, keys: list[str], metrics: Sequence[str], weight: str | None, levels: int) -> DataFrame:
     bases = list(dict.fromkeys(METRICS[m][0] for m in metrics))
     sums = _sum_metrics(F.col(weight).cast("double") if weight else F.lit(1.0))
-    table = rows.groupBy(*keys).agg(*[sums[b].alias(f"__m_{b}") for b in bases if b in sums])
+    parts = []
+    if any(b in sums for b in bases):
+        parts.append(rows.groupBy(*keys).agg(*[sums[b].alias(f"__m_{b}") for b in bases if b in sums]))
     if {"mde", "amde"} & set(bases):
         middle = quantiles(rows, "__e", [0.5], keys, weight, ["__m_mde"], levels)
-        middle = middle.withColumn("__m_amde", F.abs("__m_mde"))
-        table = table.join(middle, keys) if keys else middle
+        parts.append(middle.withColumn("__m_amde", F.abs("__m_mde")))
     if "mdae" in bases:
-        spread = quantiles(rows.withColumn("__e", F.abs("__e")), "__e", [0.5], keys, weight, ["__m_mdae"], levels)
-        table = table.join(spread, keys) if keys else spread
+        parts.append(quantiles(rows.withColumn("__e", F.abs("__e")), "__e", [0.5], keys, weight, ["__m_mdae"], levels))
+    if not keys:  # one row each: give them a key to meet on
+        parts = [part.withColumn("__one", F.lit(1)) for part in parts]
+    table = parts[0]
+    for part in parts[1:]:
+        table = join_null_safe(table, part, keys or ["__one"])
     return _signed(table, keys, metrics)
 
 
@@ -88,10 +94,13 @@ def regression_metrics(
 
 
 def draw_weights(
-    df: DataFrame, row_id: str, replicates: int, seed: int, method: str = "md5", mode: str = "poisson"
+    df: DataFrame, row_id: str, replicates: int, seed: int, method: str = "md5", mode: str = "poisson", keep_zero: bool = False
 ) -> DataFrame:
     """Rows with their multiplicity ``weight`` in each replicate; rows not drawn are left out.
 
+    ``keep_zero`` keeps the rows that ``poisson`` did not draw: cheaper when only
+    weighted sums follow, because a filter would hash every row a second time.
+
     ``poisson``: an independent Poisson(1) hash draw per (row, replicate), so
     the drawn total varies around n and nothing is shuffled.
     ``multinomial``: exactly n draws with replacement per replicate; positions
@@ -100,8 +109,10 @@ def draw_weights(
     """
     if mode == "poisson":
         exploded = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        share = hash_share(F.col(row_id), F.col("replicate"), seed, method=method)
-        return exploded.withColumn("weight", poisson_weight(share)).filter(F.col("weight") > 0)
+        # the share is a column of its own, so the hash is taken once and not once per step of the weight
+        shared = exploded.withColumn("__share", hash_share(F.col(row_id), F.col("replicate"), seed, method=method))
+        weighted = shared.withColumn("weight", poisson_weight(F.col("__share"))).drop("__share")
+        return weighted if keep_zero else weighted.filter(F.col("weight") > 0)
     if mode != "multinomial":
         raise ValueError(f"unknown mode {mode!r}")
     ids = df.select(row_id).distinct()
@@ -145,7 +156,7 @@ def paired_bootstrap(
     """
     keys = [*as_list(candidate), "replicate"]
     errors = _errors(scored, [row_id, *as_list(candidate)], y, y_hat)
-    drawn = draw_weights(errors, row_id, replicates, seed, method, mode)
+    drawn = draw_weights(errors, row_id, replicates, seed, method, mode, keep_zero=True)
     return _metric_table(drawn, keys, metrics, "weight", levels)
 
 

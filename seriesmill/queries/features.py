@@ -20,7 +20,7 @@ TARGET = "l_extendedprice"
 FRAME_SQL = """
 f AS (SELECT l_orderkey, l_linenumber::DOUBLE AS l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_discount, l_tax, l_extendedprice,
              l_extendedprice * (1 - l_discount) AS net, l_quantity * (1 + l_tax) AS taxed,
-             sin(2 * pi() * (dayofyear(l_shipdate) - 1) / 365.0) AS day_sin, cos(2 * pi() * (dayofyear(l_shipdate) - 1) / 365.0) AS day_cos
+             round(sin(2 * pi() * (dayofyear(l_shipdate) - 1) / 365.0), 9) AS day_sin, round(cos(2 * pi() * (dayofyear(l_shipdate) - 1) / 365.0), 9) AS day_cos
       FROM lineitem)
 """
 
@@ -38,8 +38,8 @@ def feature_frame(spark, folder):
         "l_extendedprice",
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
         (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("taxed"),
-        F.sin(turn).alias("day_sin"),
-        F.cos(turn).alias("day_cos"),
+        F.round(F.sin(turn), 9).alias("day_sin"),
+        F.round(F.cos(turn), 9).alias("day_cos"),
     )
 
 
@@ -97,10 +97,10 @@ def _mi_sql() -> str:
         parts.append(
             f"""
             SELECT '{c}' AS feature, {i} AS position, sum(n / t * ln(n * t / (nx * ny))) AS score FROM (
-              SELECT DISTINCT bx, by, count(*) OVER (PARTITION BY bx, by)::DOUBLE AS n, count(*) OVER (PARTITION BY bx)::DOUBLE AS nx,
-                     count(*) OVER (PARTITION BY by)::DOUBLE AS ny, count(*) OVER ()::DOUBLE AS t
-              FROM (SELECT least(floor(({c} - (SELECT min({c}) FROM f)) * {bins} / (SELECT max({c}) - min({c}) FROM f)), {bins - 1}) AS bx,
-                           least(floor(({TARGET} - (SELECT min({TARGET}) FROM f)) * {bins} / (SELECT max({TARGET}) - min({TARGET}) FROM f)), {bins - 1}) AS by
+              SELECT DISTINCT b1, b2, count(*) OVER (PARTITION BY b1, b2)::DOUBLE AS n, count(*) OVER (PARTITION BY b1)::DOUBLE AS nx,
+                     count(*) OVER (PARTITION BY b2)::DOUBLE AS ny, count(*) OVER ()::DOUBLE AS t
+              FROM (SELECT least(floor(({c} - (SELECT min({c}) FROM f)) * {bins} / (SELECT max({c}) - min({c}) FROM f)), {bins - 1}) AS b1,
+                           least(floor(({TARGET} - (SELECT min({TARGET}) FROM f)) * {bins} / (SELECT max({TARGET}) - min({TARGET}) FROM f)), {bins - 1}) AS b2
                     FROM f))
             """
         )

@@ -42,7 +42,7 @@ testing AS (
 SCORES_SQL = """
 scores AS (
   SELECT 'run_' || l_suppkey AS run, l_orderkey % 3 AS iteration, CASE l_partkey % 4 WHEN 0 THEN 'baseline' ELSE cast(l_partkey % 4 AS VARCHAR) END AS candidate,
-         l_linenumber AS idx, round(-avg(l_extendedprice) / 1000, 4) AS neg_rmse
+         l_linenumber AS idx, round(-avg(l_extendedprice) / 1000, 9) AS neg_rmse
   FROM lineitem GROUP BY 1, 2, 3, 4)
 """
 
@@ -96,7 +96,7 @@ def validation_metrics(spark, folder):
     candidate = F.when(F.col("l_partkey") % 4 == 0, "baseline").otherwise((F.col("l_partkey") % 4).cast("string"))
     grouped = load(spark, folder, "lineitem").groupBy(
         _run_of_item(), (F.col("l_orderkey") % 3).alias("iteration"), candidate.alias("candidate"), F.col("l_linenumber").cast("long").alias("idx")
-    ).agg(rounded(-F.avg("l_extendedprice") / 1000, 4).alias("value"))
+    ).agg(rounded(-F.avg("l_extendedprice") / 1000, 9).alias("value"))
     key = F.concat_ws("/", F.lit("validation"), F.col("iteration").cast("string"), "candidate", F.lit("neg_rmse"))
     return grouped.select("run", key.alias("key"), F.col("iteration").cast("int").alias("step"), "idx", "value")
 
@@ -136,7 +136,7 @@ feats AS (SELECT 'run_' || l_suppkey AS run, list_sort(list(DISTINCT p_brand)) A
 @query(
     f"""
     WITH {RUNS_SQL}, {TESTING_SQL}, {FEATURES_SQL}, {LOOP_SQL}, {SCORES_SQL},
-    t AS (SELECT run, round(median(value) FILTER (key = 'testing/rmse'), 5) AS rmse, round(median(value) FILTER (key = 'testing/mae'), 5) AS mae FROM testing GROUP BY 1),
+    t AS (SELECT run, round(median(value) FILTER (key = 'testing/rmse'), 8) AS rmse, round(median(value) FILTER (key = 'testing/mae'), 8) AS mae FROM testing GROUP BY 1),
     c AS (SELECT run, count(*) FILTER (key = 'fast_stop_iteration') AS fast_stops, count(*) FILTER (key = 'selected_cluster_id') AS total_iterations FROM loop GROUP BY 1),
     m AS (SELECT run, count(DISTINCT (iteration, candidate)) FILTER (candidate <> 'baseline') + 1 AS fitted FROM scores GROUP BY 1)
     SELECT run, domain, type, model, n_features, rmse, mae, coalesce(array_to_string(features, ','), '') AS features, fast_stops, total_iterations, fitted AS fitted_models
@@ -149,7 +149,7 @@ def results_table(spark, folder):
         run_table(spark, folder), all_metrics(spark, folder), run_features(spark, folder), ["rmse", "mae"], "median"
     )
     return results.select(
-        "run", "domain", "type", "model", "n_features", rounded("rmse", 5).alias("rmse"), rounded("mae", 5).alias("mae"),
+        "run", "domain", "type", "model", "n_features", rounded("rmse", 8).alias("rmse"), rounded("mae", 8).alias("mae"),
         F.coalesce(F.array_join("selected_features", ","), F.lit("")).alias("features"), "fast_stops", "total_iterations", "fitted_models",
     )
 
@@ -190,16 +190,16 @@ def selection_reasons(spark, folder):
 @query(
     f"""
     WITH {SCORES_SQL}
-    SELECT a.run, cast(a.iteration AS INTEGER) AS iteration, a.candidate, round(median(-a.neg_rmse), 4) + 0.0 AS rmse,
-           round(median(a.neg_rmse - b.neg_rmse), 4) + 0.0 AS diff_median,
-           round(quantile_cont(a.neg_rmse - b.neg_rmse, 0.05), 4) + 0.0 AS diff_p05, round(quantile_cont(a.neg_rmse - b.neg_rmse, 0.95), 4) + 0.0 AS diff_p95
+    SELECT a.run, cast(a.iteration AS INTEGER) AS iteration, a.candidate, round(median(-a.neg_rmse), 12) + 0.0 AS rmse,
+           round(median(a.neg_rmse - b.neg_rmse), 12) + 0.0 AS diff_median,
+           round(quantile_cont(a.neg_rmse - b.neg_rmse, 0.05), 12) + 0.0 AS diff_p05, round(quantile_cont(a.neg_rmse - b.neg_rmse, 0.95), 12) + 0.0 AS diff_p95
     FROM scores a JOIN scores b ON a.run = b.run AND a.iteration = b.iteration AND a.idx = b.idx AND b.candidate = 'baseline' GROUP BY 1, 2, 3
     """
 )
 def candidate_differences(spark, folder):
     """Paired score differences of every candidate in every round."""
     found = R.candidate_differences(validation_metrics(spark, folder))
-    return found.select("run", "iteration", "candidate", *[rounded(c, 4).alias(c) for c in ("rmse", "diff_median", "diff_p05", "diff_p95")])
+    return found.select("run", "iteration", "candidate", *[rounded(c, 12).alias(c) for c in ("rmse", "diff_median", "diff_p05", "diff_p95")])
 
 
 def _clusters(spark, folder):
@@ -215,14 +215,14 @@ def selection_explanations(spark, folder):
 
 
 @query(
-    f"WITH {TESTING_SQL} SELECT run, round(avg(value), 5) AS mean_metric FROM testing WHERE key = 'testing/rmse' GROUP BY 1 ORDER BY avg(value), 1 LIMIT 1"
+    f"WITH {TESTING_SQL} SELECT run, round(avg(value), 8) AS mean_metric FROM testing WHERE key = 'testing/rmse' GROUP BY 1 ORDER BY avg(value), 1 LIMIT 1"
 )
 def explanation_of_best_run(spark, folder):
     """The explained run with the lowest mean error."""
     metrics = validation_metrics(spark, folder).unionByName(loop_metrics(spark, folder))
     texts = R.explanations(metrics, _clusters(spark, folder))
     arrays = R.metric_arrays(testing_metrics(spark, folder), ["testing/rmse"], ["rmse"]).join(texts, "run", "left")
-    return R.best_explanation(arrays).select("run", rounded("mean_metric", 5).alias("mean_metric"))
+    return R.best_explanation(arrays).select("run", rounded("mean_metric", 8).alias("mean_metric"))
 
 
 PAIR_SCORES_SQL = f"""
@@ -361,8 +361,8 @@ def best_feature_table(spark, folder):
     f"""
     WITH {RUNS_SQL}, {TESTING_SQL}, v AS (SELECT scenario, label, value AS rmse FROM testing JOIN labelled USING (run) WHERE key = 'testing/rmse'),
     q AS (SELECT scenario, label, count(*) AS n, quantile_cont(rmse, 0.25) AS q1, median(rmse) AS median, quantile_cont(rmse, 0.75) AS q3 FROM v GROUP BY 1, 2)
-    SELECT scenario, label, n, round(q1, 5) AS q1, round(median, 5) AS median, round(q3, 5) AS q3,
-           round(min(rmse) FILTER (rmse >= q1 - 1.5 * (q3 - q1)), 5) AS whisker_low, round(max(rmse) FILTER (rmse <= q3 + 1.5 * (q3 - q1)), 5) AS whisker_high
+    SELECT scenario, label, n, round(q1, 8) AS q1, round(median, 8) AS median, round(q3, 8) AS q3,
+           round(min(rmse) FILTER (rmse >= q1 - 1.5 * (q3 - q1)), 8) AS whisker_low, round(max(rmse) FILTER (rmse <= q3 + 1.5 * (q3 - q1)), 8) AS whisker_high
     FROM v JOIN q USING (scenario, label) GROUP BY ALL
     """
 )
@@ -370,7 +370,7 @@ def box_statistics_per_method(spark, folder):
     """Box-plot numbers of the error per scenario and method."""
     values = R.exploded_metric(_all_arrays(spark, folder), "rmse")
     found = box_statistics(values, "rmse", ["scenario", "label"])
-    return found.select("scenario", "label", "n", *[rounded(c, 5).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
+    return found.select("scenario", "label", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
 
 
 def _all_arrays(spark, folder):
@@ -382,7 +382,7 @@ def _all_arrays(spark, folder):
     f"""
     WITH {RUNS_SQL}, {TESTING_SQL},
     v AS (SELECT n_features, CASE WHEN label LIKE 'CSFS%' THEN 'CSFS' ELSE label END AS family, value FROM testing JOIN labelled USING (run) WHERE key = 'testing/rmse')
-    SELECT n_features, family, count(*) AS n, round(quantile_cont(value, 0.25), 5) AS q1, round(median(value), 5) AS median, round(quantile_cont(value, 0.75), 5) AS q3
+    SELECT n_features, family, count(*) AS n, round(quantile_cont(value, 0.25), 8) AS q1, round(median(value), 8) AS median, round(quantile_cont(value, 0.75), 8) AS q3
     FROM v GROUP BY 1, 2
     """
 )
@@ -391,13 +391,13 @@ def box_statistics_per_size(spark, folder):
     families = {"CSFS": ["CSFS\n(FI)", "CSFS\n(corr.)", "CSFS\n(rnd.)"]}
     values = R.exploded_metric(_all_arrays(spark, folder), "rmse").withColumn("family", method_family(F.col("label"), families))
     found = box_statistics(values, "rmse", ["n_features", "family"])
-    return found.select("n_features", "family", "n", *[rounded(c, 5).alias(c) for c in ("q1", "median", "q3")])
+    return found.select("n_features", "family", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3")])
 
 
 @query(
     f"""
     WITH {RUNS_SQL}
-    SELECT label, count(*) AS n, round(quantile_cont(fs_runtime / 60, 0.25), 5) AS q1, round(median(fs_runtime / 60), 5) AS median, round(quantile_cont(fs_runtime / 60, 0.75), 5) AS q3
+    SELECT label, count(*) AS n, round(quantile_cont(fs_runtime / 60, 0.25), 8) AS q1, round(median(fs_runtime / 60), 8) AS median, round(quantile_cont(fs_runtime / 60, 0.75), 8) AS q3
     FROM labelled WHERE clustering IS NOT NULL GROUP BY 1
     """
 )
@@ -405,18 +405,18 @@ def runtime_distribution(spark, folder):
     """Selection runtime in minutes per method."""
     runs = run_table(spark, folder).filter(F.col("clustering").isNotNull()).withColumn("minutes", F.col("fs_runtime") / 60)
     found = box_statistics(runs, "minutes", "label")
-    return found.select("label", "n", *[rounded(c, 5).alias(c) for c in ("q1", "median", "q3")])
+    return found.select("label", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3")])
 
 
 @query(
     f"""
     WITH {RUNS_SQL}, {TESTING_SQL}
-    SELECT domain, type, model, round(median(value), 5) AS rmse FROM testing JOIN labelled USING (run) WHERE key = 'testing/rmse' GROUP BY 1, 2, 3
+    SELECT domain, type, model, round(median(value), 8) AS rmse FROM testing JOIN labelled USING (run) WHERE key = 'testing/rmse' GROUP BY 1, 2, 3
     """
 )
 def median_error_per_model(spark, folder):
     """Median error per domain, type and model."""
-    return R.median_by(_all_arrays(spark, folder), "rmse", ["domain", "type", "model"]).withColumn("rmse", rounded("rmse", 5))
+    return R.median_by(_all_arrays(spark, folder), "rmse", ["domain", "type", "model"]).withColumn("rmse", rounded("rmse", 8))
 
 
 @query(
@@ -478,9 +478,9 @@ def attributes_from_names(spark, folder):
 @query(
     f"""
     WITH {TESTING_SQL}
-    SELECT 'max' AS target, run, round(value, 5) AS value FROM (SELECT run, max(value) AS value FROM testing WHERE key = 'testing/mae' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
-    UNION ALL SELECT 'min', run, round(value, 5) FROM (SELECT run, min(value) AS value FROM testing WHERE key = 'testing/mae' GROUP BY 1 ORDER BY 2, 1 LIMIT 1)
-    UNION ALL SELECT '50', run, round(value, 5) FROM (
+    SELECT 'max' AS target, run, round(value, 8) AS value FROM (SELECT run, max(value) AS value FROM testing WHERE key = 'testing/mae' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+    UNION ALL SELECT 'min', run, round(value, 8) FROM (SELECT run, min(value) AS value FROM testing WHERE key = 'testing/mae' GROUP BY 1 ORDER BY 2, 1 LIMIT 1)
+    UNION ALL SELECT '50', run, round(value, 8) FROM (
       SELECT run, arg_min(value, (abs(value - 50), value)) AS value, min(abs(value - 50)) AS d FROM testing WHERE key = 'testing/mae' GROUP BY 1 ORDER BY d, 1 LIMIT 1)
     """
 )
@@ -488,7 +488,7 @@ def best_run_by_objective(spark, folder):
     """The best run under max, min and closeness."""
     metrics = testing_metrics(spark, folder)
     parts = [
-        R.best_run(metrics, "testing/mae", target).select(F.lit(name).alias("target"), "run", rounded("value", 5).alias("value"))
+        R.best_run(metrics, "testing/mae", target).select(F.lit(name).alias("target"), "run", rounded("value", 8).alias("value"))
         for name, target in (("max", "max"), ("min", "min"), ("50", 50.0))
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -550,9 +550,9 @@ def copy_records_below(spark, folder):
     return R.copy_records(validation_metrics(spark, folder), "validation/0/2", "validation/1/baseline").drop("step")
 
 
-@query(f"WITH {TESTING_SQL} SELECT run, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std FROM testing WHERE key = 'testing/rmse' GROUP BY 1")
+@query(f"WITH {TESTING_SQL} SELECT run, round(avg(value), 11) AS mean, round(stddev_pop(value), 8) AS std FROM testing WHERE key = 'testing/rmse' GROUP BY 1")
 def array_metric_statistics(spark, folder):
     """Mean and population deviation of a metric array per run."""
     stats = list_statistics(F.col("rmse"))
     arrays = R.metric_arrays(testing_metrics(spark, folder), ["testing/rmse"], ["rmse"])
-    return arrays.select("run", rounded(stats["mean"], 5).alias("mean"), rounded(stats["std"], 5).alias("std"))
+    return arrays.select("run", rounded(stats["mean"], 11).alias("mean"), rounded(stats["std"], 8).alias("std"))
