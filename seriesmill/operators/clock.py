@@ -69,6 +69,9 @@ def repair_repeated_hour(df: DataFrame, asset: str, ts: str, signals: Sequence[s
     marked = df.join(wanted, [asset, ts], "left")
     untouched = marked.filter(F.col("__year").isNull()).select(*df.columns)
     touched = marked.filter(F.col("__year").isNotNull()).select(*df.columns, "__year")
+    # a fixed number of parts: adaptive execution would merge these few rows into one Python task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    touched = touched.repartition(parts, asset, "__year")
 
     def repair(rows: pd.DataFrame) -> pd.DataFrame:
         return _repair(rows.drop(columns="__year"), ts, signals)

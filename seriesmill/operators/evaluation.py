@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.draws import hash_share, poisson_weight
 from seriesmill.operators.ordered import row_index
 from seriesmill.operators.quantiles import quantiles
-from seriesmill.session import as_list, join_null_safe
+from seriesmill.session import as_list, join_null_safe, spread
 
 EPS = 2.220446049250313e-16
 
@@ -37,14 +37,14 @@ def _sum_metrics(weight: Column) -> dict[str, Column]:
     squares = F.sum(weight * F.col("__e") * F.col("__e"))
     mean_error = F.try_divide(F.sum(weight * F.col("__e")), n)
     total = F.sum(weight * F.col("__y"))
-    spread = F.sum(weight * F.col("__y") * F.col("__y")) - F.try_divide(total * total, n)
+    deviations = F.sum(weight * F.col("__y") * F.col("__y")) - F.try_divide(total * total, n)
     return {
         "mse": F.try_divide(squares, n),
         "rmse": F.sqrt(F.try_divide(squares, n)),
         "mae": F.try_divide(F.sum(weight * F.abs("__e")), n),
         "me": mean_error,
         "ame": F.abs(mean_error),
-        "r2": F.greatest(F.lit(0.0), F.lit(1.0) - squares / (F.greatest(spread, F.lit(0.0)) + EPS)),
+        "r2": F.greatest(F.lit(0.0), F.lit(1.0) - squares / (F.greatest(deviations, F.lit(0.0)) + EPS)),
     }
 
 
@@ -62,17 +62,29 @@ def _errors(df: DataFrame, keys: Sequence[str], y: str, y_hat: str) -> DataFrame
     )
 
 
-def _metric_table(rows: DataFrame, keys: list[str], metrics: Sequence[str], weight: str | None, levels: int) -> DataFrame:
+def _metric_table(
+    rows: DataFrame,
+    keys: list[str],
+    metrics: Sequence[str],
+    levels: int,
+    draw: Callable[[DataFrame, bool], DataFrame] | None = None,
+) -> DataFrame:
+    """Metrics per key; ``draw(rows, keep_zero)`` adds ``replicate`` (one of the keys) and ``weight``."""
     bases = list(dict.fromkeys(METRICS[m][0] for m in metrics))
-    sums = _sum_metrics(F.col(weight).cast("double") if weight else F.lit(1.0))
+    weight = F.col("weight").cast("double") if draw else F.lit(1.0)
+    sums = _sum_metrics(weight)
+    options: dict = {"levels": levels}
+    if draw:
+        options.update(weight="weight", expand=lambda frame: draw(frame, False), expanded=["replicate"])
     parts = []
     if any(b in sums for b in bases):
-        parts.append(rows.groupBy(*keys).agg(*[sums[b].alias(f"__m_{b}") for b in bases if b in sums]))
+        drawn = draw(rows, True) if draw else rows
+        parts.append(drawn.groupBy(*keys).agg(*[sums[b].alias(f"__m_{b}") for b in bases if b in sums]))
     if {"mde", "amde"} & set(bases):
-        middle = quantiles(rows, "__e", [0.5], keys, weight, ["__m_mde"], levels)
+        middle = quantiles(rows, "__e", [0.5], keys, names=["__m_mde"], **options)
         parts.append(middle.withColumn("__m_amde", F.abs("__m_mde")))
     if "mdae" in bases:
-        parts.append(quantiles(rows.withColumn("__e", F.abs("__e")), "__e", [0.5], keys, weight, ["__m_mdae"], levels))
+        parts.append(quantiles(rows.withColumn("__e", F.abs("__e")), "__e", [0.5], keys, names=["__m_mdae"], **options))
     if not keys:  # one row each: give them a key to meet on
         parts = [part.withColumn("__one", F.lit(1)) for part in parts]
     table = parts[0]
@@ -90,11 +102,18 @@ def regression_metrics(
     so no group is held by one task.
     """
     group = as_list(group)
-    return _metric_table(_errors(df, group, y, y_hat), group, metrics, None, levels)
+    return _metric_table(_errors(df, group, y, y_hat), group, metrics, levels)
 
 
 def draw_weights(
-    df: DataFrame, row_id: str, replicates: int, seed: int, method: str = "md5", mode: str = "poisson", keep_zero: bool = False
+    df: DataFrame,
+    row_id: str,
+    replicates: int,
+    seed: int,
+    method: str = "md5",
+    mode: str = "poisson",
+    keep_zero: bool = False,
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with their multiplicity ``weight`` in each replicate; rows not drawn are left out.
 
@@ -105,22 +124,23 @@ def draw_weights(
     the drawn total varies around n and nothing is shuffled.
     ``multinomial``: exactly n draws with replacement per replicate; positions
     are hashed, counted and joined to the row index.  Equal row ids (the same
-    row under several candidates) get equal draws in both modes.
+    row under several candidates) get equal draws in both modes.  ``population``
+    is the table to draw from when ``df`` is only a part of it.
     """
     if mode == "poisson":
-        exploded = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        exploded = spread(df).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         # the share is a column of its own, so the hash is taken once and not once per step of the weight
         shared = exploded.withColumn("__share", hash_share(F.col(row_id), F.col("replicate"), seed, method=method))
         weighted = shared.withColumn("weight", poisson_weight(F.col("__share"))).drop("__share")
         return weighted if keep_zero else weighted.filter(F.col("weight") > 0)
     if mode != "multinomial":
         raise ValueError(f"unknown mode {mode!r}")
-    ids = df.select(row_id).distinct()
-    spread = F.pmod(F.xxhash64(row_id), F.lit(4096))
-    places = row_index(ids.withColumn("__chunk_key", spread), [F.col("__chunk_key"), F.col(row_id)], [F.col("__chunk_key")], name="__place")
+    ids = (df if population is None else population).select(row_id).distinct()
+    drawer = F.pmod(F.xxhash64(row_id), F.lit(4096))
+    places = row_index(ids.withColumn("__chunk_key", drawer), [F.col("__chunk_key"), F.col(row_id)], [F.col("__chunk_key")], name="__place")
     size = ids.agg(F.count(F.lit(1)).alias("__n"))
     trials = (
-        places.select("__place")
+        spread(places.select("__place"))
         .withColumn("__n", size.scalar())
         .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     )
@@ -156,8 +176,11 @@ def paired_bootstrap(
     """
     keys = [*as_list(candidate), "replicate"]
     errors = _errors(scored, [row_id, *as_list(candidate)], y, y_hat)
-    drawn = draw_weights(errors, row_id, replicates, seed, method, mode, keep_zero=True)
-    return _metric_table(drawn, keys, metrics, "weight", levels)
+
+    def draw(rows: DataFrame, keep_zero: bool) -> DataFrame:
+        return draw_weights(rows, row_id, replicates, seed, method, mode, keep_zero, population=scored)
+
+    return _metric_table(errors, keys, metrics, levels, draw)
 
 
 def percentile_interval(df: DataFrame, value: str, group: Sequence[str] | str = (), p: float = 0.95) -> DataFrame:

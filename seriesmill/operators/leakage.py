@@ -21,95 +21,99 @@ from pyspark.sql import functions as F
 from seriesmill.functions.timefeat import DAY_MICROS
 from seriesmill.operators.ordered import time_chunk
 
-LEVELS = 17  # days up to 2**17 apart (350 years)
-
-
 def _instants(df: DataFrame, group: str | None, ts: str, side: str) -> DataFrame:
-    """Rows per (group, day, time of day); equal instants are folded first."""
     key = F.col(group) if group else F.lit(0)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return (
-        df.filter(F.col(ts).isNotNull())
-        .groupBy(key.alias("g"), F.floor(micros / F.lit(DAY_MICROS)).alias("q"), F.pmod(micros, F.lit(DAY_MICROS)).alias("r"))
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-        .withColumn("side", F.lit(side))
+    return df.filter(F.col(ts).isNotNull()).select(
+        key.alias("g"),
+        F.floor(micros / F.lit(DAY_MICROS)).alias("q"),
+        F.pmod(micros, F.lit(DAY_MICROS)).alias("r"),
+        F.lit(float(side == "test")).alias("te"),
+        F.lit(float(side == "train")).alias("tr"),
     )
 
 
-def _running(rows: DataFrame, node: list[str], slots: int) -> DataFrame:
-    """For each test row: total train weight of its node and the part with r_train >= r_test.
+def _tree_rows(counts: DataFrame) -> DataFrame:
+    """Every instant once per tree level, and once (level -1) in the node of its own day.
 
-    The time of day is cut into slots; slot totals carry across, so a node with
-    a third of all rows is still spread over ``slots`` tasks.
+    ``te_f``/``tr_f`` weigh pairs whose train day is not before the test day,
+    ``te_b``/``tr_b`` the others; ``mi_*`` is the test set in the train role.
     """
-    keyed = rows.withColumn("slot", F.floor(F.col("r") * slots / DAY_MICROS))
-    later = Window.partitionBy(*node).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    # days count from the first one, so the tree is as high as the calendar is long
+    span = counts.agg(F.struct(F.min("q").alias("first"), F.max("q").alias("last"))).scalar()
+    placed = counts.withColumn("span", span)
+    height = F.length(F.bin(F.col("span.last") - F.col("span.first")))
+    placed = placed.withColumns({"q": F.col("q") - F.col("span.first"), "height": height})
+    leveled = placed.withColumn("level", F.explode(F.sequence(F.lit(-1), F.col("height") - 1))).drop("span", "height")
+    own_day = F.col("level") < 0
+    width = F.pow(F.lit(2.0), F.greatest("level", F.lit(0)))
+    half = F.floor(F.col("q") / width)
+    node = F.when(own_day, F.col("q")).otherwise(F.floor(half / 2))
+    leveled = leveled.withColumns({"node": node, "left": ~own_day & (half % 2 == 0), "right": ~own_day & (half % 2 == 1)})
+    middle = (F.col("node") * 2 + 1) * width
+    decay = F.when(own_day, F.lit(1.0)).otherwise(F.exp(-F.abs(F.col("q") - middle)))
+    leveled = leveled.withColumns({"te": F.col("te") * decay, "tr": F.col("tr") * decay})
+
+    def share(where: Column, column: str) -> Column:
+        return F.when(where, F.col(column)).otherwise(F.lit(0.0))
+
+    earlier, later = own_day | F.col("left"), own_day | F.col("right")
+    return leveled.select(
+        "g",
+        "level",
+        "node",
+        "r",
+        share(earlier, "te").alias("te_f"),
+        share(later, "tr").alias("tr_f"),
+        share(later, "te").alias("mi_f"),
+        share(F.col("right"), "te").alias("te_b"),
+        share(F.col("left"), "tr").alias("tr_b"),
+        share(F.col("left"), "te").alias("mi_b"),
+    )
+
+
+def data_leakage(
+    test: DataFrame, train: DataFrame, ts: str, group: str | None = None, alpha: float = 0.0, slots: int = 24
+) -> DataFrame:
+    """One row ``leakage``: 1 when the training set is the test set, near 0 when they are far apart.
+
+    The time of day is cut into ``slots``; slot totals carry across, so a node
+    that holds a third of all rows is still sorted by ``slots`` tasks.
+    """
+    both = _instants(test, group, ts, "test").unionByName(_instants(train, group, ts, "train"))
+    counts = both.groupBy("g", "q", "r").agg(F.sum("te").alias("te"), F.sum("tr").alias("tr"))
+    rows = _tree_rows(counts).withColumn("slot", F.floor(F.col("r") * slots / DAY_MICROS))
+    roles = ["tr_f", "mi_f", "tr_b", "mi_b"]
+    node = ["g", "level", "node"]
+
+    after = Window.partitionBy(*node).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*node)
-    carry = (
-        keyed.groupBy(*node, "slot")
-        .agg(F.sum("train").alias("t"))
-        .select(*node, "slot", F.coalesce(F.sum("t").over(later), F.lit(0.0)).alias("after"), F.sum("t").over(whole).alias("all"))
+    carry = rows.groupBy(*node, "slot").agg(*[F.sum(c).alias(c) for c in roles])
+    carry = carry.select(
+        *node,
+        "slot",
+        *[F.coalesce(F.sum(c).over(after), F.lit(0.0)).alias(f"{c}_after") for c in roles],
+        *[F.sum(c).over(whole).alias(f"{c}_all") for c in roles],
     )
     inside = Window.partitionBy(*node, "slot").orderBy(F.desc("r"))
     inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return keyed.withColumn("here", F.sum("train").over(inside)).join(carry, [*node, "slot"]).withColumn(
-        "at_or_after", F.col("here") + F.col("after")
-    )
-
+    reached = rows.withColumns({f"{c}_here": F.sum(c).over(inside) for c in roles}).join(carry, [*node, "slot"])
 
-def _pair_sum(test: DataFrame, train: DataFrame, alpha: float, slots: int) -> DataFrame:
-    """One row ``total``: the unnormalised measure."""
-    both = test.unionByName(train)
     e = F.exp(F.lit(1.0))
-    is_test, is_train = F.col("side") == "test", F.col("side") == "train"
 
-    same_day = both.withColumns(
-        {"test": F.when(is_test, F.col("n")).otherwise(0.0), "train": F.when(is_train, F.col("n")).otherwise(0.0)}
-    )
-    same = _running(same_day, ["g", "q"], slots).select(
-        (F.col("test") * (F.col("at_or_after") + (F.col("all") - F.col("at_or_after")) * F.lit(alpha) / e)).alias("part")
-    )
+    def met(role: str, factor: Column) -> Column:
+        """Weight of the partners at or after this time of day, and of the others times ``factor``."""
+        at_or_after = F.col(f"{role}_here") + F.col(f"{role}_after")
+        return at_or_after + (F.col(f"{role}_all") - at_or_after) * factor
 
-    leveled = both.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-    width = F.pow(F.lit(2.0), F.col("level")).cast("long")
-    half = F.floor(F.col("q") / width)
-    leveled = leveled.withColumns({"node": F.floor(half / 2), "right": F.pmod(half, F.lit(2)) == 1})
-    middle = (F.col("node") * 2 + 1) * width
-    decay = F.exp(-F.abs(F.col("q") - middle).cast("double"))
-    parts = [same]
-    # forward: test in the left half, train in the right half (train later)
-    forward = leveled.filter((is_test & ~F.col("right")) | (is_train & F.col("right"))).withColumns(
-        {"test": F.when(is_test, F.col("n") * decay).otherwise(0.0), "train": F.when(is_train, F.col("n") * decay).otherwise(0.0)}
-    )
-    reached = _running(forward, ["g", "level", "node"], slots)
-    parts.append(
-        reached.select((F.col("test") * (F.col("at_or_after") + (F.col("all") - F.col("at_or_after")) * e)).alias("part"))
-    )
-    if alpha:
-        backward = leveled.filter((is_test & F.col("right")) | (is_train & ~F.col("right"))).withColumns(
-            {"test": F.when(is_test, F.col("n") * decay).otherwise(0.0), "train": F.when(is_train, F.col("n") * decay).otherwise(0.0)}
-        )
-        reached = _running(backward, ["g", "level", "node"], slots)
-        parts.append(
-            reached.select(
-                (F.col("test") * (F.col("at_or_after") + (F.col("all") - F.col("at_or_after")) / e) * F.lit(alpha)).alias("part")
-            )
-        )
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    return united.agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("total"))
+    forward_rest = F.when(F.col("level") < 0, F.lit(alpha) / e).otherwise(e)
 
+    def total(role: str) -> Column:
+        forward = F.col("te_f") * met(f"{role}_f", forward_rest)
+        backward = F.col("te_b") * met(f"{role}_b", F.lit(1.0) / e) * F.lit(alpha)
+        return F.sum(forward + backward)
 
-def data_leakage(
-    test: DataFrame, train: DataFrame, ts: str, group: str | None = None, alpha: float = 0.0, slots: int = 24
-) -> DataFrame:
-    """One row ``leakage``: 1 when the training set is the test set, near 0 when they are far apart."""
-    tested, trained = _instants(test, group, ts, "test"), _instants(train, group, ts, "train")
-    mirror = tested.withColumn("side", F.lit("train"))
-    found = _pair_sum(tested, trained, alpha, slots)
-    worst = _pair_sum(tested, mirror, alpha, slots)
-    return found.select(F.try_divide(F.col("total"), worst.scalar()).alias("leakage"))
+    return reached.agg(F.try_divide(total("tr"), total("mi")).alias("leakage"))
 
 
 def distance_histogram(test: DataFrame, train: DataFrame, ts: str, group: str, slot_seconds: int = 86_400) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seriesmill.operators.evaluation import METRICS, paired_bootstrap, regression_metrics
 from seriesmill.operators.reshape import ScaleModel, fit_scaler
 from seriesmill.operators.split import split_head_tail
+from seriesmill.session import spread
 
 # Boosted tree families share Spark's implementation; linear is the fast baseline.
 ESTIMATORS = {"rf": RandomForestRegressor, "lgbm": GBTRegressor, "xgboost": GBTRegressor, "linear": LinearRegression}
@@ -101,7 +102,8 @@ def tune(
     ``start`` (for instance the best of a warm-up) is tried first.  Trials run
     as concurrent Spark jobs over one split that is cached for the search.
     """
-    parts = split_head_tail(df.select(*features, target, *_order_columns(df, features, target)), order, chunk, 1 - holdout).persist()
+    numbered = split_head_tail(df.select(*features, target, *_order_columns(df, features, target)), order, chunk, 1 - holdout)
+    parts = spread(numbered).persist()
     try:
         train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
         trials = ([dict(start)] if start else []) + [p for p in parameter_grid(space) if not start or p != dict(start)]
@@ -148,7 +150,7 @@ class ModelScorer:
         self.params = {"seed": seed, **(params or {})}
         self._target, self._row_id, self._family = target, row_id, family
         self._replicates, self._seed, self._parallelism = replicates, seed, parallelism
-        self._rows = df.select(row_id, part, target, *self.features).persist()
+        self._rows = spread(df.select(row_id, part, target, *self.features)).persist()
         self._part = part
 
     def _scored(self, features: Sequence[str]) -> DataFrame:
@@ -190,6 +192,7 @@ def test_fits(
 
     Every fit uses its own seed; all share the test draws.
     """
+    train, test = spread(train.select(*features, target)), test.select(row_id, target, *features)
     tables = []
     for fit in range(fits):
         model = fit_model(train, features, target, family, {**(params or {}), "seed": seed + fit})

@@ -10,12 +10,12 @@ those bins are sorted, each in its own task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.session import as_list, join_null_safe
+from seriesmill.session import as_list, join_null_safe, spread
 
 
 def bin_of(value: Column, edges: Column, levels: int) -> Column:
@@ -36,30 +36,40 @@ def quantiles(
     weight: str | None = None,
     names: Sequence[str] | None = None,
     levels: int = 10,
+    expand: Callable[[DataFrame], DataFrame] | None = None,
+    expanded: Sequence[str] = (),
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``group``; one row per group.
 
     ``weight`` is an integer multiplicity.  NULL and NaN are skipped.  With
     ``levels`` = 10 a sorted bin holds about a thousandth of the rows; raise it
     for larger tables.
+
+    ``expand`` multiplies the rows (bootstrap replicates) and adds the columns
+    ``expanded`` to group by, and perhaps the weight.  Bins are found before it,
+    and only rows of the wanted bins are expanded a second time.
     """
     group = as_list(group)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    rows = df.select(
-        *group,
-        F.col(value).cast("double").alias("__v"),
-        (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("__w"),
-    ).filter(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.col("__w") > 0))
+    narrow = [c for c in group if c not in expanded]
+    kept = df.columns if expand else [*group, *([weight] if weight else [])]
+    rows = spread(df.select(*kept, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v")))
     n_edges = (1 << levels) - 1
-    cuts = [(i + 1) / (n_edges + 1) for i in range(n_edges)]
-    edges = rows.agg(F.percentile_approx("__v", cuts, 8 * (n_edges + 1))).scalar()
-    binned = rows.withColumn("__edges", edges).withColumn("__bin", bin_of(F.col("__v"), F.col("__edges"), levels)).drop("__edges")
+    cuts = ", ".join(f"{(i + 1) / (n_edges + 1)!r}D" for i in range(n_edges))
+    edges = rows.agg(F.expr(f"percentile_approx(__v, array({cuts}), {8 * (n_edges + 1)})")).scalar()
+    placed = rows.withColumn("__edges", edges).withColumn("__bin", bin_of(F.col("__v"), F.col("__edges"), levels)).drop("__edges")
+
+    def weighted(frame: DataFrame) -> DataFrame:
+        grown = expand(frame) if expand else frame
+        w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+        return grown.select(*group, "__bin", "__v", w.alias("__w")).filter(F.col("__w") > 0)
 
     keys = [*group, "__bin"]
     up_to = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     overall = Window.partitionBy(*group)
     mass = (
-        binned.groupBy(*keys)
+        weighted(placed)
+        .groupBy(*keys)
         .agg(F.sum("__w").alias("__mass"))
         .withColumn("__end", F.sum("__mass").over(up_to))
         .withColumn("__total", F.sum("__mass").over(overall))
@@ -81,8 +91,12 @@ def quantiles(
     )
     needed = targets.groupBy(*keys).agg(F.collect_list(F.struct("__rank", "__i", "__side", "__share")).alias("__targets"))
     inside = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if expand:
+        # rows outside every wanted bin are not multiplied again
+        spots = [*narrow, "__bin"]
+        placed = join_null_safe(placed, needed.select(*spots).distinct(), spots, "left_semi")
     ends = (
-        join_null_safe(binned, needed.select(*keys), keys, "left_semi")
+        join_null_safe(weighted(placed), needed.select(*keys), keys, "left_semi")
         .groupBy(*keys, "__v")
         .agg(F.sum("__w").alias("__w"))
         .withColumn("__upto", F.sum("__w").over(inside))

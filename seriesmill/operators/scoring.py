@@ -11,29 +11,43 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.physics import float_divide
 from seriesmill.operators.quantiles import bin_of
+from seriesmill.session import spread
 
 LARGEST = 1.7976931348623157e308
 
 
 def pearson(x: Column, y: Column) -> Column:
     """Aggregate correlation; NULL for a constant column instead of a division error."""
-    x, y = x.cast("double"), y.cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _complete_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``pair, x, y`` for every row and pair of columns, incomplete pairs left out.
+
+    The rows multiply inside a task only: the aggregation that follows has one
+    group per pair and shrinks them before its shuffle.
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("pair"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    slim = spread(df.select(*[F.col(f"`{c}`") for c in columns]))
+    return slim.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """All pairs ``feature_a, feature_b, r`` (a before b) from one aggregation over the table.
+    """All pairs ``feature_a, feature_b, r`` (a before b), each over its complete rows; one pass.
 
     For a hundred and more features use ``correlation_matrix``.
     """
-    cells = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), pearson(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r"))
-        for i, a in enumerate(features)
-        for b in features[i + 1 :]
-    ]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    found = _complete_pairs(df, pairs).groupBy("pair").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    first, second = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
+    at = F.col("pair") + 1
+    return found.select(F.element_at(first, at).alias("feature_a"), F.element_at(second, at).alias("feature_b"), "r")
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
@@ -55,27 +69,21 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     return np.clip(r, -1, 1)
 
 
-def _unpivot_scores(row: DataFrame, features: Sequence[str]) -> DataFrame:
-    cells = [
-        F.struct(F.lit(name).alias("feature"), F.lit(i).alias("position"), F.col(f"s{i}").alias("score"))
-        for i, name in enumerate(features)
-    ]
-    return row.select(F.inline(F.array(*cells)))
-
-
 def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """``feature, position, score``: F-value of the univariate regression on each feature, one pass.
 
     A constant feature scores 0, a perfect one the largest double.
     """
-    y = F.col(f"`{target}`")
-    freedom = F.count(F.lit(1)) - 2
-    scores = []
-    for i, name in enumerate(features):
-        r = pearson(F.col(f"`{name}`"), y)
-        f_value = float_divide(r * r, F.lit(1.0) - r * r) * freedom
-        scores.append(F.least(F.coalesce(f_value, F.lit(0.0)), F.lit(LARGEST)).alias(f"s{i}"))
-    return _unpivot_scores(df.agg(*scores), features)
+    r = pearson(F.col("x"), F.col("y"))
+    found = _complete_pairs(df, [(f, target) for f in features]).groupBy("pair").agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
+    square = F.col("r") * F.col("r")
+    f_value = float_divide(square, F.lit(1.0) - square) * (F.col("n") - 2)
+    names = F.array(*[F.lit(f) for f in features])
+    return found.select(
+        F.element_at(names, F.col("pair") + 1).alias("feature"),
+        F.col("pair").alias("position"),
+        F.least(F.coalesce(f_value, F.lit(0.0)), F.lit(LARGEST)).alias("score"),
+    )
 
 
 def _width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -93,7 +101,7 @@ def mutual_information(
     sketches) and one for the counts, which shrink to features x bins^2 map-side.
     """
     columns = [*features, target]
-    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    numbers = spread(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
     if binning == "width":
         span = F.struct(*[F.struct(F.min(f"c{i}").alias("low"), F.max(f"c{i}").alias("high")).alias(f"e{i}") for i in range(len(columns))])
         placed = numbers.withColumn("__e", numbers.agg(span).scalar())
@@ -133,7 +141,7 @@ def forest_importance(df: DataFrame, features: Sequence[str], target: str, seed:
     """``feature, position, score`` from a random forest.  Fits a model."""
     from seriesmill.operators.models import fit_model
 
-    model = fit_model(df, features, target, "rf", {"seed": seed, **params})
+    model = fit_model(spread(df.select(*features, target)), features, target, "rf", {"seed": seed, **params})
     values = model.stages[-1].featureImportances.toArray()
     rows = [(name, i, float(v)) for i, (name, v) in enumerate(zip(features, values))]
     return df.sparkSession.createDataFrame(rows, "feature string, position int, score double")
