@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators.ordered import first_in_group
 from seriesmill.operators.quantiles import quantiles
-from seriesmill.session import as_list
+from seriesmill.session import as_list, join_null_safe
 
 
 def best_row(df: DataFrame, group: Sequence[str] | str, score: str, tie: Sequence[str], largest: bool = False) -> DataFrame:
@@ -44,7 +44,7 @@ def describe(df: DataFrame, column: str, group: Sequence[str] | str, levels: int
         F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")
     )
     places = quantiles(df, column, [0, 0.25, 0.5, 0.75, 1], group, names=["min", "q25", "q50", "q75", "max"], levels=levels)
-    return basic.join(places, group)
+    return join_null_safe(basic, places, group)
 
 
 def aggregate_values(df: DataFrame, value: str, mode: str, group: Sequence[str] | str, levels: int = 10) -> DataFrame:
@@ -123,21 +123,15 @@ def counts_by(df: DataFrame, dimensions: Mapping[str, str] | Sequence[str]) -> D
     return counted.select(which.alias("dimension"), value.alias("value"), "n")
 
 
-def box_statistics(df: DataFrame, value: str, group: Sequence[str] | str) -> DataFrame:
-    """Box-plot numbers: quartiles and the outermost points within 1.5 IQR.
-
-    For analytics over run tables, whose groups hold runs x replicates values.
-    """
+def box_statistics(df: DataFrame, value: str, group: Sequence[str] | str, levels: int = 10) -> DataFrame:
+    """Box-plot numbers per group: count, quartiles and the outermost values within 1.5 IQR."""
     group = as_list(group)
-    boxes = df.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"), F.count(value).alias("n"))
-    named = boxes.select(
-        *group, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3")
-    )
+    boxes = quantiles(df, value, [0.25, 0.5, 0.75], group, names=["q1", "median", "q3"], levels=levels)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
-    whiskers = (
-        df.join(named, group).groupBy(*group).agg(
-            F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high")
-        )
+    marked = join_null_safe(df.select(*group, value), boxes, group)
+    return marked.groupBy(*group, "q1", "median", "q3").agg(
+        F.count(value).alias("n"),
+        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
+        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
     )
-    return named.join(whiskers, group)

@@ -14,17 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.text import key_part, median_and_interval, parse_name, under_prefix, value_and_error
-from seriesmill.operators.aggregates import best_row, list_statistics
+from seriesmill.operators.aggregates import aggregate_values, best_row
 from seriesmill.operators.joins import compare_runs
 from seriesmill.operators.ordered import first_in_group
+from seriesmill.operators.quantiles import quantiles
 from seriesmill.operators.sets import jaccard, objective_key
-from seriesmill.session import as_list
+from seriesmill.session import as_list, join_null_safe
 
 TEST_SERIES = ("amde", "ame", "mae", "mdae", "mde", "me", "n_trials", "neg_rmse", "r2", "rmse")
 
 
 def metric_arrays(metrics: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
-    """One row per run; each key becomes an array in (step, idx) order, NULL when absent."""
+    """One row per run; each key becomes an array in (step, idx) order, NULL when absent.
+
+    For list-valued result cells: fits x replicates values per run and key.
+    Statistics of such values come from the long table (``metric_statistics``).
+    """
     names = names or keys
     wanted = metrics.filter(F.col("key").isin(list(keys)))
     cells = []
@@ -35,40 +40,39 @@ def metric_arrays(metrics: DataFrame, keys: Sequence[str], names: Sequence[str]
     return wanted.groupBy("run").agg(*cells)
 
 
+def metric_values(metrics: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
+    """One row per stored test value: the columns of its run and ``<metric>``."""
+    own = metrics.filter(F.col("key") == f"testing/{metric}").select("run", F.col("value").alias(metric))
+    return own.join(runs, "run")
+
+
+def metric_statistics(metrics: DataFrame, names: Sequence[str], aggregation: str) -> DataFrame:
+    """One row per run and one column per test metric, aggregated (``min max avg median p=<percent>``)."""
+    keys = {f"testing/{m}": m for m in names}
+    own = metrics.filter(F.col("key").isin(list(keys))).select("run", "key", "value")
+    per_key = aggregate_values(own, "value", aggregation, ["run", "key"])
+    return per_key.groupBy("run").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(m) for k, m in keys.items()])
+
+
 def build_results(
     runs: DataFrame, metrics: DataFrame, features: DataFrame, series: Sequence[str] = TEST_SERIES, aggregation: str = "none"
 ) -> DataFrame:
     """One row per successful run: settings, test metrics, selected features and loop counters.
 
-    ``aggregation`` turns each metric array into one number (``min max avg median p=<percent>``).
+    ``aggregation`` ``none`` keeps every metric as an array, any other mode gives one number.
     """
-    arrays = metric_arrays(metrics, [f"testing/{m}" for m in series], list(series))
-    if aggregation != "none":
-        arrays = arrays.select("run", *[_array_aggregate(F.col(m), aggregation).alias(m) for m in series])
-    # the three per-run tables share their partitioning by run, so the joins add no shuffle to them
+    if aggregation == "none":
+        tested = metric_arrays(metrics, [f"testing/{m}" for m in series], list(series))
+    else:
+        tested = metric_statistics(metrics, series, aggregation)
     return (
         runs.filter(F.col("status") == "success")
-        .join(arrays, "run", "left")
+        .join(tested, "run", "left")
         .join(features.withColumnRenamed("features", "selected_features"), "run", "left")
         .join(loop_counters(metrics), "run", "left")
     )
 
 
-def _array_aggregate(cells: Column, mode: str) -> Column:
-    if mode == "min":
-        return F.array_min(cells)
-    if mode == "max":
-        return F.array_max(cells)
-    if mode == "avg":
-        return list_statistics(cells)["mean"]
-    share = 0.5 if mode == "median" else float(mode.removeprefix("p=")) / 100
-    ordered = F.array_sort(cells)
-    place = (F.size(cells) - 1) * F.lit(share)
-    low = F.get(ordered, F.floor(place).cast("int"))
-    high = F.get(ordered, F.ceil(place).cast("int"))
-    return low + (high - low) * (place - F.floor(place))
-
-
 def loop_counters(metrics: DataFrame) -> DataFrame:
     """Per run: fast stops, iterations, feature-level rounds, fallbacks, features tried, safe removals, fitted models.
 
@@ -173,10 +177,10 @@ def explanations(metrics: DataFrame, clusters: DataFrame) -> DataFrame:
     return blocks.groupBy("run").agg(F.array_join(ordered, "\n\n").alias("explanation"))
 
 
-def best_explanation(results: DataFrame, metric: str = "rmse") -> DataFrame:
+def best_explanation(metrics: DataFrame, texts: DataFrame, metric: str = "rmse") -> DataFrame:
     """The explanation of the run with the lowest mean metric among runs that have one."""
-    having = results.filter(F.col("explanation").isNotNull()).withColumn("mean_metric", list_statistics(F.col(metric))["mean"])
-    return having.orderBy("mean_metric", "run").limit(1).select("run", "mean_metric", "explanation")
+    means = metrics.filter(F.col("key") == f"testing/{metric}").groupBy("run").agg(F.avg("value").alias("mean_metric"))
+    return means.join(texts, "run").orderBy("mean_metric", "run").limit(1).select("run", "mean_metric", "explanation")
 
 
 def method_pairs(runs: DataFrame, method: str, selected: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -242,40 +246,49 @@ def relative_gain(
 
 def gain_summary(gains: DataFrame, group: Sequence[str] | str = (), p: float = 0.95, precision: int = 1) -> DataFrame:
     """Median, interval, mean and the formatted text of the gain."""
+    group = as_list(group)
     tail = (1 - p) / 2
-    found = gains.groupBy(*as_list(group)).agg(
-        F.percentile("gain", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail))).alias("q"), F.avg("gain").alias("mean_gain")
-    )
-    named = found.select(
-        *as_list(group), F.col("q")[1].alias("median"), F.col("q")[0].alias("ci_low"), F.col("q")[2].alias("ci_high"), "mean_gain"
-    )
-    return named.withColumn("text", median_and_interval(F.col("median"), F.col("ci_low"), F.col("ci_high"), p, precision))
+    found = quantiles(gains, "gain", [tail, 0.5, 1 - tail], group, names=["ci_low", "median", "ci_high"])
+    text = median_and_interval(F.col("median"), F.col("ci_low"), F.col("ci_high"), p, precision)
+    if not group:
+        return found.withColumn("mean_gain", gains.agg(F.avg("gain")).scalar()).withColumn("text", text)
+    means = gains.groupBy(*group).agg(F.avg("gain").alias("mean_gain"))
+    return join_null_safe(found, means, group).withColumn("text", text)
 
 
 def best_features(
-    results: DataFrame, scenario: str, metrics: Sequence[str], labels: Sequence[str] = (), precision: int = 6, score: str = "rmse"
+    runs: DataFrame,
+    metrics: DataFrame,
+    features: DataFrame,
+    scenario: str,
+    names: Sequence[str],
+    labels: Sequence[str] = (),
+    precision: int = 6,
+    score: str = "rmse",
 ) -> DataFrame:
-    """Long table ``scenario, item, value`` of the best run per scenario.
+    """Long table ``scenario, item, value`` of the run with the lowest mean score per scenario.
 
     Items are the sorted features (``feature 0`` ..), the label columns and each
     metric as mean and standard deviation.
     """
-    stats = results
-    for m in metrics:
-        cells = list_statistics(F.col(m))
-        stats = stats.withColumn(f"{m}_mean", cells["mean"]).withColumn(f"{m}_std", cells["std"])
-    stats = stats.select(scenario, "run", "selected_features", *labels, *[f"{m}_{s}" for m in metrics for s in ("mean", "std")])
-    best = best_row(stats, scenario, f"{score}_mean", ["run"])
-    features = F.transform(
-        F.sort_array("selected_features"),
+    keys = {f"testing/{m}": m for m in names}
+    measures = []
+    for k, m in keys.items():
+        own = F.when(F.col("key") == k, F.col("value"))
+        measures += [F.avg(own).alias(f"{m}_mean"), F.stddev_pop(own).alias(f"{m}_std")]
+    stats = metrics.filter(F.col("key").isin(list(keys))).groupBy("run").agg(*measures)
+    wide = runs.select("run", scenario, *labels).join(stats, "run").join(features.select("run", "features"), "run")
+    best = best_row(wide, scenario, f"{score}_mean", ["run"])
+    listed = F.transform(
+        F.sort_array("features"),
         lambda name, i: F.struct(F.concat(F.lit("feature "), i.cast("string")).alias("item"), name.alias("value")),
     )
     rest = [F.struct(F.lit(c).alias("item"), F.col(c).cast("string").alias("value")) for c in labels]
     rest += [
         F.struct(F.lit(m).alias("item"), value_and_error(F.col(f"{m}_mean"), F.col(f"{m}_std"), precision).alias("value"))
-        for m in metrics
+        for m in names
     ]
-    return best.select(scenario, F.inline(F.concat(features, F.array(*rest))))
+    return best.select(scenario, F.inline(F.concat(listed, F.array(*rest))))
 
 
 def best_features_table(long: DataFrame, scenario: str, scenarios: Sequence[str]) -> DataFrame:
@@ -363,11 +376,6 @@ def attach_attributes(runs: DataFrame, name: str, keys: Sequence[str]) -> DataFr
     return runs.withColumns({k: F.try_element_at(parts, F.lit(k)) for k in keys})
 
 
-def exploded_metric(results: DataFrame, metric: str) -> DataFrame:
-    """One row per value of an array metric."""
-    return results.withColumn(metric, F.explode(metric))
-
-
-def median_by(results: DataFrame, metric: str, group: Sequence[str]) -> DataFrame:
-    """Median of all values of an array metric per group of runs."""
-    return exploded_metric(results, metric).groupBy(*group).agg(F.percentile(metric, F.lit(0.5)).alias(metric))
+def median_by(values: DataFrame, metric: str, group: Sequence[str]) -> DataFrame:
+    """Median of all test values per group of runs."""
+    return quantiles(values, metric, [0.5], group, names=[metric])

@@ -87,8 +87,7 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 
 
 def _width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    place = F.floor(float_divide((value - low) * bins, high - low))
-    return F.when(high == low, F.lit(0)).otherwise(F.least(place, F.lit(bins - 1)))
+    return F.when(high == low, F.lit(0)).otherwise(F.least(F.floor((value - low) * bins / (high - low)), F.lit(bins - 1)))
 
 
 def mutual_information(

@@ -90,15 +90,17 @@ def median_per_group(spark, folder):
 
 @query(
     """
-    SELECT o_orderkey, round(list_avg(v), 6) AS mean, round(list_stddev_pop(v), 6) AS std
-    FROM (SELECT l_orderkey AS o_orderkey, list(l_quantity) AS v FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(list_avg(v), 9) AS mean, round(list_stddev_pop(v), 8) AS std
+    FROM (SELECT l_orderkey, l_linenumber, l_partkey, [l_quantity, l_discount * 100, l_tax * 100, l_extendedprice / 1000] AS v FROM lineitem)
     """
 )
 def list_cell_statistics(spark, folder):
     """Mean and population deviation of list cells."""
-    lists = load(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_quantity")).alias("v"))
-    stats = A.list_statistics(F.col("v"))
-    return lists.select("o_orderkey", rounded(stats["mean"]).alias("mean"), rounded(stats["std"]).alias("std"))
+    cells = F.array("l_quantity", F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice") / 1000)
+    stats = A.list_statistics(cells)
+    return load(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", rounded(stats["mean"], 9).alias("mean"), rounded(stats["std"], 8).alias("std")
+    )
 
 
 @query(

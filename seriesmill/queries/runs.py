@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.text import METHOD_LABELS, method_family, method_label, scenario_label
 from seriesmill.operators import runs as R
-from seriesmill.operators.aggregates import box_statistics, list_statistics, ratio_of_sums
+from seriesmill.operators.aggregates import box_statistics, ratio_of_sums
 from seriesmill.queries.registry import load, query, rounded
 
 RUNS_SQL = """
@@ -221,8 +221,7 @@ def explanation_of_best_run(spark, folder):
     """The explained run with the lowest mean error."""
     metrics = validation_metrics(spark, folder).unionByName(loop_metrics(spark, folder))
     texts = R.explanations(metrics, _clusters(spark, folder))
-    arrays = R.metric_arrays(testing_metrics(spark, folder), ["testing/rmse"], ["rmse"]).join(texts, "run", "left")
-    return R.best_explanation(arrays).select("run", rounded("mean_metric", 8).alias("mean_metric"))
+    return R.best_explanation(testing_metrics(spark, folder), texts).select("run", rounded("mean_metric", 8).alias("mean_metric"))
 
 
 PAIR_SCORES_SQL = f"""
@@ -313,12 +312,6 @@ def overall_runtime_gain(spark, folder):
     return R.gain_summary(gains).select(rounded("mean_gain", 4).alias("mean_gain"), rounded("median", 4).alias("median"))
 
 
-def _arrays(spark, folder):
-    arrays = R.metric_arrays(testing_metrics(spark, folder), ["testing/rmse", "testing/mae"], ["rmse", "mae"])
-    features = run_features(spark, folder).withColumnRenamed("features", "selected_features")
-    return run_table(spark, folder).join(arrays, "run").join(features, "run")
-
-
 BEST_SQL = f"""
 {RUNS_SQL}, {TESTING_SQL}, {FEATURES_SQL},
 st AS (SELECT run, avg(value) FILTER (key = 'testing/rmse') AS rm, stddev_pop(value) FILTER (key = 'testing/rmse') AS rs,
@@ -339,7 +332,9 @@ best AS (SELECT * FROM (SELECT l.*, st.*, feats.features, row_number() OVER (PAR
 )
 def best_feature_items(spark, folder):
     """Features and metrics of the best run per scenario."""
-    return R.best_features(_arrays(spark, folder), "scenario", ["rmse", "mae"], ["label", "model"], precision=4)
+    return R.best_features(
+        run_table(spark, folder), testing_metrics(spark, folder), run_features(spark, folder), "scenario", ["rmse", "mae"], ["label", "model"], 4
+    )
 
 
 @query(
@@ -351,7 +346,7 @@ def best_feature_items(spark, folder):
 )
 def best_feature_table(spark, folder):
     """The same as a table with scenarios as columns."""
-    long = R.best_features(_arrays(spark, folder), "scenario", ["rmse"], [], precision=4)
+    long = R.best_features(run_table(spark, folder), testing_metrics(spark, folder), run_features(spark, folder), "scenario", ["rmse"])
     features = long.filter(F.col("item").startswith("feature ") & F.col("scenario").isin("WT-S1", "PV-S2"))
     wide = R.best_features_table(features, "scenario", ["WT-S1", "PV-S2"])
     return wide.select("item", F.coalesce("`WT-S1`", F.lit("")).alias("wt1"), F.coalesce("`PV-S2`", F.lit("")).alias("pv2"))
@@ -368,14 +363,13 @@ def best_feature_table(spark, folder):
 )
 def box_statistics_per_method(spark, folder):
     """Box-plot numbers of the error per scenario and method."""
-    values = R.exploded_metric(_all_arrays(spark, folder), "rmse")
+    values = _errors(spark, folder)
     found = box_statistics(values, "rmse", ["scenario", "label"])
     return found.select("scenario", "label", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
 
 
-def _all_arrays(spark, folder):
-    arrays = R.metric_arrays(testing_metrics(spark, folder), ["testing/rmse", "testing/mae"], ["rmse", "mae"])
-    return run_table(spark, folder).join(arrays, "run")
+def _errors(spark, folder):
+    return R.metric_values(testing_metrics(spark, folder), run_table(spark, folder), "rmse")
 
 
 @query(
@@ -389,7 +383,7 @@ def _all_arrays(spark, folder):
 def box_statistics_per_size(spark, folder):
     """Box-plot numbers per number of features and method family."""
     families = {"CSFS": ["CSFS\n(FI)", "CSFS\n(corr.)", "CSFS\n(rnd.)"]}
-    values = R.exploded_metric(_all_arrays(spark, folder), "rmse").withColumn("family", method_family(F.col("label"), families))
+    values = _errors(spark, folder).withColumn("family", method_family(F.col("label"), families))
     found = box_statistics(values, "rmse", ["n_features", "family"])
     return found.select("n_features", "family", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3")])
 
@@ -416,7 +410,7 @@ def runtime_distribution(spark, folder):
 )
 def median_error_per_model(spark, folder):
     """Median error per domain, type and model."""
-    return R.median_by(_all_arrays(spark, folder), "rmse", ["domain", "type", "model"]).withColumn("rmse", rounded("rmse", 8))
+    return R.median_by(_errors(spark, folder), "rmse", ["domain", "type", "model"]).withColumn("rmse", rounded("rmse", 8))
 
 
 @query(
@@ -551,8 +545,7 @@ def copy_records_below(spark, folder):
 
 
 @query(f"WITH {TESTING_SQL} SELECT run, round(avg(value), 11) AS mean, round(stddev_pop(value), 8) AS std FROM testing WHERE key = 'testing/rmse' GROUP BY 1")
-def array_metric_statistics(spark, folder):
-    """Mean and population deviation of a metric array per run."""
-    stats = list_statistics(F.col("rmse"))
-    arrays = R.metric_arrays(testing_metrics(spark, folder), ["testing/rmse"], ["rmse"])
-    return arrays.select("run", rounded(stats["mean"], 11).alias("mean"), rounded(stats["std"], 8).alias("std"))
+def run_metric_statistics(spark, folder):
+    """Mean and population deviation of a run's stored values."""
+    found = _errors(spark, folder).groupBy("run").agg(F.avg("rmse").alias("mean"), F.stddev_pop("rmse").alias("std"))
+    return found.select("run", rounded("mean", 11).alias("mean"), rounded("std", 8).alias("std"))

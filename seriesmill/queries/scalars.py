@@ -10,6 +10,7 @@ from seriesmill.functions import solar
 from seriesmill.functions import text as X
 from seriesmill.functions import timefeat as T
 from seriesmill.operators import reshape as R
+from seriesmill.operators.quantiles import quantiles
 from seriesmill.operators.sets import filter_runs
 from seriesmill.queries.registry import load, query, rounded
 
@@ -317,16 +318,14 @@ def scenario_and_method_labels(spark, folder):
 )
 def formatted_numbers(spark, folder):
     """Mean with deviation, median with interval, as text."""
-    stats = load(spark, folder, "lineitem").groupBy("l_suppkey").agg(
-        F.avg("l_extendedprice").alias("mean"),
-        F.stddev_pop("l_extendedprice").alias("std"),
-        F.percentile("l_quantity", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"),
-    )
-    return stats.select(
+    items = load(spark, folder, "lineitem")
+    stats = items.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("mean"), F.stddev_pop("l_extendedprice").alias("std"))
+    spots = quantiles(items, "l_quantity", [0.025, 0.5, 0.975], "l_suppkey", names=["low", "median", "high"])
+    return stats.join(spots, "l_suppkey").select(
         "l_suppkey",
         X.value_and_error(F.col("mean"), F.col("std"), 3).alias("plain"),
         X.value_and_error(F.col("mean"), F.col("std"), 3, colour=True).alias("coloured"),
-        X.median_and_interval(F.col("q")[1], F.col("q")[0], F.col("q")[2], 0.95).alias("ranged"),
+        X.median_and_interval(F.col("median"), F.col("low"), F.col("high"), 0.95).alias("ranged"),
     )
 
 
