@@ -421,9 +421,8 @@ def site_events(spark, folder):
 )
 def sun_times(spark, folder):
     """Dawn, sunrise, noon, sunset and dusk in minutes after UTC midnight."""
-    sites = site_events(spark, folder)
-    times = solar.sun_minutes(F.to_date("ts"), F.col("lat"), F.col("lon"), F.col("alt"))
-    return sites.select("event_id", *[rounded(column, 4).alias(name) for name, column in times.items()])
+    timed = solar.add_sun_minutes(site_events(spark, folder), F.to_date("ts"), "lat", "lon", "alt")
+    return timed.select("event_id", *[rounded(name, 4).alias(name) for name in solar.SUN_TIMES])
 
 
 POSITION_SQL = f"""
@@ -452,9 +451,8 @@ pos AS (SELECT *, az0 - 360 * floor(az0 / 360) AS az,
 )
 def sun_position(spark, folder):
     """Zenith, elevation, azimuth and equation of time."""
-    sites = site_events(spark, folder)
-    where = solar.solar_position(F.col("ts"), F.col("lat"), F.col("lon"), F.col("nwp_pressure"), F.col("nwp_temperature"))
-    return sites.select("event_id", *[rounded(column, 4).alias(name) for name, column in where.items()])
+    placed = solar.add_solar_position(site_events(spark, folder), "ts", "lat", "lon", "nwp_pressure", "nwp_temperature")
+    return placed.select("event_id", *[rounded(name, 4).alias(name) for name in solar.POSITION])
 
 
 @query(

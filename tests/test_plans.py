@@ -114,7 +114,7 @@ def test_solar_plan(spark, tmp_path):
 def test_sun_position_against_published_example(spark):
     # worked example of the NREL solar position report: 2003-10-17 12:30:30 at UTC-7, zenith 50.11162, azimuth 194.34024
     row = spark.sql("SELECT timestamp'2003-10-17 19:30:30' ts, 39.742476D lat, -105.1786D lon, 82000D p, 11D t")
-    got = row.select(*[c.alias(n) for n, c in S.solar_position(F.col("ts"), F.col("lat"), F.col("lon"), F.col("p"), F.col("t")).items()]).first()
+    got = S.add_solar_position(row, "ts", "lat", "lon", "p", "t").first()
     assert got.apparent_zenith == pytest.approx(50.11162, abs=0.02)
     assert got.azimuth == pytest.approx(194.34024, abs=0.03)
     assert got.equation_of_time == pytest.approx(14.64, abs=0.1)
@@ -123,17 +123,17 @@ def test_sun_position_against_published_example(spark):
 def test_sun_times_and_sky(spark):
     # equator at equinox: about twelve hours of day, noon near 12:07 UTC minus nothing at longitude 0
     row = spark.sql("SELECT date'2024-03-20' d, 0D lat, 0D lon, 0D alt")
-    got = row.select(*[c.alias(n) for n, c in S.sun_minutes(F.col("d"), F.col("lat"), F.col("lon"), F.col("alt")).items()]).first()
+    got = S.add_sun_minutes(row, F.col("d"), "lat", "lon", "alt").first()
     assert got.sunset - got.sunrise == pytest.approx(726.7, abs=1.0)
     assert got.noon == pytest.approx(727.4, abs=1.0)
     assert got.dawn < got.sunrise < got.noon < got.sunset < got.dusk
     polar = spark.sql("SELECT date'2024-06-21' d, 80D lat, 0D lon, 0D alt")
-    assert polar.select(S.sun_minutes(F.col("d"), F.col("lat"), F.col("lon"), F.col("alt"))["sunrise"].alias("s")).first().s is None
+    assert S.add_sun_minutes(polar, F.col("d"), "lat", "lon", "alt").first().sunrise is None
     sky = spark.sql("SELECT 0D z, 1D am, 3D tl, 0D alt, 1366D e")
-    one = sky.select(*[c.alias(n) for n, c in S.clear_sky(F.col("z"), F.col("am"), F.col("tl"), F.col("alt"), F.col("e")).items()]).first()
+    one = S.add_clear_sky(sky, "z", "am", "tl", "alt", F.col("e")).first()
     assert 900 < one.ghi < 1100 and one.dhi == pytest.approx(one.ghi - one.dni) and one.dni > 700
     night = spark.sql("SELECT 95D z, cast(null AS double) am, 3D tl, 0D alt, 1366D e")
-    dark = night.select(*[c.alias(n) for n, c in S.clear_sky(F.col("z"), F.col("am"), F.col("tl"), F.col("alt"), F.col("e")).items()]).first()
+    dark = S.add_clear_sky(night, "z", "am", "tl", "alt", F.col("e")).first()
     assert (dark.ghi, dark.dni, dark.dhi) == (0, 0, 0)
     assert spark.range(1).select(S.relative_airmass(F.lit(0.0)).alias("a")).first().a == pytest.approx(1.0, abs=1e-3)
 
