@@ -15,6 +15,7 @@ from seriesmill.operators.columns import drop_flat_columns, drop_sparse_columns
 from seriesmill.operators.joins import attach_dimension
 from seriesmill.operators.rows import drop_duplicate_rows, drop_missing_rows
 from seriesmill.operators.sets import sort_rows
+from seriesmill.session import cut_lineage
 from seriesmill.sources.quality import rename_checked
 
 DEFAULT_TURBIDITY = 3.0
@@ -46,9 +47,13 @@ def assemble(stations: DataFrame, metadata: DataFrame, turbidity: str | None = N
 
 
 def clean(df: DataFrame, tags: Mapping | None = None, sort: bool = True) -> DataFrame:
-    """The seven cleaning steps, daytime rows only.  Runs two profile jobs."""
+    """The seven cleaning steps, daytime rows only.
+
+    Runs jobs: the deduplicated table is checkpointed once, then two column
+    profiles scan that copy.
+    """
     tags = tags or solar.feature_tags()
-    df = drop_duplicate_rows(df.filter("is_daytime"))
+    df = cut_lineage(drop_duplicate_rows(df.filter("is_daytime")))
     df = drop_missing_rows(drop_sparse_columns(df, 0.95))
     df = drop_flat_columns(df, 1e-10, select_by_tags(tags, exclude={"meta", "target", "power_proxy"}))
     circular = [c for c in select_by_tags(tags, include_any={"circular"}) if c in df.columns]

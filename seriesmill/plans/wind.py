@@ -23,7 +23,7 @@ from seriesmill.operators.columns import (
 from seriesmill.operators.joins import attach_next_failure, join_at_instant
 from seriesmill.operators.rows import drop_duplicate_rows, drop_infinite_rows, drop_missing_rows, filter_assets
 from seriesmill.operators.sets import sort_rows
-from seriesmill.session import as_list
+from seriesmill.session import as_list, cut_lineage
 from seriesmill.sources.quality import rename_checked
 
 
@@ -69,11 +69,15 @@ def add_turbulence(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame, tags: Mapping | None = None, sort: bool = True) -> DataFrame:
-    """The eleven cleaning steps.  Runs three profile jobs, because dropped columns decide the next steps."""
+    """The eleven cleaning steps.
+
+    Runs jobs: the deduplicated table is checkpointed once, then three column
+    profiles scan that copy, because dropped columns decide the next steps.
+    """
     tags = tags or wind.feature_tags()
     heights = wind.ANEMOMETER_HEIGHTS
     df = keep_columns(df, select_by_tags(tags, exclude={"power_proxy"}))
-    df = drop_duplicate_rows(df)
+    df = cut_lineage(drop_duplicate_rows(df))
     df = drop_missing_rows(drop_sparse_columns(df, 0.95))
     if set(heights) <= set(df.columns):
         df = add_wind_shear(df, list(heights), list(heights.values()))
