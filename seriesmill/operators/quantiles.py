@@ -113,10 +113,3 @@ def quantiles(
         share = F.max(F.when(F.col("__t.__i") == i, F.col("__t.__share")))
         picks.append(F.when(low == high, low).otherwise(low + (high - low) * share).alias(name))
     return hits.groupBy(*group).agg(*picks)
-
-
-def bounded_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] | str, names: Sequence[str]) -> DataFrame:
-    """Exact quantiles of groups whose size is fixed by a setting (replicates, test fits)."""
-    probs_array = F.array(*[F.lit(float(p)) for p in probs])
-    found = df.groupBy(*as_list(group)).agg(F.percentile(value, probs_array).alias("__q"))
-    return found.select(*as_list(group), *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

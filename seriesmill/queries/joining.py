@@ -27,11 +27,10 @@ def join_two_sources_at_instant(spark, folder):
 
 @query(
     """
-    SELECT e.event_id, e.user_id, f.event_id AS error_id,
-           CASE WHEN f.ts IS NULL THEN 'inf'::DOUBLE ELSE floor((epoch_us(f.ts) - epoch_us(e.ts)) / 86400000000.0) END AS days_left
+    SELECT e.event_id, e.user_id, coalesce(f.event_id, -1) AS error_id,
+           CASE WHEN f.ts IS NULL THEN -1 ELSE floor((epoch_us(f.ts) - epoch_us(e.ts)) / 86400000000.0) END AS days_left
     FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') f
       ON e.user_id = f.user_id AND e.ts <= f.ts
-    WHERE f.ts IS NOT NULL
     """
 )
 def next_event_per_asset(spark, folder):
@@ -39,8 +38,12 @@ def next_event_per_asset(spark, folder):
     events = load(spark, folder, "events")
     errors = events.filter(F.col("event_type") == "error").select("user_id", F.col("ts").alias("error_ts"), F.col("event_id").alias("error_id"))
     joined = next_event(events.select("event_id", "user_id", "ts"), errors, "user_id", "ts", "error_ts", ["error_id"])
-    return joined.filter(F.col("error_ts").isNotNull()).select(
-        "event_id", "user_id", "error_id", days_to_event(F.col("ts"), F.col("error_ts")).alias("days_left")
+    left = days_to_event(F.col("ts"), F.col("error_ts"))
+    return joined.select(
+        "event_id",
+        "user_id",
+        F.coalesce("error_id", F.lit(-1)).alias("error_id"),
+        F.when(left == float("inf"), -1.0).otherwise(left).alias("days_left"),
     )
 
 
@@ -66,8 +69,8 @@ def events_without_next(spark, folder):
     """
     WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders),
     u AS (SELECT DISTINCT o_custkey, o_orderdate FROM orders)
-    SELECT o.o_orderkey, strftime(n.o_orderdate, '%Y-%m-%d') AS next_day
-    FROM o ASOF JOIN u n ON o.o_custkey = n.o_custkey AND o.o_orderdate + INTERVAL 1 DAY <= n.o_orderdate
+    SELECT o.o_orderkey, coalesce(strftime(n.o_orderdate, '%Y-%m-%d'), 'none') AS next_day
+    FROM o ASOF LEFT JOIN u n ON o.o_custkey = n.o_custkey AND o.o_orderdate + INTERVAL 1 DAY <= n.o_orderdate
     """
 )
 def next_order_date(spark, folder):
@@ -76,7 +79,7 @@ def next_order_date(spark, folder):
     probe = orders.withColumn("from_day", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"))
     later = orders.select("o_custkey", F.col("o_orderdate").alias("next_ts"))
     joined = next_event(probe, later, "o_custkey", "from_day", "next_ts", chunk_seconds=90 * 86_400)
-    return joined.filter(F.col("next_ts").isNotNull()).select("o_orderkey", F.date_format("next_ts", "yyyy-MM-dd").alias("next_day"))
+    return joined.select("o_orderkey", F.coalesce(F.date_format("next_ts", "yyyy-MM-dd"), F.lit("none")).alias("next_day"))
 
 
 @query(

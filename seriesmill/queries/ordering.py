@@ -99,11 +99,11 @@ def sorted_positions(spark, folder):
     return O.row_index(orders, [F.col("o_orderdate"), F.col("o_orderkey")], [F.col("o_orderdate")], name="position").drop("o_orderdate")
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 25")
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey DESC")
 def sorted_rows(spark, folder):
-    """Global sort and its head."""
+    """Global sort."""
     customers = load(spark, folder, "customer").select("c_custkey", "c_acctbal")
-    return S.sort_rows(customers, ["c_acctbal", "c_custkey"], ascending=False).limit(25)
+    return S.sort_rows(customers, ["c_acctbal", "c_custkey"], ascending=False)
 
 
 @query("SELECT p_name, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

@@ -99,22 +99,22 @@ def wind_shear_exponent(spark, folder):
     """
     WITH r AS (SELECT event_id, 270 + user_id % 40 AS temp, value / 20 AS v, 98000 + event_id % 4000 AS p FROM events)
     SELECT event_id, round(p / (287.05 * temp), 8) AS density, round(0.5 * p / (287.05 * temp) * 50 * v * v * v, 4) AS power,
-           round(0.4 * 0.5 * p / (287.05 * temp) * 50 * v * v * v, 4) AS turbine, round(1000 / (0.5 * p / (287.05 * temp) * 50 * v * v * v), 3) AS coefficient
-    FROM r WHERE v > 0.5
+           round(0.4 * 0.5 * p / (287.05 * temp) * 50 * v * v * v, 4) AS turbine, round(10 * v * v * v / (0.5 * p / (287.05 * temp) * 50 * v * v * v), 6) AS coefficient
+    FROM r
     """
 )
 def wind_power_formulas(spark, folder):
     """Air density, wind power, turbine power and power coefficient."""
     rows = load(spark, folder, "events").select(
         "event_id", (F.lit(270) + F.col("user_id") % 40).alias("temp"), (F.col("value") / 20).alias("v"), (F.lit(98000) + F.col("event_id") % 4000).alias("p")
-    ).filter(F.col("v") > 0.5)
+    )
     t, v, p, area = F.col("temp"), F.col("v"), F.col("p"), F.lit(50.0)
     return rows.select(
         "event_id",
         rounded(P.air_density(p, t), 8).alias("density"),
         rounded(P.wind_power(t, v, p, area), 4).alias("power"),
         rounded(P.turbine_power(t, v, p, area, F.lit(0.4)), 4).alias("turbine"),
-        rounded(P.power_coefficient(F.lit(1000.0), t, v, p, area), 3).alias("coefficient"),
+        rounded(P.power_coefficient(v * v * v * 10, t, v, p, area)).alias("coefficient"),
     )
 
 

@@ -57,10 +57,11 @@ def failure_horizon_by_split(spark, folder):
     )
 
 
-@query(f"WITH {SPLIT_SQL} SELECT event_id, split FROM split WHERE split IS NOT NULL")
+@query(f"WITH {SPLIT_SQL} SELECT event_id, coalesce(split, 'gap') AS split FROM split")
 def split_with_gap(spark, folder):
     """Train and test parts around a gap of one day."""
-    return split_by_time(load(spark, folder, "events"), "ts", (0.75, 0.25), DAY).filter(F.col("split").isNotNull()).select("event_id", "split")
+    split = split_by_time(load(spark, folder, "events"), "ts", (0.75, 0.25), DAY)
+    return split.select("event_id", F.coalesce("split", F.lit("gap")).alias("split"))
 
 
 @query(
@@ -92,17 +93,18 @@ def head_and_tail(spark, folder):
 
 @query(
     """
-    WITH d AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2),
-    r AS (SELECT user_id, min(day) AS a, max(day) AS b FROM d GROUP BY 1),
-    g AS (SELECT user_id, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM r)
-    SELECT g.user_id, strftime(g.day, '%Y-%m-%d') AS day, coalesce(d.n, -1) AS n FROM g LEFT JOIN d USING (user_id, day)
+    WITH d AS (SELECT user_id || '/' || event_type AS series, date_trunc('day', ts)::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2),
+    r AS (SELECT series, min(day) AS a, max(day) AS b FROM d GROUP BY 1),
+    g AS (SELECT series, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM r)
+    SELECT g.series, strftime(g.day, '%Y-%m-%d') AS day, coalesce(d.n, -1) AS n FROM g LEFT JOIN d USING (series, day)
     """
 )
 def fill_missing_days(spark, folder):
-    """A row per user and day between first and last."""
-    daily = load(spark, folder, "events").filter(F.col("event_type") == "view").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    filled = R.fill_gaps(daily, "day", "user_id")
-    return filled.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(-1)).alias("n"))
+    """A row per series (user and event type) and day between first and last."""
+    series = F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("series")
+    daily = load(spark, folder, "events").groupBy(series, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    filled = R.fill_gaps(daily, "day", "series")
+    return filled.select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(-1)).alias("n"))
 
 
 def _asset_days(spark, folder):
