@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesmill.llm.exact_dedup import exact_groups
 from seriesmill.llm.jaccard_join import similar_components
+from seriesmill.llm.language import identify
+from seriesmill.llm.mixing import mix
+from seriesmill.llm.pieces import round_trip
 from seriesmill.session import read_table
 
+#: Vocabulary file of the SentencePiece query.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -39,3 +45,25 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_components(read_table(spark, folder, "documents"))
+
+
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(read_table(spark, folder, "documents"))
+
+
+@query()
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(read_table(spark, folder, "documents"), PIECES, keep=["doc_id"])
+
+
+@query()
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(read_table(spark, folder, "documents"))
+
+
+@query()
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
