@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seriesmill.llm import ngram_filter, quality, secrets, url_filter
 from seriesmill.llm.exact_dedup import exact_groups
 from seriesmill.llm.jaccard_join import similar_components
 from seriesmill.llm.language import identify
@@ -62,6 +63,64 @@ def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(read_table(spark, folder, "documents"))
 
 
+@query(r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS every_line FROM documents),
+l AS (SELECT *, list_filter(every_line, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS filled FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(every_line) AS n_lines
+  FROM l LEFT JOIN covered USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 40 * n_words OR word_chars < 2 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM f
+""")
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(read_table(spark, folder, "documents"))
+
+
+@query()
+def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_filter.score(read_table(spark, folder, "documents"))
+
+
+@query()
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, folder, "pages"))
+
+
+def _secrets_sql() -> str:
+    """Positions as sums of the lengths of matches and of the text between them, kind by kind."""
+    kinds = []
+    for nth, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(f"SELECT doc_id, '{rule.kind}' AS kind, {nth} AS nth, {rule.least} AS least, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS gaps FROM d")
+    base = ", ".join(f"'{rule.kind}'" for rule in secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in secrets.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(kinds)}),
+p AS (SELECT doc_id, kind, nth, i, least, m, g, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+      FROM k, unnest(range(1, len(m) + 1)) AS u(i)),
+f AS (SELECT doc_id, kind, nth, CAST(s AS BIGINT) AS s, CAST(s + length(m[i]) AS BIGINT) AS e FROM p WHERE length(g[i]) >= least),
+a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) FILTER (kind IN ({base})) AS base,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+@query(_secrets_sql())
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    findings, _ = secrets.scan(read_table(spark, folder, "documents"))
+    return secrets.digest_spans(findings)
+
+
 @query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
