@@ -15,6 +15,8 @@ ALLOW, BLOCK = "allow", "block"
 LISTED = [(ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/")]
 #: Share of the labelled URLs that a combination must be in, and share of blocked ones among them.
 SUPPORT, CONFIDENCE = 0.005, 0.9
+#: Labelled URLs that a combination must be in at least, however few there are.
+LEAST_URLS = 5
 #: Tokens of a URL that mining looks at: this many host suffixes and path parts from the front.
 DEPTH = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +74,8 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     """
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_LABEL)))).otherwise(F.col("tokens"))
     baskets = labelled.select(items.alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    share = min(1.0, max(support, LEAST_URLS / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.filter(F.array_contains("consequent", _LABEL)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("key"), "freq")
     by_item = rules.select("antecedent", F.explode("antecedent").alias("key")).join(single, "key")
