@@ -12,6 +12,7 @@ from seriesmill.llm.jaccard_join import similar_components
 from seriesmill.llm.language import identify
 from seriesmill.llm.mixing import mix
 from seriesmill.llm.pieces import round_trip
+from seriesmill.llm.substring_dedup import measure_repeats
 from seriesmill.session import read_table
 
 #: Vocabulary file of the SentencePiece query.
@@ -121,6 +122,11 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest_spans(findings)
 
 
+@query()
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return measure_repeats(read_table(spark, folder, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

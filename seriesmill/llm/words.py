@@ -20,9 +20,9 @@ SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_RANDOM_LOWER = _RANDOM.copy()
-_RANDOM_LOWER[65:91] = _RANDOM[97:123]
+RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+RANDOM_LOWER = RANDOM.copy()
+RANDOM_LOWER[65:91] = RANDOM[97:123]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
@@ -108,14 +108,15 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wor
     end = np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(row, np.arange(rows + 1))
-    return Words(start, end, row, _hash_spans(data, start, end, lower), first)
+    return Words(start, end, row, hash_spans(data, start, end, lower), first)
 
 
-def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Hash of the bytes of every span; ``lower`` takes A-Z as a-z."""
     if not len(start):
         return np.empty(0, np.uint64)
     length = end - start
-    table = _RANDOM_LOWER if lower else _RANDOM
+    table = RANDOM_LOWER if lower else RANDOM
     powers = np.cumprod(np.full(int(length.max()), _STEP, np.uint64))
     # bytes of words only, one after the other
     begin = np.cumsum(length) - length
