@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.llm.components import components
+from seriesmill.llm.marks import in_marks, mark_of, marked_ids
 from seriesmill.llm.words import distinct_by_row, find_words, mix, shingles, small_batches, steps, utf8
 from seriesmill.session import cut_lineage
 
 #: Cells (a power of two) of the table that estimates in how many documents a shingle occurs.
 CELL_BITS = 22
-#: Bits (a power of two) of the filter that tells which documents a verification needs.
-FILTER_BITS = 23
 _CHUNK = 1 << 16
 _SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -118,19 +117,13 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, lower: bool
 
 
 def _near(percent: int) -> str:
-    """Size and position filter of two sets that share a prefix shingle: enough of both must lie from there on."""
-    share = f"least(a.n - a.pos, b.n - b.pos) + least(a.pos, b.pos)"
-    return f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND {100 + percent} * ({share}) >= {percent} * (a.n + b.n)"
+    """Size and position filter of two sets that share a prefix shingle.
 
-
-def _wanted_filter(ids: DataFrame) -> np.ndarray:
-    """A hashed bitmap of fixed size of the identifiers ``id``."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    chunks = ids.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / _CHUNK).alias("chunk")).agg(F.collect_set(F.col("bit") % _CHUNK).alias("bits"))
-    marks = np.zeros(1 << FILTER_BITS, bool)
-    for row in chunks.toLocalIterator():
-        marks[int(row["chunk"]) * _CHUNK + np.asarray(row["bits"], np.int64)] = True
-    return np.packbits(marks)
+    The first shingle that a linked pair has in common lies so early that the rest
+    of either set, from it on, is as large as the overlap must be.
+    """
+    rest = "least(a.n - a.pos, b.n - b.pos)"
+    return f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND {100 + percent} * {rest} >= {percent} * (a.n + b.n)"
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, lower: bool, percent: int) -> DataFrame:
@@ -139,14 +132,12 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     Sets are made again from the texts of the documents in question only: a bitmap
     of fixed size names them (a few others slip in and join with nothing).
     """
-    marks = docs.sparkSession.sparkContext.broadcast(_wanted_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+    marks = docs.sparkSession.sparkContext.broadcast(marked_ids(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marks.value
         for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False)
-            wanted = (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(wanted.astype(bool)))
+            batch = batch.filter(pa.array(in_marks(bits, batch.column(2))))
             for first, hashes, bounds in _sets(batch.column(1), size, lower):
                 raw = hashes.tobytes()
                 yield pa.record_batch(
@@ -168,8 +159,8 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).filter("id IS NOT NULL")
-    source = source.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
-    sets = cut_lineage(source.mapInArrow(build, "id long, hashes binary").dropDuplicates(["id"]))
+    source = source.withColumn("bit", mark_of("id"))
+    sets = cut_lineage(source.mapInArrow(build, "id long, hashes binary"))
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
