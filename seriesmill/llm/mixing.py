@@ -36,10 +36,10 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: Sequen
     after = Window.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     every = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("__limit").over(before), F.lit(0.0))
-    levels = named.withColumn("__level", left / F.sum("__weight").over(after))
+    levels = named.withColumn("__level", left / F.sum("__weight").over(after)).withColumn("__rank", F.row_number().over(Window.orderBy(*order)))
     # the level holds from the first source that stays below its limit
     holds = F.when(F.col("__level") * F.col("__weight") <= F.col("__limit"), F.col("__level"))
-    chosen = levels.withColumn("__common", F.min_by(holds, F.when(holds.isNotNull(), F.col("__limit") / F.col("__weight"))).over(every))
+    chosen = levels.withColumn("__common", F.min_by(holds, F.when(holds.isNotNull(), F.col("__rank"))).over(every))
     target = F.least(F.col("__limit"), F.coalesce(F.col("__common") * F.col("__weight"), F.col("__limit")))
     return chosen.select(source_col, "source_size", target.alias("target"))
 
@@ -47,9 +47,9 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: Sequen
 def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, exact: int = EXACT_WORDS) -> list[int]:
     """How many documents of each length to take so that their lengths sum up to about ``budget``, never above.
 
-    An even share of every length first, which keeps the mix of lengths; then, from
-    the longest on, whole documents until the remainder is at most ``exact`` (or
-    nothing fits); then bounded-knapsack dynamic programming fills the remainder as
+    An even share of every length first, which keeps the mix of lengths and leaves
+    room for a few of the longest; then, from the longest on, whole documents until
+    the remainder is at most ``exact`` (or nothing fits); then bounded-knapsack dynamic programming fills the remainder as
     far as any choice of the documents left can, within those that it looks at.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
@@ -57,7 +57,8 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, exact
         return list(counts)
     if budget <= 0 or not total:
         return [0] * len(lengths)
-    taken = [c * budget // total for c in counts]
+    even = max(0, budget - 4 * max(lengths))
+    taken = [c * even // total for c in counts]
     rest = budget - sum(n * t for n, t in zip(lengths, taken))
     order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
     for k in order:

@@ -96,7 +96,7 @@ def _blocks(kind: int, hashes: np.ndarray, *columns: np.ndarray) -> Iterator[pa.
 
 def _add_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes and their summed counts."""
-    if not hashes:
+    if not sum(map(len, hashes)):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     flat, numbers = np.concatenate(hashes), np.concatenate(counts)
     order = np.argsort(flat)
