@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cumulative Poisson(1) probabilities; larger draws count as 6.
-POISSON_STEPS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+
+def _poisson_steps() -> tuple[float, ...]:
+    """Cumulative Poisson(1) probabilities, as far as a double tells them from 1."""
+    steps, total, term = [], 0.0, math.exp(-1)
+    while total + term < 1.0 and term > 2.0**-53:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return tuple(steps)
+
+
+POISSON_STEPS = _poisson_steps()
 
 
 def hash_share(*parts: Column | str | int, method: str = "md5") -> Column:

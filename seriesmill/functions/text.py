@@ -96,26 +96,35 @@ def unflatten_struct(df: DataFrame, separator: str = "/") -> DataFrame:
     return df.select(*build(tree))
 
 
+# Text patterns of numbers in reports.
+VALUE_AND_ERROR = "{number} \\pm {number}"
+COLOURED = "\\textcolor{%s}{%s}"
+MEDIAN_AND_INTERVAL = "${number}\\%%\\, (\\text{{{level}\\%% CI}}: {number}\\!-\\!{number}\\%%)$"
+
+
 def value_and_error(mean: Column, std: Column, precision: int = 2, colour: bool = False) -> Column:
     """``$1.23 \\pm 0.45$``; optionally dark red when the value is clearly above zero, else dark green."""
-    body = F.format_string(f"%.{precision}f \\pm %.{precision}f", mean, std)
+    number = f"%.{precision}f"
+    body = F.format_string(VALUE_AND_ERROR.format(number=number), mean, std)
     if not colour:
         return F.concat(F.lit("$"), body, F.lit("$"))
     shade = F.when(mean - std - F.lit(0.6 / 10**precision) > 0, F.lit("darkred")).otherwise(F.lit("darkgreen"))
-    return F.concat(F.lit("$\\textcolor{"), shade, F.lit("}{"), body, F.lit("}$"))
+    return F.concat(F.lit("$"), F.format_string(COLOURED, shade, body), F.lit("$"))
 
 
 def median_and_interval(median: Column, low: Column, high: Column, p: float, precision: int = 2) -> Column:
     """``$1.0\\%\\, (\\text{95\\% CI}: 0.1\\!-\\!2.0\\%)$`` from three percentages."""
     number = f"%.{precision}f"
-    return F.format_string(
-        f"${number}\\%%\\, (\\text{{{p * 100:.0f}\\%% CI}}: {number}\\!-\\!{number}\\%%)$", median, low, high
-    )
+    return F.format_string(MEDIAN_AND_INTERVAL.format(number=number, level=f"{p * 100:.0f}"), median, low, high)
+
+
+#: Stored name of the cluster-based selection method.
+CLUSTERWISE = "clusterwise"
 
 
 def method_label(method: Column, clustering: Column, labels: Mapping[str, str]) -> Column:
     """Selection method for display; the cluster-based method carries its clustering."""
-    full = F.when(method == "CSFS", F.concat_ws(" ", method, clustering)).otherwise(method)
+    full = F.when(method == CLUSTERWISE, F.concat_ws(" ", method, clustering)).otherwise(method)
     return map_values(full, labels)
 
 
@@ -128,10 +137,10 @@ def scenario_label(domain: Column, kind: Column) -> Column:
 
 # Display labels of the selection methods.
 METHOD_LABELS = {
-    "CSFS feature_importance": "CSFS\n(FI)",
-    "CSFS correlation": "CSFS\n(corr.)",
-    "CSFS random": "CSFS\n(rnd.)",
-    "CSFS singletons": "SFS",
+    "clusterwise feature_importance": "CW\n(FI)",
+    "clusterwise correlation": "CW\n(corr.)",
+    "clusterwise random": "CW\n(rnd.)",
+    "clusterwise singletons": "SFS",
     "mutual_info": "MI",
     "f_value": "F-value",
     "RF_FI": "RF FI",

@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesmill.operators.ordered import first_in_group
-from seriesmill.operators.quantiles import quantiles
+from seriesmill.operators.quantiles import present, quantiles
 from seriesmill.session import as_list, join_null_safe
 
 
@@ -17,16 +18,20 @@ def best_row(df: DataFrame, group: Sequence[str] | str, score: str, tie: Sequenc
 
     Rows without a score never win.
     """
-    signed = -F.col(score).cast("double") if largest else F.col(score).cast("double")
-    ranked = df.filter(F.col(score).isNotNull()).withColumn("__score", signed)
-    return first_in_group(ranked, group, ["__score", *tie]).drop("__score")
+    group = as_list(group)
+    ranked = df.filter(F.col(score).isNotNull())
+    best = ranked.groupBy(*group).agg((F.max if largest else F.min)(score).alias("__best"))
+    tied = join_null_safe(ranked, best, group).filter(F.col(score) == F.col("__best")).drop("__best")
+    return first_in_group(tied, group, list(tie))
 
 
 def moments(df: DataFrame, columns: Sequence[str], group: Sequence[str] | str = ()) -> DataFrame:
-    """mean, std, min, max and var of each column as ``<column>_<statistic>``."""
+    """mean, std, min, max and var of each column as ``<column>_<statistic>``; NULL and NaN are skipped."""
     measures: list[Column] = []
     for name in as_list(columns):
         c = F.col(f"`{name}`")
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(~F.isnan(c), c)
         measures += [
             F.avg(c).alias(f"{name}_mean"),
             F.stddev_samp(c).alias(f"{name}_std"),
@@ -37,17 +42,21 @@ def moments(df: DataFrame, columns: Sequence[str], group: Sequence[str] | str =
     return df.groupBy(*as_list(group)).agg(*measures)
 
 
-def describe(df: DataFrame, column: str, group: Sequence[str] | str, levels: int = 10) -> DataFrame:
-    """count, mean, std, min, quartiles and max; quartiles are exact."""
+def describe(df: DataFrame, column: str, group: Sequence[str] | str, levels: int | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles and max; quartiles are exact.
+
+    NULL and NaN are skipped; a group without values has count 0.
+    """
     group = as_list(group)
+    value = present(F.col(column))
     basic = df.groupBy(*group).agg(
-        F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
     )
-    places = quantiles(df, column, [0, 0.25, 0.5, 0.75, 1], group, names=["min", "q25", "q50", "q75", "max"], levels=levels)
+    places = quantiles(df, column, [0.25, 0.5, 0.75], group, names=["q25", "q50", "q75"], levels=levels)
     return join_null_safe(basic, places, group)
 
 
-def aggregate_values(df: DataFrame, value: str, mode: str, group: Sequence[str] | str, levels: int = 10) -> DataFrame:
+def aggregate_values(df: DataFrame, value: str, mode: str, group: Sequence[str] | str, levels: int | None = None) -> DataFrame:
     """One aggregation mode: ``min max avg median p=<percent>``; ``none`` keeps the rows."""
     group = as_list(group)
     simple = {"min": F.min, "max": F.max, "avg": F.avg}
@@ -55,13 +64,16 @@ def aggregate_values(df: DataFrame, value: str, mode: str, group: Sequence[str]
         return df.groupBy(*group).agg(simple[mode](value).alias(value))
     if mode == "none":
         return df.select(*group, value)
+    return quantiles(df, value, [quantile_of(mode)], group, names=[value], levels=levels)
+
+
+def quantile_of(mode: str) -> float:
+    """The probability of ``median`` or ``p=<percent>``."""
     if mode == "median":
-        share = 0.5
-    elif mode.startswith("p="):
-        share = float(mode.split("=", 1)[1]) / 100
-    else:
-        raise ValueError(f"unknown aggregation mode {mode!r}")
-    return quantiles(df, value, [share], group, names=[value], levels=levels)
+        return 0.5
+    if mode.startswith("p="):
+        return float(mode.split("=", 1)[1]) / 100
+    raise ValueError(f"unknown aggregation mode {mode!r}")
 
 
 def list_statistics(cells: Column) -> dict[str, Column]:
@@ -123,7 +135,7 @@ def counts_by(df: DataFrame, dimensions: Mapping[str, str] | Sequence[str]) -> D
     return counted.select(which.alias("dimension"), value.alias("value"), "n")
 
 
-def box_statistics(df: DataFrame, value: str, group: Sequence[str] | str, levels: int = 10) -> DataFrame:
+def box_statistics(df: DataFrame, value: str, group: Sequence[str] | str, levels: int | None = None) -> DataFrame:
     """Box-plot numbers per group: count, quartiles and the outermost values within 1.5 IQR."""
     group = as_list(group)
     boxes = quantiles(df, value, [0.25, 0.5, 0.75], group, names=["q1", "median", "q3"], levels=levels)
@@ -131,7 +143,7 @@ def box_statistics(df: DataFrame, value: str, group: Sequence[str] | str, levels
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     marked = join_null_safe(df.select(*group, value), boxes, group)
     return marked.groupBy(*group, "q1", "median", "q3").agg(
-        F.count(value).alias("n"),
+        F.count(present(F.col(value))).alias("n"),
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
     )

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.draws import hash_share, poisson_weight
 from seriesmill.operators.ordered import row_index
-from seriesmill.operators.quantiles import quantiles
-from seriesmill.session import as_list, join_null_safe, spread
+from seriesmill.operators.quantiles import present, quantiles
+from seriesmill.session import as_list, join_null_safe
 
 EPS = 2.220446049250313e-16
 
@@ -33,7 +33,7 @@ MEDIAN_METRICS = ("mde", "amde", "mdae")
 
 def _sum_metrics(weight: Column) -> dict[str, Column]:
     """Base metrics that need only weighted sums over columns ``__e`` (error) and ``__y`` (centred target)."""
-    n = F.sum(weight)
+    n = F.sum(F.when(F.col("__e").isNotNull(), weight))
     squares = F.sum(weight * F.col("__e") * F.col("__e"))
     mean_error = F.try_divide(F.sum(weight * F.col("__e")), n)
     total = F.sum(weight * F.col("__y"))
@@ -54,19 +54,17 @@ def _signed(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
 
 def _errors(df: DataFrame, keys: Sequence[str], y: str, y_hat: str) -> DataFrame:
     """Keys, error and target centred on the overall mean (keeps the sums of squares accurate)."""
-    centre = df.agg(F.avg(F.col(y).cast("double"))).scalar()
-    return df.select(
-        *keys,
-        (F.col(y).cast("double") - F.col(y_hat).cast("double")).alias("__e"),
-        (F.col(y).cast("double") - centre).alias("__y"),
-    )
+    centre = df.agg(F.avg(present(F.col(y)))).scalar()
+    error = present(F.col(y)) - present(F.col(y_hat))
+    # a row without target or prediction counts in no metric
+    return df.select(*keys, error.alias("__e"), F.when(error.isNotNull(), present(F.col(y)) - centre).alias("__y"))
 
 
 def _metric_table(
     rows: DataFrame,
     keys: list[str],
     metrics: Sequence[str],
-    levels: int,
+    levels: int | None,
     draw: Callable[[DataFrame, bool], DataFrame] | None = None,
 ) -> DataFrame:
     """Metrics per key; ``draw(rows, keep_zero)`` adds ``replicate`` (one of the keys) and ``weight``."""
@@ -80,21 +78,24 @@ def _metric_table(
     if any(b in sums for b in bases):
         drawn = draw(rows, True) if draw else rows
         parts.append(drawn.groupBy(*keys).agg(*[sums[b].alias(f"__m_{b}") for b in bases if b in sums]))
-    if {"mde", "amde"} & set(bases):
-        middle = quantiles(rows, "__e", [0.5], keys, names=["__m_mde"], **options)
-        parts.append(middle.withColumn("__m_amde", F.abs("__m_mde")))
-    if "mdae" in bases:
-        parts.append(quantiles(rows.withColumn("__e", F.abs("__e")), "__e", [0.5], keys, names=["__m_mdae"], **options))
+    sides = [F.struct(F.lit(True).alias("__signed"), F.col("__e").alias("__x"))] if {"mde", "amde"} & set(bases) else []
+    sides += [F.struct(F.lit(False).alias("__signed"), F.abs("__e").alias("__x"))] if "mdae" in bases else []
+    if sides:
+        # both medians in one chain: a row per kind of error
+        kinds = rows.select("*", F.inline(F.array(*sides)))
+        middle = quantiles(kinds, "__x", [0.5], [*keys, "__signed"], names=["__q"], **options)
+        signed, unsigned = F.max(F.when(F.col("__signed"), F.col("__q"))), F.max(F.when(~F.col("__signed"), F.col("__q")))
+        parts.append(middle.groupBy(*keys).agg(signed.alias("__m_mde"), F.abs(signed).alias("__m_amde"), unsigned.alias("__m_mdae")))
     if not keys:  # one row each: give them a key to meet on
         parts = [part.withColumn("__one", F.lit(1)) for part in parts]
     table = parts[0]
     for part in parts[1:]:
-        table = join_null_safe(table, part, keys or ["__one"])
+        table = join_null_safe(table, part, keys or ["__one"], "left")
     return _signed(table, keys, metrics)
 
 
 def regression_metrics(
-    df: DataFrame, y: str, y_hat: str, group: Sequence[str] | str, metrics: Sequence[str] = tuple(METRICS), levels: int = 10
+    df: DataFrame, y: str, y_hat: str, group: Sequence[str] | str, metrics: Sequence[str] = tuple(METRICS), levels: int | None = None
 ) -> DataFrame:
     """One column per metric and one row per group; the error is ``y - y_hat``.
 
@@ -128,7 +129,7 @@ def draw_weights(
     is the table to draw from when ``df`` is only a part of it.
     """
     if mode == "poisson":
-        exploded = spread(df).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        exploded = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         # the share is a column of its own, so the hash is taken once and not once per step of the weight
         shared = exploded.withColumn("__share", hash_share(F.col(row_id), F.col("replicate"), seed, method=method))
         weighted = shared.withColumn("weight", poisson_weight(F.col("__share"))).drop("__share")
@@ -140,7 +141,7 @@ def draw_weights(
     places = row_index(ids.withColumn("__chunk_key", drawer), [F.col("__chunk_key"), F.col(row_id)], [F.col("__chunk_key")], name="__place")
     size = ids.agg(F.count(F.lit(1)).alias("__n"))
     trials = (
-        spread(places.select("__place"))
+        places.select("__place")
         .withColumn("__n", size.scalar())
         .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     )
@@ -166,7 +167,7 @@ def paired_bootstrap(
     metrics: Sequence[str] = ("neg_rmse",),
     method: str = "xxhash64",
     mode: str = "poisson",
-    levels: int = 10,
+    levels: int | None = None,
 ) -> DataFrame:
     """Metrics of every (candidate, replicate); all candidates share the draws of a row id.
 

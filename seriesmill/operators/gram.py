@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.draws import POISSON_STEPS
-from seriesmill.session import spread
 
 BLOCK_CELLS = 2_000_000  # numbers per in-task work array
 
@@ -79,7 +78,6 @@ def gram_sums(
         identity.alias("id"),
         *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
     ).filter(F.col("part").isNotNull())
-    rows = spread(rows)
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from seriesmill.operators.evaluation import METRICS, paired_bootstrap, regression_metrics
 from seriesmill.operators.reshape import ScaleModel, fit_scaler
 from seriesmill.operators.split import split_head_tail
-from seriesmill.session import spread
 
 # Boosted tree families share Spark's implementation; linear is the fast baseline.
 ESTIMATORS = {"rf": RandomForestRegressor, "lgbm": GBTRegressor, "xgboost": GBTRegressor, "linear": LinearRegression}
@@ -43,7 +42,7 @@ def build_estimator(features: Sequence[str], target: str, family: str, params: M
         raise NotImplementedError(f"no estimator family {family!r}")
     if family == "linear":
         params.pop("seed", None)
-    stages = [VectorAssembler(inputCols=list(features), outputCol="__raw" if scaler else "__features", handleInvalid="skip")]
+    stages = [VectorAssembler(inputCols=list(features), outputCol="__raw" if scaler else "__features", handleInvalid="error")]
     if scaler:
         stages.append(scaler)
     stages.append(ESTIMATORS[family](featuresCol="__features", labelCol=target, predictionCol="y_hat", **params))
@@ -66,10 +65,6 @@ class FittedModel:
         return back.inverse(scored)
 
 
-def _safe_names(names: Sequence[str]) -> dict[str, str]:
-    return {name: f"f{i}" for i, name in enumerate(names)}
-
-
 def fit_model(df: DataFrame, features: Sequence[str], target: str, family: str, params: Mapping | None = None) -> FittedModel:
     """Fit one model; ``y_transform`` (standard or minmax) in ``params`` scales the target.  Runs jobs."""
     params = dict(params or {})
@@ -103,7 +98,7 @@ def tune(
     as concurrent Spark jobs over one split that is cached for the search.
     """
     numbered = split_head_tail(df.select(*features, target, *_order_columns(df, features, target)), order, chunk, 1 - holdout)
-    parts = spread(numbered).persist()
+    parts = numbered.persist()
     try:
         train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
         trials = ([dict(start)] if start else []) + [p for p in parameter_grid(space) if not start or p != dict(start)]
@@ -150,7 +145,7 @@ class ModelScorer:
         self.params = {"seed": seed, **(params or {})}
         self._target, self._row_id, self._family = target, row_id, family
         self._replicates, self._seed, self._parallelism = replicates, seed, parallelism
-        self._rows = spread(df.select(row_id, part, target, *self.features)).persist()
+        self._rows = df.select(row_id, part, target, *self.features).persist()
         self._part = part
 
     def _scored(self, features: Sequence[str]) -> DataFrame:
@@ -192,7 +187,7 @@ def test_fits(
 
     Every fit uses its own seed; all share the test draws.
     """
-    train, test = spread(train.select(*features, target)), test.select(row_id, target, *features)
+    train, test = train.select(*features, target), test.select(row_id, target, *features)
     tables = []
     for fit in range(fits):
         model = fit_model(train, features, target, family, {**(params or {}), "seed": seed + fit})

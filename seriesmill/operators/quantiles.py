@@ -2,10 +2,11 @@
 
 ``percentile`` keeps every distinct value of a group in one hash map.  That is
 fine for a few hundred bootstrap replicates and wrong for sensor readings.
-``quantiles`` works in three steps, all of them shuffles with map-side combine:
-a mergeable sketch cuts the value axis into bins of about equal size; rows are
-counted per (group, bin) to find the bins that hold the wanted ranks; only
-those bins are sorted, each in its own task.
+``quantiles`` counts rows per (group, value) with map-side combine and takes the
+ranks from running sums.  Where a group has more rows than one task should sort,
+its own value axis is first cut into bins of about equal size by a mergeable
+sketch; rows are counted per (group, bin) to find the bins that hold the wanted
+ranks; only those bins are sorted, each in its own task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.session import as_list, join_null_safe, spread
+from seriesmill.session import as_list, join_null_safe
+
+#: Rows of a group that one task may sort.
+BIN_ROWS = 1_000_000
 
 
 def bin_of(value: Column, edges: Column, levels: int) -> Column:
@@ -28,6 +32,27 @@ def bin_of(value: Column, edges: Column, levels: int) -> Column:
     )
 
 
+def present(column: Column) -> Column:
+    """The value as a double, NULL where it is NaN."""
+    value = column.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _levels(rows: DataFrame, group: Sequence[str], bin_rows: int) -> int:
+    """Halvings that bring the rows of the largest group down to ``bin_rows`` per bin.  Runs one job."""
+    largest = rows.groupBy(*group).agg(F.count("__v").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(0, (-(-largest // bin_rows) - 1).bit_length())
+
+
+def _ranks(total: Column, probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
+    """Lower rank, upper rank and share of the upper one, per probability."""
+    found = []
+    for p in probs:
+        place = (total - 1) * F.lit(float(p))
+        found.append((F.floor(place).cast("long"), F.ceil(place).cast("long"), place - F.floor(place)))
+    return found
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -35,34 +60,47 @@ def quantiles(
     group: Sequence[str] | str = (),
     weight: str | None = None,
     names: Sequence[str] | None = None,
-    levels: int = 10,
+    levels: int | None = None,
     expand: Callable[[DataFrame], DataFrame] | None = None,
     expanded: Sequence[str] = (),
+    bin_rows: int = BIN_ROWS,
 ) -> DataFrame:
-    """Linearly interpolated quantiles of ``value`` per ``group``; one row per group.
+    """Linearly interpolated quantiles of ``value`` per ``group``; one row per group of the input.
 
-    ``weight`` is an integer multiplicity.  NULL and NaN are skipped.  With
-    ``levels`` = 10 a sorted bin holds about a thousandth of the rows; raise it
-    for larger tables.
+    ``weight`` is an integer multiplicity.  NULL and NaN are skipped; a group
+    without values has NULL quantiles.  The number of bins comes from the rows of
+    the largest group (one job), so that a bin holds about ``bin_rows`` of them;
+    ``levels`` (a power of two of bins) spares that job.
 
     ``expand`` multiplies the rows (bootstrap replicates) and adds the columns
     ``expanded`` to group by, and perhaps the weight.  Bins are found before it,
-    and only rows of the wanted bins are expanded a second time.
+    and only rows of the wanted bins are expanded a second time; a group that no
+    row was drawn for has no row.
     """
     group = as_list(group)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     narrow = [c for c in group if c not in expanded]
     kept = df.columns if expand else [*group, *([weight] if weight else [])]
-    rows = spread(df.select(*kept, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v")))
-    n_edges = (1 << levels) - 1
-    cuts = ", ".join(f"{(i + 1) / (n_edges + 1)!r}D" for i in range(n_edges))
-    edges = rows.agg(F.expr(f"percentile_approx(__v, array({cuts}), {8 * (n_edges + 1)})")).scalar()
-    placed = rows.withColumn("__edges", edges).withColumn("__bin", bin_of(F.col("__v"), F.col("__edges"), levels)).drop("__edges")
+    rows = df.select(*kept, present(F.col(value)).alias("__v"))
+    if levels is None:
+        levels = _levels(rows, narrow, bin_rows)
 
     def weighted(frame: DataFrame) -> DataFrame:
         grown = expand(frame) if expand else frame
         w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-        return grown.select(*group, "__bin", "__v", w.alias("__w")).filter(F.col("__w") > 0)
+        w = F.when(F.col("__v").isNull(), F.lit(0).cast("long")).otherwise(w)
+        return grown.select(*group, *[c for c in ("__bin",) if c in frame.columns], "__v", w.alias("__w"))
+
+    if levels == 0:
+        return _from_values(weighted(rows), group, probs, names)
+    n_edges = (1 << levels) - 1
+    cuts = ", ".join(f"{(i + 1) / (n_edges + 1)!r}D" for i in range(n_edges))
+    edges = rows.groupBy(*narrow).agg(F.expr(f"percentile_approx(__v, array({cuts}), {8 * (n_edges + 1)})").alias("__edges"))
+    if narrow:
+        placed = join_null_safe(rows, edges, narrow)
+    else:
+        placed = rows.withColumn("__edges", edges.scalar())
+    placed = placed.withColumn("__bin", bin_of(F.col("__v"), F.col("__edges"), levels)).drop("__edges")
 
     keys = [*group, "__bin"]
     up_to = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -75,14 +113,8 @@ def quantiles(
         .withColumn("__total", F.sum("__mass").over(overall))
     )
     wanted = []
-    for i, p in enumerate(probs):
-        place = (F.col("__total") - 1) * F.lit(float(p))
-        low = F.floor(place)
-        share = place - low
-        wanted.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), low.cast("long").alias("rank"), share.alias("share")))
-        wanted.append(
-            F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(place).cast("long").alias("rank"), share.alias("share"))
-        )
+    for i, (low, high, share) in enumerate(_ranks(F.col("__total"), probs)):
+        wanted += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.alias("rank"), share.alias("share")) for side, rank in ((0, low), (1, high))]
     targets = (
         mass.withColumn("__want", F.explode(F.array(*wanted)))
         .filter((F.col("__want.rank") < F.col("__end")) & (F.col("__want.rank") >= F.col("__end") - F.col("__mass")))
@@ -96,7 +128,7 @@ def quantiles(
         spots = [*narrow, "__bin"]
         placed = join_null_safe(placed, needed.select(*spots).distinct(), spots, "left_semi")
     ends = (
-        join_null_safe(weighted(placed), needed.select(*keys), keys, "left_semi")
+        join_null_safe(weighted(placed).filter("__w > 0"), needed.select(*keys), keys, "left_semi")
         .groupBy(*keys, "__v")
         .agg(F.sum("__w").alias("__w"))
         .withColumn("__upto", F.sum("__w").over(inside))
@@ -112,4 +144,25 @@ def quantiles(
         high = F.max(F.when((F.col("__t.__i") == i) & (F.col("__t.__side") == 1), F.col("__v")))
         share = F.max(F.when(F.col("__t.__i") == i, F.col("__t.__share")))
         picks.append(F.when(low == high, low).otherwise(low + (high - low) * share).alias(name))
-    return hits.groupBy(*group).agg(*picks)
+    found = hits.groupBy(*group).agg(*picks)
+    return join_null_safe(mass.select(*group).distinct(), found, group, "left") if group else found
+
+
+def _from_values(weighted: DataFrame, group: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles of groups that one task can sort: equal values are folded first."""
+    own = Window.partitionBy(*group)
+    folded = (
+        weighted.groupBy(*group, "__v")
+        .agg(F.sum("__w").alias("__w"))
+        .withColumn("__upto", F.sum("__w").over(own.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("__total", F.sum("__w").over(own))
+    )
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__w")), F.col("__v")))
+
+    picks = []
+    for name, (lower, upper, share) in zip(names, _ranks(F.col("__total"), probs)):
+        low, high = at(lower), at(upper)
+        picks.append(F.when(low == high, low).otherwise(low + (high - low) * F.max(share)).alias(name))
+    return folded.groupBy(*group).agg(*picks)

@@ -77,7 +77,7 @@ def add_binary_labels(df: DataFrame, threshold: float = 7, keep_rul: bool = Fals
     return labelled if keep_rul else labelled.drop("rul")
 
 
-def add_quantile_labels(df: DataFrame, column: str, classes: int, name: str = "label", levels: int = 10) -> DataFrame:
+def add_quantile_labels(df: DataFrame, column: str, classes: int, name: str = "label", levels: int | None = None) -> DataFrame:
     """Equal-frequency class 0 .. classes-1; intervals are closed on the right, the first on both sides.
 
     Equal neighbouring edges raise an error.
@@ -139,7 +139,7 @@ class ScaleModel:
         )
 
 
-def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard", levels: int = 10) -> ScaleModel:
+def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard", levels: int | None = None) -> ScaleModel:
     """Fit once, transform any frame later.  Runs one job; two numbers per column reach the driver.
 
     ``standard`` (population deviation), ``robust`` (median, quartile range),

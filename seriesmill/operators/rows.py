@@ -10,22 +10,15 @@ from pyspark.sql import types as T
 
 from seriesmill.session import as_list, require_columns
 
-IN_LIST_LIMIT = 1000
-
-
 def filter_rows(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(condition)
 
 
 def filter_assets(df: DataFrame, assets, column: str = "serial_number") -> DataFrame:
-    """Rows of the given assets: a pushed-down IN list, or a semi-join for a frame or a long list."""
-    if isinstance(assets, DataFrame):
-        return df.join(assets.select(F.col(assets.columns[0]).alias(column)).distinct(), column, "left_semi")
-    assets = as_list(assets)
-    if len(assets) <= IN_LIST_LIMIT:
-        return df.filter(F.col(column).isin(assets))
-    ids = df.sparkSession.createDataFrame([(a,) for a in assets], T.StructType([df.schema[column]]))
-    return df.join(ids.distinct(), column, "left_semi")
+    """Rows of the given assets, a semi-join whether they come as a list or as a frame."""
+    if not isinstance(assets, DataFrame):
+        assets = df.sparkSession.createDataFrame([(a,) for a in as_list(assets)], T.StructType([df.schema[column]]))
+    return df.join(assets.select(F.col(assets.columns[0]).alias(column)).distinct(), column, "left_semi")
 
 
 def require_rows(*frames: DataFrame) -> None:

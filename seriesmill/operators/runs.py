@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.text import key_part, median_and_interval, parse_name, under_prefix, value_and_error
-from seriesmill.operators.aggregates import aggregate_values, best_row
+from seriesmill.operators.aggregates import best_row, quantile_of
 from seriesmill.operators.joins import compare_runs
 from seriesmill.operators.ordered import first_in_group
 from seriesmill.operators.quantiles import quantiles
@@ -31,13 +31,16 @@ def metric_arrays(metrics: DataFrame, keys: Sequence[str], names: Sequence[str]
     Statistics of such values come from the long table (``metric_statistics``).
     """
     names = names or keys
-    wanted = metrics.filter(F.col("key").isin(list(keys)))
+    return metrics.filter(F.col("key").isin(list(keys))).groupBy("run").agg(*_cells(keys, names))
+
+
+def _cells(keys: Sequence[str], names: Sequence[str]) -> list[Column]:
     cells = []
     for key, name in zip(keys, names):
         values = F.collect_list(F.when(F.col("key") == key, F.struct("step", "idx", "value")))
         ordered = F.transform(F.sort_array(values), lambda v: v["value"])
         cells.append(F.when(F.size(values) > 0, ordered).alias(name))
-    return wanted.groupBy("run").agg(*cells)
+    return cells
 
 
 def metric_values(metrics: DataFrame, runs: DataFrame, metric: str) -> DataFrame:
@@ -48,10 +51,15 @@ def metric_values(metrics: DataFrame, runs: DataFrame, metric: str) -> DataFrame
 
 def metric_statistics(metrics: DataFrame, names: Sequence[str], aggregation: str) -> DataFrame:
     """One row per run and one column per test metric, aggregated (``min max avg median p=<percent>``)."""
-    keys = {f"testing/{m}": m for m in names}
-    own = metrics.filter(F.col("key").isin(list(keys))).select("run", "key", "value")
-    per_key = aggregate_values(own, "value", aggregation, ["run", "key"])
-    return per_key.groupBy("run").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(m) for k, m in keys.items()])
+    wanted = metrics.filter(F.col("key").isin([f"testing/{m}" for m in names]))
+    return wanted.groupBy("run").agg(*_statistics(names, aggregation))
+
+
+def _statistics(names: Sequence[str], aggregation: str) -> list[Column]:
+    """One aggregate per test metric; values per run and key are fits x replicates, a number set by settings."""
+    simple = {"min": F.min, "max": F.max, "avg": F.avg}
+    how = simple.get(aggregation) or (lambda c, p=quantile_of(aggregation): F.percentile(c, F.lit(p)))
+    return [how(F.when(F.col("key") == f"testing/{m}", F.col("value"))).alias(m) for m in names]
 
 
 def build_results(
@@ -61,15 +69,14 @@ def build_results(
 
     ``aggregation`` ``none`` keeps every metric as an array, any other mode gives one number.
     """
-    if aggregation == "none":
-        tested = metric_arrays(metrics, [f"testing/{m}" for m in series], list(series))
-    else:
-        tested = metric_statistics(metrics, series, aggregation)
+    # metrics and loop records are summed up in one pass
+    series = list(series)
+    measures = _cells([f"testing/{m}" for m in series], series) if aggregation == "none" else _statistics(series, aggregation)
+    summed = _with_models(metrics, measures)
     return (
         runs.filter(F.col("status") == "success")
-        .join(tested, "run", "left")
         .join(features.withColumnRenamed("features", "selected_features"), "run", "left")
-        .join(loop_counters(metrics), "run", "left")
+        .join(summed, "run", "left")
     )
 
 
@@ -78,14 +85,20 @@ def loop_counters(metrics: DataFrame) -> DataFrame:
 
     Fitted models: the first baseline plus every candidate except the copied baselines.
     """
+    return _with_models(metrics, [])
+
+
+def _with_models(metrics: DataFrame, measures: Sequence[Column]) -> DataFrame:
     def times(key: str) -> Column:
         return F.count(F.when(F.col("key") == key, 1))
 
     is_score = under_prefix(F.col("key"), "validation")
     iteration, candidate = key_part(F.col("key"), 1), key_part(F.col("key"), 2)
-    fitted = metrics.filter(is_score).select("run", iteration.alias("i"), candidate.alias("c")).distinct()
-    models = fitted.groupBy("run").agg((F.count(F.when(F.col("c") != "baseline", 1)) + 1).alias("fitted_models"))
-    counted = metrics.filter(~is_score).groupBy("run").agg(
+    # candidates per run are bounded by clusters x iterations
+    tried = F.collect_set(F.when(is_score & (candidate != "baseline"), F.struct(iteration, candidate)))
+    scored = F.max(is_score)
+    counted = metrics.groupBy("run").agg(
+        *measures,
         times("fast_stop_iteration").alias("fast_stops"),
         times("selected_cluster_id").alias("total_iterations"),
         times("feature_level_iteration").alias("feature_level_entries"),
@@ -93,9 +106,9 @@ def loop_counters(metrics: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("key") == "feature_level_evaluated_features", F.col("value"))), F.lit(0.0))
         .cast("long")
         .alias("feature_level_total_evaluated"),
+        F.when(scored, F.size(tried).cast("long") + 1).alias("fitted_models"),
     )
-    safe = F.col("feature_level_entries") - F.col("fallbacks")
-    return counted.withColumn("safe_removals", safe).join(models, "run", "left")
+    return counted.withColumn("safe_removals", F.col("feature_level_entries") - F.col("fallbacks"))
 
 
 def decisions(metrics: DataFrame) -> DataFrame:
@@ -109,11 +122,10 @@ def decisions(metrics: DataFrame) -> DataFrame:
         .groupBy("run", F.col("value").cast("int").alias("iteration"))
         .agg(*[F.max((F.col("key") == kind).cast("int")).alias(f"f{i}") for i, kind in enumerate(kinds)])
     )
-    passed = "Passed non-inferiority test -> stopped early."
     reason = (
-        F.when(F.col("f0") == 1, passed)
-        .when(F.col("f1") == 1, "Best median score. Didn't pass non-inferiority test.")
-        .when(F.col("f2") == 1, passed)
+        F.when(F.col("f0") == 1, PASSED)
+        .when(F.col("f1") == 1, NOT_PASSED)
+        .when(F.col("f2") == 1, PASSED)
         .otherwise("")
     )
     return taken.join(flags, ["run", "iteration"], "left").select("run", "iteration", "cluster_id", reason.alias("reason"))
@@ -150,12 +162,22 @@ def candidate_differences(metrics: DataFrame) -> DataFrame:
     )
 
 
-def explanations(metrics: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``run, explanation``: the decisions of a run as text.  ``clusters`` holds run, cluster_id, features."""
+# Lines and reasons of an explanation.
+CANDIDATE_LINE = "Cluster ID: %s | RMSE: %s | Difference Median (P05-P95) = %.3f (%.3f - %.3f)"
+ITERATION_LINE = "Iteration %d | Cluster (id=%d): [%s]"
+PASSED = "Passed non-inferiority test -> stopped early."
+NOT_PASSED = "Best median score. Didn't pass non-inferiority test."
+
+
+def explanations(metrics: DataFrame, clusters: DataFrame, digits: int | None = None) -> DataFrame:
+    """``run, explanation``: the decisions of a run as text.  ``clusters`` holds run, cluster_id, features.
+
+    The RMSE stands with all its digits, or with ``digits`` behind the point.
+    """
     line = F.format_string(
-        "Cluster ID: %s | RMSE: %s | Difference Median (P05-P95) = %.3f (%.3f - %.3f)",
+        CANDIDATE_LINE,
         "candidate",
-        F.col("rmse").cast("string"),
+        F.col("rmse").cast("string") if digits is None else F.format_string(f"%.{digits}f", "rmse"),
         "diff_median",
         "diff_p05",
         "diff_p95",
@@ -163,9 +185,7 @@ def explanations(metrics: DataFrame, clusters: DataFrame) -> DataFrame:
     lines = candidate_differences(metrics).groupBy("run", "iteration").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("candidate", line.alias("line")))), lambda v: v["line"]), "\n").alias("lines")
     )
-    head = F.format_string(
-        "Iteration %d | Cluster (id=%d): [%s]", "iteration", "cluster_id", F.concat_ws(", ", "features")
-    )
+    head = F.format_string(ITERATION_LINE, "iteration", "cluster_id", F.concat_ws(", ", "features"))
     reason = F.when(F.col("reason") != "", F.concat(F.lit("\nReason: "), F.col("reason"))).otherwise("")
     blocks = (
         decisions(metrics)

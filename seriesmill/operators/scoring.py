@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.physics import float_divide
 from seriesmill.operators.quantiles import bin_of
-from seriesmill.session import spread
 
 LARGEST = 1.7976931348623157e308
 
@@ -34,7 +33,7 @@ def _complete_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
         ]
     )
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
-    slim = spread(df.select(*[F.col(f"`{c}`") for c in columns]))
+    slim = df.select(*[F.col(f"`{c}`") for c in columns])
     return slim.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
@@ -100,7 +99,7 @@ def mutual_information(
     sketches) and one for the counts, which shrink to features x bins^2 map-side.
     """
     columns = [*features, target]
-    numbers = spread(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     if binning == "width":
         span = F.struct(*[F.struct(F.min(f"c{i}").alias("low"), F.max(f"c{i}").alias("high")).alias(f"e{i}") for i in range(len(columns))])
         placed = numbers.withColumn("__e", numbers.agg(span).scalar())
@@ -140,7 +139,7 @@ def forest_importance(df: DataFrame, features: Sequence[str], target: str, seed:
     """``feature, position, score`` from a random forest.  Fits a model."""
     from seriesmill.operators.models import fit_model
 
-    model = fit_model(spread(df.select(*features, target)), features, target, "rf", {"seed": seed, **params})
+    model = fit_model(df.select(*features, target), features, target, "rf", {"seed": seed, **params})
     values = model.stages[-1].featureImportances.toArray()
     rows = [(name, i, float(v)) for i, (name, v) in enumerate(zip(features, values))]
     return df.sparkSession.createDataFrame(rows, "feature string, position int, score double")

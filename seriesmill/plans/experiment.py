@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.functions.text import CLUSTERWISE
 from seriesmill.catalog.tags import scenario_features, target_of
 from seriesmill.operators.clustering import cluster_frame, feature_clusters
 from seriesmill.operators.gram import GramScorer
@@ -25,7 +26,7 @@ class Settings:
 
     scenario: str = "digital_twin"
     model: str = "linear"
-    method: str = "CSFS"  # CSFS, SFS, f_value, mutual_info, RF_FI
+    method: str = CLUSTERWISE  # clusterwise, SFS, f_value, mutual_info, RF_FI
     n_features: int = 10
     direction: str = "backward"
     clustering: str = "correlation"
@@ -63,7 +64,7 @@ def run(df: DataFrame, tags: Mapping, settings: Settings, ts: str = "Timestamp",
     inner = split_by_time(fit_rows, ts, (1 - s.val_ratio, s.val_ratio), s.gap_seconds, ("train", "val"))
     started = time.perf_counter()
     log, clusters = None, None
-    if s.method in ("CSFS", "SFS"):
+    if s.method in (CLUSTERWISE, "SFS"):
         if s.model == "linear":
             scorer = GramScorer(inner, features, target, [row_id], "split", s.replicates, s.seed)
         else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesmill.functions.draws import POISSON_STEPS
 from seriesmill.operators import evaluation as E
 from seriesmill.operators.leakage import data_leakage
 from seriesmill.queries.registry import load, query, rounded
@@ -26,8 +27,7 @@ DRAWS_SQL = f"""
 u AS (SELECT o_orderkey AS row_id, b.b AS replicate,
              ('0x' || substr(md5(o_orderkey || '|' || b.b || '|' || {SEED}), 1, 8))::BIGINT / 4294967296.0 AS u
       FROM orders, (SELECT unnest(range(0, {REPLICATES})) AS b) b),
-w AS (SELECT row_id, replicate, CASE WHEN u < .36787944 THEN 0 WHEN u < .73575888 THEN 1 WHEN u < .91969860 THEN 2 WHEN u < .98101184 THEN 3
-                                     WHEN u < .99634015 THEN 4 WHEN u < .99940582 THEN 5 ELSE 6 END AS w FROM u),
+w AS (SELECT row_id, replicate, CASE {" ".join(f"WHEN u < {top!r}::DOUBLE THEN {k}" for k, top in enumerate(POISSON_STEPS))} ELSE {len(POISSON_STEPS)} END AS w FROM u),
 boot AS (SELECT candidate, cast(replicate AS INTEGER) AS replicate, -sqrt(sum(w * (y - y_hat) * (y - y_hat)) / sum(w)) AS neg_rmse,
                 sum(w * abs(y - y_hat)) / sum(w) AS mae, sum(w * (y - y_hat)) / sum(w) AS me
          FROM scored JOIN w USING (row_id) GROUP BY 1, 2)
@@ -85,16 +85,15 @@ def paired_bootstrap(spark, folder):
 @query(
     f"""
     WITH {SCORED_SQL}, {DRAWS_SQL},
-    e AS (SELECT replicate, abs(y - y_hat) AS a, w FROM scored JOIN w USING (row_id) WHERE candidate = 'close' AND w > 0),
-    x AS (SELECT replicate, a FROM e, range(6) r(i) WHERE r.i < e.w)
-    SELECT cast(replicate AS INTEGER) AS replicate, round(median(a), 6) AS mdae FROM x GROUP BY 1
+    e AS (SELECT candidate, replicate, abs(y - y_hat) AS a, w FROM scored JOIN w USING (row_id) WHERE w > 0),
+    x AS (SELECT candidate, replicate, a FROM e, range({len(POISSON_STEPS)}) r(i) WHERE r.i < e.w)
+    SELECT candidate, cast(replicate AS INTEGER) AS replicate, round(median(a), 6) AS mdae FROM x GROUP BY 1, 2
     """
 )
 def bootstrap_median_error(spark, folder):
     """Weighted medians per replicate, exact, without holding a replicate in one task."""
-    close = scored_orders(spark, folder).filter(F.col("candidate") == "close")
-    found = E.paired_bootstrap(close, "row_id", "y", "y_hat", REPLICATES, SEED, (), ["mdae"], method="md5")
-    return found.select("replicate", rounded("mdae").alias("mdae"))
+    found = E.paired_bootstrap(scored_orders(spark, folder), "row_id", "y", "y_hat", REPLICATES, SEED, "candidate", ["mdae"], method="md5")
+    return found.select("candidate", "replicate", rounded("mdae").alias("mdae"))
 
 
 @query(

@@ -78,11 +78,10 @@ F_SQL = " UNION ALL ".join(
 )
 
 
-@query(f"WITH {FRAME_SQL} SELECT feature, position, round(score, 4) + 0.0 AS score FROM ({F_SQL}) WHERE feature <> 'net'")
+@query(f"WITH {FRAME_SQL} SELECT feature, position, cast(printf('%.6e', score) AS DOUBLE) AS score FROM ({F_SQL})")
 def f_value_scores(spark, folder):
     """F-value of each feature."""
-    scores = S.f_scores(feature_frame(spark, folder), FEATURES, TARGET).filter(F.col("feature") != "net")
-    return scores.withColumn("score", rounded("score", 4))
+    return S.f_scores(feature_frame(spark, folder), FEATURES, TARGET).withColumn("score", significant("score"))
 
 
 @query(f"WITH {FRAME_SQL} SELECT feature FROM ({F_SQL}) ORDER BY score DESC, position DESC LIMIT 3")
@@ -123,22 +122,26 @@ def forest_importance_scores(spark, folder):
 FEATURE_ROWS_SQL = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(FEATURES))
 
 
-def _with_variance(frame, clusters):
+def significant(column: str):
+    """Seven significant digits, for values of any size."""
+    return F.format_string("%.6e", F.col(column)).cast("double")
+
+
+def _with_variance(frame, clusters, shown=None):
     """Cluster members with the variance each has in the data."""
     members = C.cluster_frame(frame, clusters).select("cluster_id", F.explode("features").alias("feature"))
-    spread_of = column_profile(frame.select(*FEATURES)).select(F.col("column").alias("feature"), rounded("variance", 4).alias("variance"))
+    spread_of = column_profile(frame.select(*FEATURES)).select(F.col("column").alias("feature"), (rounded("variance", 4) if shown is None else shown).alias("variance"))
     return members.join(spread_of, "feature")
 
 
 VARIANCE_SQL = " UNION ALL ".join(f"SELECT {i} AS cluster_id, '{c}' AS feature, var_samp({c}) AS v FROM f" for i, c in enumerate(FEATURES))
 
 
-@query(f"WITH {FRAME_SQL} SELECT cast(cluster_id AS INTEGER) AS cluster_id, feature, round(v, 4) + 0.0 AS variance FROM ({VARIANCE_SQL}) WHERE feature <> 'net' UNION ALL SELECT 3, 'net', -1.0")
+@query(f"WITH {FRAME_SQL} SELECT cast(cluster_id AS INTEGER) AS cluster_id, feature, cast(printf('%.6e', v) AS DOUBLE) AS variance FROM ({VARIANCE_SQL})")
 def singleton_clusters(spark, folder):
     """One cluster per feature, with the variance of the feature."""
     frame = feature_frame(spark, folder)
-    found = _with_variance(frame, C.feature_clusters(frame, FEATURES, "singletons"))
-    return found.withColumn("variance", F.when(F.col("feature") == "net", -1.0).otherwise(F.col("variance")))
+    return _with_variance(frame, C.feature_clusters(frame, FEATURES, "singletons"), significant("variance"))
 
 
 @query(
@@ -214,7 +217,7 @@ def cluster_selection_trace(spark, folder):
     scorer = GramScorer(split_frame(spark, folder), FEATURES, TARGET, ["row_id"], replicates=50)
     clusters = C.feature_clusters(feature_frame(spark, folder), FEATURES, "correlation")
     found = ClusterSelector(scorer, clusters, 2).fit()
-    return found.metrics_frame(spark).filter(~F.col("key").startswith("validation/"))
+    return found.metrics_frame(spark)
 
 
 @query()
@@ -223,7 +226,7 @@ def forward_selection_trace(spark, folder):
     scorer = GramScorer(split_frame(spark, folder), FEATURES, TARGET, ["row_id"], replicates=50)
     clusters = C.feature_clusters(feature_frame(spark, folder), FEATURES, "correlation")
     found = ClusterSelector(scorer, clusters, 3, direction="forward", fast_mode=False).fit()
-    return found.metrics_frame(spark).filter(~F.col("key").startswith("validation/"))
+    return found.metrics_frame(spark)
 
 
 @query()
@@ -255,7 +258,7 @@ def sequential_selection_backward(spark, folder):
 def selected_columns(spark, folder):
     """The frame reduced to the selected features and its key."""
     scorer = GramScorer(split_frame(spark, folder), FEATURES, TARGET, ["row_id"], replicates=20)
-    found = ClusterSelector(scorer, C.singletons(["net", "l_tax", "l_quantity"]), 1, fixed=[]).fit()
+    found = ClusterSelector(scorer, C.singletons(FEATURES), 1, fixed=[]).fit()
     frame = load(spark, folder, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return frame.select("l_orderkey", *[F.round(f, 4).alias(f) for f in found.get_support()])
 

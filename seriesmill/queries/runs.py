@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesmill.functions.text import METHOD_LABELS, method_family, method_label, scenario_label
+from seriesmill.functions.text import CLUSTERWISE, METHOD_LABELS, method_family, method_label, scenario_label
 from seriesmill.operators import runs as R
 from seriesmill.operators.aggregates import box_statistics, ratio_of_sums
 from seriesmill.queries.registry import load, query, rounded
@@ -20,14 +20,14 @@ runs AS (
          CASE WHEN s_suppkey % 2 = 0 THEN 'wind' ELSE 'pv' END AS domain,
          CASE WHEN s_suppkey % 4 < 2 THEN 'digital_twin' ELSE 'forecast_available' END AS type,
          CASE s_suppkey % 3 WHEN 0 THEN 'mlp' WHEN 1 THEN 'lgbm' ELSE 'rf' END AS model,
-         CASE WHEN s_suppkey % 7 < 4 THEN 'CSFS' WHEN s_suppkey % 7 = 4 THEN 'mutual_info' WHEN s_suppkey % 7 = 5 THEN 'f_value' ELSE 'RF_FI' END AS method,
+         CASE WHEN s_suppkey % 7 < 4 THEN 'clusterwise' WHEN s_suppkey % 7 = 4 THEN 'mutual_info' WHEN s_suppkey % 7 = 5 THEN 'f_value' ELSE 'RF_FI' END AS method,
          CASE s_suppkey % 7 WHEN 0 THEN 'feature_importance' WHEN 1 THEN 'correlation' WHEN 2 THEN 'random' WHEN 3 THEN 'singletons' END AS clustering,
          CASE WHEN s_suppkey % 5 < 3 THEN 10 ELSE 2 END AS n_features, s_acctbal + 2000 AS fs_runtime
   FROM supplier),
 labelled AS (
   SELECT *, CASE domain WHEN 'wind' THEN 'WT' ELSE 'PV' END || CASE type WHEN 'digital_twin' THEN '-S1' ELSE '-S2' END AS scenario,
-         CASE WHEN clustering = 'feature_importance' THEN 'CSFS' || chr(10) || '(FI)' WHEN clustering = 'correlation' THEN 'CSFS' || chr(10) || '(corr.)'
-              WHEN clustering = 'random' THEN 'CSFS' || chr(10) || '(rnd.)' WHEN clustering = 'singletons' THEN 'SFS'
+         CASE WHEN clustering = 'feature_importance' THEN 'CW' || chr(10) || '(FI)' WHEN clustering = 'correlation' THEN 'CW' || chr(10) || '(corr.)'
+              WHEN clustering = 'random' THEN 'CW' || chr(10) || '(rnd.)' WHEN clustering = 'singletons' THEN 'SFS'
               WHEN method = 'mutual_info' THEN 'MI' WHEN method = 'f_value' THEN 'F-value' ELSE 'RF FI' END AS label
   FROM runs)
 """
@@ -60,7 +60,7 @@ loop AS (
 def run_table(spark, folder):
     k = F.col("s_suppkey")
     clustering = F.when(k % 7 == 0, "feature_importance").when(k % 7 == 1, "correlation").when(k % 7 == 2, "random").when(k % 7 == 3, "singletons")
-    method = F.when(k % 7 < 4, "CSFS").when(k % 7 == 4, "mutual_info").when(k % 7 == 5, "f_value").otherwise("RF_FI")
+    method = F.when(k % 7 < 4, CLUSTERWISE).when(k % 7 == 4, "mutual_info").when(k % 7 == 5, "f_value").otherwise("RF_FI")
     runs = load(spark, folder, "supplier").select(
         F.concat(F.lit("run_"), k.cast("string")).alias("run"),
         F.when(k % 10 == 9, "failed").otherwise("success").alias("status"),
@@ -123,14 +123,14 @@ def all_metrics(spark, folder):
 
 
 def run_features(spark, folder):
-    parts = load(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
-    sold = load(spark, folder, "lineitem").join(parts.filter(F.col("p_size") < 3), "l_partkey")
+    parts = load(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    sold = load(spark, folder, "lineitem").join(parts, "l_partkey")
     return sold.groupBy(_run_of_item()).agg(F.sort_array(F.collect_set("p_brand")).alias("features"))
 
 
 FEATURES_SQL = """
 feats AS (SELECT 'run_' || l_suppkey AS run, list_sort(list(DISTINCT p_brand)) AS features
-          FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 3 GROUP BY 1)
+          FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 """
 
 
@@ -157,18 +157,20 @@ def results_table(spark, folder):
 
 @query(
     f"""
-    WITH {LOOP_SQL}
-    SELECT run, count(*) FILTER (key = 'feature_level_iteration') AS feature_level_entries,
+    WITH {LOOP_SQL}, {SCORES_SQL},
+    m AS (SELECT run, count(DISTINCT (iteration, candidate)) FILTER (candidate <> 'baseline') + 1 AS fitted_models FROM scores GROUP BY 1),
+    c AS (SELECT run, count(*) FILTER (key = 'feature_level_iteration') AS feature_level_entries,
+           count(*) FILTER (key = 'fast_stop_iteration') AS fast_stops, count(*) FILTER (key = 'selected_cluster_id') AS total_iterations,
            count(*) FILTER (key = 'feature_level_none_non-inferior_iteration') AS fallbacks,
            cast(coalesce(sum(value) FILTER (key = 'feature_level_evaluated_features'), 0) AS BIGINT) AS feature_level_total_evaluated,
            count(*) FILTER (key = 'feature_level_iteration') - count(*) FILTER (key = 'feature_level_none_non-inferior_iteration') AS safe_removals
-    FROM loop GROUP BY 1
+    FROM loop GROUP BY 1)
+    SELECT c.*, fitted_models FROM c LEFT JOIN m USING (run)
     """
 )
 def loop_counters(spark, folder):
-    """Feature-level rounds, fallbacks, features tried, safe removals."""
-    found = R.loop_counters(validation_metrics(spark, folder).unionByName(loop_metrics(spark, folder)))
-    return found.select("run", "feature_level_entries", "fallbacks", "feature_level_total_evaluated", "safe_removals")
+    """All counters of each run's selection loop."""
+    return R.loop_counters(validation_metrics(spark, folder).unionByName(loop_metrics(spark, folder)))
 
 
 @query(
@@ -208,21 +210,44 @@ def _clusters(spark, folder):
     return runs.withColumn("features", F.array(F.concat(F.lit("f"), F.col("cluster_id").cast("string")), F.lit("g")))
 
 
-@query()
+TEXTS_SQL = f"""
+{SCORES_SQL}, {LOOP_SQL},
+lines AS (
+  SELECT run, iteration, string_agg(printf('Cluster ID: %s | RMSE: %.11f | Difference Median (P05-P95) = %.3f (%.3f - %.3f)', candidate, rmse, dm, lo, hi), chr(10) ORDER BY candidate) AS lines
+  FROM (SELECT a.run, a.iteration, a.candidate, median(-a.neg_rmse) AS rmse, median(a.neg_rmse - b.neg_rmse) AS dm,
+               quantile_cont(a.neg_rmse - b.neg_rmse, 0.05) AS lo, quantile_cont(a.neg_rmse - b.neg_rmse, 0.95) AS hi
+        FROM scores a JOIN scores b ON a.run = b.run AND a.iteration = b.iteration AND a.idx = b.idx AND b.candidate = 'baseline' GROUP BY 1, 2, 3)
+  GROUP BY 1, 2),
+flags AS (SELECT run, value AS iteration, bool_or(key = 'fast_stop_iteration') AS a, bool_or(key = 'feature_level_none_non-inferior_iteration') AS b, bool_or(key = 'feature_level_iteration') AS c
+          FROM loop WHERE key IN ('fast_stop_iteration', 'feature_level_none_non-inferior_iteration', 'feature_level_iteration') GROUP BY 1, 2),
+blocks AS (
+  SELECT l.run, l.step AS iteration,
+         printf('Iteration %d | Cluster (id=%d): [f%d, g]', l.step::BIGINT, l.value::BIGINT, l.value::BIGINT)
+         || CASE WHEN a THEN chr(10) || 'Reason: Passed non-inferiority test -> stopped early.' WHEN b THEN chr(10) || 'Reason: Best median score. Didn''t pass non-inferiority test.'
+                 WHEN c THEN chr(10) || 'Reason: Passed non-inferiority test -> stopped early.' ELSE '' END || chr(10) || lines AS block
+  FROM loop l LEFT JOIN flags f ON f.run = l.run AND f.iteration = l.step JOIN lines ON lines.run = l.run AND lines.iteration = l.step WHERE l.key = 'selected_cluster_id'),
+texts AS (SELECT run, string_agg(block, chr(10) || chr(10) ORDER BY iteration) AS explanation FROM blocks GROUP BY 1)
+"""
+
+
+@query(f"WITH {TEXTS_SQL} SELECT run, explanation FROM texts")
 def selection_explanations(spark, folder):
     """The whole decision text of each run."""
     metrics = validation_metrics(spark, folder).unionByName(loop_metrics(spark, folder))
-    return R.explanations(metrics, _clusters(spark, folder))
+    return R.explanations(metrics, _clusters(spark, folder), 11)
 
 
 @query(
-    f"WITH {TESTING_SQL} SELECT run, round(avg(value), 8) AS mean_metric FROM testing WHERE key = 'testing/rmse' GROUP BY 1 ORDER BY avg(value), 1 LIMIT 1"
+    f"""
+    WITH {TESTING_SQL}, {TEXTS_SQL}, m AS (SELECT run, avg(value) AS v FROM testing WHERE key = 'testing/rmse' GROUP BY 1)
+    SELECT run, round(v, 8) AS mean_metric, explanation FROM m JOIN texts USING (run) ORDER BY v, run LIMIT 1
+    """
 )
 def explanation_of_best_run(spark, folder):
     """The explained run with the lowest mean error."""
     metrics = validation_metrics(spark, folder).unionByName(loop_metrics(spark, folder))
-    texts = R.explanations(metrics, _clusters(spark, folder))
-    return R.best_explanation(testing_metrics(spark, folder), texts).select("run", rounded("mean_metric", 8).alias("mean_metric"))
+    texts = R.explanations(metrics, _clusters(spark, folder), 11)
+    return R.best_explanation(testing_metrics(spark, folder), texts).select("run", rounded("mean_metric", 8).alias("mean_metric"), "explanation")
 
 
 PAIR_SCORES_SQL = f"""
@@ -258,21 +283,20 @@ def method_agreement(spark, folder):
     return R.agreement(_pairs(spark, folder), "mean").withColumn("agreement", rounded("agreement"))
 
 
+METHODS = {"CW\n(FI)": "cw_fi", "CW\n(corr.)": "cw_corr", "CW\n(rnd.)": "cw_rnd", "SFS": "sfs", "MI": "mi", "F-value": "f_value", "RF FI": "rf_fi"}
+MATRIX_SQL = ", ".join(f"CASE WHEN m = '{m}' THEN 1.0 ELSE coalesce(round((SELECT median(score) FROM s WHERE a = m AND b = '{m}'), 6), -1) END AS {n}" for m, n in METHODS.items())
+
+
 @query(
     f"""
     WITH {PAIR_SCORES_SQL}, s AS (SELECT method_a AS a, method_b AS b, score FROM pairs UNION ALL SELECT method_b, method_a, score FROM pairs)
-    SELECT m AS method, CASE WHEN m = 'SFS' THEN 1.0 ELSE coalesce(round((SELECT median(score) FROM s WHERE a = m AND b = 'SFS'), 6), -1) END AS sfs,
-           CASE WHEN m = 'MI' THEN 1.0 ELSE coalesce(round((SELECT median(score) FROM s WHERE a = m AND b = 'MI'), 6), -1) END AS mi,
-           CASE WHEN m = 'RF FI' THEN 1.0 ELSE coalesce(round((SELECT median(score) FROM s WHERE a = m AND b = 'RF FI'), 6), -1) END AS rf
-    FROM (VALUES ('SFS'), ('MI'), ('RF FI')) v(m)
+    SELECT m AS method, {MATRIX_SQL} FROM (VALUES {", ".join(f"('{m}')" for m in METHODS)}) v(m)
     """
 )
 def method_agreement_matrix(spark, folder):
-    """Median similarity as a matrix of three methods."""
-    matrix = R.agreement_matrix(_pairs(spark, folder), ["SFS", "MI", "RF FI"], "median")
-    return matrix.select(
-        "method", *[F.coalesce(rounded(F.col(f"`{m}`")), F.lit(-1.0)).alias(n) for m, n in (("SFS", "sfs"), ("MI", "mi"), ("RF FI", "rf"))]
-    )
+    """Median similarity as a matrix of all methods."""
+    matrix = R.agreement_matrix(_pairs(spark, folder), list(METHODS), "median")
+    return matrix.select("method", *[F.coalesce(rounded(F.col(f"`{m}`")), F.lit(-1.0)).alias(n) for m, n in METHODS.items()])
 
 
 GAIN_ON_SQL = f"""
@@ -322,13 +346,20 @@ best AS (SELECT * FROM (SELECT l.*, st.*, feats.features, row_number() OVER (PAR
 """
 
 
+BEST_ITEMS_SQL = r"""
+i AS (
+  SELECT scenario, 'feature ' || pos AS item, value FROM f
+  UNION ALL SELECT scenario, 'label', label FROM best UNION ALL SELECT scenario, 'model', model FROM best
+  UNION ALL SELECT scenario, 'rmse', printf('$%.4f \pm %.4f$', rm, rs) FROM best
+  UNION ALL SELECT scenario, 'mae', printf('$%.4f \pm %.4f$', mm, ms) FROM best)
+"""
+
+SCENARIOS = {"WT-S1": "wt1", "WT-S2": "wt2", "PV-S1": "pv1", "PV-S2": "pv2"}
+
+
 @query(
-    rf"""
-    WITH {BEST_SQL}, i AS (SELECT scenario, unnest(features) AS value, unnest(range(len(features))) AS pos FROM best)
-    SELECT scenario, 'feature ' || pos AS item, value FROM i
-    UNION ALL SELECT scenario, 'label', label FROM best UNION ALL SELECT scenario, 'model', model FROM best
-    UNION ALL SELECT scenario, 'rmse', printf('$%.4f \pm %.4f$', rm, rs) FROM best
-    UNION ALL SELECT scenario, 'mae', printf('$%.4f \pm %.4f$', mm, ms) FROM best
+    f"""
+    WITH {BEST_SQL}, f AS (SELECT scenario, unnest(features) AS value, unnest(range(len(features))) AS pos FROM best), {BEST_ITEMS_SQL} SELECT * FROM i
     """
 )
 def best_feature_items(spark, folder):
@@ -340,17 +371,14 @@ def best_feature_items(spark, folder):
 
 @query(
     f"""
-    WITH {BEST_SQL}, i AS (SELECT scenario, 'feature ' || unnest(range(len(features))) AS item, unnest(features) AS value FROM best)
-    SELECT item, coalesce(max(value) FILTER (scenario = 'WT-S1'), '') AS wt1, coalesce(max(value) FILTER (scenario = 'PV-S2'), '') AS pv2 FROM i GROUP BY 1
-    HAVING max(value) FILTER (scenario IN ('WT-S1', 'PV-S2')) IS NOT NULL
+    WITH {BEST_SQL}, f AS (SELECT scenario, unnest(features) AS value, unnest(range(len(features))) AS pos FROM best), {BEST_ITEMS_SQL}
+    SELECT item, {", ".join(f"coalesce(max(value) FILTER (scenario = '{s}'), '') AS {n}" for s, n in SCENARIOS.items())} FROM i GROUP BY 1
     """
 )
 def best_feature_table(spark, folder):
     """The same as a table with scenarios as columns."""
-    long = R.best_features(run_table(spark, folder), testing_metrics(spark, folder), run_features(spark, folder), "scenario", ["rmse"])
-    features = long.filter(F.col("item").startswith("feature ") & F.col("scenario").isin("WT-S1", "PV-S2"))
-    wide = R.best_features_table(features, "scenario", ["WT-S1", "PV-S2"])
-    return wide.select("item", F.coalesce("`WT-S1`", F.lit("")).alias("wt1"), F.coalesce("`PV-S2`", F.lit("")).alias("pv2"))
+    wide = R.best_features_table(best_feature_items(spark, folder), "scenario", list(SCENARIOS))
+    return wide.select("item", *[F.coalesce(f"`{s}`", F.lit("")).alias(n) for s, n in SCENARIOS.items()])
 
 
 @query(
@@ -369,6 +397,10 @@ def box_statistics_per_method(spark, folder):
     return found.select("scenario", "label", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
 
 
+BOX = ("q1", "median", "q3", "whisker_low", "whisker_high")
+WHISKERS_SQL = "round(min({v}) FILTER ({v} >= q1 - 1.5 * (q3 - q1)), 8) AS whisker_low, round(max({v}) FILTER ({v} <= q3 + 1.5 * (q3 - q1)), 8) AS whisker_high"
+
+
 def _errors(spark, folder):
     return R.metric_values(testing_metrics(spark, folder), run_table(spark, folder), "rmse")
 
@@ -376,31 +408,32 @@ def _errors(spark, folder):
 @query(
     f"""
     WITH {RUNS_SQL}, {TESTING_SQL},
-    v AS (SELECT n_features, CASE WHEN label LIKE 'CSFS%' THEN 'CSFS' ELSE label END AS family, value FROM testing JOIN labelled USING (run) WHERE key = 'testing/rmse')
-    SELECT n_features, family, count(*) AS n, round(quantile_cont(value, 0.25), 8) AS q1, round(median(value), 8) AS median, round(quantile_cont(value, 0.75), 8) AS q3
-    FROM v GROUP BY 1, 2
+    v AS (SELECT n_features, CASE WHEN label LIKE 'CW%' THEN 'CW' ELSE label END AS family, value FROM testing JOIN labelled USING (run) WHERE key = 'testing/rmse'),
+    q AS (SELECT n_features, family, count(*) AS n, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY 1, 2)
+    SELECT n_features, family, n, round(q1, 8) AS q1, round(median, 8) AS median, round(q3, 8) AS q3, {WHISKERS_SQL.format(v="value")}
+    FROM v JOIN q USING (n_features, family) GROUP BY n_features, family, n, q1, median, q3
     """
 )
 def box_statistics_per_size(spark, folder):
     """Box-plot numbers per number of features and method family."""
-    families = {"CSFS": ["CSFS\n(FI)", "CSFS\n(corr.)", "CSFS\n(rnd.)"]}
+    families = {"CW": ["CW\n(FI)", "CW\n(corr.)", "CW\n(rnd.)"]}
     values = _errors(spark, folder).withColumn("family", method_family(F.col("label"), families))
     found = box_statistics(values, "rmse", ["n_features", "family"])
-    return found.select("n_features", "family", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3")])
+    return found.select("n_features", "family", "n", *[rounded(c, 8).alias(c) for c in BOX])
 
 
 @query(
     f"""
-    WITH {RUNS_SQL}
-    SELECT label, count(*) AS n, round(quantile_cont(fs_runtime / 60, 0.25), 8) AS q1, round(median(fs_runtime / 60), 8) AS median, round(quantile_cont(fs_runtime / 60, 0.75), 8) AS q3
-    FROM labelled WHERE clustering IS NOT NULL GROUP BY 1
+    WITH {RUNS_SQL}, v AS (SELECT label, fs_runtime / 60 AS minutes FROM labelled WHERE clustering IS NOT NULL),
+    q AS (SELECT label, count(*) AS n, quantile_cont(minutes, 0.25) AS q1, median(minutes) AS median, quantile_cont(minutes, 0.75) AS q3 FROM v GROUP BY 1)
+    SELECT label, n, round(q1, 8) AS q1, round(median, 8) AS median, round(q3, 8) AS q3, {WHISKERS_SQL.format(v="minutes")} FROM v JOIN q USING (label) GROUP BY label, n, q1, median, q3
     """
 )
 def runtime_distribution(spark, folder):
     """Selection runtime in minutes per method."""
     runs = run_table(spark, folder).filter(F.col("clustering").isNotNull()).withColumn("minutes", F.col("fs_runtime") / 60)
     found = box_statistics(runs, "minutes", "label")
-    return found.select("label", "n", *[rounded(c, 8).alias(c) for c in ("q1", "median", "q3")])
+    return found.select("label", "n", *[rounded(c, 8).alias(c) for c in BOX])
 
 
 @query(
@@ -442,7 +475,9 @@ def _summary_metrics(spark, folder):
 @query(
     """
     SELECT 'supp=' || l_suppkey || '_fast' AS run, cast(l_suppkey AS VARCHAR) AS supp, 'True' AS fast,
-           round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS train_mean, round(stddev_pop(l_quantity) FILTER (l_returnflag = 'R'), 6) AS test_std
+           round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS train_mean, round(stddev_pop(l_quantity) FILTER (l_returnflag = 'A'), 6) AS train_std,
+           round(avg(l_quantity) FILTER (l_returnflag = 'N'), 6) AS val_mean, round(stddev_pop(l_quantity) FILTER (l_returnflag = 'N'), 6) AS val_std,
+           round(avg(l_quantity) FILTER (l_returnflag = 'R'), 6) AS test_mean, round(stddev_pop(l_quantity) FILTER (l_returnflag = 'R'), 6) AS test_std
     FROM lineitem GROUP BY l_suppkey
     """
 )
@@ -453,8 +488,7 @@ def summary_by_prefix(spark, folder):
         "run",
         F.col("name_parts")["supp"].alias("supp"),
         F.col("name_parts")["fast"].alias("fast"),
-        rounded(F.col("`mean/train/loss`")).alias("train_mean"),
-        rounded(F.col("`std/test/loss`")).alias("test_std"),
+        *[rounded(F.col(f"`{stat}/{kind}/loss`")).alias(f"{kind}_{stat}") for kind in ("train", "val", "test") for stat in ("mean", "std")],
     )
 
 
@@ -508,16 +542,15 @@ def append_metric_records(spark, folder):
 @query(
     f"""
     WITH {TESTING_SQL}
-    SELECT run, key, cast(step AS INTEGER) AS step, idx, value FROM testing WHERE key = 'testing/rmse'
+    SELECT run, key, cast(step AS INTEGER) AS step, idx, value FROM testing WHERE key <> 'testing/mae'
     UNION ALL SELECT run, 'testing/mae', cast(step AS INTEGER), idx, value * 2 FROM testing WHERE key = 'testing/mae'
     """
 )
 def overwrite_metric_records(spark, folder):
     """New records replace their key."""
     metrics = testing_metrics(spark, folder)
-    stored = metrics.filter(F.col("key").isin("testing/rmse", "testing/mae"))
     new = metrics.filter(F.col("key") == "testing/mae").withColumn("value", F.col("value") * 2)
-    return R.append_metrics(stored, new, "overwrite")
+    return R.append_metrics(metrics, new, "overwrite")
 
 
 @query(

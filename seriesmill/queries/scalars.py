@@ -286,7 +286,7 @@ def parse_run_names(spark, folder):
     WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'wind' ELSE 'pv' END AS domain,
                       CASE WHEN s_suppkey % 4 < 2 THEN 'digital_twin' ELSE 'forecast_available' END AS kind, s_suppkey % 7 AS m FROM supplier)
     SELECT s_suppkey, CASE domain WHEN 'wind' THEN 'WT' ELSE 'PV' END || CASE kind WHEN 'digital_twin' THEN '-S1' ELSE '-S2' END AS scenario,
-           CASE m WHEN 0 THEN 'CSFS' || chr(10) || '(FI)' WHEN 1 THEN 'CSFS' || chr(10) || '(corr.)' WHEN 2 THEN 'CSFS' || chr(10) || '(rnd.)'
+           CASE m WHEN 0 THEN 'CW' || chr(10) || '(FI)' WHEN 1 THEN 'CW' || chr(10) || '(corr.)' WHEN 2 THEN 'CW' || chr(10) || '(rnd.)'
                   WHEN 3 THEN 'SFS' WHEN 4 THEN 'MI' WHEN 5 THEN 'F-value' ELSE 'RF FI' END AS method
     FROM r
     """
@@ -298,7 +298,7 @@ def scenario_and_method_labels(spark, folder):
     grouping = F.lit(None).cast("string")
     for number, label in names.items():
         grouping = F.when(F.col("m") == number, label).otherwise(grouping)
-    method = F.when(F.col("m") < 4, "CSFS").when(F.col("m") == 4, "mutual_info").when(F.col("m") == 5, "f_value").otherwise("RF_FI")
+    method = F.when(F.col("m") < 4, X.CLUSTERWISE).when(F.col("m") == 4, "mutual_info").when(F.col("m") == 5, "f_value").otherwise("RF_FI")
     domain = F.when(F.col("s_suppkey") % 2 == 0, "wind").otherwise("pv")
     kind = F.when(F.col("s_suppkey") % 4 < 2, "digital_twin").otherwise("forecast_available")
     return base.select(

@@ -62,25 +62,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before heavy work per row.
-
-    A table of a few row groups is read by a few tasks only.  If the optimiser
-    estimates less than one split per core the rows are dealt out; a larger
-    table already has splits enough and is returned as it is, without a shuffle.
-    Nothing runs here.
-    """
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other, keeping the left keys."""
     renamed = right.withColumnsRenamed({name: f"__right_{name}" for name in on})

@@ -77,7 +77,7 @@ def test_wind_plan(spark, turbine_tables, tmp_path):
         assert len(outcome.selected) == settings.n_features
         stored = experiment.run_tables("one", outcome, "wind", "T1", settings)
         assert stored["run_metrics"].filter("key = 'testing/rmse'").count() == settings.replicates
-        assert ("run_clusters" in stored) == (settings.method == "CSFS")
+        assert ("run_clusters" in stored) == (settings.method == "clusterwise")
 
 
 def test_solar_plan(spark, tmp_path):
