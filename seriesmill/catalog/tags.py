@@ -49,17 +49,19 @@ def needs_cyclical_encoding(model: str) -> bool:
 
 
 def scenario_features(tags: Tags, scenario: str, model: str) -> list[str]:
-    """Input features of a scenario (``forecast_available`` or ``digital_twin``) for a model family.
+    """Input features of a scenario (``forecast_available`` or ``digital_twin``) for a model family."""
+    return select_by_tags(tags, **scenario_rule(scenario, model))
 
-    Models that need it get the sine/cosine columns, all others the raw angle.
-    """
+
+def scenario_rule(scenario: str, model: str) -> dict[str, set]:
+    """Tags to include and exclude; models that need it get the sine/cosine columns, all others the raw angle."""
     include, exclude = {"forecast_available"}, {"meta", "target", "power_proxy"}
     if scenario == "forecast_available":
         exclude.add("system_state")
     else:
         include.add("system_state")
     wanted, unwanted = ("cyclical_encoding", "circular") if needs_cyclical_encoding(model) else ("circular", "cyclical_encoding")
-    return select_by_tags(tags, include_any=include | {wanted}, exclude=exclude | {unwanted})
+    return {"include_any": include | {wanted}, "exclude": exclude | {unwanted}}
 
 
 def catalog_frame(spark: SparkSession, tags: Tags, ranges: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DAY_MICROS = 86_400_000_000
 
@@ -67,10 +66,3 @@ def utc_to_zone(ts: Column, zone: str = "Asia/Shanghai") -> Column:
 
 def zone_to_utc(ts: Column, zone: str = "Asia/Shanghai") -> Column:
     return F.to_utc_timestamp(ts, zone)
-
-
-def as_zoneless(df: DataFrame, ts: str) -> DataFrame:
-    """TIMESTAMP shown without a zone; keeps TIMESTAMP_NTZ as it is."""
-    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        return df
-    return df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))

@@ -25,6 +25,12 @@ def best_row(df: DataFrame, group: Sequence[str] | str, score: str, tie: Sequenc
     return first_in_group(tied, group, list(tie))
 
 
+def group_top(df: DataFrame, group: Sequence[str] | str, value: str, name: str) -> DataFrame:
+    """The largest value of its group on every row: an aggregate joined back, not a window over the group."""
+    group = as_list(group)
+    return join_null_safe(df, df.groupBy(*group).agg(F.max(value).alias(name)), group, "left")
+
+
 def moments(df: DataFrame, columns: Sequence[str], group: Sequence[str] | str = ()) -> DataFrame:
     """mean, std, min, max and var of each column as ``<column>_<statistic>``; NULL and NaN are skipped."""
     measures: list[Column] = []

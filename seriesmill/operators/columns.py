@@ -143,7 +143,7 @@ def drop_constant_averages(df: DataFrame) -> DataFrame:
     return drop_flat_columns(df, 0.0, [c for c in numeric_columns(df) if "Avg" in c])
 
 
-def to_matrix(df: DataFrame, columns: Sequence[str] | None = None, name: str = "values") -> DataFrame:
-    """One ``ARRAY<DOUBLE>`` column that holds the row."""
-    columns = df.columns if columns is None else list(columns)
-    return df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias(name))
+def to_matrix(df: DataFrame, columns: Sequence[str] | None = None, name: str = "values", keep: Sequence[str] = ()) -> DataFrame:
+    """One ``ARRAY<DOUBLE>`` column that holds the row, next to the columns ``keep``."""
+    columns = [c for c in df.columns if c not in keep] if columns is None else list(columns)
+    return df.select(*keep, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias(name))

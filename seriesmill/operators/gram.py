@@ -57,9 +57,11 @@ def gram_sums(
     replicated_part: str | None = None,
     seed: int = 42,
     centre: Sequence[float] | None = None,
+    missing: str = "error",
 ) -> list[GramSum]:
     """Gram matrices of ``[1, columns - centre]`` per part; ``replicate`` -1 is unweighted.
 
+    A row with a missing value fails the job, or is left out with ``missing="drop"``.
     Runs two jobs (column means for centring, then the sums).  Each task adds up
     its rows in numpy and emits one small vector per (part, replicate); vectors
     are summed in the JVM.  The driver receives (1 + replicates) matrices whose
@@ -78,6 +80,14 @@ def gram_sums(
         identity.alias("id"),
         *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
     ).filter(F.col("part").isNotNull())
+    # a product with a missing factor would spoil every sum
+    hole = F.lit(False)
+    for i in range(len(columns)):
+        hole = hole | F.col(f"x{i}").isNull() | F.isnan(f"x{i}")
+    if missing == "drop":
+        rows = rows.filter(~hole)
+    else:
+        rows = rows.withColumn("x0", F.when(hole, F.raise_error(F.lit("a row has a missing value: drop incomplete rows first"))).otherwise(F.col("x0")))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}

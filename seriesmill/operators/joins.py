@@ -32,8 +32,19 @@ def attach(df: DataFrame, extra: DataFrame, on: Sequence[str] | str) -> DataFram
 
 
 def attach_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Dimension columns on every reading; readings of an unknown asset are dropped."""
-    return df.join(dimension, key, "inner")
+    """Dimension columns on every reading.
+
+    A reading of an asset without a dimension row, or of one with several, fails
+    the job: exactly one row per asset is asked for.  Readings without a key keep
+    empty dimension columns.
+    """
+    rest = [c for c in dimension.columns if c != key]
+    counted = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"), F.first(F.struct(*rest)).alias("__dimension"))
+    joined = df.join(counted, key, "left")
+    wrong = F.col(key).isNotNull() & (F.coalesce("__rows", F.lit(0)) != 1)
+    message = F.format_string("%s rows of metadata for asset %s", F.coalesce("__rows", F.lit(0)).cast("string"), F.col(key).cast("string"))
+    checked = joined.withColumn("__dimension", F.when(wrong, F.raise_error(message)).otherwise(F.col("__dimension")))
+    return checked.select(*df.columns, *[F.col(f"__dimension.`{c}`").alias(c) for c in rest])
 
 
 def dimension_row(dimension: DataFrame, key: str, value) -> DataFrame:

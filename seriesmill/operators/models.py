@@ -140,7 +140,10 @@ class ModelScorer:
         replicates: int = 100,
         seed: int = 42,
         parallelism: int = 4,
+        space: Mapping[str, Sequence] | None = None,
+        order: Sequence[Column] = (),
     ):
+        self._space, self._order = dict(space or {}), list(order)
         self.features = list(features)
         self.params = {"seed": seed, **(params or {})}
         self._target, self._row_id, self._family = target, row_id, family
@@ -163,6 +166,21 @@ class ModelScorer:
         with ThreadPoolExecutor(max_workers=self._parallelism) as pool:
             return list(pool.map(self.score, sets))
 
+    def point_score_many(self, sets: Sequence[Sequence[str]]) -> list[float]:
+        with ThreadPoolExecutor(max_workers=self._parallelism) as pool:
+            return list(pool.map(self.point_score, sets))
+
+    def retune(self, features: Sequence[str]) -> None:
+        """Search the parameters on the training rows for these features; the last best is tried first.  Runs jobs."""
+        if not self._space or not features:
+            return
+        train = self._rows.filter(F.col(self._part) == "train")
+        keep = {k: v for k, v in self.params.items() if k not in self._space}
+        start = {k: v for k, v in self.params.items() if k in self._space}
+        order = self._order or [F.col(self._row_id)]
+        best, _ = tune(train, list(features), self._target, order, [F.lit(0)], self._family, self._space, parallelism=self._parallelism, start=start or None)
+        self.params = {**keep, **best}
+
     def point_score(self, features: Sequence[str]) -> float:
         return regression_metrics(self._scored(features), self._target, "y_hat", [], ["neg_rmse"]).first()[0]
 
@@ -188,9 +206,11 @@ def test_fits(
     Every fit uses its own seed; all share the test draws.
     """
     train, test = train.select(*features, target), test.select(row_id, target, *features)
-    tables = []
+    tables, model = [], None
     for fit in range(fits):
-        model = fit_model(train, features, target, family, {**(params or {}), "seed": seed + fit})
+        # a linear fit has no seed: one model serves all
+        if model is None or family != "linear":
+            model = fit_model(train, features, target, family, {**(params or {}), "seed": seed + fit})
         scored = model.predict(test).select(row_id, target, "y_hat")
         table = paired_bootstrap(scored, row_id, target, "y_hat", replicates, seed, metrics=metrics)
         cells = [F.struct(F.lit(f"testing/{m}").alias("key"), F.col(m).alias("value")) for m in metrics]

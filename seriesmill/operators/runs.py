@@ -254,11 +254,17 @@ def agreement_matrix(pairs: DataFrame, methods: Sequence[str], how: str = "mean"
 
 
 def relative_gain(
-    runs: DataFrame, clustering: str, ours: Sequence[str], baseline: str, on: Sequence[str], runtime: str = "fs_runtime", how: str = "right"
+    runs: DataFrame, clustering: str, ours: Sequence[str], baseline: str, on: Sequence[str], runtime: str = "fs_runtime", how: str = "right", order: str | None = None
 ) -> DataFrame:
-    """Runtime gain over the baseline in percent for every matched pair of runs."""
+    """Runtime gain over the baseline in percent for every run with its baseline.
+
+    A setting has one baseline: of several, the first by ``order`` (the fastest, unless given).  ``right``
+    keeps baselines that no run is held against, ``left`` runs without baseline;
+    their gain is NULL.
+    """
     own = runs.filter(F.col(clustering).isin(list(ours))).select(*on, runtime)
-    base = runs.filter(F.col(clustering) == baseline).select(*on, runtime)
+    base = runs.filter(F.col(clustering) == baseline).select(*on, F.col(order or runtime).alias("__order"), runtime)
+    base = first_in_group(base, list(on), ["__order"]).drop("__order")
     joined = compare_runs(own, base, on, how)
     before, after = F.col(f"{runtime}_baseline"), F.col(f"{runtime}_ours")
     return joined.withColumn("gain", F.try_divide((before - after) * 100, before))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.physics import float_divide
-from seriesmill.operators.quantiles import bin_of
+from seriesmill.operators.quantiles import bin_of, present
 
 LARGEST = 1.7976931348623157e308
 
@@ -20,51 +20,54 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def _complete_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``pair, x, y`` for every row and pair of columns, incomplete pairs left out.
-
-    The rows multiply inside a task only: the aggregation that follows has one
-    group per pair and shrinks them before its shuffle.
-    """
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("pair"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
-    slim = df.select(*[F.col(f"`{c}`") for c in columns])
-    return slim.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+def _pearson_of(x: Column, y: Column) -> Column:
+    """Correlation over the rows in which both are present."""
+    both = x.isNotNull() & y.isNotNull()
+    return pearson(F.when(both, x), F.when(both, y))
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """All pairs ``feature_a, feature_b, r`` (a before b), each over its complete rows; one pass.
-
-    For a hundred and more features use ``correlation_matrix``.
-    """
+    """All pairs ``feature_a, feature_b, r`` (a before b), each over its complete rows; one aggregate over the rows as they are."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    found = _complete_pairs(df, pairs).groupBy("pair").agg(pearson(F.col("x"), F.col("y")).alias("r"))
-    first, second = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
-    at = F.col("pair") + 1
-    return found.select(F.element_at(first, at).alias("feature_a"), F.element_at(second, at).alias("feature_b"), "r")
+    numbers = df.select(*[present(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(features)])
+    place = {c: f"c{i}" for i, c in enumerate(features)}
+    found = numbers.agg(*[_pearson_of(F.col(place[a]), F.col(place[b])).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]
+    return found.select(F.inline(F.array(*cells)))
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     """Pearson matrix on the driver (features x features).  Runs two passes; undefined cells are NaN.
 
-    Rows must be complete, which the cleaning plans guarantee.
+    Each cell is taken over the rows in which both of its features are present:
+    the sums carry, next to a feature (0 where it is missing), whether it is there,
+    and its square.
     """
     from seriesmill.operators.gram import gram_sums
 
-    g = gram_sums(df, list(features))[0].gram
-    n = g[0, 0]
-    means = g[0, 1:] / n
-    cov = g[1:, 1:] / n - np.outer(means, means)
-    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    size = len(features)
+    numbers = df.select(*[present(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(features)])
+    means = numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).first()
+    shifted = [(F.col(c) - F.lit(float(m or 0.0))) for c, m in zip(numbers.columns, means)]
+    zero = F.lit(0.0)
+    wide = numbers.select(
+        *[F.coalesce(x, zero).alias(f"x{i}") for i, x in enumerate(shifted)],
+        *[F.when(x.isNull(), 0.0).otherwise(1.0).alias(f"there{i}") for i, x in enumerate(shifted)],
+        *[F.coalesce(x * x, zero).alias(f"square{i}") for i, x in enumerate(shifted)],
+    )
+    sums = gram_sums(wide, wide.columns, centre=[0.0] * (3 * size))
+    if not sums:
+        return np.full((size, size), np.nan)
+    g = sums[0].gram[1:, 1:]
+    x, there, square = slice(0, size), slice(size, 2 * size), slice(2 * size, 3 * size)
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = cov / np.outer(sd, sd)
+        n = g[there, there]
+        mean = g[x, there] / n
+        variance = g[square, there] / n - mean * mean
+        r = (g[x, x] / n - mean * mean.T) / np.sqrt(np.clip(variance, 0, None) * np.clip(variance, 0, None).T)
     r[~np.isfinite(r)] = np.nan
-    np.fill_diagonal(r, np.where(sd > 0, 1.0, np.nan))
+    spread = np.diag(variance)
+    np.fill_diagonal(r, np.where(spread > 0, 1.0, np.nan))
     return np.clip(r, -1, 1)
 
 
@@ -73,16 +76,18 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 
     A constant feature scores 0, a perfect one the largest double.
     """
-    r = pearson(F.col("x"), F.col("y"))
-    found = _complete_pairs(df, [(f, target) for f in features]).groupBy("pair").agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
-    square = F.col("r") * F.col("r")
+    numbers = df.select(*[present(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate([*features, target])])
+    y = F.col(f"c{len(features)}")
+    measures = []
+    for i in range(len(features)):
+        x = F.col(f"c{i}")
+        measures.append(F.struct(_pearson_of(x, y).alias("r"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n")).alias(f"m{i}"))
+    cells = [F.struct(F.lit(f).alias("feature"), F.lit(i).alias("position"), F.col(f"m{i}.r").alias("r"), F.col(f"m{i}.n").alias("n")) for i, f in enumerate(features)]
+    found = numbers.agg(*measures).select(F.inline(F.array(*cells)))
+    # rounding may carry a perfect correlation beyond one
+    square = F.when(F.col("r").isNotNull(), F.least(F.col("r") * F.col("r"), F.lit(1.0)))
     f_value = float_divide(square, F.lit(1.0) - square) * (F.col("n") - 2)
-    names = F.array(*[F.lit(f) for f in features])
-    return found.select(
-        F.element_at(names, F.col("pair") + 1).alias("feature"),
-        F.col("pair").alias("position"),
-        F.least(F.coalesce(f_value, F.lit(0.0)), F.lit(LARGEST)).alias("score"),
-    )
+    return found.select("feature", "position", F.least(F.coalesce(f_value, F.lit(0.0)), F.lit(LARGEST)).alias("score"))
 
 
 def _width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -56,6 +56,15 @@ class Selection:
         return spark.createDataFrame(self.log, METRIC_SCHEMA)
 
 
+def score_sets(scorer: Scorer, sets: Sequence[Sequence[str]], point: bool = False) -> list:
+    """Scores of several sets; a scorer that can keep several fits in flight does."""
+    many = getattr(scorer, "point_score_many" if point else "score_many", None)
+    if many is not None:
+        return many(sets)
+    one = scorer.point_score if point else scorer.score
+    return [one(s) for s in sets]
+
+
 class ClusterSelector:
     """Removes (backward) or adds (forward) one cluster per round until ``n_features`` are selected.
 
@@ -64,6 +73,12 @@ class ClusterSelector:
     round wins; with ``fast_mode`` it ends the round at once.  If none passes,
     single features of larger clusters are tried, and if none of those passes
     either, the best score wins (or the selection ends, with ``early_stopping``).
+
+    Candidate sets are handed to the scorer several at a time (``in_flight``); in
+    fast mode the ones behind the first that passes are thrown away unseen, so the
+    log is that of one set after the other.  ``tuning`` asks the scorer to search
+    its parameters anew: ``warm_up`` (once, on all features), ``iteration`` (every
+    round, on the features left, from the last best) or ``set`` (for every set).
     """
 
     def __init__(
@@ -79,7 +94,12 @@ class ClusterSelector:
         beta: float = 0.05,
         aggregation: str = "median",
         seed: int = 42,
+        in_flight: int = 4,
+        tuning: str | None = None,
     ):
+        if tuning not in (None, "warm_up", "iteration", "set"):
+            raise ValueError("tuning must be warm_up, iteration or set")
+        self._in_flight, self._tuning = in_flight, tuning
         if direction not in ("backward", "forward"):
             raise ValueError("direction must be backward or forward")
         members = [f for group in clusters.values() for f in group]
@@ -154,12 +174,22 @@ class ClusterSelector:
         difference = scores - self._scores[(self._round, "baseline")]
         return bool(np.quantile(difference, self._beta) >= -self._margin)
 
-    def _try_clusters(self) -> int | None:
-        for position, cluster in enumerate(self._queue()):
-            candidate = self._candidate_set(cluster=cluster)
-            if not candidate:
+    def _scored(self, sets: Sequence[list[str]]) -> Iterator[np.ndarray]:
+        """Scores of the sets in order, ``in_flight`` of them asked for at a time."""
+        for begin in range(0, len(sets), self._in_flight):
+            part = sets[begin : begin + self._in_flight]
+            if self._tuning != "set" and hasattr(self._scorer, "score_many"):
+                yield from self._scorer.score_many(part)
                 continue
-            scores = self._scorer.score(candidate)
+            for one in part:
+                if self._tuning == "set":
+                    self._scorer.retune(one)
+                yield self._scorer.score(one)
+
+    def _try_clusters(self) -> int | None:
+        asked = [(position, cluster, self._candidate_set(cluster=cluster)) for position, cluster in enumerate(self._queue())]
+        asked = [one for one in asked if one[2]]
+        for (position, cluster, _), scores in zip(asked, self._scored([one[2] for one in asked])):
             self._keep(cluster, scores)
             self._last[cluster] = aggregate_scores(scores, self._mode)
             if self._fast and self._fits(len(self._clusters[cluster])) and self._passes(cluster):
@@ -175,17 +205,12 @@ class ClusterSelector:
     def _try_features(self) -> tuple[dict[str, int], str | None]:
         tested: dict[str, int] = {}
         passed = None
-        for cluster in self._queue():
-            group = self._clusters[cluster]
-            if len(group) == 1:
-                continue
-            for feature in group:
-                tested[feature] = cluster
-                self._keep(feature, self._scorer.score(self._candidate_set(feature=feature)))
-                if self._passes(feature):
-                    passed = feature
-                    break
-            if passed:
+        asked = [(cluster, feature) for cluster in self._queue() if len(self._clusters[cluster]) > 1 for feature in self._clusters[cluster]]
+        for (cluster, feature), scores in zip(asked, self._scored([self._candidate_set(feature=feature) for _, feature in asked])):
+            tested[feature] = cluster
+            self._keep(feature, scores)
+            if self._passes(feature):
+                passed = feature
                 break
         return tested, passed
 
@@ -225,8 +250,12 @@ class ClusterSelector:
         return self._split_off(passed, tested[passed])
 
     def fit(self) -> Selection:
+        if self._tuning == "warm_up":
+            self._scorer.retune(self._features_of(list(self._clusters)) + self._fixed)
         while self._count() != self._n:
             self._round += 1
+            if self._tuning == "iteration":
+                self._scorer.retune((self._features_of(self._included()) or self._features_of(self._queue())) + self._fixed)
             cluster = self._one_round()
             if cluster is None:
                 break
@@ -238,10 +267,21 @@ class ClusterSelector:
     def resume(self, metrics: DataFrame, final_clusters: dict[int, list[str]], iteration: int) -> "ClusterSelector":
         """Continue at ``iteration`` from a stored log (``key, step, idx, value``).  Runs one job.
 
-        Records of later rounds are dropped, features split off before are split
-        off again; the order of the queue starts afresh, as no scores are kept.
+        Only records of the rounds before are read, and of the scores only those of
+        the metric in use.  Features split off before are split off again; the order
+        of the queue starts afresh.  Clusters that hold other features than the
+        stored ones are refused.
         """
-        kept = metrics.filter(F.col("key").rlike("^(validation/|fast_stop|feature_level|selected_cluster_id)")).collect()
+        if sorted(f for group in final_clusters.values() for f in group) != sorted(f for group in self._clusters.values() for f in group) or any(
+            not set(group) <= set(self._clusters[i]) for i, group in final_clusters.items() if i in self._clusters
+        ):
+            raise ValueError("the clusters have changed since the stored run")
+        key = F.col("key")
+        scores = key.startswith("validation/") & key.endswith("/neg_rmse") & (F.split(key, "/")[1].cast("int") < iteration)
+        taken_before = (key == "selected_cluster_id") & (F.col("step") < iteration)
+        rounds_before = key.isin("fast_stop_iteration", "feature_level_iteration", "feature_level_none_non-inferior_iteration") & (F.col("value") < iteration)
+        counts = key.isin("fast_stop_cluster_id", "fast_stop_evaluated_clusters", "feature_level_evaluated_features") & (F.col("step") < iteration)
+        kept = metrics.filter(scores | taken_before | rounds_before | counts).collect()
         taken = sorted((r.step, int(r.value)) for r in kept if r.key == "selected_cluster_id" and r.step < iteration)
         self._taken = [cluster for _, cluster in taken]
         for cluster in self._taken:
@@ -256,10 +296,9 @@ class ClusterSelector:
         for r in sorted(kept, key=lambda r: (r.key, r.step, r.idx)):
             if r.key.startswith("validation/"):
                 _, step, name, metric = r.key.split("/", 3)
-                if int(step) < iteration:
-                    self._log.append((r.key, r.step, r.idx, r.value))
-                    if metric == "neg_rmse":
-                        by_name.setdefault((int(step), int(name) if name.isdigit() else name), {})[r.idx] = r.value
+                self._log.append((r.key, r.step, r.idx, r.value))
+                self._log.append((f"{r.key.removesuffix(metric)}rmse", r.step, r.idx, -r.value))
+                by_name.setdefault((int(step), int(name) if name.isdigit() else name), {})[r.idx] = r.value
             elif r.key == "selected_cluster_id":
                 if r.step < iteration:
                     self._note(r.key, r.value, step=r.step)
@@ -293,6 +332,6 @@ def sequential_selection(scorer: Scorer, features: Sequence[str], n_features: in
         sets = [[g for g in features if g in picked or g == f] for f in open_features]
         if direction == "backward":
             sets = [[g for g in features if g not in picked and g != f] for f in open_features]
-        totals = [scorer.point_score(s) for s in sets]
+        totals = score_sets(scorer, sets, point=True)
         picked.append(open_features[int(np.argmax(totals))])
     return [f for f in features if (f in picked) == (direction == "forward")]

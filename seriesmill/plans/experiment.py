@@ -77,6 +77,8 @@ def run(df: DataFrame, tags: Mapping, settings: Settings, ts: str = "Timestamp",
                 scorer, groups, s.n_features, s.direction, fast_mode=s.fast_mode, early_stopping=s.early_stopping, seed=s.seed
             )
             found = selector.fit()
+            if isinstance(scorer, ModelScorer):
+                scorer.close()
             selected, log = found.selected, found.metrics_frame(df.sparkSession)
             clusters = cluster_frame(df, found.clusters)
     else:

@@ -46,7 +46,7 @@ def assemble(stations: DataFrame, metadata: DataFrame, turbidity: str | None = N
     return rename_checked(timed.drop(haze), solar.rename_map())
 
 
-def clean(df: DataFrame, tags: Mapping | None = None, sort: bool = True) -> DataFrame:
+def clean(df: DataFrame, tags: Mapping | None = None, sort: bool = False) -> DataFrame:
     """The seven cleaning steps, daytime rows only.
 
     Runs jobs: the deduplicated table is checkpointed once, then two column

@@ -68,7 +68,7 @@ def add_turbulence(df: DataFrame) -> DataFrame:
     return df.withColumns(added) if added else df
 
 
-def clean(df: DataFrame, tags: Mapping | None = None, sort: bool = True) -> DataFrame:
+def clean(df: DataFrame, tags: Mapping | None = None, sort: bool = False) -> DataFrame:
     """The eleven cleaning steps.
 
     Runs jobs: the deduplicated table is checkpointed once, then three column

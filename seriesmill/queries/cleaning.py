@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.catalog import wind
 from seriesmill.catalog.drives import preset_columns
-from seriesmill.catalog.tags import tag_filter, target_of
+from seriesmill.catalog.tags import scenario_rule, tag_filter, target_of
 from seriesmill.operators import columns as C
 from seriesmill.operators import rows as R
 from seriesmill.plans.chain import Chain
@@ -84,20 +84,8 @@ def target_column(spark, folder):
 def scenario_feature_sets(spark, folder):
     """Features of both scenarios: with encodings for one model family, raw angles for the other."""
     tags = _part_tags(spark, folder)
-    first = tags.filter(
-        tag_filter(
-            F.col("tags"),
-            include_any={"forecast_available", "cyclical_encoding"},
-            exclude={"meta", "target", "power_proxy", "system_state", "circular"},
-        )
-    )
-    second = tags.filter(
-        tag_filter(
-            F.col("tags"),
-            include_any={"forecast_available", "system_state", "circular"},
-            exclude={"meta", "target", "power_proxy", "cyclical_encoding"},
-        )
-    )
+    first = tags.filter(tag_filter(F.col("tags"), **scenario_rule("forecast_available", "mlp")))
+    second = tags.filter(tag_filter(F.col("tags"), **scenario_rule("digital_twin", "rf")))
     return (
         first.select("p_partkey", F.lit("forecast_available").alias("scenario"))
         .unionByName(second.select("p_partkey", F.lit("digital_twin").alias("scenario")))
@@ -329,7 +317,7 @@ def select_local_daterange(spark, folder):
 def rows_as_matrix(spark, folder):
     """A frame as one array per row."""
     frame = load(spark, folder, "lineitem")
-    matrix = frame.select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_tax").alias("values"))
+    matrix = C.to_matrix(frame, ["l_quantity", "l_tax"], keep=["l_orderkey", "l_linenumber"])
     return matrix.select("l_orderkey", "l_linenumber", *[F.col("values")[i].cast("string").alias(f"v{i}") for i in range(2)])
 
 

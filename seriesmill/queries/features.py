@@ -59,10 +59,17 @@ def correlation_pairs(spark, folder):
     return S.correlation_pairs(feature_frame(spark, folder), FEATURES).withColumn("r", rounded("r"))
 
 
-@query(f"WITH {FRAME_SQL} SELECT feature_a, feature_b, round(abs(r), 6) + 0.0 AS r FROM ({PAIRS_SQL})")
+@query(
+    f"""
+    WITH {FRAME_SQL.replace("f AS (", "whole AS (")}, f AS (SELECT * REPLACE (CASE WHEN l_linenumber <> 3 THEN l_tax END AS l_tax, CASE WHEN l_linenumber <> 2 THEN net END AS net) FROM whole)
+    SELECT feature_a, feature_b, round(abs(r), 6) + 0.0 AS r FROM ({PAIRS_SQL})
+    """
+)
 def correlation_from_gram(spark, folder):
-    """The absolute correlation matrix from the distributed Gram matrix."""
-    matrix = S.correlation_matrix(feature_frame(spark, folder), FEATURES)
+    """The absolute correlation matrix from the distributed Gram matrix, with holes in two features."""
+    frame = feature_frame(spark, folder)
+    holes = {"l_tax": F.when(F.col("l_linenumber") != 3, F.col("l_tax")), "net": F.when(F.col("l_linenumber") != 2, F.col("net"))}
+    matrix = S.correlation_matrix(frame.withColumns(holes), FEATURES)
     rows = [
         (a, b, float(abs(matrix[i, j])))
         for i, a in enumerate(FEATURES)

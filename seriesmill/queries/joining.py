@@ -126,11 +126,12 @@ def attach_back(spark, folder):
     return joined.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_items"))
 
 
-@query("SELECT c_custkey, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, n_name, coalesce(n_regionkey, -1) AS n_regionkey FROM customer LEFT JOIN nation ON CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey END = n_nationkey")
 def attach_metadata(spark, folder):
-    """Dimension columns on every reading."""
-    customers = load(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    return J.attach_dimension(customers, load(spark, folder, "nation"), "n_nationkey").select("c_custkey", "n_name", "n_regionkey")
+    """Dimension columns on every reading; readings without a key stay."""
+    key = F.when(F.col("c_custkey") % 9 != 0, F.col("c_nationkey"))
+    customers = load(spark, folder, "customer").select("c_custkey", key.alias("n_nationkey"))
+    return J.attach_dimension(customers, load(spark, folder, "nation"), "n_nationkey").select("c_custkey", "n_name", F.coalesce("n_regionkey", F.lit(-1)).alias("n_regionkey"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 7")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators import ordered as O
 from seriesmill.operators import sets as S
-from seriesmill.operators.aggregates import best_row, value_counts
+from seriesmill.operators.aggregates import best_row, group_top, value_counts
 from seriesmill.operators.clock import repair_repeated_hour
 from seriesmill.operators.split import first_match
 from seriesmill.queries.registry import load, query, rounded
@@ -44,8 +44,7 @@ def lagged_tensor(spark, folder):
 def group_maximum(spark, folder):
     """The group maximum on every row: aggregate and join, not a window over a group."""
     events = load(spark, folder, "events").select("event_id", "user_id", "value")
-    tops = events.groupBy("user_id").agg(F.max("value").alias("top"))
-    return events.join(tops, "user_id").select("event_id", "top")
+    return group_top(events, "user_id", "value", "top").select("event_id", "top")
 
 
 @query(

@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesmill.functions.timefeat import utc_to_zone
-from seriesmill.operators.columns import drop_columns, set_column_types
-from seriesmill.queries.registry import HOLES_SQL, load, query, with_holes
+from seriesmill.operators.columns import set_column_types
+from seriesmill.queries.registry import HOLES_SQL, load, query, rounded, with_holes
 from seriesmill.sources.quality import quality_report, rename_checked
-from seriesmill.sources.scans import station_inventory
+from seriesmill.sources.scans import fill_literature, parse_station, station_inventory, type_failures, type_mast, type_scada, type_station_metadata
 from seriesmill.sources.sinks import run_lines, to_json_lines
 
 
 @query(
     """
-    SELECT year(o_orderdate) AS year, count(*) AS n_rows,
-           strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day
-    FROM orders GROUP BY 1
+    SELECT cast(l_suppkey AS VARCHAR) AS turbine, year(l_shipdate) AS year, count(*) AS n_rows, strftime(min(l_shipdate), '%Y-%m-%d') AS first_day,
+           strftime(max(l_shipdate), '%Y-%m-%d') AS last_day, round(avg(l_quantity), 6) AS rpm, round(max(l_extendedprice), 6) AS power, count(try_cast(l_comment_number AS DOUBLE)) AS n_temperature
+    FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'n/a' ELSE cast(l_tax AS VARCHAR) END AS l_comment_number FROM lineitem) GROUP BY 1, 2
     """
 )
 def scan_by_year(spark, folder):
-    """Yearly readings: rows and span of each year."""
-    orders = load(spark, folder, "orders")
-    return orders.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(
+    """Yearly readings through the typed turbine scan: span and values of each turbine and year."""
+    raw = load(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("Turbine_ID"),
+        F.col("l_shipdate").alias("Timestamp"),
+        F.col("l_quantity").cast("string").alias("Gen_RPM_Avg"),
+        F.col("l_extendedprice").cast("string").alias("Grd_Prod_Pwr_Avg"),
+        F.when(F.col("l_linenumber") % 2 == 0, "n/a").otherwise(F.col("l_tax").cast("string")).try_cast("double").alias("Amb_Temp_Avg"),
+    )
+    typed = type_scada(raw)
+    return typed.groupBy(F.col("Turbine_ID").alias("turbine"), F.year("Timestamp").cast("long").alias("year")).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_day"),
-        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_day"),
+        F.date_format(F.min("Timestamp"), "yyyy-MM-dd").alias("first_day"),
+        F.date_format(F.max("Timestamp"), "yyyy-MM-dd").alias("last_day"),
+        rounded(F.avg("Gen_RPM_Avg")).alias("rpm"),
+        rounded(F.max("Grd_Prod_Pwr_Avg")).alias("power"),
+        F.count("Amb_Temp_Avg").alias("n_temperature"),
     )
 
 
@@ -38,33 +47,46 @@ def scan_by_year(spark, folder):
 )
 def failure_log_scan(spark, folder):
     """Failure log with text columns forced to text."""
-    log = load(spark, folder, "events").filter(F.col("event_type") == "error")
-    return log.select(
-        F.col("user_id").cast("string").alias("asset"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
-        F.col("event_type").alias("component"),
-        F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("remarks"),
-    ).fillna("nan", ["remarks"])
+    raw = load(spark, folder, "events").filter(F.col("event_type") == "error").select(
+        F.col("user_id").alias("Turbine_ID"),
+        F.col("ts").alias("Timestamp"),
+        F.col("event_type").alias("Component"),
+        F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("Remarks"),
+    )
+    return type_failures(raw).select(
+        F.col("Turbine_ID").alias("asset"), F.date_format("Timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("Component").alias("component"), F.col("Remarks").alias("remarks")
+    )
 
 
-@query("SELECT p_partkey, p_name, p_brand, p_retailprice FROM part")
+@query("SELECT o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS speed FROM orders")
 def scan_without_unused_columns(spark, folder):
-    """A scan that drops named columns; they never leave the file."""
-    return drop_columns(load(spark, folder, "part"), ["p_type", "p_size"])
+    """A mast scan drops its unused columns; they never leave the file."""
+    raw = load(spark, folder, "orders").select(
+        F.col("o_orderdate").alias("Timestamp"),
+        F.col("o_totalprice").cast("string").alias("Avg_Windspeed1"),
+        F.col("o_custkey").alias("Avg_Winddirection2"),
+        F.col("o_custkey").alias("Var_Winddirection2"),
+        F.col("o_orderkey").alias("key"),
+    )
+    mast = type_mast(raw)
+    if "Avg_Winddirection2" in mast.columns:
+        raise AssertionError("the second wind vane is still there")
+    return mast.select("key", F.date_format("Timestamp", "yyyy-MM-dd").alias("day"), F.col("Avg_Windspeed1").alias("speed"))
 
 
 @query(
     """
-    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS utc,
-           strftime(o_orderdate + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS shown
-    FROM orders
+    SELECT cast(o_custkey % 10 AS VARCHAR) AS station, strftime(date_trunc('minute', o_orderdate) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS shown,
+           o_totalprice AS power, count(*) AS n FROM orders GROUP BY 1, 2, 3
     """
 )
 def parse_station_time(spark, folder):
-    """Text instants parsed as UTC and shown in the station's zone."""
-    text = load(spark, folder, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("utc"))
-    parsed = F.date_trunc("minute", F.to_timestamp("utc", "yyyy-MM-dd HH:mm:ss"))
-    return text.withColumn("shown", F.date_format(utc_to_zone(parsed), "yyyy-MM-dd HH:mm:ss"))
+    """Station text files: instants parsed as UTC and shown in the station's zone, cells as numbers."""
+    raw = load(spark, folder, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date_time"), F.col("o_totalprice").cast("string").alias("power"), "o_custkey"
+    )
+    parsed = parse_station(raw, (F.col("o_custkey") % 10).cast("string"), "UTC+8")
+    return parsed.groupBy(F.col("Station_ID").alias("station"), F.date_format("date_time", "yyyy-MM-dd HH:mm:ss").alias("shown"), "power").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -75,13 +97,15 @@ def parse_station_time(spark, folder):
     """
 )
 def station_dimension(spark, folder):
-    """Station metadata with declared types."""
-    return load(spark, folder, "supplier").select(
-        F.concat(F.lit("station"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("station_id"),
-        F.col("s_acctbal").cast("double").alias("capacity"),
-        F.col("s_nationkey").cast("int").alias("panel_number"),
-        F.col("s_name").alias("module"),
+    """Station metadata with declared types, from text cells."""
+    raw = load(spark, folder, "supplier").select(
+        F.concat(F.lit("station"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("Station_ID"),
+        F.col("s_acctbal").cast("string").alias("Capacity"),
+        F.col("s_nationkey").cast("string").alias("Panel_Number"),
+        F.col("s_name").alias("Module"),
     )
+    typed = type_station_metadata(raw)
+    return typed.select(F.col("Station_ID").alias("station_id"), F.col("Capacity").alias("capacity"), F.col("Panel_Number").alias("panel_number"), F.col("Module").alias("module"))
 
 
 @query(
@@ -99,7 +123,7 @@ def row_inventory(spark, folder):
 def review_defaults(spark, folder):
     """Missing cells of a review table get their default text."""
     part = load(spark, folder, "part")
-    return part.select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("used_metrics")).fillna({"used_metrics": "None"})
+    return fill_literature(part.select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("used_metrics")), {"used_metrics": "None"})
 
 
 @query(

@@ -299,42 +299,43 @@ def method_agreement_matrix(spark, folder):
     return matrix.select("method", *[F.coalesce(rounded(F.col(f"`{m}`")), F.lit(-1.0)).alias(n) for m, n in METHODS.items()])
 
 
-GAIN_ON_SQL = f"""
+def _gains_sql(ours: str, how: str) -> str:
+    return f"""
 {RUNS_SQL},
-gains AS (SELECT o.scenario, 100 * (b.fs_runtime - o.fs_runtime) / b.fs_runtime AS gain
-          FROM (SELECT * FROM labelled WHERE clustering IN ('feature_importance', 'correlation', 'random')) o
-          LEFT JOIN (SELECT * FROM labelled WHERE clustering = 'singletons') b
-            ON o.model = b.model AND o.n_features = b.n_features AND o.scenario = b.scenario)
+base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, n_features, scenario ORDER BY run) AS rn FROM labelled WHERE clustering = 'singletons') WHERE rn = 1),
+gains AS (SELECT coalesce(o.scenario, b.scenario) AS scenario, 100 * (b.fs_runtime - o.fs_runtime) / b.fs_runtime AS gain
+          FROM (SELECT * FROM labelled WHERE clustering IN ({ours})) o
+          {how} JOIN base b ON o.model = b.model AND o.n_features = b.n_features AND o.scenario = b.scenario)
 """
 
 
 @query(
     f"""
-    WITH {GAIN_ON_SQL}
+    WITH {_gains_sql("'feature_importance'", "RIGHT")}
     SELECT scenario, round(median(gain), 4) AS median, round(quantile_cont(gain, 0.025), 4) AS ci_low, round(quantile_cont(gain, 0.975), 4) AS ci_high,
-           round(avg(gain), 4) AS mean_gain FROM gains GROUP BY 1 HAVING count(gain) > 0
+           round(avg(gain), 4) AS mean_gain FROM gains GROUP BY 1
     """
 )
 def relative_runtime_gain(spark, folder):
-    """Runtime gain over the baseline per scenario."""
-    gains = R.relative_gain(
-        run_table(spark, folder), "clustering", ["feature_importance", "correlation", "random"], "singletons",
-        ["model", "n_features", "scenario"], how="left",
-    )
-    found = R.gain_summary(gains, "scenario").filter(F.col("median").isNotNull())
+    """Runtime gain of the importance clusters over the baseline per scenario; a scenario without a run has none."""
+    gains = R.relative_gain(run_table(spark, folder), "clustering", ["feature_importance"], "singletons", ["model", "n_features", "scenario"], how="right", order="run")
+    found = R.gain_summary(gains, "scenario")
     return found.select("scenario", *[rounded(c, 4).alias(c) for c in ("median", "ci_low", "ci_high", "mean_gain")])
 
 
 @query(
-    f"WITH {GAIN_ON_SQL} SELECT round(avg(gain), 4) AS mean_gain, round(median(gain), 4) AS median FROM gains"
+    f"""
+    WITH {_gains_sql("'feature_importance', 'correlation', 'random'", "LEFT")}
+    SELECT round(avg(gain), 4) AS mean_gain, round(median(gain), 4) AS median, round(quantile_cont(gain, 0.025), 4) AS ci_low, round(quantile_cont(gain, 0.975), 4) AS ci_high FROM gains
+    """
 )
 def overall_runtime_gain(spark, folder):
     """Runtime gain over all scenarios."""
     gains = R.relative_gain(
         run_table(spark, folder), "clustering", ["feature_importance", "correlation", "random"], "singletons",
-        ["model", "n_features", "scenario"], how="left",
+        ["model", "n_features", "scenario"], how="left", order="run",
     )
-    return R.gain_summary(gains).select(rounded("mean_gain", 4).alias("mean_gain"), rounded("median", 4).alias("median"))
+    return R.gain_summary(gains).select(*[rounded(c, 4).alias(c) for c in ("mean_gain", "median", "ci_low", "ci_high")])
 
 
 BEST_SQL = f"""

@@ -10,6 +10,7 @@ from seriesmill.functions import solar
 from seriesmill.functions import text as X
 from seriesmill.functions import timefeat as T
 from seriesmill.operators import reshape as R
+from seriesmill.operators.literature import add_implied_feature
 from seriesmill.operators.quantiles import quantiles
 from seriesmill.operators.sets import filter_runs
 from seriesmill.queries.registry import load, query, rounded
@@ -229,7 +230,7 @@ def implied_item(spark, folder):
     """An item every list has unless it says otherwise."""
     from seriesmill.catalog.literature import IMPLIED_FEATURE
 
-    return part_lists(spark, folder).withColumn("cell", X.append_when_absent(F.col("cell"), **IMPLIED_FEATURE))
+    return add_implied_feature(part_lists(spark, folder), "cell", **IMPLIED_FEATURE)
 
 
 @query(

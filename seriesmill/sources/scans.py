@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,8 @@ FAILURE_SCHEMA = T.StructType(
 
 def scada_schema() -> T.StructType:
     """Asset id, instant and one DOUBLE per stored statistic."""
-    signals = [f"{raw}_{s}" for raw, _, stats, _ in wind._rows(wind.TURBINE_SIGNALS) for s in stats.split()]
-    signals += [raw for raw, _ in wind._rows(wind.PRODUCTION_SIGNALS)]
+    signals = [f"{raw}_{s}" for raw, _, stats, _ in wind.TURBINE_SIGNALS for s in stats]
+    signals += [raw for raw, _ in wind.PRODUCTION_SIGNALS]
     return T.StructType(
         [T.StructField("Turbine_ID", T.StringType()), T.StructField("Timestamp", T.TimestampType())]
         + [T.StructField(name, T.DoubleType()) for name in signals]
@@ -30,8 +30,8 @@ def scada_schema() -> T.StructType:
 
 
 def mast_schema() -> T.StructType:
-    signals = [f"{s}_{raw}" for raw, _, stats in wind._rows(wind.MAST_SIGNALS) for s in stats.split()]
-    signals += [raw for raw, _, _ in wind._rows(wind.INSTRUMENT_SIGNALS)]
+    signals = [f"{s}_{raw}" for raw, _, stats in wind.MAST_SIGNALS for s in stats]
+    signals += [raw for raw, _, _ in wind.INSTRUMENT_SIGNALS]
     signals += list(wind.UNUSED_MAST_COLUMNS)
     return T.StructType(
         [T.StructField("Timestamp", T.TimestampType())] + [T.StructField(name, T.DoubleType()) for name in signals]
@@ -40,7 +40,7 @@ def mast_schema() -> T.StructType:
 
 def station_schema(ts_type: T.DataType | None = None) -> T.StructType:
     """Columns of a station file in file order; the instant is text in the raw files."""
-    measured = [raw for raw, _, _ in solar._rows(solar.STATION_COLUMNS) if raw.startswith(("nwp_", "lmd_"))]
+    measured = [raw for raw, _, _ in solar.STATION_COLUMNS if raw.startswith(("nwp_", "lmd_"))]
     return T.StructType(
         [T.StructField("date_time", ts_type or T.StringType())]
         + [T.StructField(name, T.DoubleType()) for name in [*measured, "power"]]
@@ -72,47 +72,72 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
 
 
+def type_scada(raw: DataFrame) -> DataFrame:
+    """Turbine readings with the declared types."""
+    return _typed(raw, scada_schema())
+
+
 def scan_scada(spark: SparkSession, path: str) -> DataFrame:
     """Turbine readings; a table landed by ``land_by_year`` prunes on ``year``."""
-    return _typed(spark.read.parquet(path), scada_schema())
+    return type_scada(spark.read.parquet(path))
 
 
-def scan_failures(spark: SparkSession, path: str) -> DataFrame:
+def type_failures(raw: DataFrame) -> DataFrame:
     """Failure log; remarks and components are text, missing ones read ``nan`` as published."""
-    log = _typed(spark.read.parquet(path), FAILURE_SCHEMA)
-    return log.fillna("nan", ["Component", "Remarks"])
+    return _typed(raw, FAILURE_SCHEMA).fillna("nan", ["Component", "Remarks"])
 
 
-def scan_mast(spark: SparkSession, path: str) -> DataFrame:
+def scan_failures(spark: SparkSession, path: str) -> DataFrame:
+    return type_failures(spark.read.parquet(path))
+
+
+def type_mast(raw: DataFrame) -> DataFrame:
     """Weather mast readings without the unused second wind vane."""
-    df = _typed(spark.read.parquet(path), mast_schema())
-    return drop_columns(df, [c for c in wind.UNUSED_MAST_COLUMNS if c in df.columns])
+    typed = _typed(raw, mast_schema())
+    return drop_columns(typed, [c for c in wind.UNUSED_MAST_COLUMNS if c in typed.columns])
 
 
-def scan_station(spark: SparkSession, path: str, station: str | None = None, zone: str = "UTC") -> DataFrame:
-    """Station CSV files as one table with ``Station_ID``; minutes are kept, seconds cut.
+def scan_mast(spark: SparkSession, path: str) -> DataFrame:
+    return type_mast(spark.read.parquet(path))
+
+
+def parse_station(raw: DataFrame, station: Column, zone: str = "UTC") -> DataFrame:
+    """Station readings with a text ``date_time`` as typed rows with ``Station_ID``; minutes are kept, seconds cut.
 
     The text is UTC.  ``zone="UTC+8"`` keeps the instant and shifts the shown
     wall clock by eight hours (no summer time).
     """
     if zone not in ("UTC", "UTC+8"):
         raise ValueError("zone must be UTC or UTC+8")
-    raw = spark.read.schema(station_schema()).option("header", True).option("enforceSchema", False).csv(path)
     parsed = F.date_trunc("minute", F.to_timestamp("date_time", "yyyy-MM-dd HH:mm:ss"))
     if zone == "UTC+8":
         parsed = F.from_utc_timestamp(parsed, "Asia/Shanghai")
+    return _typed(raw, station_schema()).withColumn("date_time", parsed).withColumn("Station_ID", station)
+
+
+def scan_station(spark: SparkSession, path: str, station: str | None = None, zone: str = "UTC") -> DataFrame:
+    """Station CSV files as one table; the file name is the station unless one is given."""
+    raw = spark.read.schema(station_schema()).option("header", True).option("enforceSchema", False).csv(path)
     name = F.lit(station) if station else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv", 1)
-    return raw.withColumn("date_time", parsed).withColumn("Station_ID", name)
+    return parse_station(raw, name, zone)
 
 
-def scan_station_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Station dimension table."""
-    raw = spark.read.option("header", True).csv(path)
+def type_station_metadata(raw: DataFrame) -> DataFrame:
+    """Station dimension table, from text cells."""
     return _typed(raw, METADATA_SCHEMA)
 
 
+def scan_station_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return type_station_metadata(spark.read.option("header", True).csv(path))
+
+
+def fill_literature(raw: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """Review table; ``defaults`` fills missing cells."""
+    return raw.fillna(defaults) if defaults else raw
+
+
 def scan_literature(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> DataFrame:
-    """Review table with quoted comma lists; ``defaults`` fills missing cells."""
+    """Review table with quoted comma lists."""
     raw = (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -120,7 +145,7 @@ def scan_literature(spark: SparkSession, path: str, defaults: dict[str, str] | N
         .option("multiLine", True)
         .csv(path)
     )
-    return raw.fillna(defaults) if defaults else raw
+    return fill_literature(raw, defaults)
 
 
 def land_by_year(df: DataFrame, path: str, ts: str = "Timestamp") -> None:
