@@ -22,8 +22,9 @@ WINDOW, GRAM = 50, 16
 FILTER_BITS = 28
 #: Bytes of one vectorised step, grams that a task gathers, pieces that it gathers, bytes that one suffix order takes.
 _STEP, _GATHER, _PIECES, _SORT = 500_000, 2_000_000, 200_000, 3_000_000
-_SHARD_BITS = 8
 _BLOCK = 8192
+#: Grams are counted in ``2**bits`` shards: four to a shuffle partition, within these limits.
+LEAST_SHARD_BITS, MOST_SHARD_BITS = 8, 16
 _LAST = np.int64(2**63 - 1)
 
 
@@ -72,6 +73,8 @@ def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
     Each task sends a gram once, with whether it saw several rows; the shards add
     up and send their part of the map.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard_bits = min(MOST_SHARD_BITS, max(LEAST_SHARD_BITS, (4 * partitions - 1).bit_length()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, rows, size, base = [], [], 0, 0
@@ -88,8 +91,8 @@ def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
             start = np.flatnonzero(new)
             twice = np.logical_or.reduceat(several, start)
             gram = gram[start]
-            value = ((gram >> np.uint64(25)).astype(np.uint32) & np.uint32(0x7FFFFFFF)) << np.uint32(1) | twice.astype(np.uint32)
-            bounds = np.searchsorted(gram >> np.uint64(64 - _SHARD_BITS), np.arange((1 << _SHARD_BITS) + 1))
+            value = ((gram >> np.uint64(33 - shard_bits)).astype(np.uint32) & np.uint32(0x7FFFFFFF)) << np.uint32(1) | twice.astype(np.uint32)
+            bounds = np.searchsorted(gram >> np.uint64(64 - shard_bits), np.arange((1 << shard_bits) + 1, dtype=np.uint64))
             found = [(s, value[at : min(at + _BLOCK, b)].tobytes()) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) for at in range(a, b, _BLOCK)]
             for at in range(0, len(found), 256):
                 part = found[at : at + 256]
@@ -110,7 +113,7 @@ def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
                     size = 0
         yield from flush()
 
-    per_shard = FILTER_BITS - _SHARD_BITS
+    per_shard = FILTER_BITS - shard_bits
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -130,7 +133,7 @@ def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
     shape = "shard int, block binary"
     parts = small_batches(docs).select(text_col).mapInArrow(gather, shape).repartition("shard").mapInArrow(merge, shape)
     size = (1 << per_shard) // 8
-    out = np.zeros(size << _SHARD_BITS, np.uint8)
+    out = np.zeros(size << shard_bits, np.uint8)
     for row in parts.toLocalIterator():
         out[row["shard"] * size : (row["shard"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(row["block"])), np.uint8)
     return out
