@@ -14,6 +14,7 @@ path is left, the one that the merges make.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -110,17 +111,24 @@ class Transducer:
         self.mark_first = vocabulary.mark_first
         self.texts = [p.replace(WORD_MARK, " ") for p in vocabulary.pieces]
         usable = [k for k, kind in enumerate(vocabulary.kinds) if kind == NORMAL]
+        self.longest = max((len(self.texts[k]) for k in usable), default=1)
         self.score = {self.texts[k]: vocabulary.scores[k] for k in usable}
-        # states are dictionaries from character to state; "" holds what a state emits
+        # a state is a dictionary from character to [next state, piece that is emitted there or -1]
         self.start: dict = {}
+        self.halves: dict[str, tuple[str, str]] = {}
         for k in usable:
             text = self.texts[k]
-            if self.merges and self.merge(text) != [text]:
-                continue
-            state = self.start
+            if self.merges:
+                parts, last = self.merge(text)
+                if parts != [text]:
+                    continue
+                if last is not None:
+                    self.halves[text] = last
+            arc = [self.start, -1]
             for character in text:
-                state = state.setdefault(character, {})
-            state[""] = (k, 0.0 if self.merges else -vocabulary.scores[k])
+                arc = arc[0].setdefault(character, [{}, -1])
+            arc[1] = k
+        self.cost = [0.0 if self.merges else -s for s in vocabulary.scores]
         self.least = max((-s for s in vocabulary.scores), default=0.0) + _UNKNOWN_COST
         self.byte = {}
         self.bytes: list[bytes] = []
@@ -130,14 +138,20 @@ class Transducer:
             if kind == BYTE and vocabulary.byte_fallback:
                 self.byte[value] = k
         self.unknown = vocabulary.kinds.index(UNKNOWN) if UNKNOWN in vocabulary.kinds else 0
-        # no piece goes on after a word's end: words can be encoded one by one
+        self.single = {c for c, arc in self.start.items() if arc[1] >= 0}
+        # no piece goes on after a word's end: words can be encoded one by one,
+        # and so can the parts between ASCII characters that no piece has
         self.by_word = all(" " not in self.texts[k].lstrip(" ") for k in usable)
+        letters = set().union(*self.score)
+        apart = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in letters)
+        self.word = re.compile(f" *[^ {apart}]+| +|[{apart}]" if apart else " *[^ ]+| +")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces that greedy merging makes of a short text, best score first, from the left."""
-        parts = list(text)
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The pieces that greedy merging makes of a short text (best score first, from the left), and the last merge."""
+        parts, last = list(text), None
         score = self.score
         while len(parts) > 1:
             best, place = None, -1
@@ -146,52 +160,76 @@ class Transducer:
                 if now is not None and (best is None or now > best):
                     best, place = now, k
             if best is None:
-                return parts
-            parts[place : place + 2] = [parts[place] + parts[place + 1]]
-        return parts
+                break
+            last = parts[place], parts[place + 1]
+            parts[place : place + 2] = [last[0] + last[1]]
+        return parts, last
 
     def follows(self, last: int, piece: int) -> bool:
-        """Whether ``piece`` may come after ``last`` (-1: after a start or a fallback, always)."""
+        """Whether ``piece`` may come after ``last`` (-1: after a start or a fallback, always).
+
+        The merges that made the two are undone from the latest on.  Had the parts
+        that then touch been merged before the merge just undone, the two pieces
+        would not have come about; of equal scores the merge further left is first.
+        """
         if last < 0 or not self.merges:
             return True
-        known = self.pairs.get((last, piece))
-        if known is None:
+        a, b = self.texts[last], self.texts[piece]
+        score, halves = self.score, self.halves
+        bound, right = float("-inf"), False
+        while True:
+            across = score.get(a + b)
+            if across is not None and (across > bound or (right and across == bound)):
+                return False
+            made_a, made_b = halves.get(a), halves.get(b)
+            if made_a is None and made_b is None:
+                return True
+            if made_b is None or (made_a is not None and score[a] < score[b]):
+                bound, right, a = score[a], False, made_a[1]
+            else:
+                bound, right, b = score[b], True, made_b[0]
+
+    def _may_follow(self, last: int, piece: int) -> bool:
+        good = self.pairs.get((last, piece))
+        if good is None:
             if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
-            a, b = self.texts[last], self.texts[piece]
-            known = self.pairs[last, piece] = self.merge(a + b) == [a, b]
-        return known
+            good = self.pairs[last, piece] = self.follows(last, piece)
+        return good
+
+    def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """End and piece of the machine's paths that read ``text`` from ``at`` on and emit one piece, by length."""
+        state, out, end = self.start, [], at
+        for character in text[at : at + self.longest]:
+            arc = state.get(character)
+            if arc is None:
+                break
+            state, piece = arc
+            end += 1
+            if piece >= 0:
+                out.append((end, piece))
+        return out
 
     def shortest_path(self, text: str) -> list[int]:
         """Pieces of the cheapest path through the machine that reads ``text``."""
+        if self.merges and self.single.issuperset(text):
+            path = self._only_path(text)
+            if path is not None:
+                return path
         size = len(text)
         cost: list[float | None] = [None] * (size + 1)
         came: list[tuple[int, int]] = [(0, -1)] * (size + 1)
         cost[0] = 0.0
-        start, follows, pairs = self.start, self.follows, self.pairs
         for at in range(size):
-            so_far = cost[at]
+            so_far, last = cost[at], came[at][1]
             if so_far is None:
                 continue
-            last = came[at][1]
-            state, end = start, at
-            while end < size:
-                state = state.get(text[end])
-                if state is None:
-                    break
-                end += 1
-                out = state.get("")
-                if out is not None:
-                    piece, weight = out
-                    good = pairs.get((last, piece))
-                    if good is None:
-                        good = follows(last, piece)
-                    if good and (cost[end] is None or so_far + weight < cost[end]):
-                        cost[end] = so_far + weight
-                        came[end] = (at, piece)
-            if "" not in start.get(text[at], ()) and (cost[at + 1] is None or so_far + self.least < cost[at + 1]):
-                cost[at + 1] = so_far + self.least
-                came[at + 1] = (at, -1)
+            for end, piece in self._arcs(text, at):
+                weight = self.cost[piece]
+                if (cost[end] is None or so_far + weight < cost[end]) and (not self.merges or self._may_follow(last, piece)):
+                    cost[end], came[end] = so_far + weight, (at, piece)
+            if text[at] not in self.single and (cost[at + 1] is None or so_far + self.least < cost[at + 1]):
+                cost[at + 1], came[at + 1] = so_far + self.least, (at, -1)
         back, at = [], size
         while at:
             begin, piece = came[at]
@@ -204,6 +242,35 @@ class Transducer:
         back.reverse()
         return back
 
+    def _only_path(self, text: str) -> list[int] | None:
+        """The one path that the pair machine leaves where every character has a piece.
+
+        All its arcs cost nothing, so the first whole path that a search finds is the
+        cheapest; longer pieces are tried first, and dead ends only once.
+        """
+        path, ends, open_arcs, dead = [], [0], [self._arcs(text, 0)], set()
+        size, pairs, last = len(text), self.pairs, -1
+        while ends[-1] < size:
+            arcs = open_arcs[-1]
+            while arcs:
+                end, piece = arcs.pop()
+                good = pairs.get((last, piece))
+                if good is None:
+                    good = self._may_follow(last, piece)
+                if good and (end, piece) not in dead:
+                    path.append(piece)
+                    ends.append(end)
+                    open_arcs.append(self._arcs(text, end))
+                    last = piece
+                    break
+            else:
+                if not path:
+                    return None
+                dead.add((ends.pop(), path.pop()))
+                open_arcs.pop()
+                last = path[-1] if path else -1
+        return path
+
     def encode(self, text: str) -> np.ndarray:
         """Piece numbers of a text; an empty text has none."""
         if not text:
@@ -211,18 +278,25 @@ class Transducer:
         whole = " " + text if self.mark_first else text
         if not self.by_word:
             return np.asarray(self.shortest_path(whole), np.int32)
-        known, out = self.known, []
-        for word in _WORD.findall(whole):
-            packed = known.get(word)
-            if packed is None:
-                packed = np.asarray(self.shortest_path(word), np.int32).tobytes()
-                if len(word) <= _LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = packed
-            out.append(packed)
+        words = self.word.findall(whole)
+        out = list(map(self.known.get, words))
+        if None in out:
+            for k, packed in enumerate(out):
+                if packed is None:
+                    out[k] = self._word(words[k])
         return np.frombuffer(b"".join(out), np.int32)
 
+    def _word(self, word: str) -> bytes:
+        """A word's pieces as bytes; words seen lately are remembered, in two halves of which the older goes."""
+        packed = self.known.get(word) or self.older.get(word)
+        if packed is None:
+            packed = array("i", self.shortest_path(word)).tobytes()
+        if len(word) <= _LONGEST_REMEMBERED:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[word] = packed
+        return packed
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece numbers: the machine read backwards."""
         table = self.bytes
@@ -230,9 +304,6 @@ class Transducer:
         return text[1:] if self.mark_first and text.startswith(" ") else text
 
 
-_WORD = re.compile(" *[^ ]+| +")
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "pieces") -> DataFrame:
     """``docs`` without ``text_col`` and with ``into``: the piece numbers of every whole text (``array<int>``).
 
