@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +16,10 @@ from seriesmill.operators.quantiles import quantiles
 from seriesmill.session import as_list, require_columns
 
 
+#: Steps of a time grid that one row unfolds into.
+GRID_BLOCK = 4096
+
+
 def fill_gaps(df: DataFrame, ts: str, group: str, step: str = "1 DAY") -> DataFrame:
     """A row for every ``step`` between the first and last instant of each group.
 
@@ -28,7 +33,21 @@ def fill_gaps(df: DataFrame, ts: str, group: str, step: str = "1 DAY") -> DataFr
     start = F.when(
         F.col("__most") > 1, F.raise_error(F.concat(F.lit("repeated instant in group "), F.col(group).cast("string")))
     ).otherwise(F.col("__first"))
-    grid = ends.select(group, F.explode(F.sequence(start, F.col("__last"), F.expr(f"INTERVAL {step}"))).alias(ts))
+    ends = ends.withColumn("__first", start)
+    if re.search("month|quarter|year", step, re.IGNORECASE):
+        # calendar steps differ in length and are few
+        grid = ends.select(group, F.explode(F.sequence("__first", "__last", F.expr(f"INTERVAL {step}"))).alias(ts))
+    else:
+        # blocks of steps first, then the steps of a block: no row ever holds a group's whole calendar
+        epoch = "timestamp'1970-01-01 00:00:00'"
+        width = F.expr(f"unix_micros({epoch} + INTERVAL {step})")
+        first, last = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("__first", "__last"))
+        counted = ends.select(group, first.alias("__start"), F.floor((last - first) / width).alias("__steps"))
+        blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__steps") / GRID_BLOCK))))
+        low, high = F.col("__block") * GRID_BLOCK, F.least((F.col("__block") + 1) * GRID_BLOCK - 1, F.col("__steps"))
+        places = blocks.withColumn("__place", F.explode(F.sequence(low, high)))
+        instant = F.timestamp_micros(F.col("__start") + F.col("__place") * width)
+        grid = places.select(group, instant.cast(df.schema[ts].dataType).alias(ts))
     return grid.join(df, [group, ts], "left").select(*df.columns)
 
 

@@ -9,6 +9,8 @@ from seriesmill.catalog.drives import preset_columns
 from seriesmill.catalog.tags import scenario_rule, tag_filter, target_of
 from seriesmill.operators import columns as C
 from seriesmill.operators import rows as R
+from seriesmill.plans import solar as solar_plan
+from seriesmill.plans import wind as wind_plan
 from seriesmill.plans.chain import Chain
 from seriesmill.queries.registry import HOLES_SQL, load, query, rounded, with_holes
 
@@ -352,3 +354,79 @@ def cleaning_chain(spark, folder):
     )
     cleaned = chain(orders)
     return cleaned.select("o_orderkey", "o_totalprice", rounded("DayOfYear_sin").alias("DayOfYear_sin"), rounded("DayOfYear_cos").alias("DayOfYear_cos"))
+
+
+@query(
+    """
+    WITH raw AS (
+      SELECT DISTINCT cast(l_suppkey AS VARCHAR) AS turbine, l_shipdate AS ts, l_extendedprice / 1000 AS power, l_quantity AS ambient,
+             CASE WHEN l_linenumber = 5 THEN 0 ELSE l_quantity / 4 END AS w1, l_quantity / 5 + 0.5 AS w2, cast(l_partkey % 360 AS DOUBLE) AS direction,
+             CASE WHEN l_linenumber <> 7 THEN l_tax END AS ti2, CASE WHEN l_orderkey % 50 <> 0 THEN l_discount * 100 END AS temperature
+      FROM lineitem)
+    SELECT turbine, strftime(ts, '%Y-%m-%d') AS day, round(power, 6) + 0.0 AS power, ambient, round(w1, 6) + 0.0 AS w1, round(w2, 6) + 0.0 AS w2, direction,
+           ti2, round(temperature, 6) + 0.0 AS temperature, round((ln(w2) - ln(CASE WHEN w1 = 0 THEN 0.1 ELSE w1 END)) / (ln(77.0) - ln(80.0)), 6) + 0.0 AS shear,
+           round(sin(2 * pi() * direction / 360), 6) + 0.0 AS direction_sin, round(cos(2 * pi() * direction / 360), 6) + 0.0 AS direction_cos, 12 AS n_columns
+    FROM raw WHERE ti2 IS NOT NULL AND temperature IS NOT NULL
+    """
+)
+def wind_cleaning(spark, folder):
+    """The whole wind cleaning plan: unknown, proxy, sparse and flat columns go, incomplete and infinite rows too."""
+    items = load(spark, folder, "lineitem")
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    frame = items.select(
+        F.col("l_suppkey").cast("string").alias("Turbine ID"),
+        F.col("l_shipdate").alias("Timestamp"),
+        (F.col("l_extendedprice") / 1000).alias("Grid Produced Power"),
+        q.alias("Ambient Wind Speed"),
+        F.when(n == 5, 0.0).otherwise(q / 4).alias("Wind Speed 1"),
+        (q / 5 + 0.5).alias("Wind Speed 2"),
+        (F.col("l_partkey") % 360).cast("double").alias("Nacelle Direction"),
+        F.when(n == 7, float("inf")).otherwise(F.col("l_tax")).alias("Turbulence Intensity 2"),
+        F.when(F.col("l_orderkey") % 50 != 0, F.col("l_discount") * 100).alias("Ambient Temperature"),
+        F.lit(5.0).alias("Humidity"),
+        F.when(n == 1, q).alias("Precipitation"),
+        F.col("l_tax").alias("Grid Reactive Power"),
+        F.col("l_tax").alias("no such signal"),
+    )
+    clean = wind_plan.clean(frame)
+    shown = {
+        "power": "Grid Produced Power", "w1": "Wind Speed 1", "w2": "Wind Speed 2", "temperature": "Ambient Temperature",
+        "shear": "Wind Shear", "direction_sin": "Nacelle Direction_sin", "direction_cos": "Nacelle Direction_cos",
+    }
+    return clean.select(
+        F.col("Turbine ID").alias("turbine"), F.date_format("Timestamp", "yyyy-MM-dd").alias("day"), F.col("Ambient Wind Speed").alias("ambient"),
+        F.col("Nacelle Direction").alias("direction"), F.col("Turbulence Intensity 2").alias("ti2"),
+        *[rounded(F.col(f"`{name}`")).alias(short) for short, name in shown.items()], F.lit(len(clean.columns)).alias("n_columns"),
+    )
+
+
+@query(
+    """
+    WITH raw AS (
+      SELECT DISTINCT cast(l_suppkey % 10 AS VARCHAR) AS station, l_shipdate AS ts, l_extendedprice / 1000 AS power, cast(l_partkey % 360 AS DOUBLE) AS direction,
+             CASE WHEN l_orderkey % 40 <> 0 THEN l_discount * 100 END AS temperature
+      FROM lineitem WHERE l_linenumber <> 4)
+    SELECT station, strftime(ts, '%Y-%m-%d') AS day, round(power, 6) + 0.0 AS power, direction, round(temperature, 6) + 0.0 AS temperature,
+           round(sin(2 * pi() * direction / 360), 6) + 0.0 AS direction_sin, round(cos(2 * pi() * direction / 360), 6) + 0.0 AS direction_cos, 8 AS n_columns
+    FROM raw WHERE temperature IS NOT NULL
+    """
+)
+def solar_cleaning(spark, folder):
+    """The whole photovoltaic cleaning plan over daytime rows."""
+    items = load(spark, folder, "lineitem")
+    frame = items.select(
+        (F.col("l_suppkey") % 10).cast("string").alias("Station ID"),
+        F.col("l_shipdate").alias("Timestamp"),
+        (F.col("l_linenumber") != 4).alias("is_daytime"),
+        (F.col("l_extendedprice") / 1000).alias("Power"),
+        (F.col("l_partkey") % 360).cast("double").alias("NWP Wind Direction"),
+        F.when(F.col("l_orderkey") % 40 != 0, F.col("l_discount") * 100).alias("NWP Temperature"),
+        F.lit(101.0).alias("LMD Pressure"),
+        F.when(F.col("l_linenumber") == 1, F.col("l_tax")).alias("LMD Temperature"),
+    )
+    clean = solar_plan.clean(frame)
+    shown = {"power": "Power", "temperature": "NWP Temperature", "direction_sin": "NWP Wind Direction_sin", "direction_cos": "NWP Wind Direction_cos"}
+    return clean.select(
+        F.col("Station ID").alias("station"), F.date_format("Timestamp", "yyyy-MM-dd").alias("day"), F.col("NWP Wind Direction").alias("direction"),
+        *[rounded(F.col(f"`{name}`")).alias(short) for short, name in shown.items()], F.lit(len(clean.columns)).alias("n_columns"),
+    )
