@@ -13,6 +13,8 @@ from seriesmill.operators.quantiles import present, quantiles
 from seriesmill.session import as_list, join_null_safe
 
 EPS = 2.220446049250313e-16
+#: Rows that one task numbers for draws with replacement.
+CHUNK_ROWS = 100_000
 
 # Metric names with the base metric and its sign.
 METRICS = {
@@ -137,7 +139,8 @@ def draw_weights(
     if mode != "multinomial":
         raise ValueError(f"unknown mode {mode!r}")
     ids = (df if population is None else population).select(row_id).distinct()
-    drawer = F.pmod(F.xxhash64(row_id), F.lit(4096))
+    # one job counts the rows, so that a task numbers about CHUNK_ROWS of them
+    drawer = F.floor(hash_share(F.col(row_id), "order", method=method) * (1 + ids.count() // CHUNK_ROWS))
     places = row_index(ids.withColumn("__chunk_key", drawer), [F.col("__chunk_key"), F.col(row_id)], [F.col("__chunk_key")], name="__place")
     size = ids.agg(F.count(F.lit(1)).alias("__n"))
     trials = (

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from seriesmill.functions.timefeat import DAY_MICROS
 from seriesmill.operators.ordered import time_chunk
 
+#: Rows of one time-of-day slot that a task may sort.
+SLOT_ROWS = 1_000_000
+
+
 def _instants(df: DataFrame, group: str | None, ts: str, side: str) -> DataFrame:
     key = F.col(group) if group else F.lit(0)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -73,14 +77,17 @@ def _tree_rows(counts: DataFrame) -> DataFrame:
 
 
 def data_leakage(
-    test: DataFrame, train: DataFrame, ts: str, group: str | None = None, alpha: float = 0.0, slots: int = 24
+    test: DataFrame, train: DataFrame, ts: str, group: str | None = None, alpha: float = 0.0, slots: int | None = None
 ) -> DataFrame:
     """One row ``leakage``: 1 when the training set is the test set, near 0 when they are far apart.
 
     The time of day is cut into ``slots``; slot totals carry across, so a node
-    that holds a third of all rows is still sorted by ``slots`` tasks.
+    that holds all rows is still sorted by ``slots`` tasks.  Unless given, their
+    number comes from the rows (one job): one slot per ``SLOT_ROWS`` of them.
     """
     both = _instants(test, group, ts, "test").unionByName(_instants(train, group, ts, "train"))
+    if slots is None:
+        slots = 1 + both.count() // SLOT_ROWS
     counts = both.groupBy("g", "q", "r").agg(F.sum("te").alias("te"), F.sum("tr").alias("tr"))
     rows = _tree_rows(counts).withColumn("slot", F.floor(F.col("r") * slots / DAY_MICROS))
     roles = ["tr_f", "mi_f", "tr_b", "mi_b"]

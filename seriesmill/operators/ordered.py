@@ -152,6 +152,9 @@ def next_event(
     if clash:
         raise ValueError(f"rename the event columns {sorted(clash)} first")
 
+    # without payload the earliest instant is a plain minimum, which hash aggregation takes
+    alone = len(fields) == 1
+    event = F.col(event_ts) if alone else F.struct(*fields)
     known = events.filter(F.col(event_ts).isNotNull())
     for name in key:
         known = known.filter(F.col(name).isNotNull())
@@ -160,7 +163,7 @@ def next_event(
         time_chunk(F.col(event_ts), chunk_seconds).alias("__chunk"),
         F.col(event_ts).alias("__at"),
         F.lit(0).alias("__kind"),
-        F.struct(*fields).alias("__event"),
+        event.alias("__event"),
     )
     seen = readings.select(
         *key,
@@ -193,7 +196,7 @@ def next_event(
     )
     joined = found.join(carried, keys, "left")
     return joined.withColumn("__next", F.coalesce("__here", "__later")).select(
-        "__row.*", *[F.col("__next").getField(c).alias(c) for c in kept]
+        "__row.*", *[(F.col("__next") if alone else F.col("__next").getField(c)).alias(c) for c in kept]
     )
 
 

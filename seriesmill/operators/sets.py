@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.operators.ordered import row_index
 from seriesmill.session import as_list
 
 
@@ -84,5 +85,15 @@ def filter_runs(runs: DataFrame, include: str | None = None, exclude: str | None
 
 
 def shuffled_ids(ids: DataFrame, column: str, seed: int) -> DataFrame:
-    """A reproducible random order of ids."""
-    return ids.orderBy(F.xxhash64(F.col(column).cast("string"), F.lit(seed)), column)
+    """A reproducible random order of ids, the order of a hash that any SQL engine can compute."""
+    return ids.orderBy(_draw(column, seed), column)
+
+
+def _draw(column: str, seed: int):
+    return F.md5(F.concat_ws("|", F.col(column).cast("string"), F.lit(str(seed))))
+
+
+def shuffled_positions(ids: DataFrame, column: str, seed: int, name: str = "position") -> DataFrame:
+    """The same order as a column: the 0-based place of each id, numbered in 4096 ranges of the hash."""
+    draw = _draw(column, seed)
+    return row_index(ids, [draw, F.col(column)], [F.substring(draw, 1, 3)], name=name)

@@ -136,13 +136,26 @@ def non_inferiority_test(spark, folder):
     return found.withColumn("lower_bound", rounded("lower_bound", 5))
 
 
-@query()
+def _share_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(
+    f"""
+    WITH {SCORED_SQL}, n AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders),
+    p AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY floor({_share_sql("o_orderkey", "'order'")} * (1 + n // {E.CHUNK_ROWS})), o_orderkey) - 1 AS place FROM orders, n),
+    d AS (SELECT b.b AS replicate, floor({_share_sql("place", "b.b", str(SEED))} * n) AS place FROM p, n, (SELECT unnest(range(0, {REPLICATES})) AS b) b),
+    c AS (SELECT place, replicate, count(*) AS w FROM d GROUP BY 1, 2)
+    SELECT candidate, cast(replicate AS INTEGER) AS replicate, round(-sqrt(sum(w * (y - y_hat) * (y - y_hat)) / sum(w)), 6) AS neg_rmse
+    FROM scored JOIN p USING (row_id) JOIN c USING (place) GROUP BY 1, 2
+    """
+)
 def multinomial_bootstrap(spark, folder):
     """The same with exactly n draws per replicate."""
     found = E.paired_bootstrap(
-        scored_orders(spark, folder), "row_id", "y", "y_hat", REPLICATES, SEED, "candidate", ["neg_rmse"], mode="multinomial"
+        scored_orders(spark, folder), "row_id", "y", "y_hat", REPLICATES, SEED, "candidate", ["neg_rmse"], method="md5", mode="multinomial"
     )
-    return found
+    return found.select("candidate", "replicate", rounded("neg_rmse").alias("neg_rmse"))
 
 
 @query(

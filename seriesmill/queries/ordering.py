@@ -211,7 +211,7 @@ def distinct_owner_items(spark, folder):
     return S.distinct_pairs(load(spark, folder, "lineitem"), "l_suppkey", "l_returnflag")
 
 
-@query()
+@query("SELECT p_name, row_number() OVER (ORDER BY md5(p_name || '|42'), p_name) - 1 AS position FROM (SELECT DISTINCT p_name FROM part)")
 def shuffled_names(spark, folder):
     """A reproducible random order."""
-    return S.shuffled_ids(load(spark, folder, "part").select("p_name").distinct(), "p_name", 42)
+    return S.shuffled_positions(load(spark, folder, "part").select("p_name").distinct(), "p_name", 42).withColumn("position", F.col("position").cast("long"))
