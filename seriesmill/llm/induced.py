@@ -57,15 +57,27 @@ class Queues:
                     queue.append((place, len(part)))
         self.size = 0
 
+    def _read(self, place: int, size: int) -> Chunk:
+        self.file.seek(place)
+        return np.frombuffer(self.file.read(8 * size), np.int64), np.frombuffer(self.file.read(size), np.uint8)
+
+    def pop_last(self, key: int) -> Chunk | None:
+        """The tuples that were pushed last, None when the queue is empty."""
+        if not self.held[key]:
+            return None
+        first, second = self.held[key].pop()
+        if isinstance(first, int):
+            return self._read(first, second)
+        self.size -= len(first)
+        return first, second
+
     def pop(self, key: int) -> Chunk | None:
         """The oldest tuples of a queue, None when it is empty."""
         queue = self.held[key]
         if not queue:
             return None
         if isinstance(queue[0][0], int):
-            place, size = queue.pop(0)
-            self.file.seek(place)
-            return np.frombuffer(self.file.read(8 * size), np.int64), np.frombuffer(self.file.read(size), np.uint8)
+            return self._read(*queue.pop(0))
         # small pushes together, up to a step's worth
         taken, size = 0, 0
         while taken < len(queue) and size < CHUNK:
@@ -318,19 +330,15 @@ def sorted_suffixes(text: np.ndarray, in_memory: int = IN_MEMORY) -> Iterator[Ch
 
     def two_passes(position: np.ndarray, prefix: np.ndarray, prefixes: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
         # the larger-than-next suffixes go through a second set of queues, byte by byte, to be read backwards
-        large: list[list[Chunk]] = [[] for _ in range(256)]
         kept = Queues(in_memory)
         for byte, place, shared, seeded in _induce(text, False, _by_byte(text, position, prefix), prefixes, Queues(in_memory)):
             if not seeded:
                 kept.push(byte, place, shared)
 
         def backwards(byte: int) -> Iterator[Chunk]:
-            chunks = large[byte]
-            while (chunk := kept.pop(byte)) is not None:
-                chunks.append(chunk)
             following = None
-            while chunks:
-                place, shared = chunks.pop()
+            while (chunk := kept.pop_last(byte)) is not None:
+                place, shared = chunk
                 # read backwards, a prefix belongs to the pair of a suffix and the one after it
                 turned = np.empty_like(shared)
                 turned[0] = 0 if following is None else following
