@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions.timefeat import DAY_MICROS
 from seriesmill.operators.ordered import time_chunk
+from seriesmill.session import join_null_safe
 
 #: Rows of one time-of-day slot that a task may sort.
 SLOT_ROWS = 1_000_000
@@ -126,37 +127,32 @@ def data_leakage(
 def distance_histogram(test: DataFrame, train: DataFrame, ts: str, group: str, slot_seconds: int = 86_400) -> DataFrame:
     """Pairs per whole-day distance (train minus test) and group: ``group, days, pairs``.
 
-    Instants are counted per time slot, then the two count series of a group are
-    correlated.  The result is exact for instants that lie on the slot grid
-    (``slot_seconds`` divides a day), and a group costs one vector per side as
-    long as its calendar, whatever its number of rows.
+    Instants are counted per time slot and kept as one row per day: the slots of a
+    test day, and for a train day how many of its instants lie at or after each
+    slot.  Days of a group then meet, calendar x calendar rows whatever the number
+    of instants, spread by (group, test day) wherever Spark broadcasts the train
+    days (a row per group and day).  The result is exact for instants that lie on the slot grid (``slot_seconds`` divides a day).
     """
-    import numpy as np
-    import pandas as pd
-
     if 86_400 % slot_seconds:
         raise ValueError("slot_seconds must divide a day")
     per_day = 86_400 // slot_seconds
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(F.col(group).alias("g"), time_chunk(F.col(ts), slot_seconds).alias("slot")).agg(
-            F.count(F.lit(1)).cast("double").alias(name)
-        )
-
-    slots = counted(test, "test").join(counted(train, "train"), ["g", "slot"], "full").fillna(0.0, ["test", "train"])
-
-    def correlate(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows["slot"].min()
-        length = int(rows["slot"].max() - first) + 1
-        series = np.zeros((2, length))
-        places = (rows["slot"] - first).to_numpy(dtype=int)
-        series[0, places], series[1, places] = rows["test"], rows["train"]
-        pairs = np.correlate(series[1], series[0], "full")
-        lag = np.arange(-(length - 1), length)
-        days = np.floor_divide(lag, per_day)
-        counts = pd.Series(pairs).groupby(days).sum()
-        counts = counts[counts > 0]
-        return pd.DataFrame({"g": rows["g"].iloc[0], "days": counts.index.astype("int64"), "pairs": counts.to_numpy()})
-
-    kind = test.schema[group].dataType.simpleString()
-    return slots.groupBy("g").applyInPandas(correlate, f"g {kind}, days bigint, pairs double").withColumnRenamed("g", group)
+    def by_day(df: DataFrame, day: str) -> DataFrame:
+        slot = time_chunk(F.col(ts), slot_seconds)
+        counted = df.groupBy(F.col(group).alias("g"), slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        placed = counted.withColumns({day: F.floor(F.col("slot") / per_day), "s": F.pmod("slot", F.lit(per_day)).cast("int")})
+        return placed.filter("slot IS NOT NULL").groupBy("g", day).agg(F.collect_list(F.struct("s", "n")).alias("slots"), F.sum("n").alias("total"))
+
+    def from_slot(s: Column) -> Column:
+        return F.aggregate(F.filter("slots", lambda x: x["s"] >= s), F.lit(0.0), lambda acc, x: acc + x["n"])
+
+    first = by_day(test, "q1").select("g", "q1", F.col("slots").alias("asked"), F.col("total").alias("total1"))
+    # dealt out by test day, so that a group is shared by as many tasks as it has days
+    first = first.repartition("g", "q1")
+    second = by_day(train, "q2").select("g", "q2", F.transform(F.sequence(F.lit(0), F.lit(per_day - 1)), from_slot).alias("later"), F.col("total").alias("total2"))
+    met = join_null_safe(first, second, ["g"])
+    at_or_after = F.aggregate("asked", F.lit(0.0), lambda acc, x: acc + x["n"] * F.get(F.col("later"), x["s"]))
+    met = met.select("g", (F.col("q2") - F.col("q1")).alias("d"), at_or_after.alias("same"), (F.col("total1") * F.col("total2")).alias("every"))
+    cells = F.array(F.struct(F.col("d").alias("days"), F.col("same").alias("pairs")), F.struct((F.col("d") - 1).alias("days"), (F.col("every") - F.col("same")).alias("pairs")))
+    summed = met.select("g", F.inline(cells)).filter("pairs > 0").groupBy("g", "days").agg(F.sum("pairs").alias("pairs"))
+    return summed.select(F.col("g").alias(group), F.col("days").cast("long").alias("days"), "pairs")
