@@ -20,8 +20,9 @@ SEGMENT = 24
 HIDDEN = 16
 EPOCHS = 4
 UNDETERMINED = "und"
-#: Pooled probability below which a filter takes a text for no language that the network knows.
-LEAST_SCORE = 0.4
+#: How far from an even share of the labels towards 1 a pooled probability must be for a filter to take a text for
+#: one of the languages that the network knows.
+LEAST_ABOVE_EVEN = 0.05
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -294,13 +295,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return labelled.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def drop_unidentified(docs: DataFrame, least: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the texts that have no language: no letter, or a pooled probability below ``least``.
 
+    Unless given, that is ``LEAST_ABOVE_EVEN`` of the way from an even share to 1: texts of
+    several languages stay, texts that the network cannot tell from noise go.
+
     Without any labelled row to learn from, only texts without a letter go.
     """
     net = fit(docs, id_col, text_col, lang_col)
     if net is None:
         return docs.filter(F.col(text_col).rlike("\\p{L}"))
+    if least is None:
+        least = (1 + LEAST_ABOVE_EVEN * (len(net.labels) - 1)) / len(net.labels)
     named = predict(docs, net, text_col, None, "__lang_pred", "__lang_score")
     return named.filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least)).drop("__lang_pred", "__lang_score")
