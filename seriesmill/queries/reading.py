@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seriesmill.operators.columns import set_column_types
 from seriesmill.queries.registry import HOLES_SQL, load, query, rounded, with_holes
+from seriesmill.session import checkpoint_folder
 from seriesmill.sources.quality import quality_report, rename_checked
 from seriesmill.sources.scans import fill_literature, parse_station, station_inventory, type_failures, type_mast, type_scada, type_station_metadata
-from seriesmill.sources.sinks import run_lines, to_json_lines
+from seriesmill.sources.sinks import run_lines, save_results, to_json_lines
 
 
 @query(
@@ -177,3 +180,14 @@ def asset_column_types(spark, folder):
         F.regexp_extract("props", "[0-9]+", 0).alias("smart_1_raw"),
     )
     return set_column_types(raw)
+
+
+@query("SELECT o_orderpriority AS priority, cast(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, round(avg(o_totalprice), 6) + 0.0 AS price FROM orders GROUP BY 1, 2")
+def persisted_results(spark, folder):
+    """A results table written by year to the shared folder and read back."""
+    results = load(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("o_totalprice")).alias("price")
+    )
+    path = f"{checkpoint_folder(spark)}/results-{uuid.uuid4().hex}"
+    save_results(results, path, ["year"])
+    return spark.read.parquet(path).select("priority", F.col("year").cast("int").alias("year"), "n", "price")
