@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from seriesmill.llm.words import find_words, mix, small_batches, steps, utf8
 from seriesmill.session import cut_lineage
 
-#: Shards that n-grams are counted in (a power of two); each also owns its part of the filter.
-SHARD_BITS = 8
+#: N-grams are counted in ``2**bits`` shards, each of which owns its part of the filter: four to a shuffle
+#: partition, within these limits.
+LEAST_SHARD_BITS, MOST_SHARD_BITS = 8, 16
 #: The filter takes about this many bits per entry, up to ``2**MOST_BITS`` bits, which bounds the broadcast (64 MB).
 ENTRY_BITS, MOST_BITS = 6, 29
 #: Bits that an entry sets.
@@ -58,8 +59,13 @@ def _pairs(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + tokens)
 
 
-def _shard(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
+def _shard_bits(docs: DataFrame) -> int:
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_SHARD_BITS, max(LEAST_SHARD_BITS, (4 * partitions - 1).bit_length()))
+
+
+def _shard(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -75,18 +81,31 @@ def _unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _pack_counts(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Hashes with their counts; a count takes one byte, and eight more from 255 on."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return _pack(hashes, small) + counts[small == 255].astype(np.int64).tobytes()
+
+
+def _unpack_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    hashes, small = _unpack(raw, np.uint64, np.uint8)
+    counts = small.astype(np.int64)
+    counts[small == 255] = np.frombuffer(raw, np.int64, -1, 4 + 9 * len(hashes))
+    return hashes, counts
+
+
 _BLOCKS = "kind int, shard int, block binary"
 
 
-def _blocks(kind: int, hashes: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, shard, block) of sorted hashes with their columns."""
-    bounds = np.searchsorted(_shard(hashes), np.arange((1 << SHARD_BITS) + 1))
+def _blocks(kind: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, shard, block) of sorted hashes with their counts."""
+    bounds = np.searchsorted(_shard(hashes, bits), np.arange((1 << bits) + 1))
     shards, blocks = [], []
     for shard, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         for at in range(a, b, _BLOCK):
             part = slice(at, min(b, at + _BLOCK))
             shards.append(shard)
-            blocks.append(_pack(hashes[part], *[c[part] for c in columns]))
+            blocks.append(_pack_counts(hashes[part], counts[part]))
             if len(blocks) == 256:
                 yield pa.record_batch({"kind": pa.array([kind] * 256, pa.int32()), "shard": pa.array(shards, pa.int32()), "block": pa.array(blocks, pa.binary())})
                 shards, blocks = [], []
@@ -105,7 +124,7 @@ def _add_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return flat[new], np.add.reduceat(numbers, new)
 
 
-def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
+def count_ngrams(docs: DataFrame, text_col: str, bits: int) -> DataFrame:
     """Exact counts of all unigrams and bigrams in blocks per kind and shard; tasks add up what they gather first."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +135,7 @@ def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
             for kind, parts in held.items():
                 if parts:
                     hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
-                    yield from _blocks(kind, hashes, counts.astype(np.uint32))
+                    yield from _blocks(kind, hashes, counts, bits)
                 parts.clear()
 
         for batch in batches:
@@ -135,13 +154,13 @@ def count_ngrams(docs: DataFrame, text_col: str) -> DataFrame:
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
             for kind, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
-                hashes, counts = _unpack(raw.as_py(), np.uint64, np.uint32)
+                hashes, counts = _unpack_counts(raw.as_py())
                 own = held.setdefault(kind, ([], []))
                 own[0].append(hashes)
-                own[1].append(counts.astype(np.int64))
+                own[1].append(counts)
         for kind, (hashes, counts) in held.items():
             flat, numbers = _add_up(hashes, counts)
-            yield from _blocks(kind, flat, numbers)
+            yield from _blocks(kind, flat, numbers, bits)
 
     found = small_batches(docs).select(text_col).mapInArrow(gather, _BLOCKS)
     return cut_lineage(_by_shard(found).mapInArrow(merge, _BLOCKS))
@@ -163,6 +182,7 @@ class Filter:
 
     bits: np.ndarray
     shard_size: int
+    shard_bits: int
 
     def place(self, hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
         """Bit number inside the shard of one probe of entry (n-gram, level)."""
@@ -173,7 +193,7 @@ class Filter:
         """Level of each n-gram: probes go up from 1 until an entry is missing."""
         out = np.zeros(len(hashes), np.int64)
         active = np.arange(len(hashes))
-        base = _shard(hashes) * self.shard_size
+        base = _shard(hashes, self.shard_bits) * self.shard_size
         level = 1
         while len(active):
             for probe in range(PROBES):
@@ -225,7 +245,7 @@ def _summary(blocks: DataFrame) -> tuple[int, int, np.ndarray]:
         levels, total, distinct = np.zeros((2, 64), np.int64), 0, 0
         for batch in batches:
             for kind, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
-                hashes, counts = _unpack(raw.as_py(), np.uint64, np.int64)
+                hashes, counts = _unpack_counts(raw.as_py())
                 levels[kind - 1] += np.bincount(_level(counts), minlength=64)
                 if kind == UNIGRAM:
                     total += int(counts.sum())
@@ -249,7 +269,8 @@ def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS,
     own part of the filter where its counts are; the parts, of bounded size
     together, go to the driver and out to the workers.
     """
-    blocks = count_ngrams(docs, text_col)
+    shard_bits = _shard_bits(docs)
+    blocks = count_ngrams(docs, text_col, shard_bits)
     total, distinct, levels = _summary(blocks)
     # entries by kind and lowest level kept: an n-gram of level q makes q entries
     makes = np.arange(64) * levels
@@ -257,23 +278,23 @@ def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS,
     while wanted * entry_bits > 1 << most_bits and cut < 63:
         wanted -= int(makes[1, cut])
         cut += 1
-    size_bits = max(SHARD_BITS + 6, int(np.ceil(np.log2(max(2, wanted * entry_bits)))))
-    shard_size = 1 << (min(size_bits, most_bits) - SHARD_BITS)
+    size_bits = max(shard_bits + 6, int(np.ceil(np.log2(max(2, wanted * entry_bits)))))
+    shard_size = 1 << (max(shard_bits + 6, min(size_bits, most_bits)) - shard_bits)
     least = max(1, -(-total >> FREQUENT_BITS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(np.empty(0, np.uint8), shard_size)
+        own = Filter(np.empty(0, np.uint8), shard_size, shard_bits)
         parts: dict[int, np.ndarray] = {}
         frequent = []
         for batch in batches:
             for kind, shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                hashes, counts = _unpack(raw.as_py(), np.uint64, np.int64)
+                hashes, counts = _unpack_counts(raw.as_py())
                 marks = parts.setdefault(shard, np.zeros(shard_size, bool))
                 level = _level(counts)
                 if kind == BIGRAM:
                     hashes, level = hashes[level >= cut], level[level >= cut]
                 else:
-                    frequent.append(_pack(hashes[counts >= least], counts[counts >= least]))
+                    frequent.append(_pack_counts(hashes[counts >= least], counts[counts >= least]))
                 for q in range(1, int(level.max(initial=0)) + 1):
                     for probe in range(PROBES):
                         marks[own.place(hashes[level >= q], q, probe)] = True
@@ -282,7 +303,7 @@ def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS,
         for raw in frequent:
             yield pa.record_batch({"shard": pa.array([-1], pa.int32()), "part": pa.array([b""], pa.binary()), "frequent": pa.array([raw], pa.binary())})
 
-    bits = np.zeros((shard_size << SHARD_BITS) // 8, np.uint8)
+    bits = np.zeros((shard_size << shard_bits) // 8, np.uint8)
     hashes, counts = [], []
     # the counts already lie by shard; a shard's blocks are in one partition
     for row in blocks.mapInArrow(fill, "shard int, part binary, frequent binary").toLocalIterator():
@@ -291,11 +312,11 @@ def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS,
             at = row["shard"] * (shard_size // 8)
             bits[at : at + len(part)] = part
         else:
-            h, c = _unpack(bytes(row["frequent"]), np.uint64, np.int64)
+            h, c = _unpack_counts(bytes(row["frequent"]))
             hashes.append(h)
             counts.append(c)
     frequent, numbers = _add_up(hashes, counts)
-    return Model(Filter(bits, shard_size), total, distinct, frequent, numbers), blocks
+    return Model(Filter(bits, shard_size, shard_bits), total, distinct, frequent, numbers), blocks
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
@@ -364,7 +385,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                 hashes, owner = np.concatenate(held), np.concatenate(owners)
                 order = np.argsort(hashes)
                 hashes, owner = hashes[order], owner[order]
-                bounds = np.searchsorted(_shard(hashes), np.arange((1 << SHARD_BITS) + 1))
+                bounds = np.searchsorted(_shard(hashes, model.filter.shard_bits), np.arange((1 << model.filter.shard_bits) + 1))
                 found = []
                 for shard, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     for at in range(a, b, _BLOCK):
@@ -381,7 +402,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             for kind, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
                 raw = raw.as_py()
                 if kind == UNIGRAM:
-                    h, c = _unpack(raw, np.uint64, np.int64)
+                    h, c = _unpack_counts(raw)
                     hashes.append(h)
                     counts.append(c)
                 else:

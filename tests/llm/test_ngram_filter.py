@@ -61,11 +61,11 @@ def test_filter_never_loses_an_entry_and_levels_go_up():
     level = N._level(counts)
     assert [int(N._level(np.array([c]))[0]) for c in (1, 2, 3, 4, 7, 8)] == [1, 2, 2, 3, 3, 4]
     size = 1 << 8
-    own = N.Filter(np.zeros((size << N.SHARD_BITS) // 8, np.uint8), size)
+    own = N.Filter(np.zeros((size << 8) // 8, np.uint8), size, 8)
     for q in range(1, int(level.max()) + 1):
         chosen = hashes[level >= q]
         for probe in range(N.PROBES):
-            at = N._shard(chosen) * size + own.place(chosen, q, probe)
+            at = N._shard(chosen, 8) * size + own.place(chosen, q, probe)
             np.bitwise_or.at(own.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     assert (own.levels(hashes) >= level).all()
     absent = draw.integers(0, 2**63, 2000, dtype=np.uint64)
