@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.llm.induced import sorted_suffixes
@@ -18,7 +20,9 @@ from seriesmill.session import cut_lineage
 
 #: Bytes of a string that counts as repeated, and of the grams that it is known by (a power of two).
 WINDOW, GRAM = 50, 16
-#: Bits of the map of grams that several documents have: 32 MB, whatever the input.
+#: Bytes beside a gram that a window over it surely holds, on its left or on its right (no more than a gram and one).
+BESIDE = (WINDOW - GRAM) // 2
+#: Bits of the map of widened grams that several documents have: 32 MB, whatever the input.
 FILTER_BITS = 28
 #: Bytes of one vectorised step, grams that a task gathers, pieces that it gathers, bytes that one suffix order takes.
 _STEP, _GATHER, _PIECES, _SORT = 500_000, 2_000_000, 200_000, 3_000_000
@@ -37,52 +41,128 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(value)
 
 
-def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+def _sliding(extreme: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The extreme of every ``width`` neighbours, by windows of doubling reach."""
     reach = 1
     while 2 * reach <= width:
-        values = np.minimum(values[:-reach], values[reach:])
+        values = extreme(values[:-reach], values[reach:])
         reach *= 2
-    return np.minimum(values[: len(values) - (width - reach)], values[width - reach :]) if width > reach else values
+    return extreme(values[: len(values) - (width - reach)], values[width - reach :]) if width > reach else values
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with the same smallest gram: that gram's hash, first window, last window and row.
+@dataclass
+class _Grams:
+    """Grams of some rows and what their windows make of them.
 
-    Equal windows have the same smallest gram wherever they stand.
+    ``least`` is the smallest gram of each window, ``valid`` whether the window lies
+    in one row.  ``place`` has the grams that are the smallest of some window; equal
+    windows choose the same ones wherever they stand.  ``left`` and ``right`` are
+    hashes of such a gram with the ``BESIDE`` bytes before or after it: every window
+    over it holds one of the two (``has_left``, ``has_right``: within the row).
     """
-    none = np.empty(0, np.int64)
+
+    grams: np.ndarray
+    least: np.ndarray
+    valid: np.ndarray
+    place: np.ndarray
+    row: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    has_left: np.ndarray
+    has_right: np.ndarray
+
+
+_SPAN = WINDOW - GRAM + 1
+_SIDES = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407)]
+
+
+def _chosen_grams(data: np.ndarray, offsets: np.ndarray) -> _Grams | None:
     if len(data) < WINDOW:
-        return np.empty(0, np.uint64), none, none, none
-    least = _sliding_minimum(_gram_hashes(data), WINDOW - GRAM + 1)
-    valid = np.ones(len(least) + 1, bool)
+        return None
+    grams = _gram_hashes(data)
+    least = _sliding(np.minimum, grams, _SPAN)
+    valid = np.ones(len(least), bool)
     # a window may not reach over the end of its row
     cut = (offsets[1:, None] - np.arange(1, WINDOW)[None, :]).ravel()
     valid[cut[(cut >= 0) & (cut < len(least))]] = False
-    valid[-1] = False
-    change = np.ones(len(least) + 1, bool)
-    change[1:-1] = least[1:] != least[:-1]
-    before = np.concatenate([[False], valid[:-1]])
-    first = np.flatnonzero(valid & (change | ~before))
-    last = np.flatnonzero(valid[:-1] & (change[1:] | ~valid[1:]))
-    return least[first], first, last, np.searchsorted(offsets, first, "right") - 1
+    # a gram is the smallest of a window over it where the largest of their smallest is itself
+    edge = np.zeros(_SPAN - 1, np.uint64)
+    largest = _sliding(np.maximum, np.concatenate([edge, np.where(valid, least, 0), edge]), _SPAN)
+    place = np.flatnonzero(grams == largest[: len(grams)])
+    row = np.searchsorted(offsets, place, "right") - 1
+    has_left, has_right = place - BESIDE >= offsets[:-1][row], place + GRAM + BESIDE <= offsets[1:][row]
+    last = len(grams) - 1
+    own = grams[place]
+    left = mix(grams[np.maximum(place - BESIDE, 0)] * _SIDES[0] + mix(grams[np.maximum(place - 1, 0)] * _SIDES[1] + own))
+    right = mix(grams[np.minimum(place + BESIDE, last)] * _SIDES[2] + mix(grams[np.minimum(place + GRAM, last)] * _SIDES[3] + own))
+    return _Grams(grams, least, valid, place, row, left, right, has_left, has_right)
+
+
+def whole_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and ``key`` of the rows of ``WINDOW`` bytes or more whose whole text stands in a row with a smaller identifier."""
+    digests = docs.select(_identifier(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.sha2(text_col, 256).alias("sha"), F.octet_length(text_col).alias("n"))
+    digests = cut_lineage(digests.filter(F.col("n") >= WINDOW).drop("n"))
+    least = digests.groupBy("sha").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return digests.join(least, "sha").filter("id > low").select("id", "key").distinct()
+
+
+def _identifier(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST)))
+
+
+@dataclass
+class _Rows:
+    """Rows without whole copies: ``table`` has id, key, text and bit, ``copies`` is a bitmap of fixed size.
+
+    A row whose bit is in the map is a copy and left out.  The few other rows that
+    fall on its bits were set apart with an exact join and have bit -1.
+    """
+
+    table: DataFrame
+    copies: Broadcast
+
+    def map(self, function, shape: str) -> DataFrame:
+        """``function`` over the batches that are left."""
+        copies = self.copies
 
+        def left(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bit = batch.column(3)
+            apart = bit.to_numpy(zero_copy_only=False) < 0
+            return batch.filter(pa.array(apart | ~in_marks(copies.value, pc.max_element_wise(bit, 0))))
 
-def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
-    """A packed map of the smallest grams that two rows or more have (and of some others, by chance).
+        return self.table.mapInArrow(lambda batches: function(map(left, batches)), shape)
 
-    Each task sends a gram once, with whether it saw several rows; the shards add
-    up and send their part of the map.
+
+def _rows_without(copies: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> _Rows:
+    rows = small_batches(docs).select(_identifier(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("bit", mark_of("id", "key"))
+    marks = docs.sparkSession.sparkContext.broadcast(marked_ids(copies))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_marks(marks.value, batch.column(3)))).select([0, 1, 2])
+
+    apart = rows.mapInArrow(choose, "id long, key long, text string").join(copies, ["id", "key"], "left_anti")
+    apart = cut_lineage(apart).select("id", "key", "text", F.lit(-1).cast(rows.schema["bit"].dataType).alias("bit"))
+    return _Rows(rows.unionByName(apart), marks)
+
+
+def _shared_grams(rows: _Rows) -> np.ndarray:
+    """A packed map of the widened grams that two rows or more have (and of some others, by chance).
+
+    Each task sends a widened gram once, with whether it saw several rows; the
+    shards add up and send their part of the map.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(rows.table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard_bits = min(MOST_SHARD_BITS, max(LEAST_SHARD_BITS, (4 * partitions - 1).bit_length()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, rows, size, base = [], [], 0, 0
+        grams, owners, size, base = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not grams:
                 return
-            gram, row = np.concatenate(grams), np.concatenate(rows)
+            gram, row = np.concatenate(grams), np.concatenate(owners)
             order = np.lexsort((row, gram))
             gram, row = gram[order], row[order]
             new = np.concatenate([[True], gram[1:] != gram[:-1]])
@@ -98,16 +178,17 @@ def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
                 part = found[at : at + 256]
                 yield pa.record_batch({"shard": pa.array([s for s, _ in part], pa.int32()), "block": pa.array([v for _, v in part], pa.binary())})
             grams.clear()
-            rows.clear()
+            owners.clear()
 
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
+            data, offsets = utf8(batch.column(2))
             for a, b in steps(offsets, _STEP):
-                gram, _, _, row = _runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                grams.append(gram)
-                rows.append(row + base)
+                found = _chosen_grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if found is not None:
+                    grams += [found.left[found.has_left], found.right[found.has_right]]
+                    owners += [found.row[found.has_left] + base, found.row[found.has_right] + base]
+                    size += 2 * len(found.place)
                 base += b - a
-                size += len(gram)
                 if size >= _GATHER:
                     yield from flush()
                     size = 0
@@ -131,7 +212,7 @@ def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
             yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "block": pa.array([zlib.compress(np.packbits(marks).tobytes(), 1)], pa.binary())})
 
     shape = "shard int, block binary"
-    parts = small_batches(docs).select(text_col).mapInArrow(gather, shape).repartition("shard").mapInArrow(merge, shape)
+    parts = rows.map(gather, shape).repartition("shard").mapInArrow(merge, shape)
     size = (1 << per_shard) // 8
     out = np.zeros(size << shard_bits, np.uint8)
     for row in parts.toLocalIterator():
@@ -140,11 +221,30 @@ def _shared_grams(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _marked_runs(marks: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-    gram, first, last, row = _runs(data, offsets)
-    bit = (gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    good = (marks[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-    gram, first, last, row = gram[good], first[good], last[good], row[good]
-    return gram, hash_spans(data, first, last + WINDOW, lower=False), first, last + WINDOW, row
+    """Runs of windows that may stand in several rows: smallest gram, hash of the bytes, first byte, end and row.
+
+    A run's windows share their smallest gram, widened to a side that the map knows.
+    """
+    none = np.empty(0, np.int64)
+    found = _chosen_grams(data, offsets)
+    if found is None:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), none, none, none
+
+    def known(side: np.ndarray, there: np.ndarray) -> np.ndarray:
+        bit = (side >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return there & ((marks[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
+
+    place = found.place[known(found.left, found.has_left) | known(found.right, found.has_right)]
+    shared = np.full(len(found.grams), np.uint64(2**64 - 1))
+    shared[place] = found.grams[place]
+    least = found.least
+    good = found.valid & (_sliding(np.minimum, shared, _SPAN) == least)
+    change = least[1:] != least[:-1]
+    first = np.flatnonzero(good & np.concatenate([[True], change | ~good[:-1]]))
+    end = np.flatnonzero(good & np.concatenate([change | ~good[1:], [True]])) + WINDOW
+    row = np.searchsorted(offsets, first, "right") - 1
+    # windows of neighbouring rows with one gram between them are two runs: invalid ones lie between
+    return least[first], hash_spans(data, first, end, lower=False), first, end, row
 
 
 def _spans_of(pieces: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -260,19 +360,20 @@ def _without(text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[int, int,
     return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_intervals(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``key``, ``begin`` and ``end`` (exclusive) of byte runs whose strings start in a document with a smaller identifier.
 
+    ``copies`` (:func:`whole_copies`) lose all bytes and take part no further: what
+    they hold stands in a smaller document too.
+
     Every window of ``WINDOW`` bytes belongs to its smallest gram, so equal windows
-    meet in one shard.  A map of fixed size first drops grams that one row alone
-    has.  The rest travel as pieces (runs of windows with one smallest gram), each
+    meet in one shard.  A map of fixed size first drops windows whose gram, with the
+    bytes left or right of it, one row alone has.  The rest travel as pieces (runs of windows with one smallest gram), each
     text once per task; the shards order the suffixes of those pieces whose gram has
     several.  Occurrences never meet in one task: they join the verdicts by piece.
     """
-    docs = small_batches(docs)
-    marks = docs.sparkSession.sparkContext.broadcast(_shared_grams(docs, text_col))
-    identifier = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST)))
-    rows = docs.select(identifier.alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col))
+    rows = _rows_without(copies, docs, id_col, text_col)
+    marks = docs.sparkSession.sparkContext.broadcast(_shared_grams(rows))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,15 +431,19 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     size = 0
         yield from flush()
 
-    sent = rows.mapInArrow(pieces, "m long, h long, low long, high long, piece binary")
+    sent = rows.map(pieces, "m long, h long, low long, high long, piece binary")
     verdicts = sent.repartition("m").sortWithinPartitions("m", "h").mapInArrow(_order_shard, "m long, h long, begin int, end int, worth long")
-    found = rows.mapInArrow(occurrences, "m long, h long, id long, key long, at int").join(verdicts, ["m", "h"]).filter("worth < id")
+    found = rows.map(occurrences, "m long, h long, id long, key long, at int").join(verdicts, ["m", "h"]).filter("worth < id")
     return found.select("id", "key", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end") + WINDOW).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "remaining") -> DataFrame:
-    """The rows that lose bytes: ``id``, ``key``, ``n_removed``, ``n_spans``, and the remaining bytes ``into``, once per distinct row."""
-    intervals = repeated_intervals(docs, id_col, text_col)
+    """The rows that lose bytes: ``id``, ``key``, ``n_removed``, ``n_spans``, and the remaining bytes ``into``, once per distinct row.
+
+    Whole copies have NULL for ``n_removed``: nothing remains of them.
+    """
+    copies = cut_lineage(whole_copies(docs, id_col, text_col))
+    intervals = repeated_intervals(docs, copies, id_col, text_col)
     lists = intervals.groupBy("id", "key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     lists = cut_lineage(lists)
     marks = docs.sparkSession.sparkContext.broadcast(marked_ids(lists.select("id", "key")))
@@ -358,11 +463,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rest.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(rest, pa.binary())], ["id", "key", "n_removed", "n_spans", into])
 
-    identifier = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST)))
-    texts = small_batches(docs).select(identifier.alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(_identifier(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = texts.withColumn("bit", mark_of("id", "key")).mapInArrow(choose, "id long, key long, text string")
     joined = texts.join(lists, ["id", "key"]).select("id", "key", "text", "spans")
-    return joined.mapInArrow(cut, f"id long, key long, n_removed long, n_spans long, `{into}` binary")
+    partly = joined.mapInArrow(cut, f"id long, key long, n_removed long, n_spans long, `{into}` binary")
+    wholly = copies.select("id", "key", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias(into))
+    return partly.unionByName(wholly)
 
 
 def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,11 +480,11 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without identifier come after all others and take nothing from one another.
     Extra columns are ignored.  Runs several jobs.
     """
-    lost = remove_repeats(docs, id_col, text_col, "remaining").select("id", "key", "n_removed", "n_spans", F.sha2("remaining", 256).alias("rest")).dropDuplicates(["id", "key"])
+    lost = remove_repeats(docs, id_col, text_col, "remaining").select("id", "key", "n_removed", "n_spans", F.sha2("remaining", 256).alias("rest"), F.lit(True).alias("hit"))
+    lost = lost.dropDuplicates(["id", "key"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    identifier = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST)))
-    rows = docs.select(F.col(id_col).alias("own"), identifier.alias("id"), F.xxhash64(text_col).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    rows = docs.select(F.col(id_col).alias("own"), _identifier(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = F.lit(0).cast("long")
     return rows.join(lost, ["id", "key"], "left").select(
-        F.col("own").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("rest", "whole").alias("kept_sha256")
+        F.col("own").alias(id_col), "n_bytes", F.when(F.col("hit"), F.coalesce("n_removed", "n_bytes")).otherwise(zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("rest", "whole").alias("kept_sha256")
     )
