@@ -17,7 +17,7 @@ from seriesmill.session import cut_lineage
 
 #: Cells (a power of two) of the table that estimates in how many documents a shingle occurs.
 CELL_BITS = 22
-_CHUNK = 1 << 16
+_CHUNK = 1 << 13
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -59,7 +59,7 @@ def document_frequencies(docs: DataFrame, text_col: str, size: int, lower: bool)
     shape = "chunk int, cells binary"
     parts = small_batches(docs).select(text_col).mapInArrow(count, shape)
     total = np.zeros((1 << CELL_BITS) // _CHUNK * _CHUNK, np.uint64).reshape(-1, _CHUNK)
-    for row in parts.repartition(total.shape[0], "chunk").mapInArrow(add, shape).toLocalIterator():
+    for row in parts.repartition("chunk").mapInArrow(add, shape).toLocalIterator():
         total[row["chunk"]] += np.frombuffer(zlib.decompress(bytes(row["cells"])), np.uint64)
     return np.minimum(total.reshape(-1), 2**32 - 1).astype(np.uint32)
 
