@@ -210,60 +210,75 @@ def _induce_names(text: np.ndarray, seeds: np.ndarray, flip: bool, kinds: int) -
     a run of one name joins as a whole.  Within a name the order is: by how far a
     suffix lies inside its run, then by the place of the run's end.
     """
-    own = (kinds - 1 - text) if flip else text
+    own = ((kinds - 1 - text) if flip else text).astype(np.int32)
     counts = np.bincount(own, minlength=kinds)
     step_of = (np.cumsum(counts) - counts) // _NAME_STEP
     step_of = np.unique(step_of, return_inverse=True)[1]
     steps = int(step_of[-1]) + 1
+    first_name = np.searchsorted(step_of, np.arange(steps + 1))
     run_start = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), np.arange(len(own)), 0))
-    waiting: list[list[np.ndarray]] = [[] for _ in range(steps)]
-    seed_at = np.searchsorted(step_of[own[seeds]], np.arange(steps + 1))
+    waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(steps)]
+    seed_names = own[seeds]
+    seed_at = np.searchsorted(step_of[seed_names], np.arange(steps + 1))
     out = []
+
+    def named_before(position: np.ndarray) -> np.ndarray:
+        before = own[np.maximum(position - 1, 0)]
+        before[position == 0] = -1
+        return before
+
     for step in range(steps):
-        pending = np.concatenate(waiting[step]) if waiting[step] else np.empty(0, np.int64)
+        low, high = int(first_name[step]), int(first_name[step + 1])
+        fixed = slice(int(seed_at[step]), int(seed_at[step + 1]))
+        pushed = waiting[step]
         waiting[step] = []
-        fixed = seeds[seed_at[step] : seed_at[step + 1]]
-        position = np.concatenate([pending, fixed])
-        seed = np.repeat([False, True], [len(pending), len(fixed)])
+        position = np.concatenate([*[p for p, _ in pushed], seeds[fixed]])
+        name = np.concatenate([*[n for _, n in pushed], seed_names[fixed]])
+        pending = len(position) - (fixed.stop - fixed.start)
+        seed = np.arange(len(position)) >= pending
+        key = np.concatenate([np.arange(pending), np.arange(len(position) - pending)])
         wave = np.zeros(len(position), np.int64)
         late = np.zeros(len(position), bool)
-        key = np.concatenate([np.arange(len(pending)), np.arange(len(fixed))])
         parent = np.full(len(position), -1)
+        before = named_before(position)
         fresh = np.arange(len(position))
         while True:
-            order = np.lexsort((key, late, wave, seed, own[position]))
+            # by name, seeds last, place in the run, induced here last, then by key: one number, as all are small
+            number = (name.astype(np.int64) - low) * 2 + seed
+            for values, size in ((wave, int(wave.max(initial=0)) + 1), (late, 2), (key, int(key.max(initial=0)) + 1)):
+                number = number * size + values
+            order = np.argsort(number)
+            ahead, here = before[fresh], name[fresh]
+            larger = fresh[(ahead > here) & (ahead < high)]
+            ends = fresh[(ahead == here) & ~seed[fresh] & (wave[fresh] == 0)]
+            if not len(larger) and not len(ends):
+                break
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            place = position[fresh]
-            before = own[np.maximum(place - 1, 0)]
-            larger = fresh[(place > 0) & (before > own[place]) & (step_of[before] == step)]
-            ends = fresh[~seed[fresh] & (wave[fresh] == 0) & (run_start[place] < place)]
             length = position[ends] - run_start[position[ends]]
-            if not len(larger) and not len(ends):
-                break
             inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + 1
             roots = np.repeat(ends, length)
-            new = len(larger) + len(roots)
-            position = np.concatenate([position, position[larger] - 1, position[roots] - inside])
+            grown = np.concatenate([position[larger] - 1, position[roots] - inside])
+            position = np.concatenate([position, grown])
+            name = np.concatenate([name, before[larger], name[roots]])
+            before = np.concatenate([before, named_before(grown)])
             parent = np.concatenate([parent, larger, roots])
             wave = np.concatenate([wave, np.zeros(len(larger), np.int64), inside])
             late = np.concatenate([late, np.ones(len(larger), bool), np.zeros(len(roots), bool)])
-            seed = np.concatenate([seed, np.zeros(new, bool)])
-            key = np.concatenate([key, np.zeros(new, np.int64)])
-            grown = parent >= 0
-            key[grown] = rank[parent[grown]]
-            fresh = np.arange(len(position) - new, len(position))
-        position, seed = position[order], seed[order]
-        out.append(position[~seed])
-        place = np.flatnonzero(position > 0)
-        before = own[position[place] - 1]
-        goes = (before > own[position[place]]) & (step_of[before] > step)
-        place, target = place[goes], step_of[before[goes]]
+            seed = np.concatenate([seed, np.zeros(len(grown), bool)])
+            key = np.concatenate([key, np.zeros(len(grown), np.int64)])
+            born = np.flatnonzero(parent >= 0)
+            key[born] = rank[parent[born]]
+            fresh = np.arange(len(position) - len(grown), len(position))
+        position, name, before = position[order], name[order], before[order]
+        out.append(position[~seed[order]])
+        place = np.flatnonzero(before >= high)
+        target = step_of[before[place]]
         sort = np.argsort(target, kind="stable")
         place, target = place[sort], target[sort]
         first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else []
         for a, b in zip(first, [*first[1:], len(place)]):
-            waiting[target[a]].append(position[place[a:b]] - 1)
+            waiting[target[a]].append((position[place[a:b]] - 1, before[place[a:b]]))
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
@@ -294,14 +309,25 @@ def order_names(text: np.ndarray) -> np.ndarray:
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bytes that suffixes ``a`` and ``b`` share, up to ``MOST_PREFIX``."""
-    out = np.zeros(len(a), np.uint8)
-    left, offset = np.arange(len(a)), 0
-    last = len(text) - 1
+    out = np.full(len(a), MOST_PREFIX, np.uint8)
+    # eight bytes at a time; the only 0 ends the text, so no two suffixes agree beyond it
+    left, offset, size = np.arange(len(a)), 0, len(text)
+    whole = np.lib.stride_tricks.as_strided(text, (max(0, size - 7), 8), (1, 1)) if size >= 8 else None
+
+    def word(place: np.ndarray) -> np.ndarray:
+        if whole is None or place.max(initial=0) > size - 8:
+            tail = np.minimum(place[:, None] + np.arange(8)[None, :], size - 1)
+            return np.ascontiguousarray(text[tail]).view(np.uint64).ravel()
+        return whole[place].view(np.uint64).ravel()
+
     while len(left) and offset < MOST_PREFIX:
-        x, y = a[left] + offset, b[left] + offset
-        left = left[(x <= last) & (y <= last) & (text[np.minimum(x, last)] == text[np.minimum(y, last)])]
-        offset += 1
-        out[left] = offset
+        differs = word(a[left] + offset) ^ word(b[left] + offset)
+        done = differs != 0
+        bits = differs[done]
+        lowest = np.frexp((bits & (~bits + np.uint64(1))).astype(np.float64))[1] - 1
+        out[left[done]] = np.minimum(offset + (lowest >> 3), MOST_PREFIX)
+        left = left[~done]
+        offset += 8
     return out
 
 

@@ -247,22 +247,19 @@ def _marked_runs(marks: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     return least[first], hash_spans(data, first, end, lower=False), first, end, row
 
 
-def _spans_of(pieces: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _spans_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Piece, first window, last window and smallest identifier of the windows' strings among all pieces.
 
     The pieces, each ended by a byte of its own, are one text; strings that several
     pieces hold stand together in its suffix order, with common prefixes of
     ``WINDOW`` bytes or more between them.  Runs that no document can lose are left out.
     """
-    lengths = np.array([len(p) for p in pieces])
+    lengths = end - begin
     starts = np.cumsum(lengths + 1) - lengths - 1
-    text = np.ones(int((lengths + 1).sum()) + 1, np.uint8)
-    for piece, at in zip(pieces, starts.tolist()):
-        text[at : at + len(piece)] = piece
-        text[at : at + len(piece)] += 2
-    text[-1] = 0
-    owner = np.repeat(np.arange(len(pieces)), lengths + 1)
-    inside = np.arange(len(text) - 1) - starts[owner]
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+    inside = np.arange(len(owner)) - starts[owner]
+    text = np.zeros(len(owner) + 1, np.uint8)
+    text[:-1] = np.where(inside < lengths[owner], data[np.minimum(begin[owner] + inside, len(data) - 1)] + np.uint8(2), 1)
     value = np.full(len(text) - 1, _LAST)
     group: list[np.ndarray] = []
 
@@ -291,11 +288,11 @@ def _spans_of(pieces: list[np.ndarray], least: np.ndarray, most: np.ndarray) ->
     close()
     window = np.flatnonzero(inside + WINDOW <= lengths[owner])
     kind, worth = owner[window], value[window]
-    begin = np.concatenate([[True], (kind[1:] != kind[:-1]) | (worth[1:] != worth[:-1])])
-    end = np.concatenate([begin[1:], [True]])
-    kind, worth, begin, end = kind[begin], worth[begin], inside[window[begin]], inside[window[end]]
+    first = np.concatenate([[True], (kind[1:] != kind[:-1]) | (worth[1:] != worth[:-1])])
+    last = np.concatenate([first[1:], [True]])
+    kind, worth, first, last = kind[first], worth[first], inside[window[first]], inside[window[last]]
     keep = worth < most[kind]
-    return kind[keep], begin[keep], end[keep], worth[keep]
+    return kind[keep], first[keep], last[keep], worth[keep]
 
 
 def _order_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +325,7 @@ def _order_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while stop < len(several) and number[several[stop]] == number[several[stop - 1]]:
                 stop += 1
             part = several[at:stop]
-            kind, a, b, worth = _spans_of([data[x:y] for x, y in zip(begin[part].tolist(), end[part].tolist())], low[part], high[part])
+            kind, a, b, worth = _spans_of(data, begin[part], end[part], low[part], high[part])
             yield emit(gram[part][kind], digest[part][kind], a, b, worth)
             at = stop
 
