@@ -27,13 +27,21 @@ def _pearson_of(x: Column, y: Column) -> Column:
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """All pairs ``feature_a, feature_b, r`` (a before b), each over its complete rows; one aggregate over the rows as they are."""
+    """All pairs ``feature_a, feature_b, r`` (a before b), each over its complete rows; one pass.
+
+    The pairs of a row exist inside a task only: the aggregate has one group per
+    pair and folds them before its shuffle.  An aggregate per pair over the rows as
+    they are takes longer to compile than to run from a few dozen pairs on.
+    """
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    place = {c: F.col(f"c{i}") for i, c in enumerate(features)}
     numbers = df.select(*[present(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(features)])
-    place = {c: f"c{i}" for i, c in enumerate(features)}
-    found = numbers.agg(*[_pearson_of(F.col(place[a]), F.col(place[b])).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]
-    return found.select(F.inline(F.array(*cells)))
+    cells = F.array(*[F.struct(F.lit(k).alias("pair"), place[a].alias("x"), place[b].alias("y")) for k, (a, b) in enumerate(pairs)])
+    complete = numbers.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = complete.groupBy("pair").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    first, second = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
+    at = F.col("pair") + 1
+    return found.select(F.element_at(first, at).alias("feature_a"), F.element_at(second, at).alias("feature_b"), "r")
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
