@@ -185,7 +185,8 @@ def similar_components(
     one group, and groups meet on shared prefix shingles.  First every group is
     held against the member of the shingle's list that has it earliest; the links
     found contract even thousands of near copies.  Then only members of different
-    components of a list meet, all of them, so no link between components is lost.
+    components of a list or of a group meet, all of them, so no link between
+    components is lost, nor inside a group that shares no list.
     Runs several jobs.
     """
     args = (id_col, text_col, size, lower, percent)
@@ -199,19 +200,26 @@ def similar_components(
     shared = cut_lineage(posted.join(lists, "s").select("s", "gid", "n", "pos", F.col("c.gid").alias("cg"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cp")))
     first = shared.select(F.struct("gid", "n", "pos").alias("a"), F.struct(F.col("cg").alias("gid"), F.col("cn").alias("n"), F.col("cp").alias("pos")).alias("b"))
     star = first.filter("a.gid <> b.gid").filter(_near(percent)).select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"))
-    inner = members.filter("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    # two different sets of n shingles share n - 1 at most
+    members = members.withColumn("apart", F.expr(f"{100 - percent} * n >= {100 + percent}"))
+    inner = members.filter("apart AND rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     star = cut_lineage(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inner).distinct())
     links = cut_lineage(verified(star, docs, *args))
     found = components(links)
 
-    # what the first comparison left apart: members of one list in different components
-    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", F.coalesce("component", "rep").alias("comp"))
-    listed = shared.select("s", "gid", "n", "pos").join(named, "gid")
+    # what the first comparison left apart: members of one group, or of two groups of one list, in different components
+    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", "apart", F.coalesce("component", "rep").alias("comp"))
+    inside = named.filter("apart").select("rep", "gid", "comp")
+    mixed = inside.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gid")
+    inside = cut_lineage(inside.join(mixed, "gid"))
+    a, b = inside.alias("a"), inside.alias("b")
+    same = a.join(b, F.expr("a.gid = b.gid AND a.comp < b.comp")).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
+    listed = shared.select("s", "gid", "n", "pos").join(named.drop("apart"), "gid")
     mixed = listed.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("s")
     listed = cut_lineage(listed.join(mixed, "s"))
     a, b = listed.alias("a"), listed.alias("b")
-    rest = a.join(b, F.expr(f"a.s = b.s AND a.comp < b.comp AND {_near(percent)}"))
-    rest = rest.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
+    rest = a.join(b, F.expr(f"a.s = b.s AND a.gid <> b.gid AND a.comp < b.comp AND {_near(percent)}"))
+    rest = rest.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).union(same).distinct()
     rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"))
     links = links.union(verified(rest, docs, *args))
     found = components(links)

@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesmill.llm import jaccard_join as J
@@ -46,6 +48,26 @@ def test_components_equal_brute_force(docs, rows, size, percent):
     assert nameless == [(len(sets[3]), want[3])]
 
 
+def test_links_inside_a_group_that_shares_no_list(spark):
+    names = [f"w{k}" for k in range(60)]
+    hashes = np.concatenate([h for _, h, _ in J._sets(pa.array(names), 1, True)])
+    names = [names[k] for k in np.argsort(hashes)]
+    # 40 words each, the first five in common: documents 1 and 2 share 38, document 0 shares 36 with either
+    common = names[:36]
+    sets = [common + names[36:40], common + names[40:44], common + names[40:42] + names[44:46]]
+    rows = [(k, " ".join(words)) for k, words in enumerate(sets)]
+    # texts of one word make every other word as frequent as the common ones, so that prefixes are equal
+    for word in names:
+        rows += [(1000 + len(rows) + k, word) for k in range(3 - sum(word in words for words in sets))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prefix = {r["id"]: r["prefix"] for r in J.prefixes(docs, "doc_id", "text", 1, True, 90).collect()}
+    assert prefix[0] == prefix[1] == prefix[2]
+    want = brute(shingle_sets(rows, 1), 90)
+    assert (want[0], want[1], want[2]) == (0, 1, 1)
+    got = {r["doc_id"]: r["component_id"] for r in J.similar_components(docs, size=1).collect()}
+    assert got == want
+
+
 def test_one_of_each_component_stays(docs, rows):
     want = brute(shingle_sets(rows, 5), 80)
     kept = J.drop_similar(docs, size=5, percent=80)
