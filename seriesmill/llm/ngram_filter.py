@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from seriesmill.session import cut_lineage
 #: N-grams are counted in ``2**bits`` shards, each of which owns its part of the filter: four to a shuffle
 #: partition, within these limits.
 LEAST_SHARD_BITS, MOST_SHARD_BITS = 8, 16
-#: The filter takes about this many bits per entry, up to ``2**MOST_BITS`` bits, which bounds the broadcast (64 MB).
+#: The filter takes about this many bits per entry; slices of up to ``2**MOST_BITS`` bits bound a broadcast (64 MB).
 ENTRY_BITS, MOST_BITS = 6, 29
 #: Bits that an entry sets.
 PROBES = 3
@@ -176,13 +177,21 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
+def _middle(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 1, 1.5 * np.exp2(level - 1.0), level)
+
+
 @dataclass
 class Filter:
-    """The log-frequency Bloom filter: an n-gram of level q is entered with each of 1, ..., q."""
+    """The log-frequency Bloom filter: an n-gram of level q is entered with each of 1, ..., q.
+
+    ``bits`` are those of the shards from ``first`` on: all shards, or one slice of them.
+    """
 
     bits: np.ndarray
     shard_size: int
     shard_bits: int
+    first: int = 0
 
     def place(self, hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
         """Bit number inside the shard of one probe of entry (n-gram, level)."""
@@ -190,10 +199,10 @@ class Filter:
         return (mix(hashes + turn) & np.uint64(self.shard_size - 1)).astype(np.int64)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Level of each n-gram: probes go up from 1 until an entry is missing."""
+        """Level of each n-gram of these shards: probes go up from 1 until an entry is missing."""
         out = np.zeros(len(hashes), np.int64)
         active = np.arange(len(hashes))
-        base = _shard(hashes, self.shard_bits) * self.shard_size
+        base = (_shard(hashes, self.shard_bits) - self.first) * self.shard_size
         level = 1
         while len(active):
             for probe in range(PROBES):
@@ -203,21 +212,29 @@ class Filter:
             level += 1
         return out
 
+    def levels_here(self, hashes: np.ndarray) -> np.ndarray:
+        """Level of each n-gram as a byte; 0 for those of other slices."""
+        out = np.zeros(len(hashes), np.uint8)
+        shard = _shard(hashes, self.shard_bits) - self.first
+        here = np.flatnonzero((shard >= 0) & (shard < len(self.bits) * 8 // self.shard_size))
+        out[here] = self.levels(hashes[here])
+        return out
+
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """The middle of each n-gram's quantised count; 0 if its first entry is missing."""
-        level = self.levels(hashes)
-        return np.where(level > 1, 1.5 * np.exp2(level - 1.0), level)
+        return _middle(self.levels(hashes))
 
 
 @dataclass
 class Model:
-    """The filter, the number of training tokens and of distinct ones, and the frequent tokens' exact counts."""
+    """The filter or its first slice, the number of training tokens and of distinct ones, and the frequent tokens' exact counts."""
 
     filter: Filter
     total: int
     distinct: int
     frequent: np.ndarray
     frequent_counts: np.ndarray
+    slices: int = 1
 
     @property
     def norm(self) -> float:
@@ -227,11 +244,14 @@ class Model:
         """log10 probability of each row: bigram counts smoothed with the unigram distribution."""
         pairs = self.filter.counts(_pairs(tokens, first))
         distinct, place = np.unique(tokens, return_inverse=True)
-        own = self.filter.counts(distinct)[place]
+        return self.smoothed(self.filter.counts(distinct)[place], pairs, first)
+
+    def smoothed(self, own: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each row from the counts of its tokens and of its bigrams."""
         before = np.empty_like(own)
         before[1:] = own[:-1]
-        # every text has one start, and each ends once
-        before[first[:-1]] = self.filter.counts(np.array([_END], np.uint64))[0]
+        # every text has one start, and each ends once: its last token is the end
+        before[first[:-1]] = own[first[1:] - 1]
         single = (own + ADDED) / self.norm
         # collisions can only raise a bigram's count; it is never above its history's
         pairs = np.minimum(pairs, np.maximum(before, own))
@@ -260,26 +280,28 @@ def _summary(blocks: DataFrame) -> tuple[int, int, np.ndarray]:
     return (int(sums[0]["total"]), int(sums[0]["distinct"]), levels.reshape(2, 64)) if sums else (0, 0, levels.reshape(2, 64))
 
 
-def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS, most_bits: int = MOST_BITS) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``docs`` and the exact counts in blocks.
+def _slice(parts: DataFrame, model: Model, nth: int) -> Filter:
+    """Slice ``nth`` of the filter, put together on the driver."""
+    like = model.filter
+    shards = (1 << like.shard_bits) // model.slices
+    bits = np.zeros(shards * like.shard_size // 8, np.uint8)
+    for row in parts.filter((F.col("shard") >= nth * shards) & (F.col("shard") < (nth + 1) * shards)).toLocalIterator():
+        part = np.frombuffer(zlib.decompress(bytes(row["part"])), np.uint8)
+        at = (row["shard"] - nth * shards) * (like.shard_size // 8)
+        bits[at : at + len(part)] = part
+    return Filter(bits, like.shard_size, like.shard_bits, nth * shards)
 
-    The filter grows with its entries up to ``2**most_bits`` bits.  Beyond that the
-    bigrams of the lowest level are left out of it (then the next), as n-gram models
-    cut rare counts; counting itself stays exact and whole.  Each shard fills its
-    own part of the filter where its counts are; the parts, of bounded size
-    together, go to the driver and out to the workers.
-    """
+
+def _build(docs: DataFrame, text_col: str, entry_bits: int, most_bits: int) -> tuple[Model, DataFrame, DataFrame]:
+    """The model without bits, the parts of the filter by shard and the exact counts in blocks."""
     shard_bits = _shard_bits(docs)
     blocks = count_ngrams(docs, text_col, shard_bits)
     total, distinct, levels = _summary(blocks)
-    # entries by kind and lowest level kept: an n-gram of level q makes q entries
-    makes = np.arange(64) * levels
-    cut, wanted = 1, int(makes.sum())
-    while wanted * entry_bits > 1 << most_bits and cut < 63:
-        wanted -= int(makes[1, cut])
-        cut += 1
+    # an n-gram of level q makes q entries
+    wanted = int((np.arange(64) * levels).sum())
     size_bits = max(shard_bits + 6, int(np.ceil(np.log2(max(2, wanted * entry_bits)))))
-    shard_size = 1 << (max(shard_bits + 6, min(size_bits, most_bits)) - shard_bits)
+    shard_size = 1 << (size_bits - shard_bits)
+    slices = 1 << min(shard_bits, max(0, size_bits - max(most_bits, shard_bits + 6)))
     least = max(1, -(-total >> FREQUENT_BITS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +313,7 @@ def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS,
                 hashes, counts = _unpack_counts(raw.as_py())
                 marks = parts.setdefault(shard, np.zeros(shard_size, bool))
                 level = _level(counts)
-                if kind == BIGRAM:
-                    hashes, level = hashes[level >= cut], level[level >= cut]
-                else:
+                if kind == UNIGRAM:
                     frequent.append(_pack_counts(hashes[counts >= least], counts[counts >= least]))
                 for q in range(1, int(level.max(initial=0)) + 1):
                     for probe in range(PROBES):
@@ -303,23 +323,70 @@ def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS,
         for raw in frequent:
             yield pa.record_batch({"shard": pa.array([-1], pa.int32()), "part": pa.array([b""], pa.binary()), "frequent": pa.array([raw], pa.binary())})
 
-    bits = np.zeros((shard_size << shard_bits) // 8, np.uint8)
-    hashes, counts = [], []
     # the counts already lie by shard; a shard's blocks are in one partition
-    for row in blocks.mapInArrow(fill, "shard int, part binary, frequent binary").toLocalIterator():
-        if row["shard"] >= 0:
-            part = np.frombuffer(zlib.decompress(bytes(row["part"])), np.uint8)
-            at = row["shard"] * (shard_size // 8)
-            bits[at : at + len(part)] = part
-        else:
-            h, c = _unpack_counts(bytes(row["frequent"]))
-            hashes.append(h)
-            counts.append(c)
-    frequent, numbers = _add_up(hashes, counts)
-    return Model(Filter(bits, shard_size, shard_bits), total, distinct, frequent, numbers), blocks
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
+    parts = cut_lineage(blocks.mapInArrow(fill, "shard int, part binary, frequent binary"))
+    found = [_unpack_counts(bytes(row["frequent"])) for row in parts.filter("shard < 0").toLocalIterator()]
+    frequent, numbers = _add_up([h for h, _ in found], [c for _, c in found])
+    return Model(Filter(np.empty(0, np.uint8), shard_size, shard_bits), total, distinct, frequent, numbers, slices), parts, blocks
+
+
+def build(docs: DataFrame, text_col: str = "text", entry_bits: int = ENTRY_BITS, most_bits: int = MOST_BITS) -> tuple[Model, DataFrame]:
+    """The model of all texts of ``docs`` and the exact counts in blocks.
+
+    The filter grows with its entries and leaves none out.  Beyond ``2**most_bits``
+    bits it is cut by shard into ``slices`` of that size, and the model holds the
+    first.  Each shard fills its own part of the filter where its counts are; the
+    parts of one slice, of bounded size together, go to the driver and out to the
+    workers.
+    """
+    model, parts, blocks = _build(docs, text_col, entry_bits, most_bits)
+    return replace(model, filter=_slice(parts, model, 0)), blocks
+
+
+def _sliced_scores(rows: DataFrame, model: Model, parts: DataFrame) -> DataFrame:
+    """``key`` and ``sliced`` (the score) of every row by a filter of several slices.
+
+    Each slice in turn goes out to the workers, which read the texts again and note
+    the levels of the n-grams that it owns: a byte per n-gram, and nothing of the
+    others.  The levels of a text then meet by its key.
+    """
+    spark = rows.sparkSession
+    texts = rows.select("text", "key")
+
+    def note(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                data, offsets = utf8(batch.column(0))
+                for a, b in steps(offsets):
+                    tokens, first = _tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    distinct, place = np.unique(tokens, return_inverse=True)
+                    single, pairs = own.levels_here(distinct)[place], own.levels_here(_pairs(tokens, first))
+                    found = [single[x:y].tobytes() + pairs[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+                    yield pa.record_batch({"key": batch.column(1).slice(a, b - a), "levels": pa.array([zlib.compress(x, 1) for x in found], pa.binary())})
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for found in batch.column(1):
+                level = np.maximum.reduce([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in found.values])
+                single, pairs = _middle(level.reshape(2, -1).astype(np.int64))
+                scores.append(bare.value.smoothed(single, pairs, np.array([0, len(single)]))[0])
+            yield pa.record_batch({"key": batch.column(0), "sliced": pa.array(scores, pa.float64())})
+
+    noted = []
+    for nth in range(model.slices):
+        shared = spark.sparkContext.broadcast(_slice(parts, model, nth))
+        noted.append(cut_lineage(texts.mapInArrow(note(shared), "key long, levels binary")))
+        shared.destroy()
+    bare = spark.sparkContext.broadcast(replace(model, frequent=model.frequent[:0], frequent_counts=model.frequent_counts[:0]))
+    # equal rows note the same, so a key has one entry per slice at most
+    return reduce(DataFrame.unionByName, noted).groupBy("key").agg(F.collect_set("levels").alias("levels")).mapInArrow(meet, "key long, sliced double")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """Scores of all whole texts by a model of the rows where ``train`` holds (those not held out, unless given).
 
     Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
@@ -331,10 +398,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
     Exact counts of frequent tokens (a bounded number) travel with the model; the
     other tokens go to the shards that hold their counts, and the sums come back.
+    A filter above ``2**most_bits`` bits goes out slice by slice, and the texts are
+    read once per slice; the scores are those of the whole filter.
     """
     if train is None:
         train = F.col(id_col).isNotNull() & ~held_out(id_col)
-    model, blocks = build(docs.filter(train), text_col)
+    model, parts, blocks = _build(docs.filter(train), text_col, ENTRY_BITS, most_bits)
+    whole_filter = model.slices == 1
+    if whole_filter:
+        model = replace(model, filter=_slice(parts, model, 0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     # a row is known by a hash of its identifier and text; equal rows have equal sums
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("key"))
@@ -366,7 +438,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                         "n_tokens": pa.array(np.diff(first)),
                         "known": pa.array(known),
                         "base": pa.array(base),
-                        "score": pa.array(model.score(tokens, first)),
+                        "score": pa.array(model.score(tokens, first)) if whole_filter else pa.nulls(b - a, pa.float64()),
                     }
                 )
 
@@ -443,6 +515,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     answers = answers.groupBy("key").agg(F.sum("base").alias("rest"), F.sum("known").alias("rest_known"))
     answers = answers.join(scored.groupBy("key").agg(F.count("*").alias("same")), "key")
     whole = scored.join(answers, "key", "left")
+    if not whole_filter:
+        whole = whole.join(_sliced_scores(rows, model, parts), "key", "left").withColumn("score", F.col("sliced"))
     base = F.col("base") + F.coalesce(F.col("rest") / F.col("same"), F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.norm)))
     known = F.col("known") + F.coalesce((F.col("rest_known") / F.col("same")).cast("long"), F.lit(0))
     return whole.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -78,6 +78,17 @@ def test_rare_bigrams_leave_a_full_filter(docs):
     assert model.total == sum(len(tokens(r["text"])) for r in docs.select("text").collect())
 
 
+def test_a_filter_in_slices_scores_as_the_whole_one(docs):
+    def scores(**how):
+        got = N.score(docs, **how).drop("base_score").collect()
+        return sorted((repr(tuple(r)[:-1]), r["score"]) for r in got)
+
+    assert N.build(docs, most_bits=14)[0].slices >= 4
+    whole, sliced = scores(), scores(most_bits=14)
+    assert [k for k, _ in sliced] == [k for k, _ in whole]
+    assert [s for _, s in sliced] == pytest.approx([s for _, s in whole], rel=1e-12)
+
+
 def test_empty_tables(nothing, docs, rows):
     assert N.score(nothing).collect() == []
     from pyspark.sql import functions as F
