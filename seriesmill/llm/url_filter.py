@@ -17,8 +17,6 @@ LISTED = [(ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/
 SUPPORT, CONFIDENCE = 0.005, 0.9
 #: Labelled URLs that a combination must be in at least, however few there are.
 LEAST_URLS = 5
-#: Tokens of a URL that mining looks at: this many host suffixes and path parts from the front.
-DEPTH = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _LABEL = "verdict " + BLOCK
@@ -47,14 +45,17 @@ def listed_rule(host: Column, path: Column, listed: Sequence[tuple[str, str]] =
     return found
 
 
-def url_tokens(url: Column, depth: int = DEPTH) -> Column:
-    """Distinct tokens of a URL: host suffixes, first host label, path parts without digits, file ending, query names."""
+def url_tokens(url: Column) -> Column:
+    """Distinct tokens of a URL: all host suffixes, first host label, all path parts, file ending, query names.
+
+    A run of digits in a path part counts as one ``#``, which no path has itself.
+    """
     host, path = host_of(url), path_of(url)
     labels = F.filter(F.split(host, "\\."), lambda x: x != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(depth), F.size(labels))), lambda n: F.concat(F.lit("host "), F.array_join(F.slice(labels, -n, n), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.lit("host "), F.array_join(F.slice(labels, -n, n), ".")))
     suffixes = F.when(F.size(labels) > 0, suffixes).otherwise(F.array().cast("array<string>"))
     first = F.when(F.size(labels) > 2, F.array(F.concat(F.lit("label "), F.get(labels, F.lit(0))))).otherwise(F.array().cast("array<string>"))
-    parts = F.filter(F.slice(F.split(path, "/"), 2, depth), lambda x: (x != "") & ~x.rlike("[0-9]"))
+    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != "")
     parts = F.transform(parts, lambda x: F.concat(F.lit("path "), x))
     ending = F.regexp_extract(path, "\\.([A-Za-z]{1,8})$", 1)
     ending = F.when(ending != "", F.array(F.concat(F.lit("ending "), ending))).otherwise(F.array().cast("array<string>"))

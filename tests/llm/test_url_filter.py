@@ -83,5 +83,14 @@ def test_verdicts_follow_the_rules(spark):
     assert not any(x in got._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_deep_parts_parts_with_digits_and_long_hosts_block(spark):
+    labels = [(f"http://h.org/20{10 + k}/05/12/{['casino', 'news'][k % 2]}/x", k % 2 == 0) for k in range(40)]
+    labels += [(f"http://h.org/a/{['top10', 'top'][k % 2]}/x", k % 2 == 0) for k in range(40)]
+    labels += [(f"http://{'abcdefgh'[k // 2 % 8]}.{['bad', 'good'][k % 2]}.one.co.net/", k % 2 == 0) for k in range(40)]
+    urls = ["http://q.info/1999/1/2/3/casino", "http://q.info/b/top7", "http://z.bad.one.co.net/y", "http://q.info/1999/1/2/3/news", "http://q.info/b/top", "http://z.good.one.co.net/y"]
+    got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), labels=spark.createDataFrame(labels, "url string, blocked boolean"), listed=[])
+    assert [r["verdict"] for r in got.orderBy("page_id").collect()] == ["block"] * 3 + ["allow"] * 3
+
+
 def test_empty_table(spark):
     assert U.judge(pages(spark, [])).collect() == []
