@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,9 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, exact
 
     An even share of every length first, which keeps the mix of lengths and leaves
     room for a few of the longest; then, from the longest on, whole documents until
-    the remainder is at most ``exact`` (or nothing fits); then bounded-knapsack dynamic programming fills the remainder as
-    far as any choice of the documents left can, within those that it looks at.
+    the remainder is at most ``exact`` (or nothing fits); then bounded-knapsack
+    dynamic programming fills the remainder as far as any choice of the documents
+    left can.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
@@ -68,12 +70,19 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, exact
         if more > 0:
             taken[k] += more
             rest -= more * lengths[k]
+    if rest > exact:
+        # all that is left is longer than rest - exact // 2, so one document fits at most: the longest that does
+        for k in order:
+            if taken[k] < counts[k] and lengths[k] <= rest:
+                taken[k] += 1
+                return taken
     if not 0 < rest <= exact:
         return taken
     # binary splitting: lots of 1, 2, 4, ... documents of a length
     lots, reach = [], 1
     full = (1 << (rest + 1)) - 1
-    steps = []
+    # the first lot that reaches each sum; the sum without it was reached by lots before
+    first = np.zeros(rest + 1, np.int64)
     for k in reversed(order):
         free = min(counts[k] - taken[k], rest // lengths[k]) if lengths[k] else 0
         lot = 1
@@ -82,17 +91,18 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, exact
             free -= lot
             after = (reach | reach << lot * lengths[k]) & full
             if after != reach:
+                new = np.frombuffer((after ^ reach).to_bytes(rest // 8 + 1, "little"), np.uint8)
+                first[np.flatnonzero(np.unpackbits(new, bitorder="little"))] = len(lots)
                 lots.append((k, lot))
-                steps.append(reach)
                 reach = after
             lot *= 2
-        if reach >> rest & 1 or len(steps) > 512:
+        if reach >> rest & 1:
             break
     at = reach.bit_length() - 1
-    for (k, lot), before in zip(reversed(lots), reversed(steps)):
-        if not before >> at & 1:
-            taken[k] += lot
-            at -= lot * lengths[k]
+    while at:
+        k, lot = lots[first[at]]
+        taken[k] += lot
+        at -= lot * lengths[k]
     return taken
 
 

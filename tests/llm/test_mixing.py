@@ -41,6 +41,15 @@ def test_budget_is_reached_where_any_choice_beside_the_even_share_reaches_it():
             assert budget - spent <= max(lengths) or spent == total
 
 
+def test_long_documents_and_many_lengths_reach_the_budget():
+    assert fit_budget([150_000], [10], 210_000) == [1]
+    assert fit_budget([150_000, 200_000, 205_000], [10, 1, 0], 210_000) == [0, 1, 0]
+    # only one document fits, and the best comes after more than 512 others
+    lengths = list(range(60_000, 61_000))
+    take = fit_budget(lengths, [1] * len(lengths), 60_900)
+    assert [n for n, t in zip(lengths, take) if t] == [60_900]
+
+
 def test_mix_takes_its_targets(docs, rows):
     got = mix(docs).collect()
     assert len(got) == len(rows)
