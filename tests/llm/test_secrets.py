@@ -60,3 +60,23 @@ def test_empty_table(nothing):
 def test_no_python_in_the_plan(docs):
     plan = S.digest_spans(S.scan(docs)[0])._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_the_query_scans_through_a_ledger(docs, monkeypatch):
+    from seriesmill.llm import queries
+
+    scan, ledgers = S.scan, []
+
+    def watched(docs, rules=S.RULES, ledger=None, **how):
+        findings, whole = scan(docs, rules, ledger, **how)
+        ledgers.append(whole)
+        return findings, whole
+
+    want = sorted(map(tuple, S.digest_spans(scan(docs)[0]).collect()), key=repr)
+    monkeypatch.setattr(S, "scan", watched)
+    monkeypatch.setattr(queries, "read_table", lambda *_: docs)
+    assert sorted(map(tuple, queries.op8_secret_scan(docs.sparkSession, "").collect()), key=repr) == want
+    base, more = ({r.version for r in rules} for rules in (S.BASE_RULES, S.MORE_RULES))
+    first, both = ([(r["blob"], frozenset(r["rules"])) for r in ledger.collect()] for ledger in ledgers)
+    assert {rules for _, rules in first} == {frozenset(base)}
+    assert sorted(both, key=repr) == sorted(first + [(blob, frozenset(more)) for blob, _ in first], key=repr)
