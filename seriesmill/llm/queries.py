@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesmill.llm import ngram_filter, quality, secrets, url_filter
+from seriesmill.llm import filter_audit, ngram_filter, packing, prefix_trie, quality, secrets, url_filter
 from seriesmill.llm.exact_dedup import exact_groups
 from seriesmill.llm.jaccard_join import similar_components
 from seriesmill.llm.language import identify
@@ -17,6 +18,8 @@ from seriesmill.session import read_table
 
 #: Vocabulary file of the SentencePiece query.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Vocabulary file of the packing query.
+TOKENS = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,6 +133,76 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return measure_repeats(read_table(spark, folder, "documents"))
 
 
+@query(r"""
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc_table AS (
+  SELECT list(v ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(list_concat([k], range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) AS r(k))),
+heads AS (
+  SELECT c, c - c % 20 AS b,
+         xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                     lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)]))) % 4 AS h
+  FROM (SELECT DISTINCT c FROM o), crc_table),
+spliced AS (
+  SELECT h.c, 0 AS side, p, role, text FROM heads h JOIN o ON o.c = h.b AND o.p <= h.h
+  UNION ALL SELECT h.c, 1, p, role, text FROM heads h JOIN o ON o.c = h.c AND o.p > h.h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY side, p) AS d, sha256(length(role) || ':' || role || ':' || text) AS s,
+             len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM spliced),
+x AS (SELECT c, d, w, list(s) OVER (PARTITION BY c ORDER BY d) AS path FROM r
+      UNION ALL SELECT c, 0, 0, CAST([] AS VARCHAR[]) FROM heads),
+long AS (SELECT c, max(d) AS n FROM x GROUP BY c),
+n AS (SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = long.n), '')) AS ends_sha256 FROM x JOIN long USING (c) GROUP BY path, d),
+up AS (SELECT path, depth, conv_id, n_convs, w, ends_sha256, CASE WHEN depth > 0 THEN path[1:depth - 1] END AS above FROM n),
+kids AS (SELECT above, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY above),
+v AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids ON kids.above = up.path),
+t AS (SELECT x.path, sum((v.n_convs - 1) * v.w) AS saved, count(*) FILTER (v.n_children = 0) AS leaves FROM v JOIN x ON x.c = v.conv_id AND x.d <= v.depth GROUP BY x.path)
+SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, t.leaves AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN t ON t.path = v.path LEFT JOIN n a ON a.path = v.above
+""")
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, members = prefix_trie.splice_heads(prefix_trie.ordered_turns(read_table(spark, folder, "conversations")))
+    return prefix_trie.prefix_trie(turns, members)
+
+
+@query()
+def op12_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(read_table(spark, folder, "documents"), TOKENS)
+    return packing.place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, range(1, 6) AS r(step)),
+s AS (SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS fit, before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone FROM m, steps),
+g AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fit AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (fit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fit AND NOT gone), 0) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+""")
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(read_table(spark, folder, "documents"), read_table(spark, folder, "labels")))
+
+
 @query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
