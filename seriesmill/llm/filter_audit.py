@@ -191,13 +191,18 @@ def mask_counts(
     rows = cut_lineage(rows)
 
     repeats = possible_repeats(rows.filter("id IS NOT NULL"), "hash", most_bits)
-    first = repeats.groupBy("sha", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    later = repeats.join(first, ["sha", "size"]).filter("id > first")
+    # a hot text spreads by identifier first and then has one row per part and kind, so that no join meets its rows
+    kind = ["sha", "size", "part", "mask", "good", "toxic"]
+    single = repeats.groupBy(*kind, "id").agg(F.count(F.lit(1)).alias("c"))
+    kinds = single.groupBy(*kind).agg(F.min(F.struct("id", "c")).alias("low"), F.sum("c").alias("c"))
+    first = kinds.groupBy("sha", "size").agg(F.min("low.id").alias("first"), F.sum("c").alias("copies")).filter("copies > 1").drop("copies")
+    staying = F.when(F.col("low.id") == F.col("first"), F.col("low.c")).otherwise(F.lit(0))
+    later = kinds.join(first, ["sha", "size"]).withColumn("c", F.col("c") - staying).filter("c > 0")
 
     copies = 1 << len(failures)
-    entry = lambda sign, mask: F.struct(mask.alias("mask"), F.lit(sign).cast("long").alias("n"), (F.col("good") * sign).alias("good"), (F.col("toxic") * sign).alias("toxic"))
-    every = rows.select("part", entry(1, F.col("mask")).alias("e")).select("part", "e.*")
-    moved = later.select("part", F.explode(F.array(entry(-1, F.col("mask")), entry(1, F.col("mask") + copies))).alias("e")).select("part", "e.*")
+    entry = lambda n, mask: F.struct(mask.alias("mask"), n.alias("n"), (F.col("good") * n).alias("good"), (F.col("toxic") * n).alias("toxic"))
+    every = rows.select("part", entry(F.lit(1).cast("long"), F.col("mask")).alias("e")).select("part", "e.*")
+    moved = later.select("part", F.explode(F.array(entry(-F.col("c"), F.col("mask")), entry(F.col("c"), F.col("mask") + copies))).alias("e")).select("part", "e.*")
     added = every.unionByName(moved).groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
     # a part whose rows have all moved keeps its other masks; masks without rows say nothing
     return added.filter("n > 0")
