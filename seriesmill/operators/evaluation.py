@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.draws import hash_share, poisson_weight
+from seriesmill.functions.special import t_quantile
 from seriesmill.operators.ordered import row_index
 from seriesmill.operators.quantiles import present, quantiles
 from seriesmill.session import as_list, join_null_safe
@@ -195,12 +196,17 @@ def percentile_interval(df: DataFrame, value: str, group: Sequence[str] | str =
     return found.select(*as_list(group), F.col("__q")[1].alias("median"), F.col("__q")[0].alias("ci_low"), F.col("__q")[2].alias("ci_high"))
 
 
-def mean_interval(df: DataFrame, value: str, t_quantile: float, group: Sequence[str] | str = ()) -> DataFrame:
-    """Mean and the t interval; ``t_quantile`` is the t value for n-1 degrees of freedom."""
-    half = F.stddev_samp(value) / F.sqrt(F.count(value)) * F.lit(t_quantile)
-    return df.groupBy(*as_list(group)).agg(
-        F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high")
-    )
+def mean_interval(df: DataFrame, value: str, quantile: float | None = None, group: Sequence[str] | str = (), p: float = 0.95) -> DataFrame:
+    """Mean and its central ``p`` interval by Student's t with n - 1 degrees of freedom per group.
+
+    ``quantile`` replaces the t value.  A group with a single value has a mean and
+    a NULL interval.
+    """
+    group = as_list(group)
+    found = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.count(value).alias("__n"), F.stddev_samp(value).alias("__s"))
+    factor = F.lit(quantile) if quantile is not None else t_quantile((1 + p) / 2, F.col("__n") - 1)
+    half = F.col("__s") / F.sqrt("__n") * factor
+    return found.select(*group, "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
 def non_inferiority(

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.physics import float_divide
@@ -103,49 +103,69 @@ def _width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def mutual_information(
-    df: DataFrame, features: Sequence[str], target: str, bins: int = 16, binning: str = "quantile"
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    bins: int = 16,
+    binning: str = "quantile",
+    estimator: str = "histogram",
+    row_id: str | None = None,
+    neighbours: int = 3,
 ) -> DataFrame:
-    """``feature, position, score``: mutual information in nats from a binned contingency table.
+    """``feature, position, score``: mutual information in nats, each feature over the rows in which it and the target are present.
 
-    A histogram estimator, unlike the nearest-neighbour one of common toolkits:
-    compare ranks, not values.  One scan for the bin edges (ranges or mergeable
-    sketches) and one for the counts, which shrink to features x bins^2 map-side.
+    NULL and NaN are missing, and so are infinite values where bins have equal
+    widths.  A feature without such a row scores 0.
+
+    ``histogram``: a binned contingency table; compare ranks, not values.  One scan
+    for the bin edges (ranges or mergeable sketches, of the complete rows of every
+    feature) and one for the counts, which shrink to features x bins^2 map-side.
+    ``neighbours``: the estimator of
+    :func:`~seriesmill.operators.neighbours.neighbour_information`, which needs
+    ``row_id`` and moves rows.
     """
+    if estimator == "neighbours":
+        from seriesmill.operators.neighbours import neighbour_information
+
+        if row_id is None:
+            raise ValueError("the neighbour estimator breaks ties by row_id")
+        return neighbour_information(df, features, target, row_id, neighbours)
+    if estimator != "histogram":
+        raise ValueError(f"unknown estimator {estimator!r}")
     columns = [*features, target]
-    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    usable = [present(F.col(f"`{c}`")) for c in columns]
+    if binning == "width":
+        usable = [F.when(F.abs(value) <= LARGEST, value) for value in usable]
+    numbers = df.select(*[value.alias(f"c{i}") for i, value in enumerate(usable)])
+    places = range(len(features))
+    x, y = [F.col(f"c{i}") for i in places], F.col(f"c{len(features)}")
+    pairs = [(F.when(y.isNotNull(), x[i]), F.when(x[i].isNotNull(), y)) for i in places]
     if binning == "width":
-        span = F.struct(*[F.struct(F.min(f"c{i}").alias("low"), F.max(f"c{i}").alias("high")).alias(f"e{i}") for i in range(len(columns))])
-        placed = numbers.withColumn("__e", numbers.agg(span).scalar())
-        binned = [_width_bin(F.col(f"c{i}"), F.col(f"__e.e{i}.low"), F.col(f"__e.e{i}.high"), bins) for i in range(len(columns))]
+        edges = [[F.struct(F.min(v).alias("low"), F.max(v).alias("high")) for v in pair] for pair in pairs]
+        place = lambda v, e: _width_bin(v, e.getField("low"), e.getField("high"), bins)
     elif binning == "quantile":
         levels = int(math.log2(bins))
         if 1 << levels != bins:
             raise ValueError("quantile bins must be a power of two")
         cuts = [(i + 1) / bins for i in range(bins - 1)]
-        edges = F.struct(*[F.percentile_approx(f"c{i}", cuts, 10000).alias(f"e{i}") for i in range(len(columns))])
-        placed = numbers.withColumn("__e", numbers.agg(edges).scalar())
-        binned = [bin_of(F.col(f"c{i}"), F.col(f"__e.e{i}"), levels) for i in range(len(columns))]
+        edges = [[F.percentile_approx(v, cuts, 10000) for v in pair] for pair in pairs]
+        place = lambda v, e: bin_of(v, e, levels)
     else:
         raise ValueError(f"unknown binning {binning!r}")
-    bx = placed.select(*[b.cast("long").alias(f"b{i}") for i, b in enumerate(binned)])
-    cells = [F.struct(F.lit(i).alias("position"), F.col(f"b{i}").alias("bx")) for i in range(len(features))]
-    long = bx.select(F.col(f"b{len(features)}").alias("by"), F.inline(F.array(*cells)))
+    found = numbers.agg(F.struct(*[F.struct(a.alias("x"), b.alias("y")).alias(f"e{i}") for i, (a, b) in enumerate(edges)]))
+    placed = numbers.withColumn("__e", found.scalar())
+    cells = [
+        F.struct(F.lit(i).alias("position"), place(x[i], F.col(f"__e.e{i}.x")).cast("long").alias("bx"), place(y, F.col(f"__e.e{i}.y")).cast("long").alias("by"), (x[i].isNotNull() & y.isNotNull()).alias("there"))
+        for i in places
+    ]
+    long = placed.select(F.inline(F.array(*cells))).filter("there")
     joint = long.groupBy("position", "bx", "by").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    # joint holds features x bins^2 rows from here on
-    px = joint.groupBy("position", "bx").agg(F.sum("n").alias("nx"))
-    py = joint.groupBy("position", "by").agg(F.sum("n").alias("ny"))
-    total = joint.groupBy("position").agg(F.sum("n").alias("nt"))
-    share = F.col("n") / F.col("nt")
-    score = F.sum(share * F.ln(F.col("n") * F.col("nt") / (F.col("nx") * F.col("ny"))))
-    names = F.array(*[F.lit(f) for f in features])
-    return (
-        joint.join(px, ["position", "bx"])
-        .join(py, ["position", "by"])
-        .join(total, "position")
-        .groupBy("position")
-        .agg(F.greatest(score, F.lit(0.0)).alias("score"))
-        .select(F.element_at(names, F.col("position") + 1).alias("feature"), "position", "score")
-    )
+    # at most features x bins^2 rows from here on
+    sums = {name: F.sum("n").over(Window.partitionBy("position", *more)) for name, more in (("nx", ["bx"]), ("ny", ["by"]), ("nt", []))}
+    score = F.sum(F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("nx") * F.col("ny"))))
+    scores = joint.withColumns(sums).groupBy("position").agg(score.alias("score"))
+    named = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, position int")
+    return named.join(scores, "position", "left").select("feature", "position", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
 def forest_importance(df: DataFrame, features: Sequence[str], target: str, seed: int = 42, **params) -> DataFrame:

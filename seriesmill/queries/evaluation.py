@@ -122,6 +122,26 @@ def mean_interval(spark, folder):
     return found.select("c_mktsegment", *[rounded(c, 5).alias(c) for c in ("mean", "low", "high")])
 
 
+#: Fixed value: the 0.975 quantile of Student's t with four degrees of freedom (a region has five nations).
+T_FOUR = 2.7764451051977987
+
+
+@query(
+    f"""
+    WITH b AS (SELECT n_nationkey, n_regionkey, coalesce(avg(c_acctbal), 0) AS m FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+    s AS (SELECT n_regionkey, avg(m) AS mean, stddev_samp(m) / sqrt(count(*)) * {T_FOUR} AS h FROM b GROUP BY 1)
+    SELECT n_regionkey, round(mean, 5) AS mean, round(mean - h, 5) AS low, round(mean + h, 5) AS high FROM s
+    """
+)
+def mean_interval_by_t(spark, folder):
+    """Mean balance of a region's nations with its t interval; the quantile follows from the number of nations."""
+    nations, customers = load(spark, folder, "nation"), load(spark, folder, "customer")
+    balance = customers.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.avg("c_acctbal").alias("m"))
+    means = nations.join(balance, "n_nationkey", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    found = E.mean_interval(means, "m", group="n_regionkey")
+    return found.select("n_regionkey", *[rounded(c, 5).alias(c) for c in ("mean", "low", "high")])
+
+
 @query(
     f"""
     WITH {SCORED_SQL}, {DRAWS_SQL},

@@ -10,6 +10,7 @@ from seriesmill.operators.columns import column_profile
 from seriesmill.operators.gram import GramScorer
 from seriesmill.operators.models import ModelScorer, fit_model, test_fits, tune
 from seriesmill.operators.evaluation import regression_metrics
+from seriesmill.operators.neighbours import neighbour_information
 from seriesmill.operators.selection import ClusterSelector, sequential_selection
 from seriesmill.operators.sets import select_k_best
 from seriesmill.operators.split import split_by_time
@@ -26,8 +27,8 @@ f AS (SELECT l_orderkey, l_linenumber::DOUBLE AS l_linenumber, l_partkey, l_supp
 """
 
 
-def feature_frame(spark, folder):
-    """Line items as a modelling table: eight features, the price as target."""
+def feature_frame(spark, folder, *more):
+    """Line items as a modelling table: eight features, the price as target, and the columns ``more``."""
     turn = (F.dayofyear("l_shipdate") - 1) * F.lit(2 * 3.141592653589793 / 365.0)
     return load(spark, folder, "lineitem").select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
@@ -41,6 +42,7 @@ def feature_frame(spark, folder):
         (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("taxed"),
         F.round(F.sin(turn), 9).alias("day_sin"),
         F.round(F.cos(turn), 9).alias("day_cos"),
+        *more,
     )
 
 
@@ -98,17 +100,17 @@ def best_three_features(spark, folder):
 
 
 def _mi_sql() -> str:
+    """The histogram estimate over the complete rows of each feature."""
     bins = 10
     parts = []
     for i, c in enumerate(FEATURES):
+        ranges = ", ".join(f"least(floor(({v} - min({v}) OVER ()) * {bins} / (max({v}) OVER () - min({v}) OVER ())), {bins - 1}) AS {b}" for v, b in ((c, "b1"), (TARGET, "b2")))
         parts.append(
             f"""
             SELECT '{c}' AS feature, {i} AS position, sum(n / t * ln(n * t / (nx * ny))) AS score FROM (
               SELECT DISTINCT b1, b2, count(*) OVER (PARTITION BY b1, b2)::DOUBLE AS n, count(*) OVER (PARTITION BY b1)::DOUBLE AS nx,
                      count(*) OVER (PARTITION BY b2)::DOUBLE AS ny, count(*) OVER ()::DOUBLE AS t
-              FROM (SELECT least(floor(({c} - (SELECT min({c}) FROM f)) * {bins} / (SELECT max({c}) - min({c}) FROM f)), {bins - 1}) AS b1,
-                           least(floor(({TARGET} - (SELECT min({TARGET}) FROM f)) * {bins} / (SELECT max({TARGET}) - min({TARGET}) FROM f)), {bins - 1}) AS b2
-                    FROM f))
+              FROM (SELECT {ranges} FROM f WHERE isfinite({c}) AND isfinite({TARGET})))
             """
         )
     return " UNION ALL ".join(parts)
@@ -120,6 +122,76 @@ def mutual_information_scores(spark, folder):
     return S.mutual_information(feature_frame(spark, folder), FEATURES, TARGET, 10, "width").withColumn("score", rounded("score"))
 
 
+HOLES = {
+    "l_tax": ("l_linenumber <> 3", None),
+    "net": ("l_linenumber <> 2", float("nan")),
+    "taxed": ("l_quantity < 40", float("inf")),
+    TARGET: ("l_orderkey % 11 <> 0", None),
+}
+HOLES_SQL = f"""
+whole AS ({FRAME_SQL.strip().removeprefix("f AS (").removesuffix(")")}),
+f AS (SELECT * REPLACE ({", ".join(f"CASE WHEN {rule} THEN {c} ELSE {'NULL' if value is None else repr(str(value)) + '::DOUBLE'} END AS {c}" for c, (rule, value) in HOLES.items())}) FROM whole)
+"""
+
+
+@query(f"WITH {HOLES_SQL} SELECT feature, position, round(greatest(score, 0), 6) + 0.0 AS score FROM ({_mi_sql()})")
+def mutual_information_with_holes(spark, folder):
+    """The same with NULL, NaN and infinite values: each feature over its complete rows."""
+    frame = feature_frame(spark, folder, "l_orderkey")
+    frame = frame.withColumns({c: F.when(F.expr(rule), F.col(c)).otherwise(F.lit(value).cast("double")) for c, (rule, value) in HOLES.items()})
+    return S.mutual_information(frame, FEATURES, TARGET, 10, "width").withColumn("score", rounded("score"))
+
+
+BUYER_FEATURES = ["orders", "largest", "span", "nation", "urgent"]
+
+
+def _neighbours_sql() -> str:
+    """The neighbour estimate from all pairs of customers."""
+    share = "('0x' || substr(md5(c_custkey || '|' || {i} || '|{axis}'), 1, 8))::BIGINT / 4294967296.0"
+    parts = []
+    for i, c in enumerate(BUYER_FEATURES):
+        order = ", ".join(f"row_number() OVER (ORDER BY {v}, {share.format(i=i, axis=axis)}, c_custkey) - 1 AS {r}" for v, axis, r in ((c, "x", "u"), ("spent", "y", "v")))
+        parts.append(f"SELECT {i} AS position, '{c}' AS feature, {order}, count(*) OVER () AS n FROM buyers WHERE {c} IS NOT NULL AND spent IS NOT NULL")
+    return f"""
+    r AS ({" UNION ALL ".join(parts)}),
+    d AS (SELECT a.position, a.u, a.v, a.n, list_sort(min(greatest(abs(a.u - b.u), abs(a.v - b.v)), 3))[3] AS e
+          FROM r a JOIN r b ON a.position = b.position AND a.u <> b.u GROUP BY a.position, a.u, a.v, a.n)
+    """
+
+
+BUYERS_SQL = """
+buyers AS (SELECT c_custkey, orders, largest, span, c_nationkey::DOUBLE AS nation, urgent, spent
+           FROM customer LEFT JOIN (SELECT o_custkey, count(*)::DOUBLE AS orders, max(o_totalprice) AS largest, date_diff('day', min(o_orderdate), max(o_orderdate))::DOUBLE AS span,
+                                           count(*) FILTER (o_orderpriority = '1-URGENT')::DOUBLE AS urgent, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS spent FROM orders GROUP BY 1) ON o_custkey = c_custkey)
+"""
+
+
+@query(
+    f"""
+    WITH {BUYERS_SQL},
+    {_neighbours_sql().strip()},
+    psi AS (SELECT m, -0.5772156649015329 + coalesce(sum(1.0 / m) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM (SELECT unnest(range(1, (SELECT max(n) + 2 FROM r))) AS m)),
+    c AS (SELECT position, n, least(u, e - 1) + least(n - 1 - u, e - 1) + 1 AS nu, least(v, e - 1) + least(n - 1 - v, e - 1) + 1 AS nv FROM d),
+    s AS (SELECT position, n, avg(a.p + b.p) AS m FROM c JOIN psi a ON a.m = nu JOIN psi b ON b.m = nv GROUP BY 1, 2)
+    SELECT feature, s.position, round(greatest(a.p + b.p - s.m, 0), 6) + 0.0 AS score
+    FROM s JOIN (SELECT DISTINCT position, feature FROM r) USING (position) JOIN psi a ON a.m = s.n JOIN psi b ON b.m = 3
+    """
+)
+def neighbour_information_scores(spark, folder):
+    """Nearest-neighbour mutual information of customers' habits with what they spend; customers without orders are incomplete."""
+    orders = load(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
+    day = F.col("o_orderdate").cast("date")
+    habits = orders.agg(
+        F.count(F.lit(1)).cast("double").alias("orders"),
+        F.max("o_totalprice").alias("largest"),
+        F.date_diff(F.max(day), F.min(day)).cast("double").alias("span"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"),
+        F.sum(F.col("o_totalprice").cast("decimal(18, 2)")).cast("double").alias("spent"),
+    )
+    buyers = load(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("nation")).join(habits, "c_custkey", "left")
+    return neighbour_information(buyers, BUYER_FEATURES, "spent", "c_custkey", method="md5").withColumn("score", rounded("score"))
+
+
 @query()
 def forest_importance_scores(spark, folder):
     """Random forest importance of each feature."""
