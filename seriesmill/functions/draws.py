@@ -8,17 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _poisson_steps() -> tuple[float, ...]:
-    """Cumulative Poisson(1) probabilities, as far as a double tells them from 1."""
-    steps, total, term = [], 0.0, math.exp(-1)
+def poisson_steps(mean: float = 1.0) -> tuple[float, ...]:
+    """Cumulative Poisson probabilities for a mean of at most about 1, as far as a double tells them from 1."""
+    steps, total, term = [], 0.0, math.exp(-mean)
     while total + term < 1.0 and term > 2.0**-53:
         total += term
         steps.append(total)
-        term /= len(steps)
+        term *= mean / len(steps)
     return tuple(steps)
 
 
-POISSON_STEPS = _poisson_steps()
+POISSON_STEPS = poisson_steps()
 
 
 def hash_share(*parts: Column | str | int, method: str = "md5") -> Column:
@@ -35,9 +35,9 @@ def hash_share(*parts: Column | str | int, method: str = "md5") -> Column:
     raise ValueError(f"unknown hash {method!r}")
 
 
-def poisson_weight(share: Column) -> Column:
-    """Poisson(1) multiplicity for a uniform share."""
-    weight = F.lit(len(POISSON_STEPS))
-    for i, top in reversed(list(enumerate(POISSON_STEPS))):
+def poisson_weight(share: Column, steps: tuple[float, ...] = POISSON_STEPS) -> Column:
+    """Poisson multiplicity for a uniform share; the mean is that of ``steps``."""
+    weight = F.lit(len(steps))
+    for i, top in reversed(list(enumerate(steps))):
         weight = F.when(share < top, F.lit(i)).otherwise(weight)
     return weight

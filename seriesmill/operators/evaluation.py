@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.draws import hash_share, poisson_weight
+from seriesmill.functions.draws import POISSON_STEPS, hash_share, poisson_steps, poisson_weight
 from seriesmill.functions.special import t_quantile
 from seriesmill.operators.ordered import row_index
 from seriesmill.operators.quantiles import present, quantiles
-from seriesmill.session import as_list, join_null_safe
+from seriesmill.session import as_list, cut_lineage, join_null_safe
 
 EPS = 2.220446049250313e-16
 #: Rows that one task numbers for draws with replacement.
 CHUNK_ROWS = 100_000
+#: Standard deviations by which draws with replacement start below the number of rows.
+FILL_MARGIN = 6.0
 
 # Metric names with the base metric and its sign.
 METRICS = {
@@ -126,38 +129,69 @@ def draw_weights(
 
     ``poisson``: an independent Poisson(1) hash draw per (row, replicate), so
     the drawn total varies around n and nothing is shuffled.
-    ``multinomial``: exactly n draws with replacement per replicate; positions
-    are hashed, counted and joined to the row index.  Equal row ids (the same
-    row under several candidates) get equal draws in both modes.  ``population``
-    is the table to draw from when ``df`` is only a part of it.
+    ``multinomial``: exactly n draws with replacement per replicate, see
+    :func:`_fill_up`; no row per draw.  Equal row ids (the same row under several
+    candidates) get equal draws in both modes.  ``population`` is the table to draw
+    from when ``df`` is only a part of it.
     """
-    if mode == "poisson":
-        exploded = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        # the share is a column of its own, so the hash is taken once and not once per step of the weight
-        shared = exploded.withColumn("__share", hash_share(F.col(row_id), F.col("replicate"), seed, method=method))
-        weighted = shared.withColumn("weight", poisson_weight(F.col("__share"))).drop("__share")
-        return weighted if keep_zero else weighted.filter(F.col("weight") > 0)
-    if mode != "multinomial":
+    if mode not in ("poisson", "multinomial"):
         raise ValueError(f"unknown mode {mode!r}")
-    ids = (df if population is None else population).select(row_id).distinct()
-    # one job counts the rows, so that a task numbers about CHUNK_ROWS of them
-    drawer = F.floor(hash_share(F.col(row_id), "order", method=method) * (1 + ids.count() // CHUNK_ROWS))
-    places = row_index(ids.withColumn("__chunk_key", drawer), [F.col("__chunk_key"), F.col(row_id)], [F.col("__chunk_key")], name="__place")
-    size = ids.agg(F.count(F.lit(1)).alias("__n"))
-    trials = (
-        places.select("__place")
-        .withColumn("__n", size.scalar())
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    )
-    drawn = (
-        trials.select(
-            "replicate",
-            F.floor(hash_share(F.col("__place"), F.col("replicate"), seed, method=method) * F.col("__n")).alias("__place"),
-        )
-        .groupBy("__place", "replicate")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    return df.join(places.select(row_id, "__place"), row_id).join(drawn, "__place").drop("__place")
+    steps, seeds, extra = POISSON_STEPS, F.lit(seed), F.lit(0)
+    rows = df
+    if mode == "multinomial":
+        ids = cut_lineage((df if population is None else population).select(row_id).distinct())
+        steps, by_replicate, more = _fill_up(ids, row_id, replicates, seed, method)
+        seeds = F.element_at(F.array(*[F.lit(s) for s in by_replicate]), F.col("replicate") + 1)
+        rows = df.join(more, row_id, "left")
+        extra = F.coalesce(F.try_element_at(F.col("__more"), F.col("replicate")), F.lit(0))
+    exploded = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # the share is a column of its own, so the hash is taken once and not once per step of the weight
+    shared = exploded.withColumn("__share", hash_share(F.col(row_id), F.col("replicate"), seeds, method=method))
+    weighted = shared.withColumn("weight", poisson_weight(F.col("__share"), steps) + extra).select(*df.columns, "replicate", "weight")
+    return weighted if keep_zero else weighted.filter(F.col("weight") > 0)
+
+
+def _fill_up(ids: DataFrame, row_id: str, replicates: int, seed: int, method: str, margin: float = FILL_MARGIN) -> tuple[tuple[float, ...], list[int], DataFrame]:
+    """What makes independent Poisson draws of ``ids`` exactly as many draws as ids, spread as by drawing with replacement.
+
+    Given their total, Poisson draws are spread like as many draws with
+    replacement.  Their mean is therefore taken ``margin`` standard deviations below
+    1, and what a replicate still lacks is drawn by position: a few sqrt(n) draws
+    instead of n.  A replicate that drew more than n, which is next to impossible,
+    is drawn again with another seed; that leaves the distribution as it is.
+
+    Returns the cumulative probabilities, the seed of each replicate and a table
+    (``row_id``, ``__more``: replicate to further draws).  Runs jobs; the driver
+    gets one total per replicate.
+    """
+    n = ids.count()
+    mean = max(0.0, 1.0 - margin / math.sqrt(n)) if n else 0.0
+    steps = poisson_steps(mean)
+    seeds, lacking, open_replicates = [seed] * replicates, [0] * replicates, list(range(replicates)) if n else []
+    while open_replicates:
+        own = F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("replicate") + 1)
+        drawn = ids.repartition(_tasks(ids), row_id).withColumn("replicate", F.explode(F.array(*[F.lit(b) for b in open_replicates])))
+        drawn = drawn.withColumn("__share", hash_share(F.col(row_id), F.col("replicate"), own, method=method))
+        totals = drawn.groupBy("replicate").agg(F.sum(poisson_weight(F.col("__share"), steps)).alias("drawn")).collect()
+        for row in totals:
+            lacking[row["replicate"]] = n - row["drawn"]
+        open_replicates = [b for b in open_replicates if lacking[b] < 0]
+        for b in open_replicates:
+            seeds[b] += 1_000_003
+    # one job has counted the ids, so that a task numbers about CHUNK_ROWS of them
+    drawer = F.floor(hash_share(F.col(row_id), "order", method=method) * (1 + n // CHUNK_ROWS))
+    places = row_index(ids.withColumn("__chunk", drawer), [F.col("__chunk"), F.col(row_id)], [F.col("__chunk")], name="__place")
+    wanted = ids.sparkSession.createDataFrame(list(enumerate(lacking)), "replicate int, lacking long").filter("lacking > 0")
+    draws = wanted.select("replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.col("lacking"))).alias("j"))
+    draws = draws.select("replicate", F.floor(hash_share(F.col("j"), F.col("replicate"), seed, "more", method=method) * n).cast("long").alias("__place"))
+    counted = draws.groupBy("__place", "replicate").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    by_place = counted.groupBy("__place").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "k"))).alias("__more"))
+    return steps, seeds, places.join(by_place, "__place").select(row_id, "__more")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks that rows are dealt to before they are multiplied inside them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def paired_bootstrap(
@@ -175,12 +209,14 @@ def paired_bootstrap(
 ) -> DataFrame:
     """Metrics of every (candidate, replicate); all candidates share the draws of a row id.
 
-    Predictions are made once and reweighted.  The (row, replicate) pairs exist
-    only inside a task and collapse to one partial row per (candidate,
-    replicate) before the shuffle.
+    Predictions are made once and reweighted.  Rows are dealt out by their id
+    first, since a large file that cannot be split is one task; the (row,
+    replicate) pairs exist only inside a task and collapse to one partial row per
+    (candidate, replicate) before the next shuffle.
     """
     keys = [*as_list(candidate), "replicate"]
     errors = _errors(scored, [row_id, *as_list(candidate)], y, y_hat)
+    errors = errors.repartition(_tasks(scored), row_id)
 
     def draw(rows: DataFrame, keep_zero: bool) -> DataFrame:
         return draw_weights(rows, row_id, replicates, seed, method, mode, keep_zero, population=scored)

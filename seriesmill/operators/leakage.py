@@ -15,8 +15,13 @@ in one node per tree level: n * log(days) rows in total.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from seriesmill.functions.timefeat import DAY_MICROS
 from seriesmill.operators.ordered import time_chunk
@@ -24,6 +29,8 @@ from seriesmill.session import join_null_safe
 
 #: Rows of one time-of-day slot that a task may sort.
 SLOT_ROWS = 1_000_000
+#: Time slots whose counts are one row of a convolution.
+BLOCK_SLOTS = 1024
 
 
 def _instants(df: DataFrame, group: str | None, ts: str, side: str) -> DataFrame:
@@ -124,35 +131,59 @@ def data_leakage(
     return reached.agg(F.try_divide(total("tr"), total("mi")).alias("leakage"))
 
 
-def distance_histogram(test: DataFrame, train: DataFrame, ts: str, group: str, slot_seconds: int = 86_400) -> DataFrame:
+def convolve_days(asked: tuple[np.ndarray, np.ndarray], given: tuple[np.ndarray, np.ndarray], block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of counts per difference of their slots (given minus asked); both as (slots below ``block``, counts)."""
+    if len(asked[0]) * len(given[0]) <= block:
+        gaps = np.subtract.outer(given[0], asked[0]).reshape(-1)
+        sums = np.bincount(gaps + block - 1, np.outer(given[1], asked[1]).reshape(-1), 2 * block - 1)
+    else:
+        dense = np.zeros((2, block))
+        dense[0, asked[0]], dense[1, given[0]] = asked[1], given[1]
+        sums = np.convolve(dense[1], dense[0][::-1])
+    there = np.flatnonzero(sums)
+    return there - block + 1, sums[there]
+
+
+def distance_histogram(test: DataFrame, train: DataFrame, ts: str, group: str, slot_seconds: int = 86_400, block: int = BLOCK_SLOTS) -> DataFrame:
     """Pairs per whole-day distance (train minus test) and group: ``group, days, pairs``.
 
-    Instants are counted per time slot and kept as one row per day: the slots of a
-    test day, and for a train day how many of its instants lie at or after each
-    slot.  Days of a group then meet, calendar x calendar rows whatever the number
-    of instants, spread by (group, test day) wherever Spark broadcasts the train
-    days (a row per group and day).  The result is exact for instants that lie on the slot grid (``slot_seconds`` divides a day).
+    Instants are counted per time slot, and the counts of ``block`` slots are one
+    row.  Two blocks of a group are convolved at once, which gives the pairs of all
+    their distances: rows move per pair of blocks and distance, neither per pair of
+    instants nor per pair of days.  The result is exact for instants that lie on
+    the slot grid (``slot_seconds`` divides a day) and as long as the pairs of two
+    blocks stay below 2^53.
     """
     if 86_400 % slot_seconds:
         raise ValueError("slot_seconds must divide a day")
     per_day = 86_400 // slot_seconds
 
-    def by_day(df: DataFrame, day: str) -> DataFrame:
+    def by_block(df: DataFrame, name: str) -> DataFrame:
         slot = time_chunk(F.col(ts), slot_seconds)
-        counted = df.groupBy(F.col(group).alias("g"), slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-        placed = counted.withColumns({day: F.floor(F.col("slot") / per_day), "s": F.pmod("slot", F.lit(per_day)).cast("int")})
-        return placed.filter("slot IS NOT NULL").groupBy("g", day).agg(F.collect_list(F.struct("s", "n")).alias("slots"), F.sum("n").alias("total"))
-
-    def from_slot(s: Column) -> Column:
-        return F.aggregate(F.filter("slots", lambda x: x["s"] >= s), F.lit(0.0), lambda acc, x: acc + x["n"])
-
-    first = by_day(test, "q1").select("g", "q1", F.col("slots").alias("asked"), F.col("total").alias("total1"))
-    # dealt out by test day, so that a group is shared by as many tasks as it has days
-    first = first.repartition("g", "q1")
-    second = by_day(train, "q2").select("g", "q2", F.transform(F.sequence(F.lit(0), F.lit(per_day - 1)), from_slot).alias("later"), F.col("total").alias("total2"))
-    met = join_null_safe(first, second, ["g"])
-    at_or_after = F.aggregate("asked", F.lit(0.0), lambda acc, x: acc + x["n"] * F.get(F.col("later"), x["s"]))
-    met = met.select("g", (F.col("q2") - F.col("q1")).alias("d"), at_or_after.alias("same"), (F.col("total1") * F.col("total2")).alias("every"))
-    cells = F.array(F.struct(F.col("d").alias("days"), F.col("same").alias("pairs")), F.struct((F.col("d") - 1).alias("days"), (F.col("every") - F.col("same")).alias("pairs")))
-    summed = met.select("g", F.inline(cells)).filter("pairs > 0").groupBy("g", "days").agg(F.sum("pairs").alias("pairs"))
-    return summed.select(F.col("g").alias(group), F.col("days").cast("long").alias("days"), "pairs")
+        counted = df.groupBy(F.col(group).alias("g"), slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n")).filter("slot IS NOT NULL")
+        placed = counted.select("g", F.floor(F.col("slot") / block).alias(f"{name}_block"), F.pmod("slot", F.lit(block)).alias("s"), "n")
+        # at most ``block`` entries in a list
+        return placed.groupBy("g", f"{name}_block").agg(F.collect_list("s").alias(f"{name}_slots"), F.collect_list("n").alias(name))
+
+    # dealt out by test block, so that a group is shared by as many tasks as it has blocks
+    first = by_block(test, "asked").repartition("g", "asked_block")
+    met = join_null_safe(first, by_block(train, "given"), ["g"])
+    met = met.select("g", (F.col("given_block") - F.col("asked_block")).alias("apart"), "asked_slots", "asked", "given_slots", "given")
+
+    def convolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, days, pairs = [], [], []
+            lists = [batch.column(k) for k in range(2, 6)]
+            for k, apart in enumerate(batch.column(1).to_pylist()):
+                asked_slots, asked, given_slots, given = (x[k].values.to_numpy() for x in lists)
+                gap, sums = convolve_days((asked_slots, asked), (given_slots, given), block)
+                day, at = np.unique((gap + apart * block) // per_day, return_inverse=True)
+                rows.append(np.full(len(day), k))
+                days.append(day)
+                pairs.append(np.bincount(at, sums, len(day)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(days)), pa.array(np.concatenate(pairs))], names=["g", "days", "pairs"])
+
+    shape = StructType([StructField("g", met.schema["g"].dataType), StructField("days", LongType()), StructField("pairs", DoubleType())])
+    summed = met.mapInArrow(convolve, shape).groupBy("g", "days").agg(F.sum("pairs").alias("pairs"))
+    return summed.select(F.col("g").alias(group), "days", "pairs")

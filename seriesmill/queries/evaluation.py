@@ -162,12 +162,17 @@ def _share_sql(*parts: str) -> str:
 
 @query(
     f"""
-    WITH {SCORED_SQL}, n AS (SELECT count(DISTINCT o_orderkey) AS n FROM orders),
+    WITH {SCORED_SQL}, n AS (SELECT n, greatest(0, 1 - {E.FILL_MARGIN} / sqrt(n)) AS mean FROM (SELECT count(DISTINCT o_orderkey) AS n FROM orders)),
+    steps AS (SELECT k, sum(p) OVER (ORDER BY k) AS top FROM (SELECT k, exp(-mean) * pow(mean, k) / factorial(k::INTEGER) AS p FROM n, range(0, 18) r(k))),
+    low AS (SELECT list(top ORDER BY k) AS tops FROM steps),
+    u AS (SELECT o_orderkey AS row_id, b.b AS replicate, {_share_sql("o_orderkey", "b.b", str(SEED))} AS u FROM orders, (SELECT unnest(range(0, {REPLICATES})) AS b) b),
+    w AS (SELECT row_id, replicate, len(list_filter(tops, lambda x: x <= u)) AS w FROM u, low),
     p AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY floor({_share_sql("o_orderkey", "'order'")} * (1 + n // {E.CHUNK_ROWS})), o_orderkey) - 1 AS place FROM orders, n),
-    d AS (SELECT b.b AS replicate, floor({_share_sql("place", "b.b", str(SEED))} * n) AS place FROM p, n, (SELECT unnest(range(0, {REPLICATES})) AS b) b),
-    c AS (SELECT place, replicate, count(*) AS w FROM d GROUP BY 1, 2)
+    lacking AS (SELECT replicate, n - sum(w) AS k FROM w, n GROUP BY replicate, n),
+    more AS (SELECT replicate, floor({_share_sql("j", "replicate", str(SEED), "'more'")} * n) AS place FROM (SELECT replicate, unnest(range(1, k::BIGINT + 1)) AS j FROM lacking), n),
+    c AS (SELECT row_id, replicate, sum(w) AS w FROM (SELECT row_id, replicate, w FROM w UNION ALL SELECT row_id, replicate, 1 FROM more JOIN p USING (place)) GROUP BY 1, 2)
     SELECT candidate, cast(replicate AS INTEGER) AS replicate, round(-sqrt(sum(w * (y - y_hat) * (y - y_hat)) / sum(w)), 6) AS neg_rmse
-    FROM scored JOIN p USING (row_id) JOIN c USING (place) GROUP BY 1, 2
+    FROM scored JOIN c USING (row_id) GROUP BY 1, 2
     """
 )
 def multinomial_bootstrap(spark, folder):

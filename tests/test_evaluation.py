@@ -107,3 +107,51 @@ def test_distance_histogram_counts_pairs(spark):
     pairs = test.merge(train, on="g")
     expected = pairs.assign(days=(pairs.ts_y - pairs.ts_x).dt.days).groupby(["g", "days"]).size()
     assert got.set_index(["g", "days"]).pairs.sort_index().astype(int).to_dict() == expected.sort_index().to_dict()
+
+
+@pytest.mark.parametrize("block", [4, 64, 1024])
+def test_distance_histogram_by_blocks(spark, block):
+    rng = np.random.default_rng(2)
+    start = np.datetime64("1969-12-20")
+    sides = [pd.DataFrame({"g": rng.choice(["a", "b", None], n, p=[0.6, 0.3, 0.1]), "ts": start + rng.integers(0, 40 * 24, n).astype("timedelta64[h]")}) for n in (300, 500)]
+    got = distance_histogram(spark.createDataFrame(sides[0]), spark.createDataFrame(sides[1]), "ts", "g", 3600, block).toPandas()
+    want = {}
+    for name in ("a", "b", None):
+        t, r = (s.ts[s.g.isna() if name is None else s.g == name].to_numpy() for s in sides)
+        days, n = np.unique((r[None, :] - t[:, None]) // np.timedelta64(1, "D"), return_counts=True)
+        want.update({(name, int(d)): float(k) for d, k in zip(days, n)})
+    assert {(None if pd.isna(r.g) else r.g, r.days): r.pairs for r in got.itertuples()} == want
+
+
+def test_convolution_equals_all_pairs_dense_and_sparse():
+    from seriesmill.operators.leakage import convolve_days
+
+    rng = np.random.default_rng(0)
+    for many in (3, 40):
+        (a, n), (b, m) = (lambda s: (s, rng.integers(1, 9, len(s)).astype(float)))(rng.choice(64, many, False)), (lambda s: (s, rng.integers(1, 9, len(s)).astype(float)))(rng.choice(64, many, False))
+        want = {}
+        for x, k in zip(a, n):
+            for y, j in zip(b, m):
+                want[y - x] = want.get(y - x, 0) + k * j
+        gaps, sums = convolve_days((a, n), (b, m), 64)
+        assert dict(zip(gaps.tolist(), sums.tolist())) == want
+
+
+@pytest.mark.parametrize("margin", [6.0, 0.0, 300.0])
+def test_draws_with_replacement_are_exact_and_do_not_follow_partitions(spark, scored, margin, monkeypatch):
+    # margin 0 makes half of the replicates draw too much at first, a large one leaves every draw to the positions
+    fill = E._fill_up
+    monkeypatch.setattr(E, "_fill_up", lambda *a: fill(*a, margin=margin))
+    df = spark.createDataFrame(scored)
+    one = E.draw_weights(df.coalesce(1), "row_id", 40, 3, mode="multinomial", method="xxhash64").toPandas()
+    two = E.draw_weights(df.repartition(7), "row_id", 40, 3, mode="multinomial", method="xxhash64").toPandas()
+    keys = ["candidate", "row_id", "replicate"]
+    assert one.sort_values(keys).weight.tolist() == two.sort_values(keys).weight.tolist()
+    base = one[one.candidate == "base"]
+    assert (base.groupby("replicate").weight.sum() == 400).all()
+    # as by drawing with replacement: mean 1, variance 1 - 1/n, rows of a pair negatively correlated as 1/n
+    table = base.pivot(index="row_id", columns="replicate", values="weight").reindex(range(400)).fillna(0).to_numpy()
+    assert table.mean() == 1 and abs(table.var() - (1 - 1 / 400)) < 0.04
+    shares = np.bincount(table.astype(int).reshape(-1), minlength=4)[:4] / table.size
+    assert np.abs(shares - np.exp(-1) / np.array([1, 1, 2, 6])).max() < 0.015
+    assert E.draw_weights(df.limit(0), "row_id", 3, 1, mode="multinomial").count() == 0
