@@ -19,8 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.draws import POISSON_STEPS
+from seriesmill.session import cut_lineage
 
 BLOCK_CELLS = 2_000_000  # numbers per in-task work array
+#: Columns of a tile's side.
+TILE_COLUMNS = 128
+#: Numbers of the replicates' matrices that a scorer holds on the driver (400 MB); more stay on the cluster.
+RESIDENT_NUMBERS = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ def replicate_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray
     return np.searchsorted(np.array(POISSON_STEPS), _uniform(ids, replicates, seed), side="right").astype(np.float64)
 
 
-def gram_sums(
+def gram_tiles(
     df: DataFrame,
     columns: Sequence[str],
     part: str | None = None,
@@ -58,67 +63,118 @@ def gram_sums(
     seed: int = 42,
     centre: Sequence[float] | None = None,
     missing: str = "error",
-) -> list[GramSum]:
-    """Gram matrices of ``[1, columns - centre]`` per part; ``replicate`` -1 is unweighted.
+    tile: int = TILE_COLUMNS,
+) -> DataFrame:
+    """Gram matrices of ``[1, columns - centre]`` in tiles: ``part, replicate, first, second, g``.
 
-    A row with a missing value fails the job, or is left out with ``missing="drop"``.
-    Runs two jobs (column means for centring, then the sums).  Each task adds up
-    its rows in numpy and emits one small vector per (part, replicate); vectors
-    are summed in the JVM.  The driver receives (1 + replicates) matrices whose
-    size depends on the number of columns only.
+    Columns (the constant one leads) are cut into blocks of ``tile``; a tile holds
+    the products of block ``first`` with block ``second`` (not before it), row by
+    row.  ``replicate`` -1 is unweighted.  A tile reads its two blocks only, and a
+    task adds up one tile of its rows: ``(1 + replicates) * tile^2`` numbers at most,
+    however many columns there are.  Every column is read once per block.
+
+    A row with a missing value in any column fails the job, or is left out with
+    ``missing="drop"``, which has every tile look at all columns.  Runs a job for the
+    means unless ``centre`` is given; lazy otherwise.
     """
     columns = list(columns)
     if centre is None:
         means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
         centre = [float(m or 0.0) for m in means]
-    size = len(columns) + 1
-    upper = np.triu_indices(size)
-    shift = np.array(centre, dtype=float)
     identity: Column = F.xxhash64(*[F.col(c) for c in row_id]) if row_id else F.lit(0).cast("long")
-    rows = df.select(
-        (F.col(part).cast("string") if part else F.lit("all")).alias("part"),
-        identity.alias("id"),
-        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
-    ).filter(F.col("part").isNotNull())
-    # a product with a missing factor would spoil every sum
-    hole = F.lit(False)
-    for i in range(len(columns)):
-        hole = hole | F.col(f"x{i}").isNull() | F.isnan(f"x{i}")
+    values = [F.lit(1.0)] + [F.col(f"`{c}`").cast("double") for c in columns]
+    shift = np.array([0.0, *centre], dtype=float)
+
+    def holes(places: Sequence[int]) -> Column:
+        """Whether one of the columns is missing: a product with it would spoil every sum."""
+        found = F.lit(False)
+        for i in places:
+            found = found | values[i].isNull() | F.isnan(values[i])
+        return found
+
     if missing == "drop":
-        rows = rows.filter(~hole)
-    else:
-        rows = rows.withColumn("x0", F.when(hole, F.raise_error(F.lit("a row has a missing value: drop incomplete rows first"))).otherwise(F.col("x0")))
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, np.ndarray] = {}
-        step = max(1, BLOCK_CELLS // len(upper[0]))
-        for batch in batches:
-            for name, own in batch.groupby("part"):
-                weighted = replicates if name == replicated_part else 0
-                if name not in totals:
-                    totals[name] = np.zeros((1 + weighted, len(upper[0])))
-                z = np.ones((len(own), size))
-                z[:, 1:] = own.iloc[:, 2:].to_numpy(dtype=float) - shift
-                if weighted == 0:
-                    totals[name][0] += (z.T @ z)[upper]
-                    continue
-                ids = own["id"].to_numpy(dtype=np.int64).view(np.uint64)
-                for start in range(0, len(own), step):
-                    block = z[start : start + step]
-                    products = block[:, upper[0]] * block[:, upper[1]]
-                    totals[name][0] += products.sum(axis=0)
-                    totals[name][1:] += replicate_weights(ids[start : start + step], weighted, seed).T @ products
-        for name, sums in totals.items():
-            yield pd.DataFrame({"part": name, "replicate": np.arange(-1, len(sums) - 1), "g": list(sums)})
-
-    partial = rows.mapInPandas(add_up, "part string, replicate int, g array<double>")
-    total = partial.groupBy("part", "replicate").agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
-    found = []
-    for row in total.collect():
-        gram = np.zeros((size, size))
-        gram[upper] = row.g
-        found.append(GramSum(row.part, row.replicate, gram + np.triu(gram, 1).T))
-    return sorted(found, key=lambda s: (s.part, s.replicate))
+        # all tiles must be over the same rows
+        df = df.filter(~holes(range(len(values))))
+    part_column = F.col(part).cast("string") if part else F.lit("all")
+    blocks = [range(a, min(a + tile, len(values))) for a in range(0, len(values), tile)]
+
+    def block_pair(first: int, second: int) -> DataFrame:
+        left, right = blocks[first], blocks[second]
+        chosen = [*left, *([] if first == second else right)]
+        numbers = {f"x{i}": values[i] for i in chosen}
+        if missing != "drop":
+            stop = F.raise_error(F.lit("a row has a missing value: drop incomplete rows first"))
+            numbers[f"x{chosen[0]}"] = F.when(holes(chosen), stop).otherwise(values[chosen[0]])
+        rows = df.select(part_column.alias("part"), identity.alias("id"), *[v.alias(name) for name, v in numbers.items()]).filter(F.col("part").isNotNull())
+        wide, own_shift = len(left), shift[chosen]
+        # a block with itself: one half of the cells
+        x, y = np.triu_indices(wide) if first == second else (g.reshape(-1) for g in np.indices((wide, len(right))))
+        cells = len(x)
+
+        def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            totals: dict[str, np.ndarray] = {}
+            step = max(1, BLOCK_CELLS // cells)
+            for batch in batches:
+                for name, own in batch.groupby("part"):
+                    weighted = replicates if name == replicated_part else 0
+                    if name not in totals:
+                        totals[name] = np.zeros((1 + weighted, cells))
+                    z = own.iloc[:, 2:].to_numpy(dtype=float) - own_shift
+                    a, b = z[:, :wide], z[:, -len(right) :]
+                    if weighted == 0:
+                        totals[name][0] += (a.T @ b)[x, y]
+                        continue
+                    ids = own["id"].to_numpy(dtype=np.int64).view(np.uint64)
+                    for start in range(0, len(own), step):
+                        products = a[start : start + step, x] * b[start : start + step, y]
+                        totals[name][0] += products.sum(axis=0)
+                        totals[name][1:] += replicate_weights(ids[start : start + step], weighted, seed).T @ products
+            for name, sums in totals.items():
+                for replicate, line in enumerate(sums, -1):
+                    whole = np.zeros((wide, len(right)))
+                    whole[x, y] = line
+                    if first == second:
+                        whole[y, x] = line
+                    yield pd.DataFrame({"part": [name], "replicate": [replicate], "first": [first], "second": [second], "g": [whole.reshape(-1)]})
+
+        return rows.mapInPandas(add_up, "part string, replicate int, first int, second int, g array<double>")
+
+    partial = None
+    for i in range(len(blocks)):
+        for j in range(i, len(blocks)):
+            partial = block_pair(i, j) if partial is None else partial.unionByName(block_pair(i, j))
+    summed = vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")
+    return partial.groupBy("part", "replicate", "first", "second").agg(summed)
+
+
+def _place_tile(gram: np.ndarray, first: int, second: int, g: Sequence[float], tile: int) -> None:
+    """Write a tile and its mirror image into the whole matrix."""
+    a, b = (slice(k * tile, min((k + 1) * tile, len(gram))) for k in (first, second))
+    block = np.asarray(g).reshape(a.stop - a.start, b.stop - b.start)
+    gram[a, b] = block
+    gram[b, a] = block.T
+
+
+def gram_sums(
+    df: DataFrame,
+    columns: Sequence[str],
+    part: str | None = None,
+    row_id: Sequence[str] = (),
+    replicates: int = 0,
+    replicated_part: str | None = None,
+    seed: int = 42,
+    centre: Sequence[float] | None = None,
+    missing: str = "error",
+    tile: int = TILE_COLUMNS,
+) -> list[GramSum]:
+    """The matrices of :func:`gram_tiles`, whole, on the driver: (1 + replicates) of them per part."""
+    size = len(columns) + 1
+    found: dict[tuple[str, int], np.ndarray] = {}
+    tiles = gram_tiles(df, columns, part, row_id, replicates, replicated_part, seed, centre, missing, tile)
+    for row in tiles.collect():
+        gram = found.setdefault((row["part"], row["replicate"]), np.zeros((size, size)))
+        _place_tile(gram, row["first"], row["second"], row["g"], tile)
+    return [GramSum(name, replicate, gram) for (name, replicate), gram in sorted(found.items())]
 
 
 class GramScorer:
@@ -137,15 +193,32 @@ class GramScorer:
         part: str = "split",
         replicates: int = 100,
         seed: int = 42,
+        tile: int = TILE_COLUMNS,
+        resident: int = RESIDENT_NUMBERS,
     ):
         self.features = list(features)
         self._place = {name: i + 1 for i, name in enumerate(self.features)}
-        sums = gram_sums(df, [*self.features, target], part, row_id, replicates, "val", seed)
-        by_part = {(s.part, s.replicate): s.gram for s in sums}
-        if ("train", -1) not in by_part or ("val", -1) not in by_part:
+        self._tile, self._count = tile, replicates
+        size = len(self.features) + 2
+        tiles = gram_tiles(df, [*self.features, target], part, row_id, replicates, "val", seed, tile=tile)
+        self._tiles = self._replicates = None
+        whole = {name: np.zeros((size, size)) for name in ("train", "val")}
+        seen = set()
+        if replicates * size * size > resident:
+            # the replicates' matrices stay on the cluster and are read tile by tile
+            tiles = cut_lineage(tiles)
+            self._tiles = tiles.filter("part = 'val' AND replicate >= 0")
+            tiles = tiles.filter("replicate < 0")
+        elif replicates:
+            self._replicates = np.zeros((replicates, size, size))
+        for row in tiles.collect():
+            name, replicate = row["part"], row["replicate"]
+            if name in whole:
+                seen.add(name)
+                _place_tile(whole[name] if replicate < 0 else self._replicates[replicate], row["first"], row["second"], row["g"], tile)
+        if seen != {"train", "val"}:
             raise ValueError("both train and val rows are needed")
-        self._train, self._val = by_part[("train", -1)], by_part[("val", -1)]
-        self._replicates = np.stack([by_part[("val", b)] for b in range(replicates)]) if replicates else None
+        self._train, self._val = whole["train"], whole["val"]
 
     def _contrast(self, features: Sequence[str]) -> np.ndarray:
         """Coefficients c of the residual c'z = y - prediction."""
@@ -160,10 +233,35 @@ class GramScorer:
         return contrast
 
     def score(self, features: Sequence[str]) -> np.ndarray:
+        if self._tiles is not None:
+            return self.score_many([features])[0]
         c = self._contrast(features)
         errors = np.einsum("i,bij,j->b", c, self._replicates, c)
         return -np.sqrt(np.clip(errors, 0, None) / self._replicates[:, 0, 0])
 
+    def score_many(self, sets: Sequence[Sequence[str]]) -> list[np.ndarray]:
+        """Scores of several sets; one job for all of them where the matrices stay on the cluster."""
+        if self._tiles is None or not len(sets):
+            return [self.score(s) for s in sets]
+        tile = self._tile
+        # one more "contrast" reads the weight of the replicate, the first cell
+        contrasts = np.stack([*[self._contrast(s) for s in sets], np.eye(1, len(self._train))[0]])
+
+        def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for first, second, g in zip(batch["first"], batch["second"], batch["g"]):
+                    a, b = (contrasts[:, k * tile : (k + 1) * tile] for k in (first, second))
+                    product = np.einsum("ci,ij,cj->c", a, np.asarray(g).reshape(a.shape[1], b.shape[1]), b, optimize=True)
+                    out.append(product * (1 if first == second else 2))
+                yield pd.DataFrame({"replicate": batch["replicate"], "e": out})
+
+        parts = self._tiles.mapInPandas(errors, "replicate int, e array<double>").groupBy("replicate").agg(vector_to_array(Summarizer.sum(array_to_vector("e"))).alias("e"))
+        table = np.zeros((self._count, len(contrasts)))
+        for row in parts.collect():
+            table[row["replicate"]] = row["e"]
+        return list(-np.sqrt(np.clip(table[:, :-1], 0, None) / table[:, -1:]).T)
+
     def point_score(self, features: Sequence[str]) -> float:
         c = self._contrast(features)
         return float(-np.sqrt(max(c @ self._val @ c, 0.0) / self._val[0, 0]))

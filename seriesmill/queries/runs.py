@@ -7,12 +7,16 @@ it sells.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seriesmill.functions.text import CLUSTERWISE, METHOD_LABELS, method_family, method_label, scenario_label
 from seriesmill.operators import runs as R
 from seriesmill.operators.aggregates import box_statistics, ratio_of_sums
 from seriesmill.queries.registry import load, query, rounded
+from seriesmill.session import checkpoint_folder
+from seriesmill.sources.metric_store import read_metrics, write_metrics
 
 RUNS_SQL = """
 runs AS (
@@ -554,6 +558,27 @@ def overwrite_metric_records(spark, folder):
     return R.append_metrics(metrics, new, "overwrite")
 
 
+@query(
+    f"""
+    WITH {TESTING_SQL}, mae AS (SELECT * FROM testing WHERE key = 'testing/mae'),
+    last AS (SELECT run, key, max(step) AS m FROM testing WHERE key <> 'testing/mae' AND step <= 3 GROUP BY 1, 2)
+    SELECT run, key, cast(step AS INTEGER) AS step, idx, value, 'first' AS batch FROM testing WHERE key <> 'testing/mae' AND step <= 3
+    UNION ALL SELECT t.run, t.key, cast(coalesce(m + 1, 0) + step AS INTEGER), idx, value, 'second' FROM testing t LEFT JOIN last USING (run, key) WHERE t.key <> 'testing/mae' AND t.step > 3
+    UNION ALL SELECT run, key, cast(step AS INTEGER), idx, value * 2, 'third' FROM mae
+    """
+)
+def stored_metric_records(spark, folder):
+    """Records written to the shared folder in batches: one extends keys, once more after a failure, one replaces a key."""
+    metrics = testing_metrics(spark, folder)
+    path = f"{checkpoint_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    early, late = metrics.filter("step <= 3"), metrics.filter("step > 3 AND key <> 'testing/mae'")
+    write_metrics(early, path, "first", "error")
+    for _ in range(2):
+        write_metrics(late, path, "second", "extend")
+    write_metrics(metrics.filter("key = 'testing/mae'").withColumn("value", F.col("value") * 2), path, "third", "overwrite")
+    return read_metrics(spark, path)
+
+
 @query(
     f"""
     WITH {TESTING_SQL}, {SCORES_SQL}, k AS (SELECT run, key FROM testing UNION ALL SELECT run, 'validation/' || iteration || '/' || candidate || '/neg_rmse' FROM scores)

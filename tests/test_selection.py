@@ -208,6 +208,39 @@ def test_median_linkage():
     assert len(set(C.median_linkage_groups(triangle, 1.0))) == 1
 
 
+def scanned_groups(distance, cut):
+    """Median linkage that looks at every pair before each merge."""
+    groups = {i: ([i], 0.0) for i in range(len(distance))}
+    d = {(i, j): distance[i][j] for i in groups for j in groups if i < j}
+    label = list(groups)
+    while len(groups) > 1:
+        (i, j), height = min(d.items(), key=lambda x: (x[1], x[0]))
+        for k in groups:
+            if k not in (i, j):
+                a, b = d[min(i, k), max(i, k)], d[min(j, k), max(j, k)]
+                d[min(i, k), max(i, k)] = max(0.0, a * a / 2 + b * b / 2 - height * height / 4) ** 0.5
+        d = {pair: v for pair, v in d.items() if j not in pair}
+        members, peak = groups[i][0] + groups[j][0], max(groups[i][1], groups[j][1], height)
+        del groups[j]
+        groups[i] = (members, peak)
+        if peak <= cut:
+            for m in members:
+                label[m] = min(members)
+    return label
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_median_linkage_equals_scanning_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 30))
+    # random matrices, points in space, and few values so that most pairs are tied
+    distance = [rng.random((n, n)), np.linalg.norm(rng.normal(size=(n, 1, 2)) - rng.normal(size=(1, n, 2)), axis=2), rng.integers(0, 4, (n, n)).astype(float)][seed % 3]
+    distance = np.maximum(distance, distance.T)
+    np.fill_diagonal(distance, 0)
+    for cut in (0.1, 0.6, 1.0, 3.0):
+        assert C.median_linkage_groups(distance, cut) == scanned_groups(distance, cut)
+
+
 def test_clusters(spark, frame, table):
     corr = correlation_matrix(frame, FEATURES)
     np.testing.assert_allclose(corr, table[FEATURES].corr(), atol=1e-9)
