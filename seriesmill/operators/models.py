@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seriesmill.operators.evaluation import METRICS, paired_bootstrap, regression_metrics
 from seriesmill.operators.reshape import ScaleModel, fit_scaler
 from seriesmill.operators.split import split_head_tail
+from seriesmill.session import cut_lineage
 
 # Boosted tree families share Spark's implementation; linear is the fast baseline.
 ESTIMATORS = {"rf": RandomForestRegressor, "lgbm": GBTRegressor, "xgboost": GBTRegressor, "linear": LinearRegression}
@@ -95,22 +96,20 @@ def tune(
     """Best parameters on the last ``holdout`` share of rows in time order, and the trial table.
 
     ``start`` (for instance the best of a warm-up) is tried first.  Trials run
-    as concurrent Spark jobs over one split that is cached for the search.
+    as concurrent Spark jobs over one split that is checkpointed for the search.
     """
     numbered = split_head_tail(df.select(*features, target, *_order_columns(df, features, target)), order, chunk, 1 - holdout)
-    parts = numbered.persist()
-    try:
-        train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
-        trials = ([dict(start)] if start else []) + [p for p in parameter_grid(space) if not start or p != dict(start)]
-
-        def loss(params: dict) -> float:
-            scored = fit_model(train, features, target, family, params).predict(test)
-            return scored.agg(F.avg(F.pow(F.col(target) - F.col("y_hat"), F.lit(2.0)))).first()[0]
-
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            losses = list(pool.map(loss, trials))
-    finally:
-        parts.unpersist()
+    # a copy that outlives executors: fits on recomputed rows could differ
+    parts = cut_lineage(numbered)
+    train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
+    trials = ([dict(start)] if start else []) + [p for p in parameter_grid(space) if not start or p != dict(start)]
+
+    def loss(params: dict) -> float:
+        scored = fit_model(train, features, target, family, params).predict(test)
+        return scored.agg(F.avg(F.pow(F.col(target) - F.col("y_hat"), F.lit(2.0)))).first()[0]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        losses = list(pool.map(loss, trials))
     best = int(np.argmin(losses))
     rows = [(i, str(sorted(p.items())), float(m)) for i, (p, m) in enumerate(zip(trials, losses))]
     return trials[best], df.sparkSession.createDataFrame(rows, "trial int, params string, mse double")
@@ -148,7 +147,7 @@ class ModelScorer:
         self.params = {"seed": seed, **(params or {})}
         self._target, self._row_id, self._family = target, row_id, family
         self._replicates, self._seed, self._parallelism = replicates, seed, parallelism
-        self._rows = df.select(row_id, part, target, *self.features).persist()
+        self._rows = cut_lineage(df.select(row_id, part, target, *self.features))
         self._part = part
 
     def _scored(self, features: Sequence[str]) -> DataFrame:
@@ -185,7 +184,8 @@ class ModelScorer:
         return regression_metrics(self._scored(features), self._target, "y_hat", [], ["neg_rmse"]).first()[0]
 
     def close(self) -> None:
-        self._rows.unpersist()
+        """Let go of the rows; their checkpoint goes with its frame."""
+        self._rows = None
 
 
 def test_fits(

@@ -12,6 +12,7 @@ from seriesmill.queries import (  # noqa: F401
     runs,
     scalars,
     shaping,
+    streams,
 )
 from seriesmill.queries.registry import QUERIES, SQL
 

@@ -11,6 +11,7 @@ from seriesmill.operators.gram import GramScorer
 from seriesmill.operators.models import ModelScorer, fit_model, test_fits, tune
 from seriesmill.operators.evaluation import regression_metrics
 from seriesmill.operators.neighbours import neighbour_information
+from seriesmill.operators.search import halving_search
 from seriesmill.operators.selection import ClusterSelector, sequential_selection
 from seriesmill.operators.sets import select_k_best
 from seriesmill.operators.split import split_by_time
@@ -365,6 +366,17 @@ def tuned_forest(spark, folder):
     return trials
 
 
+@query()
+def halving_search_trials(spark, folder):
+    """Log of a search over nested samples: which trial reached which rung, with what share of the rows and what error."""
+    frame = feature_frame(spark, folder, "l_orderkey").select("row_id", "l_shipdate", TARGET, "net", "taxed")
+    _, trials = halving_search(
+        frame, ["net", "taxed"], TARGET, [F.col("l_shipdate"), F.col("row_id")], [F.col("l_shipdate")], "row_id", "linear",
+        {"regParam": [0.0, 0.1, 1.0, 10.0, 100.0, 1000.0]}, trials=6, least_share=1 / 9,
+    )
+    return trials.drop("seconds")
+
+
 @query()
 def repeated_test_fits(spark, folder):
     """Metrics of repeated fits on the bootstrapped test part."""
