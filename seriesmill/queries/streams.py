@@ -23,7 +23,7 @@ WHOLE_TABLE = ["drop_sparse_columns", "drop_flat_columns", "keep_failing_assets"
 
 def _flags_sql() -> str:
     parts = [
-        f"SELECT '{name}' AS operator, {'false AS streamable, NULL::BIGINT AS n' if name in WHOLE_TABLE else f'true AS streamable, count(*) FILTER ({KEPT.get(name, "true")}) AS n'} FROM r"
+        f"SELECT '{name}' AS operator, {'false AS streamable, 0::BIGINT AS n' if name in WHOLE_TABLE else f'true AS streamable, count(*) FILTER ({KEPT.get(name, "true")}) AS n'} FROM r"
         + (" LIMIT 1" if name in WHOLE_TABLE else "")
         for name in OPERATORS
     ]

@@ -88,7 +88,7 @@ def stream_rows(readings: DataFrame, step: Step, landing: str) -> DataFrame | No
 def capabilities(readings: DataFrame, operators: Mapping[str, Step] = OPERATORS) -> DataFrame:
     """``operator, streamable, n``: whether each operator runs on a stream of ``readings``, and how many rows came out of it.
 
-    ``n`` is NULL for the others.  Runs a stream per operator.
+    ``n`` is 0 for the others.  Runs a stream per operator.
     """
     spark = readings.sparkSession
     landing = f"{checkpoint_folder(spark)}/landing-{uuid.uuid4().hex}"
@@ -96,5 +96,5 @@ def capabilities(readings: DataFrame, operators: Mapping[str, Step] = OPERATORS)
     found = []
     for name, step in operators.items():
         rows_out = stream_rows(readings, step, landing)
-        found.append((name, rows_out is not None, rows_out.count() if rows_out is not None else None))
+        found.append((name, rows_out is not None, rows_out.count() if rows_out is not None else 0))
     return spark.createDataFrame(found, "operator string, streamable boolean, n long")
