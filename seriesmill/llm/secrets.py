@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.session import cut_lineage
@@ -54,28 +54,34 @@ RULES = [*BASE_RULES, *MORE_RULES]
 _SPANS = "array<struct<start:int,kind:string,end:int,rule:string>>"
 
 
-def find_spans(text: Column, rule: Rule) -> Column:
-    """Start, kind, end (exclusive, in code points) and rule version of every match, in order.
-
-    Text between matches and the matches alternate, so positions are sums of lengths.
-    """
-    pattern = F.lit(rule.pattern)
+def match_lengths(text: Column, rule: Rule) -> Column:
+    """Per match, in order: the length of the text before it (from the last match on), its own and its group's; code points."""
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    inner = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    inner = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+    lengths = F.arrays_zip(gaps.alias("gap"), F.transform(found, F.length).alias("size"), F.transform(inner, F.length).alias("inner"))
+    return F.when(text.rlike(rule.hint), lengths)
 
-    def place(both: Column) -> Column:
-        def span(match: Column, k: Column) -> Column:
-            start = total(F.slice(both["gaps"], 1, k + 1)) + total(F.slice(both["sizes"], 1, k))
-            return F.struct(start.alias("start"), F.lit(rule.kind).alias("kind"), (start + F.length(match)).alias("end"), F.length(F.get(both["inner"], k)).alias("inner"))
 
-        return F.transform(both["found"], span)
+def find_spans(texts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``blob`` and ``spans`` (start, kind, end exclusive in code points, rule version) of the texts that have any.
 
-    both = F.struct(gaps.alias("gaps"), found.alias("found"), F.transform(found, F.length).alias("sizes"), inner.alias("inner"))
-    spans = F.element_at(F.transform(F.array(both), place), 1)
-    spans = F.transform(F.filter(spans, lambda s: s["inner"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(rule.version).alias("rule")))
-    return F.when(text.rlike(rule.hint), spans).otherwise(F.array().cast(_SPANS))
+    ``texts`` has ``blob``, ``text`` and ``todo``, the rule versions to run; a blob may
+    stand in it more than once.  Text between matches and the matches alternate, so
+    a position is a running sum of lengths: matches become rows, and one window per
+    blob and kind adds them up, in time proportional to the matches.
+    """
+    every = [F.struct(F.lit(k).alias("nth"), F.when(F.array_contains("todo", r.version), match_lengths(F.col("text"), r)).alias("lengths")) for k, r in enumerate(rules)]
+    lists = texts.select("blob", F.inline(F.array(*every)))
+    rows = lists.select("blob", "nth", F.posexplode("lengths").alias("pos", "l")).filter("l.size IS NOT NULL").select("blob", "nth", "pos", "l.*")
+    # rows that repeat a text give the same matches; one deal serves both steps
+    rows = rows.repartition("blob", "nth").dropDuplicates(["blob", "nth", "pos"])
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "nth").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.withColumn("end", end.cast("int"))
+    of_rule = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("nth") + 1)
+    kept = placed.filter(F.col("inner") >= of_rule([r.least for r in rules]))
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), of_rule([r.kind for r in rules]).alias("kind"), "end", of_rule([r.version for r in rules]).alias("rule"))
+    return kept.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def _ordered(spans: Column, rules: Sequence[Rule]) -> Column:
@@ -112,9 +118,9 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | Non
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
     # texts stream past a hash table of digests; they are neither sorted nor gathered
     unseen = texts.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("__blob")) & F.col("id").eqNullSafe(F.col("__id")))
-    found = [F.when(F.array_contains("todo", r.version), find_spans(F.col("text"), r)).otherwise(F.array().cast(_SPANS)) for r in rules]
-    added = unseen.select("blob", F.col("todo").alias("rules"), F.concat(*found).alias("spans"))
-    added = cut_lineage(added.dropDuplicates(["blob"]))
+    spans = find_spans(unseen.select("blob", "text", "todo"), rules)
+    scanned = todo.select(F.col("__blob").alias("blob"), F.col("todo").alias("rules"))
+    added = cut_lineage(scanned.join(spans, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS))))
     whole = added if ledger is None else ledger.select("blob", "rules", "spans").unionByName(added)
     if ledger is None:
         of_blob = added.select("blob", "spans")

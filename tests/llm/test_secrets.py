@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from seriesmill.llm import secrets as S
 
@@ -52,6 +53,20 @@ def test_ledger_scans_only_unseen_pairs(spark, docs):
     assert findings.filter("size(spans) > 0").count() == 0
 
 
+def test_time_follows_the_number_of_matches(spark):
+    def run(n):
+        text = " ".join(f"{k:024x}" for k in range(n)) + " token=abcdefgh"
+        began = time.monotonic()
+        row = S.digest_spans(S.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"))[0]).collect()[0]
+        assert row["n_hex"] == n and row["n_assign"] == 1
+        assert row["spans"].split(",")[-2:] == [f"hex:{25 * (n - 1)}:{25 * n - 1}", f"assign:{25 * n}:{25 * n + 14}"]
+        return time.monotonic() - began
+
+    run(10)
+    # a hundred thousand matches in one text; summing from the start for each would take hours
+    assert run(100_000) < 60
+
+
 def test_empty_table(nothing):
     findings, ledger = S.scan(nothing)
     assert findings.collect() == [] and ledger.collect() == []
