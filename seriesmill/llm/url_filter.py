@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -64,36 +65,87 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, first, parts, ending, names))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``antecedent``, ``key``, ``confidence`` and ``support`` of the token combinations that mean blocking.
+def fold_tokens(labelled: DataFrame, least: int) -> DataFrame:
+    """``token`` and ``fold`` of all tokens in ``least`` labelled URLs or more; tokens of the same URLs share a fold, named by its smallest.
+
+    A set of URLs is known by its size and two exclusive-or sums of row hashes.
+    """
+    rows = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens")
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"z{k}") for k in (1, 2)]
+    sets = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *names).filter(F.col("n") >= least)
+    folds = sets.groupBy("n", "z1", "z2").agg(F.min("token").alias("fold"))
+    return sets.join(folds, ["n", "z1", "z2"]).select("token", "fold", "n")
+
+
+def to_folds(rows: DataFrame, folds: DataFrame, id_col: str) -> DataFrame:
+    """``id_col`` and ``folds`` (distinct, sorted) of rows with any folded token; ``rows`` has ``tokens`` and unique ids."""
+    posted = rows.select(id_col, F.explode("tokens").alias("token")).join(folds.select("token", "fold"), "token")
+    return posted.groupBy(id_col).agg(F.array_sort(F.collect_set("fold")).alias("folds"))
+
+
+def sure_enough(blocked: Column, all_urls: Column, base: Column) -> Column:
+    """Whether so many blocked URLs could hardly come from the base rate: the lower end of a 95 % interval (Wilson) lies above it."""
+    z = F.lit(1.6448536269514722)
+    share = blocked / all_urls
+    middle = share + z * z / (all_urls * 2)
+    half = z * F.sqrt(share * (F.lit(1.0) - share) / all_urls + z * z / (all_urls * all_urls * 4))
+    return (middle - half) / (F.lit(1.0) + z * z / all_urls) > base
+
+
+def mine_folds(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules over folds (``antecedent``, ``key``, ``confidence``, ``support``) and the folds (:func:`fold_tokens`).
 
     ``labelled`` has ``tokens`` and ``blocked``; every labelled URL is a transaction,
-    a blocked one with one more item.  FP-growth gives the frequent combinations;
-    those that imply that item with at least ``confidence`` stay, unless a part of
-    the combination does so as surely.  ``key`` is the rarest token of the rule.
-    Without labelled URLs the result is empty.  Runs jobs.
+    a blocked one with one more item.  Tokens that stand in the same URLs are one
+    item, or a path of d parts would be 2^d combinations.  FP-growth gives the
+    frequent combinations; those with the block item stay that imply it with at
+    least ``confidence`` and surely more often than the base rate
+    (:func:`sure_enough`), unless a part of the combination does so as surely.
+    ``key`` is the rarest fold of the rule.  Without labelled URLs there is no rule.
+    Runs jobs.
     """
-    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_LABEL)))).otherwise(F.col("tokens"))
-    baskets = labelled.select(items.alias("items"))
-    share = min(1.0, max(support, LEAST_URLS / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter(F.array_contains("consequent", _LABEL)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("key"), "freq")
+    rows = cut_lineage(labelled.select("tokens", "blocked", F.monotonically_increasing_id().alias("row")))
+    number, bad = rows.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
+    share = min(1.0, max(support, LEAST_URLS / max(1, number)))
+    folds = cut_lineage(fold_tokens(rows, max(1, math.ceil(share * number - 1e-9))))
+    folded = rows.select("row", "blocked").join(to_folds(rows, folds, "row"), "row", "left").withColumn("folds", F.coalesce("folds", F.array().cast("array<string>")))
+    baskets = cut_lineage(folded.select(F.when(F.col("blocked"), F.concat("folds", F.array(F.lit(_LABEL)))).otherwise(F.col("folds")).alias("items")))
+    frequent = FPGrowth(itemsCol="items", minSupport=share).fit(baskets).freqItemsets
+    frequent = cut_lineage(frequent.select(F.array_sort("items").alias("items"), F.col("freq").cast("double").alias("freq")))
+    blocked = frequent.filter(F.array_contains("items", _LABEL) & (F.size("items") > 1)).select(F.array_remove("items", _LABEL).alias("antecedent"), F.col("freq").alias("hits"))
+    rules = blocked.join(frequent.withColumnsRenamed({"items": "antecedent", "freq": "all"}), "antecedent")
+    rules = rules.filter((F.col("hits") >= F.col("all") * F.lit(confidence)) & sure_enough(F.col("hits"), F.col("all"), F.lit(bad / max(1, number))))
+    rules = rules.select("antecedent", (F.col("hits") / F.col("all")).alias("confidence"), (F.col("hits") / F.lit(max(1, number))).alias("support"))
+    single = folds.filter("token = fold").select(F.col("fold").alias("key"), "n")
     by_item = rules.select("antecedent", F.explode("antecedent").alias("key")).join(single, "key")
-    rarest = by_item.groupBy("antecedent").agg(F.min(F.struct("freq", "key"))["key"].alias("key"))
+    rarest = by_item.groupBy("antecedent").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
     keyed = cut_lineage(rules.join(rarest, "antecedent"))
-    # a rule goes if a smaller one fits wherever it does and is as sure; the smaller one's key is among its tokens
+    # a rule goes if a smaller one fits wherever it does and is as sure; the smaller one's key is among its folds
     inner = keyed.select("key", F.col("antecedent").alias("small"), F.col("confidence").alias("sure"))
     covered = keyed.select("antecedent", "confidence", F.explode("antecedent").alias("key")).join(inner, "key")
     covered = covered.filter((F.size("small") < F.size("antecedent")) & (F.size(F.array_except("small", "antecedent")) == 0) & (F.col("sure") >= F.col("confidence")))
-    return keyed.join(covered.select("antecedent").distinct(), "antecedent", "left_anti")
+    return keyed.join(covered.select("antecedent").distinct(), "antecedent", "left_anti"), folds
+
+
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """``antecedent``, ``confidence`` and ``support`` of the smallest token combinations that mean blocking, written out.
+
+    A rule of :func:`mine_folds` stands for one combination per choice of a token
+    from each of its folds.
+    """
+    rules, folds = mine_folds(labelled, support, confidence)
+    members = folds.groupBy("fold").agg(F.collect_list("token").alias("members"))
+    parts = rules.withColumn("rule", F.monotonically_increasing_id()).select("rule", "confidence", "support", F.posexplode("antecedent").alias("pos", "fold"))
+    lists = parts.join(members, "fold").groupBy("rule", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("pos", "members"))).alias("parts"))
+    grown = F.aggregate("parts", F.array(F.array().cast("array<string>")), lambda out, part: F.flatten(F.transform(part["members"], lambda t: F.transform(out, lambda chosen: F.concat(chosen, F.array(t))))))
+    return lists.select(F.explode(grown).alias("antecedent"), "confidence", "support").withColumn("antecedent", F.array_sort("antecedent"))
 
 
-def matched(tokens: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
-    """``id_col`` of the rows whose ``tokens`` hold all of a rule's, each once, found by an inverted index on the rules' keys."""
-    posted = tokens.select(id_col, "tokens", F.explode("tokens").alias("key"))
+def matched(rows: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+    """``id_col`` of the rows whose ``folds`` hold all of a rule's, each once, found by an inverted index on the rules' keys."""
+    posted = rows.select(id_col, "folds", F.explode("folds").alias("key"))
     hits = posted.join(rules.select("key", "antecedent"), "key")
-    return hits.filter(F.size(F.array_except("antecedent", "tokens")) == 0).select(id_col).distinct()
+    return hits.filter(F.size(F.array_except("antecedent", "folds")) == 0).select(id_col).distinct()
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, listed: Sequence[tuple[str, str]] = LISTED, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -115,9 +167,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", label
         learned = rows.filter("__found IS NOT NULL").select("tokens", (F.col("__found.verdict") == BLOCK).alias("blocked"))
     else:
         learned = labels.filter(F.col("blocked").isNotNull()).select(url_tokens(F.col(url_col)).alias("tokens"), F.col("blocked").cast("boolean").alias("blocked"))
-    rules = mine_rules(learned, support, confidence)
+    rules, folds = mine_folds(learned, support, confidence)
     sets = rows.filter("__found IS NULL").groupBy("__set", "tokens").agg(F.lit(1))
-    blocked = matched(sets, rules, "__set").withColumn("__hit", F.lit(True))
+    blocked = matched(to_folds(sets, folds, "__set"), rules, "__set").withColumn("__hit", F.lit(True))
     judged = rows.join(blocked, "__set", "left")
     verdict = F.coalesce(F.col("__found.verdict"), F.when(F.col("__hit"), BLOCK).otherwise(ALLOW))
     return judged.select(F.col("__id").alias(id_col), "host", "path", F.col("__found.rule").alias("rule"), verdict.alias("verdict"))

@@ -1,3 +1,5 @@
+import random
+import time
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -92,5 +94,50 @@ def test_deep_parts_parts_with_digits_and_long_hosts_block(spark):
     assert [r["verdict"] for r in got.orderBy("page_id").collect()] == ["block"] * 3 + ["allow"] * 3
 
 
+def test_deep_paths_are_one_item(spark):
+    """Parts that stand in the same URLs fold, so that mining does not follow the number of their combinations."""
+
+    def run(depth):
+        urls = [(f"http://h.bad.net/{'/'.join(f'part{chr(97 + k // 26)}{chr(97 + k % 26)}' for k in range(depth))}/p{k}", True) for k in range(20)]
+        urls += [(f"http://x{chr(97 + k % 20)}.good.org/{['en', 'de'][k % 2]}/q{chr(97 + k // 20)}", False) for k in range(200)]
+        labelled = spark.createDataFrame(urls, "url string, blocked boolean")
+        began = time.monotonic()
+        rules, folds = U.mine_folds(labelled.withColumn("tokens", U.url_tokens(F.col("url"))))
+        found = [r["antecedent"] for r in rules.collect()]
+        assert len(found) == 1 and folds.filter(F.col("fold") == found[0][0]).count() >= depth
+        got = U.judge(spark.createDataFrame([(1, "http://other.info/partac/z"), (2, "http://other.info/en/z")], "page_id long, url string"), labels=labelled, listed=[])
+        assert [r["verdict"] for r in got.orderBy("page_id").collect()] == ["block", "allow"]
+        return time.monotonic() - began
+
+    run(5)
+    shallow = run(5)
+    assert run(40) < 2 * shallow + 3
+
+
+def test_rules_must_beat_the_base_rate(spark):
+    # nine in ten URLs are blocked: a token that is blocked as often says nothing, one that always is may say something
+    urls = [(f"http://s{chr(97 + k % 10)}.org/{'xy'[k % 2]}/a{chr(97 + k // 50)}", k % 10 != 0) for k in range(1000)]
+    labelled = spark.createDataFrame(urls, "url string, blocked boolean").withColumn("tokens", U.url_tokens(F.col("url")))
+    rules = [set(r["antecedent"]) for r in U.mine_rules(labelled).collect()]
+    assert rules and not any(r == {"host org"} or (len(r) == 1 and next(iter(r)).startswith("path a")) for r in rules)
+    assert {"host sb.org"} in rules and not any("host sa.org" in r for r in rules)
+
+
+def test_precision_on_held_out_urls(spark):
+    draw = random.Random(4)
+    names = ["casino", "pills", "win", "news", "docs", "shop", "blog"]
+
+    def url():
+        word = draw.choice(names)
+        bad = word in names[:3] and draw.random() < 0.97 or draw.random() < 0.02
+        return f"http://{draw.choice('abcdef')}{draw.choice('xyz')}.{draw.choice(['com', 'net', 'org'])}/{draw.choice(['en', 'de', 'fr'])}/{word}/{draw.randrange(10**6)}", bad
+
+    train, test = [url() for _ in range(1500)], [url() for _ in range(600)]
+    frame = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(test)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] == "block" for r in U.judge(frame, labels=spark.createDataFrame(train, "url string, blocked boolean"), listed=[]).collect()}
+    hits = [test[k][1] for k, blocked in got.items() if blocked]
+    assert sum(hits) / len(hits) > 0.9 and sum(hits) / sum(b for _, b in test) > 0.85
+
+
 def test_empty_table(spark):
     assert U.judge(pages(spark, [])).collect() == []
