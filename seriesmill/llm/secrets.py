@@ -102,7 +102,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | Non
 
     The findings have ``id_col``, ``blob`` and ``spans`` (array of start, kind,
     end and rule version).  NULL counts as the empty text, which is a blob without findings.
-    Repeated rows and NULL identifiers keep their rows.  Runs two jobs.
+    Repeated rows and NULL identifiers keep their rows.  Runs a few jobs; only texts
+    that match the hint of a rule which some blob lacks are shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob")))
@@ -114,8 +115,14 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | Non
         seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>"))))
         todo = todo.filter(F.size("todo") > 0)
-    todo = todo.select(F.col("blob").alias("__blob"), F.col("id").alias("__id"), "todo")
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
+    todo = cut_lineage(todo.select(F.col("blob").alias("__blob"), F.col("id").alias("__id"), "todo"))
+    lacking = {row[0] for row in todo.select(F.explode("todo")).distinct().collect()}  # one row per rule at most
+    # a text without a match of any hint has no span: it need not meet its blob
+    hinted = F.lit(False)
+    for rule in rules:
+        if rule.version in lacking:
+            hinted = hinted | text.rlike(rule.hint)
+    texts = docs.filter(hinted).select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("blob"))
     # texts stream past a hash table of digests; they are neither sorted nor gathered
     unseen = texts.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("__blob")) & F.col("id").eqNullSafe(F.col("__id")))
     spans = find_spans(unseen.select("blob", "text", "todo"), rules)
