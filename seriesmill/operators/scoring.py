@@ -137,28 +137,27 @@ def mutual_information(
     if binning == "width":
         usable = [F.when(F.abs(value) <= LARGEST, value) for value in usable]
     numbers = df.select(*[value.alias(f"c{i}") for i, value in enumerate(usable)])
-    places = range(len(features))
-    x, y = [F.col(f"c{i}") for i in places], F.col(f"c{len(features)}")
-    pairs = [(F.when(y.isNotNull(), x[i]), F.when(x[i].isNotNull(), y)) for i in places]
+    y = F.col(f"c{len(features)}")
+    cells = [F.struct(F.lit(i).alias("position"), F.col(f"c{i}").alias("x"), y.alias("y")) for i in range(len(features))]
+    # a row per feature exists inside a task only; the edges of all features are one small map
+    complete = numbers.select(F.inline(F.array(*cells))).filter("x IS NOT NULL AND y IS NOT NULL")
+    x, y = F.col("x"), F.col("y")
     if binning == "width":
-        edges = [[F.struct(F.min(v).alias("low"), F.max(v).alias("high")) for v in pair] for pair in pairs]
+        edge = lambda v: F.struct(F.min(v).alias("low"), F.max(v).alias("high"))
         place = lambda v, e: _width_bin(v, e.getField("low"), e.getField("high"), bins)
     elif binning == "quantile":
         levels = int(math.log2(bins))
         if 1 << levels != bins:
             raise ValueError("quantile bins must be a power of two")
         cuts = [(i + 1) / bins for i in range(bins - 1)]
-        edges = [[F.percentile_approx(v, cuts, 10000) for v in pair] for pair in pairs]
+        edge = lambda v: F.percentile_approx(v, cuts, 10000)
         place = lambda v, e: bin_of(v, e, levels)
     else:
         raise ValueError(f"unknown binning {binning!r}")
-    found = numbers.agg(F.struct(*[F.struct(a.alias("x"), b.alias("y")).alias(f"e{i}") for i, (a, b) in enumerate(edges)]))
-    placed = numbers.withColumn("__e", found.scalar())
-    cells = [
-        F.struct(F.lit(i).alias("position"), place(x[i], F.col(f"__e.e{i}.x")).cast("long").alias("bx"), place(y, F.col(f"__e.e{i}.y")).cast("long").alias("by"), (x[i].isNotNull() & y.isNotNull()).alias("there"))
-        for i in places
-    ]
-    long = placed.select(F.inline(F.array(*cells))).filter("there")
+    edges = complete.groupBy("position").agg(F.struct(edge(x).alias("x"), edge(y).alias("y")).alias("e"))
+    known = edges.agg(F.map_from_entries(F.collect_list(F.struct("position", "e")))).scalar()
+    placed = complete.withColumn("e", F.try_element_at(known, F.col("position")))
+    long = placed.select("position", place(x, F.col("e.x")).cast("long").alias("bx"), place(y, F.col("e.y")).cast("long").alias("by"))
     joint = long.groupBy("position", "bx", "by").agg(F.count(F.lit(1)).cast("double").alias("n"))
     # at most features x bins^2 rows from here on
     sums = {name: F.sum("n").over(Window.partitionBy("position", *more)) for name, more in (("nx", ["bx"]), ("ny", ["by"]), ("nt", []))}
