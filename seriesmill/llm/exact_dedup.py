@@ -34,10 +34,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def merge_runs(rows: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """One entry per text: smallest identifier (NULL last), its row tag and the number of rows.
 
-    ``rows`` holds a sorted run per partition.  The runs are numbered in base
-    ``fan_in``; in round ``r`` the runs whose numbers differ in digit ``r`` only
-    exchange entries, each entry going to the run whose digit ``r`` equals that of
-    its short digest.  The aggregate over (run, entry) sorts what arrives, merges
+    A run is what one partition of ``rows`` holds, known by a number in base
+    ``fan_in`` that its entries carry; Spark deals the entries of a run by their
+    digest, so a run need not lie in one partition.  In round ``r`` the runs whose
+    numbers differ in digit ``r`` only exchange entries, each entry going to the run
+    whose digit ``r`` equals that of its short digest.  The aggregate over (run, entry) sorts what arrives, merges
     it and keeps the smallest identifier, so no run ever takes more than
     ``fan_in`` entries of one text, however many rows hold it, and after the last
     round a text stands in one run.  Entries merge only where the short digest,

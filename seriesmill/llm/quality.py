@@ -122,8 +122,8 @@ def default_rules(text_col: str = "text") -> list[Rule]:
 def order_rules(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample, best first.
 
-    The sample (``rows`` rows at most, spread over the table by a row hash) is kept
-    while each rule runs over it alone: the time beyond that of an empty rule is its
+    The sample (a random share of about twice ``rows`` rows, of which the first
+    ``rows`` in reading order count) is kept while each rule runs over it alone: the time beyond that of an empty rule is its
     cost, the share that it rejects its selectivity.  The order changes only how
     much work a text takes, never its verdict.  Rules that reject nothing come last,
     the cheapest first.
