@@ -1,4 +1,8 @@
-"""Language of whole texts by a bidirectional gated recurrent network over bytes."""
+"""Language of whole texts by a bidirectional gated recurrent network over bytes.
+
+The sequences are words with the space before them, so the state of the network does
+not cross a space; a word of more than ``SEGMENT`` bytes goes on in further sequences.
+"""
 
 from __future__ import annotations
 
@@ -228,7 +232,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Texts are drawn by a hash of the identifier, and ``characters`` of each from a
     place drawn likewise.  NULL labels, NULL identifiers, held-out rows and texts
     without a letter are left out.  The labels in use are counted first, so the
-    draw reads no more texts than about twice the bound.
+    draw reads no more texts than about twice the bound.  Of a word only the
+    first segment (23 bytes) is learned from, so windows without spaces teach little.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = usable.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
@@ -289,7 +294,12 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", carry:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fit on the rows that are not held out and label all rows: ``id_col``, ``held_out``, ``lang_pred``, ``score``."""
+    """Fit on the rows that are not held out and label all rows: ``id_col``, ``held_out``, ``lang_pred``, ``score``.
+
+    A row per input row: repeated rows and NULL identifiers stay, texts of any length
+    are read whole.  Extra columns are ignored whatever they are called.  An empty
+    table gives none.  NULLs, ties and missing labels as in :func:`predict`.
+    """
     net = fit(docs, id_col, text_col, lang_col)
     labelled = predict(docs, net, text_col, [id_col])
     return labelled.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")

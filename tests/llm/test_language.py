@@ -88,3 +88,43 @@ def test_gradients_match_differences():
                 down = loss(untouched)
                 weight[at] = keep
                 assert abs((up - down) / 2e-3 - grad[at]) < 2e-4
+
+
+def slow_probabilities(net, sequence):
+    """Label probabilities at every byte of one sequence, a byte and a gate at a time."""
+
+    def states(side, data):
+        hidden = side.recurrent.shape[0]
+        h, out = np.zeros(hidden), []
+        for byte in data:
+            given, own = side.table[byte].astype(float), h @ side.recurrent.astype(float)
+            z, r = (1 / (1 + np.exp(-(given[k * hidden : (k + 1) * hidden] + own[k * hidden : (k + 1) * hidden]))) for k in (0, 1))
+            candidate = np.tanh(given[2 * hidden :] + r * own[2 * hidden :])
+            h = z * h + (1 - z) * candidate
+            out.append(h)
+        return out
+
+    ahead, back = states(net.ahead, sequence), states(net.back, sequence[::-1])[::-1]
+    scores = [np.exp(a @ net.ahead.out + b @ net.back.out + net.bias) for a, b in zip(ahead, back)]
+    return [s / s.sum() for s in scores]
+
+
+def sequences(text):
+    """Words with the space before them, cut at the bytes of a segment."""
+    for word in text.encode().split():
+        word = b" " + word
+        yield from (word[k : k + L.SEGMENT] for k in range(0, len(word), L.SEGMENT))
+
+
+TEXTS = ["one two two", "", "日本語の文章は空白を使わないので一つの長い単語になる。" * 3, "x" * 23 + " " + "y" * 24 + " " + "z" * 100, "  lead and trail \n"]
+
+
+def test_pooled_probabilities_equal_a_walk_over_bytes():
+    import pyarrow as pa
+
+    net = L.new_network(["a", "b", "c"], hidden=5, seed=3)
+    got = L._pooled(net, *L.utf8(pa.array(TEXTS)))
+    for text, own in zip(TEXTS, got):
+        each = [p for s in sequences(text) for p in slow_probabilities(net, s)]
+        want = np.mean(each, axis=0) if each else np.zeros(3)
+        assert np.allclose(own, want, atol=1e-5)
