@@ -13,6 +13,10 @@ from seriesmill.llm.words import SPACE_CHARACTERS, word_array
 
 # The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
+# Digits and marks of ASCII; endings of a line that was cut; list marks at its start.
+MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+CUT_LINE = "(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z"
+LIST_LINE = "\\A[\\x20\\x09-\\x0D]*[-*•]"
 #: Words of a window that repeats.
 WINDOW = 8
 #: Rows of the sample that costs and selectivities are measured on.
@@ -44,9 +48,36 @@ def n_symbols(text: Column) -> Column:
     return (F.length(_chars(text)) - F.length(F.translate(_chars(text), SYMBOLS, ""))).cast("long")
 
 
+def n_marks(text: Column) -> Column:
+    """Digits and marks of ASCII."""
+    return (F.length(_chars(text)) - F.length(F.translate(_chars(text), MARKS, ""))).cast("long")
+
+
+def _filled_lines(text: Column) -> Column:
+    return F.filter(F.split(_chars(text), "\n"), lambda line: F.length(F.translate(line, SPACE_CHARACTERS, "")) > 0)
+
+
+def _share_of_lines(text: Column, pattern: str, tenths: int) -> Column:
+    """Whether more than ``tenths`` tenths of at least three lines with a word match."""
+    fits = lambda own: (F.size(own) > 2) & (10 * F.size(F.filter(own, lambda line: line.rlike(pattern))) > tenths * F.size(own))
+    return _let(_filled_lines(text), fits)
+
+
+def top_word(text: Column) -> Column:
+    """How often the most frequent word stands in the text: the longest run of equal hashes in sorted order."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+
+    def take(acc: Column, h: Column) -> Column:
+        run = F.when(acc["last"].eqNullSafe(h), acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(h.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    hashes = F.array_sort(F.transform(word_array(text), lambda w: F.xxhash64(w)))
+    return F.aggregate(hashes, start, take, lambda acc: acc["best"])
+
+
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(_chars(text), "\n"), lambda line: F.length(F.translate(line, SPACE_CHARACTERS, "")) > 0)
+    lines = _filled_lines(text)
     return F.aggregate(F.array(lines), F.lit(0).cast("long"), lambda _, own: (F.size(own) - F.size(F.array_distinct(own))).cast("long"))
 
 
@@ -107,6 +138,17 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns({f.__name__: f(text) for f in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)})
 
 
+def own_rules(text_col: str = "text") -> list[Rule]:
+    """Rules with measures that nothing else needs, so that the cascade alone decides which texts they run over."""
+    text = F.col(text_col)
+    return [
+        Rule("marks", 2 * n_marks(text) > word_chars(text)),
+        Rule("frequent_word", 10 * top_word(text) > 3 * n_words(text)),
+        Rule("cut_lines", _share_of_lines(text, CUT_LINE, 3)),
+        Rule("list_lines", _share_of_lines(text, LIST_LINE, 9)),
+    ]
+
+
 def default_rules(text_col: str = "text") -> list[Rule]:
     """Rules on whole texts; a clean text of prose passes all of them."""
     text = F.col(text_col)
@@ -116,21 +158,24 @@ def default_rules(text_col: str = "text") -> list[Rule]:
         Rule("symbols", 10 * n_symbols(text) > word_chars(text)),
         Rule("word_length", (word_chars(text) > 40 * n_words(text)) | (word_chars(text) < 2 * n_words(text))),
         Rule("duplicate_lines", 2 * n_dup_lines(text) > F.size(F.split(_chars(text), "\n"))),
+        *own_rules(text_col),
     ]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS, prepare=None) -> list[Rule]:
     """The rules by rejections per second on a sample, best first.
 
-    The sample (a random share of about twice ``rows`` rows, of which the first
-    ``rows`` in reading order count) is kept while each rule runs over it alone: the time beyond that of an empty rule is its
-    cost, the share that it rejects its selectivity.  The order changes only how
-    much work a text takes, never its verdict.  Rules that reject nothing come last,
-    the cheapest first.
+    The sample is the ``rows`` rows whose hashed row numbers are smallest, so it is
+    spread over the whole table, hot texts included.  ``prepare`` adds to it what the
+    rules find there for nothing.  It is kept while each rule runs over it alone: the
+    time beyond that of an empty rule is its cost, the share that it rejects its
+    selectivity.  The order changes only how much work a text takes, never its
+    verdict.  Rules that reject nothing come last, the cheapest first.
     """
-    text = docs.select(*docs.columns)
     share = min(1.0, 2 * rows / max(1, docs.count()))
-    sample = text.sample(share, 3).limit(rows).cache()
+    drawn = docs.withColumn("__draw", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**30)))
+    sample = drawn.filter(F.col("__draw") <= int(share * 2**30)).orderBy("__draw").limit(rows).drop("__draw")
+    sample = (sample if prepare is None else prepare(sample)).cache()
     sample.count()
 
     def run(condition: Column) -> tuple[float, int, int]:
@@ -172,21 +217,28 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ``n_repeat_words``, ``base_failed`` (fewer than 20 words, or more than 30 % of
     them in repeated windows) and ``kept`` (no rule of the cascade rejects).  NULL
     and empty texts have no words and fail; repeated rows and NULL identifiers stay.
+    Texts are read whole.  Extra columns are ignored, an empty table gives none.
+
+    The five measures are wanted for every row, so rules on them cost a comparison;
+    :func:`own_rules` run inside the cascade only, on texts that all rules before
+    let pass.  The order comes from a sample on which the measures are at hand too.
     """
-    # the cascade over the measures: the same rules, each measure computed once per row
-    measured = measures(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
-    lines = F.size(F.split(_chars(F.col("__text")), "\n")).alias("__lines")
-    measured = measured.select("__id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", lines)
-    own = {
-        "few_words": F.col("n_words") < 20,
-        "repeats": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
-        "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
-        "word_length": (F.col("word_chars") > 40 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
-        "duplicate_lines": 2 * F.col("n_dup_lines") > F.col("__lines"),
-    }
-    order = order_rules(docs.select(text_col), default_rules(text_col))
-    verdict = cascade([Rule(rule.name, own[rule.name]) for rule in order])
-    return measured.select(
+    def prepare(rows: DataFrame) -> DataFrame:
+        return measures(rows, "__text").withColumn("__lines", F.size(F.split(_chars(F.col("__text")), "\n")))
+
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    few = F.col("n_words") < 20
+    repeats = 100 * F.col("n_repeat_words") > 30 * F.col("n_words")
+    rules = [
+        Rule("few_words", few),
+        Rule("repeats", repeats),
+        Rule("symbols", 10 * F.col("n_symbols") > F.col("word_chars")),
+        Rule("word_length", (F.col("word_chars") > 40 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("__lines")),
+        *own_rules("__text"),
+    ]
+    verdict = cascade(order_rules(texts, rules, prepare=prepare))
+    return prepare(texts).select(
         F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (own["few_words"] | own["repeats"]).alias("base_failed"), verdict.isNull().alias("kept"),
+        (few | repeats).alias("base_failed"), verdict.isNull().alias("kept"),
     )

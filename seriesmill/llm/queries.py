@@ -78,11 +78,15 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(ra
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(every_line) AS n_lines
+         CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(every_line) AS n_lines,
+         length(t) - length(regexp_replace(t, '[0-9!-/:-@\[-`{-~]', '', 'g')) AS n_marks, coalesce(list_max(map_values(list_histogram(w))), 0) AS top_word, len(filled) AS n_filled,
+         len(list_filter(filled, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS n_cut,
+         len(list_filter(filled, lambda x: regexp_matches(x, '\A[\x20\x09-\x0D]*[-*•]'))) AS n_list
   FROM l LEFT JOIN covered USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 40 * n_words OR word_chars < 2 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM f
+       NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 40 * n_words OR word_chars < 2 * n_words OR 2 * n_dup_lines > n_lines
+            OR 2 * n_marks > word_chars OR 10 * top_word > 3 * n_words OR (n_filled > 2 AND (10 * n_cut > 3 * n_filled OR 10 * n_list > 9 * n_filled))) AS kept FROM f
 """)
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read_table(spark, folder, "documents"))

@@ -18,11 +18,20 @@ def measured(text):
 def verdict(text):
     words, chars, symbols, dup, repeat = measured(text)
     failed = words < 20 or 100 * repeat > 30 * words
-    lines = len((text or "").split("\n"))
-    return failed, not (failed or 10 * symbols > chars or chars > 40 * words or chars < 2 * words or 2 * dup > lines)
+    lines = (text or "").split("\n")
+    filled = [x.strip("\x20\t\n\x0b\x0c\r") for x in lines if WORD.search(x)]
+    marks = sum(c.isascii() and c.isprintable() and not c.isalpha() and c != " " for c in text or "")
+    top = max(Counter(WORD.findall(text or "")).values(), default=0)
+    cut, listed = sum(x.endswith(("...", "…")) for x in filled), sum(x[0] in "-*•" for x in filled)
+    own = 2 * marks > chars or 10 * top > 3 * words or (len(filled) > 2 and (10 * cut > 3 * len(filled) or 10 * listed > 9 * len(filled)))
+    return failed, not (failed or 10 * symbols > chars or chars > 40 * words or chars < 2 * words or 2 * dup > len(lines) or own)
 
 
 MORE = ["a b c d e f g h a b c d e f g h", "x\n\nx\n x\n" * 9, "1 2 3 4 5 6 7 8", "1 2 3 4 5 6 7 8 9", "| # " * 30, "w\n" * 40, ("p q r s t u v w " * 3 + "unlike ") * 4, "日本 語é " * 25]
+PLAIN = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}rd" for k in range(60)).split()
+MORE += [" ".join(PLAIN), "\n".join(" ".join(PLAIN[k : k + 10]) + ("... \r" if k < 20 else "") for k in range(0, 60, 10)), "\n".join(" ".join(PLAIN[k : k + 10]) + "…" for k in range(0, 60, 10))]
+MORE += ["\n".join(" - " + " ".join(PLAIN[k : k + 10]) for k in range(0, 60, 10)), "- " + " ".join(PLAIN), " ".join(f"{w} the" for w in PLAIN), " ".join(f"{w} the end" if k % 2 else w for k, w in enumerate(PLAIN))]
+MORE += [" ".join(f"{w}[12],\\`~" for w in PLAIN), " ".join(f"{w}[1]" for w in PLAIN)]
 
 
 def test_measures_equal_brute_force(spark, docs, rows):
@@ -56,3 +65,26 @@ def test_no_python_in_the_plan(docs):
 
 def test_empty_table(nothing):
     assert Q.judge(nothing).collect() == []
+
+
+def test_a_rejected_text_runs_no_later_rule(spark, docs):
+    """The later rule raises wherever it runs: on texts that the first one lets pass, and only there."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    short = Q.Rule("short", F.length(F.coalesce("text", F.lit(""))) < 200)
+    later = Q.Rule("later", F.when(F.rand() < 2, F.raise_error(F.lit("later rule ran")).cast("boolean")))
+    some = docs.filter("coalesce(length(text), 0) < 200")
+    assert {r[0] for r in some.select(Q.cascade([short, later]).alias("name")).collect()} == {"short"}
+    for order, frame in (([later, short], some), ([short, later], docs)):
+        with pytest.raises(Exception, match="later rule ran"):
+            frame.select(Q.cascade(order).alias("name")).collect()
+
+
+def test_the_sample_is_spread_over_the_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    drawn = []
+    frame = spark.range(0, 20_000, 1, 8).select(F.col("id"), F.lit("same text").alias("text"))
+    Q.order_rules(frame, [], 200, lambda rows: drawn.append([r["id"] for r in rows.collect()]) or rows)
+    assert len(drawn[0]) == 200 and {i // 2500 for i in drawn[0]} == set(range(8))
