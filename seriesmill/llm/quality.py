@@ -63,16 +63,20 @@ def _share_of_lines(text: Column, pattern: str, tenths: int) -> Column:
     return _let(_filled_lines(text), fits)
 
 
-def top_word(text: Column) -> Column:
-    """How often the most frequent word stands in the text: the longest run of equal hashes in sorted order."""
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+def has_frequent_word(text: Column, tenths: int) -> Column:
+    """Whether one word is more than ``tenths`` tenths of all words.
 
-    def take(acc: Column, h: Column) -> Column:
-        run = F.when(acc["last"].eqNullSafe(h), acc["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(h.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    In sorted order such a word is a run of equal hashes that is longer than that
+    share, so it covers one of the places that lie the share apart; from the first
+    place of each such hash the run must reach over the whole share.
+    """
+    def decide(order: Column) -> Column:
+        share = F.floor(F.size(order) * tenths / 10).cast("int")
+        reaches = lambda k: F.get(order, F.array_position(order, F.get(order, k)).cast("int") - 1 + share) == F.get(order, k)
+        places = F.sequence(F.lit(0), F.size(order) - 1, F.greatest(share, F.lit(1)))
+        return F.when(F.size(order) == 0, F.lit(False)).otherwise(F.exists(places, lambda k: F.coalesce(reaches(k), F.lit(False))))
 
-    hashes = F.array_sort(F.transform(word_array(text), lambda w: F.xxhash64(w)))
-    return F.aggregate(hashes, start, take, lambda acc: acc["best"])
+    return _let(F.sort_array(F.transform(word_array(text), lambda w: F.xxhash64(w))), decide)
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -143,8 +147,8 @@ def own_rules(text_col: str = "text") -> list[Rule]:
     text = F.col(text_col)
     return [
         Rule("marks", 2 * n_marks(text) > word_chars(text)),
-        Rule("frequent_word", 10 * top_word(text) > 3 * n_words(text)),
-        Rule("cut_lines", _share_of_lines(text, CUT_LINE, 3)),
+        Rule("frequent_word", has_frequent_word(text, 3)),
+        Rule("cut_lines", (F.contains(text, F.lit("...")) | F.contains(text, F.lit("…"))) & _share_of_lines(text, CUT_LINE, 3)),
         Rule("list_lines", _share_of_lines(text, LIST_LINE, 9)),
     ]
 
