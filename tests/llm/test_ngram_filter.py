@@ -72,21 +72,85 @@ def test_filter_never_loses_an_entry_and_levels_go_up():
     assert np.mean(own.levels(absent) > 0) < 0.6
 
 
-def test_rare_bigrams_leave_a_full_filter(docs):
-    model, blocks = N.build(docs, most_bits=15)
-    assert len(model.filter.bits) * 8 == 1 << 15
+def test_a_filter_holds_the_bits_it_may(docs):
+    model, _, _ = N.build(docs, most_bits=30)
+    assert not model.sharded and len(model.filter.bits) * 8 == model.filter.shard_size << model.filter.shard_bits
     assert model.total == sum(len(tokens(r["text"])) for r in docs.select("text").collect())
 
 
-def test_a_filter_in_slices_scores_as_the_whole_one(docs):
+@pytest.mark.parametrize("frequent, order", [(22, 2), (5, 3)])
+def test_a_filter_in_shards_scores_as_the_whole_one(docs, monkeypatch, frequent, order):
+    """Also where few n-grams are common, and with rows that repeat."""
+    monkeypatch.setattr(N, "FREQUENT_BITS", frequent)
+
     def scores(**how):
-        got = N.score(docs, **how).drop("base_score").collect()
+        got = N.score(docs, order=order, **how).drop("base_score").collect()
         return sorted((repr(tuple(r)[:-1]), r["score"]) for r in got)
 
-    assert N.build(docs, most_bits=14)[0].slices >= 4
-    whole, sliced = scores(), scores(most_bits=14)
-    assert [k for k, _ in sliced] == [k for k, _ in whole]
-    assert [s for _, s in sliced] == pytest.approx([s for _, s in whole], rel=1e-12)
+    model = N.build(docs, most_bits=14, order=order)[0]
+    assert model.sharded and not len(model.filter.bits) and 0 < len(model.common)
+    whole, sharded = scores(), scores(most_bits=14)
+    assert [k for k, _ in sharded] == [k for k, _ in whole]
+    assert [s for _, s in sharded] == pytest.approx([s for _, s in whole], rel=1e-12)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_the_formula_on_quantised_counts(docs, rows, order):
+    """With a filter so wide that nothing collides, every score is the formula's."""
+    counted = [Counter() for _ in range(order)]
+    short = docs.filter("doc_id < 60")
+    own = [r for r in rows if r[0] is not None and r[0] < 60]
+
+    def ends(words, k):
+        padded = [""] * (k - 1) + words
+        return [tuple(padded[t : t + k]) for t in range(len(words))]
+
+    for r in own:
+        if zlib.crc32(str(r[0]).encode()) % 10:
+            for k in range(order):
+                counted[k].update(ends(tokens(r[1]), k + 1))
+    norm = sum(counted[0].values()) + 0.1 * (len(counted[0]) + 1)
+    for k in range(order):
+        counted[k] = Counter({gram: float(N._middle(N._level(np.array([c])))[0]) for gram, c in counted[k].items()})
+    want = {}
+    for r in own:
+        words, score = tokens(r[1]), 0.0
+        for t in range(len(words)):
+            value = (counted[0][words[t],] + 0.1) / norm
+            for k in range(1, order):
+                history = ([""] * k + words)[t : t + k]
+                before = counted[0][None,] if t == 0 else counted[k - 1][tuple(history)]
+                value = (counted[k][tuple([*history, words[t]])] + 4 * value) / (before + 4)
+            score += math.log10(value)
+        want[r[0]] = score
+    model = N.build(short.filter(~N.held_out("doc_id")), entry_bits=4000, order=order)[0]
+    for r in own:
+        data = (r[1] or "").encode()
+        found = model.score(*N._tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+        assert found[0] == pytest.approx(want[r[0]], rel=1e-9)
+
+
+def test_a_bigram_is_held_below_its_history_and_its_end():
+    model = N.Model(None, 100, 10, None, None, None, None)
+    got = model.smoothed([np.array([5.0, 2.0]), np.array([9.0, 9.0])], np.array([0, 2]))
+    first, second = (5.1 / model.norm * 4 + 2) / 6, (2.1 / model.norm * 4 + 2) / 9
+    assert got[0] == pytest.approx(math.log10(first) + math.log10(second))
+
+
+def test_counts_of_a_shard_are_added_up_as_they_come(monkeypatch):
+    monkeypatch.setattr(N, "_GATHER", 50)
+    draw = np.random.default_rng(1)
+    blocks, want = [], Counter()
+    for kind, shard in [(1, 0), (2, 0), (1, 3)]:
+        for _ in range(40):
+            hashes = np.unique(draw.integers(0, 90, 30).astype(np.uint64))
+            counts = draw.integers(1, 400, len(hashes))
+            want.update({(kind, shard, int(h)): int(c) for h, c in zip(hashes, counts)})
+            blocks.append((kind, shard, N._pack_counts(hashes, counts)))
+    got = list(N._sorted_counts(iter(blocks)))
+    assert [k for k, _, _ in got] == [1, 2, 1]
+    for (_, hashes, counts), at in zip(got, [(1, 0), (2, 0), (1, 3)]):
+        assert dict(zip(hashes.tolist(), counts.tolist())) == {h: c for (k, s, h), c in want.items() if (k, s) == at}
 
 
 def test_empty_tables(nothing, docs, rows):
