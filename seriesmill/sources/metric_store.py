@@ -1,9 +1,9 @@
-"""Stored metric records: Parquet with one folder per run, changed key by key."""
+"""Stored metric records: Parquet in a bounded number of folders, changed key by key."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,12 @@ RECORDS = T.StructType(
         T.StructField("idx", T.LongType()),
         T.StructField("value", T.DoubleType()),
         T.StructField("batch", T.StringType()),
+        T.StructField("name", T.StringType()),
         T.StructField("run", T.StringType()),
     ]
 )
+#: Runs are dealt to this many folders by a hash of their name; a folder bears the name of the first run in it.
+FOLDERS = 256
 RULES = ("extend", "overwrite", "error")
 
 
@@ -29,13 +32,33 @@ class KeyExists(ValueError):
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """All stored records: ``run, key, step, idx, value, batch``; none where nothing has been stored yet."""
+    return _stored(spark, path).select(*KEYS, "step", "idx", "value", "batch")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All stored records with the ``folder`` that they lie in."""
     try:
         found = spark.read.schema(RECORDS).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         found = spark.createDataFrame([], RECORDS)
-    return found.select(*KEYS, "step", "idx", "value", "batch")
+    # a folder without names holds one run
+    return found.withColumnRenamed("run", "folder").withColumn("run", F.coalesce("name", "folder")).drop("name")
+
+
+def _slot(run: str) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(FOLDERS))
+
+
+def _places(runs: DataFrame, stored: DataFrame) -> DataFrame:
+    """``run, folder``: the folder of its name if there is one, else that of its hash, which the first run names."""
+    folders = stored.select("folder").distinct()
+    slots = folders.groupBy(_slot("folder").alias("slot")).agg(F.min("folder").alias("old"))
+    placed = runs.withColumn("slot", _slot("run"))
+    slots = placed.groupBy("slot").agg(F.min("run").alias("first")).join(slots, "slot", "left").select("slot", F.coalesce("old", "first").alias("shared"))
+    own = folders.select(F.col("folder").alias("run"), F.col("folder").alias("own"))
+    return placed.join(slots, "slot").join(own, "run", "left").select("run", F.coalesce("own", "shared").alias("folder"))
 
 
 def write_metrics(new: DataFrame, path: str, batch: str, on_conflict: str = "extend") -> int:
@@ -48,10 +71,11 @@ def write_metrics(new: DataFrame, path: str, batch: str, on_conflict: str = "ext
     be repeated after a failure and a second identical write changes nothing.
 
     Only the folders of the runs in ``new`` are read and replaced (dynamic partition
-    overwrite); the other keys of these runs are written again as they are.  Spark
-    writes a run's records beside the old ones and swaps the folder in when the job
-    commits, so that readers never meet a part of a key.  Without records nothing is
-    written.  One writer of a run at a time.  Runs jobs.
+    overwrite); the other keys and runs in them are written again as they are.  There
+    are ``FOLDERS`` folders at most, so that a store of very many runs is not one
+    file a run.  Spark writes a folder's records beside the old ones and swaps the
+    folder in when the job commits, so that readers never meet a part of a key.
+    Without records nothing is written.  One writer of a store at a time.  Runs jobs.
     """
     if on_conflict not in RULES:
         raise ValueError(f"unknown conflict rule {on_conflict!r}")
@@ -64,7 +88,10 @@ def write_metrics(new: DataFrame, path: str, batch: str, on_conflict: str = "ext
     count = touched.count()
     if not count:
         return 0
-    stored = read_metrics(spark, path).join(records.select("run").distinct(), "run", "left_semi").filter(F.col("batch") != batch)
+    every = _stored(spark, path)
+    places = cut_lineage(_places(touched.select("run").distinct(), every))
+    stored = every.join(places.select("folder").distinct(), "folder", "left_semi").join(places.select("run", F.lit(True).alias("again")), "run", "left")
+    stored = stored.filter((F.col("batch") != batch) | F.col("again").isNull()).drop("again")
     kept = stored.join(touched, KEYS, "left_semi")
     if on_conflict == "error":
         clashes = kept.select(*KEYS).distinct().orderBy(*KEYS).take(5)
@@ -77,8 +104,10 @@ def write_metrics(new: DataFrame, path: str, batch: str, on_conflict: str = "ext
     elif on_conflict == "overwrite":
         stored = stored.join(touched, KEYS, "left_anti")
     # read before the folders are replaced
-    whole = cut_lineage(stored.select(*RECORDS.names).unionByName(added.withColumn("batch", F.lit(batch)).select(*RECORDS.names)))
-    # a run's records go to one file, those of a very long run to several
+    added = added.withColumn("batch", F.lit(batch)).join(places, "run")
+    names = [*RECORDS.names[:-2], F.col("run").alias("name"), F.col("folder").alias("run")]
+    whole = cut_lineage(stored.select(*names).unionByName(added.select(*names)))
+    # a folder's records go to one file, those of a very long run to several
     dealt = whole.hint("rebalance", F.col("run"))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
     return count

@@ -88,3 +88,23 @@ def test_a_long_key_and_extra_columns(spark, path):
     M.write_metrics(many, path, "one")
     stored = M.read_metrics(spark, path)
     assert stored.count() == 20_000 and stored.filter("batch = 'one'").count() == 20_000
+
+
+def test_many_runs_share_a_bounded_number_of_folders(spark, path, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "FOLDERS", 4)
+    every = [(f"r{k}", "k", 0, 0, float(k)) for k in range(40)]
+    M.write_metrics(frame(spark, *every), path, "one")
+    assert len(list((tmp_path / "metrics").glob("run=*"))) <= 4 and rows(spark, path) == sorted(every)
+    # the batch once more, with a part of its runs: the other runs of these folders stay
+    for _ in range(2):
+        M.write_metrics(frame(spark, ("r3", "k", 0, 0, -1.0), ("new", "k", 0, 0, -2.0)), path, "one")
+    assert rows(spark, path) == sorted([r for r in every if r[0] != "r3"] + [("r3", "k", 0, 0, -1.0), ("new", "k", 0, 0, -2.0)])
+    assert len(list((tmp_path / "metrics").glob("run=*"))) <= 4
+
+
+def test_folders_of_one_run_without_names_inside(spark, path, monkeypatch):
+    monkeypatch.setattr(M, "FOLDERS", 1)
+    old = spark.createDataFrame([("a", "k", 0, 0, 1.0, "x"), ("b", "k", 0, 0, 2.0, "x")], NEW + ", batch string")
+    old.write.partitionBy("run").parquet(path)
+    M.write_metrics(frame(spark, ("b", "k", 0, 0, 3.0), ("c", "k", 0, 0, 4.0)), path, "y")
+    assert rows(spark, path) == [("a", "k", 0, 0, 1.0), ("b", "k", 0, 0, 2.0), ("b", "k", 1, 0, 3.0), ("c", "k", 0, 0, 4.0)]
