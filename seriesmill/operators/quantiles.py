@@ -6,7 +6,9 @@ fine for a few hundred bootstrap replicates and wrong for sensor readings.
 ranks from running sums.  Where a group has more rows than one task should sort,
 its own value axis is first cut into bins of about equal size by a mergeable
 sketch; rows are counted per (group, bin) to find the bins that hold the wanted
-ranks; only those bins are sorted, each in its own task.
+ranks; only those bins are sorted, each in its own task.  Such groups are few
+(rows over rows per bin), so their edges go out whole and rows stay where they
+are: a join on the group would send each large group to one task.
 """
 
 from __future__ import annotations
@@ -95,12 +97,15 @@ def quantiles(
         return _from_values(weighted(rows), group, probs, names)
     n_edges = (1 << levels) - 1
     cuts = ", ".join(f"{(i + 1) / (n_edges + 1)!r}D" for i in range(n_edges))
-    edges = rows.groupBy(*narrow).agg(F.expr(f"percentile_approx(__v, array({cuts}), {8 * (n_edges + 1)})").alias("__edges"))
+    sketch = F.expr(f"percentile_approx(__v, array({cuts}), {8 * (n_edges + 1)})").alias("__edges")
     if narrow:
-        placed = join_null_safe(rows, edges, narrow)
+        # a group that one task can sort is one bin, number -1
+        edges = rows.groupBy(*narrow).agg(sketch, F.count("__v").alias("__n")).filter(F.col("__n") > bin_rows).drop("__n")
+        placed = join_null_safe(rows, F.broadcast(edges), narrow, "left")
     else:
-        placed = rows.withColumn("__edges", edges.scalar())
-    placed = placed.withColumn("__bin", bin_of(F.col("__v"), F.col("__edges"), levels)).drop("__edges")
+        placed = rows.withColumn("__edges", rows.agg(sketch).scalar())
+    bins = F.when(F.col("__edges").isNull(), F.lit(-1)).otherwise(bin_of(F.col("__v"), F.col("__edges"), levels))
+    placed = placed.withColumn("__bin", bins).drop("__edges")
 
     keys = [*group, "__bin"]
     up_to = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -123,10 +128,9 @@ def quantiles(
     )
     needed = targets.groupBy(*keys).agg(F.collect_list(F.struct("__rank", "__i", "__side", "__share")).alias("__targets"))
     inside = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if expand:
-        # rows outside every wanted bin are not multiplied again
-        spots = [*narrow, "__bin"]
-        placed = join_null_safe(placed, needed.select(*spots).distinct(), spots, "left_semi")
+    # rows outside every wanted bin go no further; large groups have few bins
+    spots = needed.select(*narrow, "__bin").filter("__bin >= 0").distinct().withColumn("__wanted", F.lit(True))
+    placed = join_null_safe(placed, F.broadcast(spots), [*narrow, "__bin"], "left").filter("__bin < 0 OR __wanted").drop("__wanted")
     ends = (
         join_null_safe(weighted(placed).filter("__w > 0"), needed.select(*keys), keys, "left_semi")
         .groupBy(*keys, "__v")
@@ -145,7 +149,9 @@ def quantiles(
         share = F.max(F.when(F.col("__t.__i") == i, F.col("__t.__share")))
         picks.append(F.when(low == high, low).otherwise(low + (high - low) * share).alias(name))
     found = hits.groupBy(*group).agg(*picks)
-    return join_null_safe(mass.select(*group).distinct(), found, group, "left") if group else found
+    # asking for the total keeps the plan that counts the bins, so that rows are not expanded for the names of the groups
+    every = mass.groupBy(*group).agg(F.max("__total").alias("__total")).filter("__total >= 0").drop("__total") if group else None
+    return join_null_safe(every, found, group, "left") if group else found
 
 
 def _from_values(weighted: DataFrame, group: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
