@@ -99,8 +99,8 @@ def tune(
     as concurrent Spark jobs over one split that is checkpointed for the search.
     """
     numbered = split_head_tail(df.select(*features, target, *_order_columns(df, features, target)), order, chunk, 1 - holdout)
-    # a copy that outlives executors: fits on recomputed rows could differ
-    parts = cut_lineage(numbered)
+    # a copy that outlives executors: fits on recomputed rows could differ; every pass reads it, so it holds what fits need
+    parts = cut_lineage(numbered.select(*features, target, "split"))
     train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
     trials = ([dict(start)] if start else []) + [p for p in parameter_grid(space) if not start or p != dict(start)]
 

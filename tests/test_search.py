@@ -95,3 +95,13 @@ def test_candidates():
     found = S.draw_candidates({"a": [1, 2], "b": [3, 4]}, 3, 1, {"a": 2, "b": 3})
     assert found[0] == {"a": 2, "b": 3} and len(found) == 3 and len({json.dumps(f) for f in found}) == 3
     assert found == S.draw_candidates({"a": [1, 2], "b": [3, 4]}, 3, 1, {"a": 2, "b": 3})
+
+
+def test_tuning_keeps_only_what_fits_read(spark, monkeypatch):
+    from seriesmill.operators import models as L
+
+    kept, cut = [], L.cut_lineage
+    monkeypatch.setattr(L, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    df = spark.range(200).selectExpr("id AS t", "cast(id % 7 AS double) AS x", "cast(id % 7 * 3 AS double) AS y", "'more' AS other")
+    best, trials = L.tune(df, ["x"], "y", [F.col("t")], [F.lit(0)], "linear", {"regParam": [0.0, 10.0]})
+    assert kept == [["x", "y", "split"]] and best == {"regParam": 0.0} and trials.count() == 2
