@@ -304,6 +304,24 @@ class Transducer:
         return text[1:] if self.mark_first and text.startswith(" ") else text
 
 
+def _encoded(batch: pa.RecordBatch, encoder: Transducer, into: str) -> pa.RecordBatch:
+    """``batch`` without its first column, the texts, and with their pieces."""
+    found = [None if t is None else encoder.encode(t) for t in batch.column(0).to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([0 if f is None else len(f) for f in found])]).astype(np.int32)
+    flat = np.concatenate([f for f in found if f is not None] or [np.empty(0, np.int32)])
+    absent = pa.array([f is None for f in found], pa.bool_())
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=absent)], [*batch.schema.names[1:], into])
+
+
+def _decoded(batch: pa.RecordBatch, decoder: Transducer, into: str) -> pa.RecordBatch:
+    """``batch`` without its first column, the pieces, and with their texts."""
+    ids = batch.column(0)
+    flat = ids.flatten().to_numpy()
+    ends = np.cumsum([0 if n is None else n for n in pc.list_value_length(ids).to_pylist()])
+    texts = [None if not there else decoder.decode(flat[a:b]) for there, a, b in zip(ids.is_valid().to_pylist(), [0, *ends[:-1].tolist()], ends.tolist())]
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], into])
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "pieces") -> DataFrame:
     """``docs`` without ``text_col`` and with ``into``: the piece numbers of every whole text (``array<int>``).
 
@@ -316,14 +334,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piec
     machine = docs.sparkSession.sparkContext.broadcast(Transducer(read_vocabulary(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = machine.value
         for batch in batches:
-            texts = batch.column(0)
-            found = [None if t is None else encoder.encode(t) for t in texts.to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([0 if f is None else len(f) for f in found])]).astype(np.int32)
-            flat = np.concatenate([f for f in found if f is not None] or [np.empty(0, np.int32)])
-            absent = pa.array([f is None for f in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=absent)], [*batch.schema.names[1:], into])
+            yield _encoded(batch, machine.value, into)
 
     others = [c for c in docs.columns if c not in (text_col, into)]
     source = small_batches(docs).select(text_col, *others)
@@ -336,13 +348,8 @@ def decode(encoded: DataFrame, path: str, pieces_col: str = "pieces", into: str
     machine = encoded.sparkSession.sparkContext.broadcast(Transducer(read_vocabulary(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = machine.value
         for batch in batches:
-            ids = batch.column(0)
-            flat = ids.flatten().to_numpy()
-            ends = np.cumsum([0 if n is None else n for n in pc.list_value_length(ids).to_pylist()])
-            texts = [None if not there else decoder.decode(flat[a:b]) for there, a, b in zip(ids.is_valid().to_pylist(), [0, *ends[:-1].tolist()], ends.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], into])
+            yield _decoded(batch, machine.value, into)
 
     others = [c for c in encoded.columns if c not in (pieces_col, into)]
     source = small_batches(encoded).select(pieces_col, *others)
@@ -357,8 +364,18 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: list[st
     text, and NULL for NULL, which has 0 pieces.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    encoded = encode(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")), path, "__text", "pieces")
-    decoded = decode(encoded.withColumn("__copy", F.col("pieces")), path, "__copy", "__decoded")
-    count = F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")).cast("long")
     keep = [c for c in keep if c not in ("pieces", "n_pieces", "decoded_sha256")]
+    machine = docs.sparkSession.sparkContext.broadcast(Transducer(read_vocabulary(path)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one worker, hence one machine in memory, for both ways
+        for batch in batches:
+            there = _encoded(batch, machine.value, "pieces")
+            last = there.num_columns - 1
+            yield _decoded(there.select([last, *range(last), last]), machine.value, "__decoded")
+
+    source = small_batches(docs).select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    shape = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
+    decoded = source.mapInArrow(run, f"{shape}`pieces` array<int>, `__decoded` string")
+    count = F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")).cast("long")
     return decoded.select(*[F.col(f"`{c}`") for c in keep], count.alias("n_pieces"), "pieces", F.sha2("__decoded", 256).alias("decoded_sha256"))

@@ -76,3 +76,9 @@ def test_memory_of_a_worker_is_bounded(machine, monkeypatch):
     text = "many different words go through a small memory " * 3
     assert machine.decode(machine.encode(text)) == text and len(machine.known) <= 3
     assert np.array_equal(machine.encode(text), Transducer(read_vocabulary(PIECES)).encode(text))
+
+
+def test_both_ways_run_in_one_worker(docs):
+    """A second Python step would hold a second machine beside the first."""
+    found = round_trip(docs, PIECES)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
