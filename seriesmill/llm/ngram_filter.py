@@ -34,7 +34,7 @@ _START, _END = mix(np.array([101, 202], np.uint64))
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _TURN = 0xC2B2AE3D27D4EB4F
 #: Kinds of blocks: n-grams of order n are of kind n; questions come after all counts, filter parts before.
-PART, UNIGRAM, QUESTION = 0, 1, 1 << 20
+PART, UNIGRAM, QUESTION, ANSWER = 0, 1, 1 << 20, 1 << 21
 #: Longest n-grams of the model.
 ORDER = 2
 
@@ -552,17 +552,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         if size:
             yield from _question_blocks(model.filter.shard_bits, *map(np.concatenate, zip(*held)))
 
+    bits = model.filter.shard_bits
+
+    def add_sums(key: list[np.ndarray], base: list[np.ndarray], known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted texts with their summed logarithms and numbers of known tokens."""
+        keys, place = np.unique(np.concatenate(key), return_inverse=True)
+        return keys, np.bincount(place, np.concatenate(base)), np.bincount(place, np.concatenate(known)).astype(np.int64)
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each text's tokens of a shard, in blocks of texts: a row per text and shard would be most of the shuffle."""
         sums: dict[str, list[np.ndarray]] = {"key": [], "base": [], "known": []}
         size = 0
 
-        def out() -> pa.RecordBatch:
-            keys, place = np.unique(np.concatenate(sums["key"]), return_inverse=True)
-            base = np.bincount(place, np.concatenate(sums["base"]))
-            known = np.bincount(place, np.concatenate(sums["known"])).astype(np.int64)
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, base, known = add_sums(**sums)
             for part in sums.values():
                 part.clear()
-            return pa.record_batch({"key": pa.array(keys), "base": pa.array(base), "known": pa.array(known)})
+            yield from _batches(ANSWER, ((slot, _pack(keys[part], base[part], known[part])) for slot, part in _cuts(keys, bits)))
 
         nothing = np.empty(0, np.uint64), np.empty(0, np.int64)
         own, counted = None, nothing
@@ -575,7 +581,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             flat, numbers = counted
             for _, _, raw in group:
                 h, which = _unpack(raw, np.uint64, np.uint16)
-                keys = np.frombuffer(raw, np.int64, -1, 4 + 10 * len(h))
+                keys = np.frombuffer(raw, np.uint64, -1, 4 + 10 * len(h))
                 at = np.searchsorted(flat, h)
                 there = at < len(flat)
                 there[there] = flat[at[there]] == h[there]
@@ -586,10 +592,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                 sums["known"].append(np.bincount(which, there, len(keys)))
                 size += len(keys)
                 if size >= 1_000_000:
-                    yield out()
+                    yield from out()
                     size = 0
         if size:
-            yield out()
+            yield from out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per text: the sums of what the shards answered, added up whenever they have doubled."""
+        for _, group in groupby(_rows_of(batches), key=lambda row: row[1]):
+            sums: dict[str, list[np.ndarray]] = {"key": [], "base": [], "known": []}
+            size, enough = 0, _GATHER
+            for _, _, raw in group:
+                for part, values in zip(sums.values(), _unpack(raw, np.uint64, np.float64, np.int64)):
+                    part.append(values)
+                size += len(sums["key"][-1])
+                if size >= enough:
+                    sums = {name: [values] for name, values in zip(sums, add_sums(**sums))}
+                    size = len(sums["key"][0])
+                    enough = max(_GATHER, 2 * size)
+            keys, base, known = add_sums(**sums)
+            for at in range(0, len(keys), _BLOCK):
+                part = slice(at, at + _BLOCK)
+                yield pa.record_batch({"key": pa.array(keys[part].view(np.int64)), "rest": pa.array(base[part]), "rest_known": pa.array(known[part])})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with their score from the levels noted at the text and those that the shards found."""
@@ -611,8 +635,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         levels = _sharded_levels(rows, shared, parts).groupBy("key").agg(F.collect_list("found").alias("found"))
         scored = cut_lineage(scored.join(levels, "key", "left").mapInArrow(meet, f"id {kind}, key long, n_tokens long, known long, base double, score double"))
     asked = rows.mapInArrow(ask, _BLOCKS).unionByName(blocks.filter(F.col("kind") == UNIGRAM))
-    answers = _by_shard(asked).mapInArrow(answer, "key long, base double, known long")
-    answers = answers.groupBy("key").agg(F.sum("base").alias("rest"), F.sum("known").alias("rest_known"))
+    answers = _by_shard(_by_shard(asked).mapInArrow(answer, _BLOCKS)).mapInArrow(add, "key long, rest double, rest_known long")
     answers = answers.join(scored.groupBy("key").agg(F.count("*").alias("same")), "key")
     whole = scored.join(answers, "key", "left")
     base = F.col("base") + F.coalesce(F.col("rest") / F.col("same"), F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.norm)))

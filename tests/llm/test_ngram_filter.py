@@ -159,3 +159,16 @@ def test_empty_tables(nothing, docs, rows):
 
     got = N.score(docs, train=F.lit(False)).collect()
     assert len(got) == len(rows) and {(r["n_known"], r["train_tokens"]) for r in got} == {(0, 0)}
+
+
+def test_answers_travel_in_blocks_of_texts(spark, monkeypatch):
+    """A row per text and shard would grow with both; blocks are as many as shards and tasks make them."""
+    monkeypatch.setattr(N, "FREQUENT_BITS", 0)
+    seen, by_shard = [], N._by_shard
+    monkeypatch.setattr(N, "_by_shard", lambda df: seen.append(df) or by_shard(df))
+    texts = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 59), k -> concat('w', id * 60 + k))) AS text")
+    assert N.score(texts).count() == 400
+    answers = seen[-1]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.kind for r in answers.select("kind").distinct().collect()} == {N.ANSWER}
+    assert answers.count() <= tasks << N.LEAST_SHARD_BITS
