@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 
+import pytest
+
 from seriesmill.llm import prefix_trie
 
 SHAPE = "conv_id long, turn long, role string, text string, pos string, words string, d1 string, seq string"
@@ -78,3 +80,30 @@ def test_single_turns_turnless_and_no_conversations(spark):
     conv = next(c for c in range(1, 20) if zlib.crc32(str(c).encode()) % 4 > 0)
     assert run(spark, [(conv, 0, "user", "a")]) == {(conv, 0, None, 1, 0, 1, 0, hashlib.sha256(str(conv).encode()).hexdigest())}
     assert run(spark, []) == set()
+
+
+def long_and_short():
+    """One conversation far longer than the others, copies of it that leave it at some turn, and short ones."""
+    draw = random.Random(8)
+    rows = [(c, t, "user", f"t{t % 7}" if t < leave else f"c{c} {t}") for c, leave in ((9, 150), (3, 150), (14, 64), (6, 33), (31, 16), (12, 4)) for t in range(140 + c % 3)]
+    return rows + [(c, t, "user", draw.choice(["t0", "t1", "a b"])) for c in range(40, 90) for t in range(draw.randint(1, 6))]
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_blocks_of_any_height_give_the_same_trie(spark, monkeypatch, block):
+    monkeypatch.setattr(prefix_trie, "BLOCK", block)
+    rows = long_and_short()
+    assert run(spark, rows) == brute(rebuilt(rows))
+
+
+def test_a_round_of_a_long_conversation_takes_few_jobs(spark):
+    frame = spark.createDataFrame([tuple(r) + ("x", None, "", "7") for r in long_and_short()], SHAPE)
+    turns, members = prefix_trie.splice_heads(prefix_trie.ordered_turns(frame))
+    context = spark.sparkContext
+    context.setJobGroup("trie of long conversations", "")
+    try:
+        prefix_trie.prefix_trie(turns, members)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # what the driver keeps of jobs and plans grows with them: eight binary digits, each of them a round down and a round up
+    assert 0 < len(context.statusTracker().getJobIdsForGroup("trie of long conversations")) < 160
