@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from seriesmill.session import checkpoint_folder
 from seriesmill.sources import metric_store as M
 
 NEW = "run string, key string, step int, idx long, value double"
@@ -108,3 +111,90 @@ def test_folders_of_one_run_without_names_inside(spark, path, monkeypatch):
     old.write.partitionBy("run").parquet(path)
     M.write_metrics(frame(spark, ("b", "k", 0, 0, 3.0), ("c", "k", 0, 0, 4.0)), path, "y")
     assert rows(spark, path) == [("a", "k", 0, 0, 1.0), ("b", "k", 0, 0, 2.0), ("b", "k", 1, 0, 3.0), ("c", "k", 0, 0, 4.0)]
+
+
+def test_a_write_leaves_no_copies_of_its_records_on_the_disk(spark, path, tmp_path):
+    def kept():
+        shuffled = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [Path(shuffled.apply(k).getPath()) for k in range(shuffled.size())]
+        return {f for f in [*files, *Path(checkpoint_folder(spark).removeprefix("file:")).rglob("*")] if f.is_file()}
+
+    def many(step):
+        return spark.range(30_000).select(F.concat(F.lit("r"), F.col("id") % 50).alias("run"), F.lit("k").alias("key"), F.lit(step).alias("step"), F.col("id").alias("idx"), F.rand(1).alias("value"))
+
+    before = kept()
+    for batch, rule in (("one", "error"), ("two", "extend"), ("two", "extend"), ("three", "overwrite")):
+        M.write_metrics(many(0), path, batch, rule)
+    left = kept() - before
+    # the store itself has 0.3 MB; what stays are the names of its folders
+    assert M.read_metrics(spark, path).count() == 30_000
+    assert sum(f.stat().st_size for f in left if f.exists() and f.suffix != ".crc") < 100_000
+    assert not [f for f in left if f.name.startswith("shuffle_") and f.exists()]
+    assert {f.name[:4] for f in (tmp_path / "metrics").iterdir()} == {"run="}
+
+
+@pytest.mark.parametrize("rule", M.RULES)
+def test_rounds_give_the_same_store(spark, tmp_path, monkeypatch, rule):
+    monkeypatch.setattr(M, "FOLDERS", 16)
+    monkeypatch.setattr(M, "ROUNDS", 3)
+    old = [(f"r{k % 30}", f"k{k % 2}", k, 0, float(k)) for k in range(90)]
+    new = [(f"r{k}", "k0" if rule != "error" else "k9", 0, 1, -float(k)) for k in range(0, 60, 2)]
+    found = []
+    for rows_a_round in (1 << 22, 1):
+        monkeypatch.setattr(M, "ROUND_ROWS", rows_a_round)
+        path = str(tmp_path / f"store{rows_a_round}")
+        M.write_metrics(frame(spark, *old), path, "one")
+        for _ in range(2):
+            assert M.write_metrics(frame(spark, *new), path, "two", rule) == 30
+        M.write_metrics(frame(spark, ("r1", "k0", 0, 2, 0.5)), path, "one")
+        found.append(sorted(map(tuple, M.read_metrics(spark, path).collect())))
+    assert found[0] == found[1] and len([r for r in found[0] if r[5] == "two"]) == 30
+
+
+def test_a_failed_round_leaves_the_store_as_it_was(spark, path, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "ROUND_ROWS", 1)
+    monkeypatch.setattr(M, "ROUNDS", 3)
+    every = [(f"r{k}", "k", 0, 0, float(k)) for k in range(40)]
+    M.write_metrics(frame(spark, *every), path, "one")
+    before, calls, real = files(path, tmp_path), [], M._rewritten
+
+    def breaks(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(M, "_rewritten", breaks)
+    cleanup = spark.conf.get(M._CLEANUP)
+    with pytest.raises(RuntimeError, match="lost"):
+        M.write_metrics(frame(spark, *every), path, "two")
+    assert files(path, tmp_path) == before and rows(spark, path) == sorted(every) and spark.conf.get(M._CLEANUP) == cleanup
+    assert len(calls) == 3 and not list((tmp_path / "metrics").glob(".new-*"))
+    # what a lost driver leaves is not read, and the write may be repeated
+    frame(spark, ("r1", "k", 9, 9, 9.0)).write.partitionBy("run").parquet(f"{path}/.new-left")
+    monkeypatch.setattr(M, "_rewritten", real)
+    M.write_metrics(frame(spark, *every), path, "two")
+    assert rows(spark, path) == sorted(every + [(r[0], "k", 1, 0, r[4]) for r in every])
+
+
+def test_a_folder_that_cannot_be_swapped_in_comes_back(spark, path, tmp_path, monkeypatch):
+    M.write_metrics(frame(spark, *FIRST), path, "one")
+    staged = tmp_path / "metrics" / ".new-x"
+    frame(spark, ("7", "k", 0, 0, 1.0)).write.partitionBy("run").parquet(str(staged))
+    real = M._files
+
+    class Broken:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def rename(self, old, new):
+            fresh = ".old" not in old.toString() + new.toString()
+            return False if fresh else self.system.rename(old, new)
+
+    monkeypatch.setattr(M, "_files", lambda spark, path: (real(spark, path)[0], Broken(real(spark, path)[1])))
+    with pytest.raises(OSError, match="could not move"):
+        M._swap_in(spark, str(staged), path)
+    assert rows(spark, path) == sorted(FIRST, key=lambda r: r[:4])
